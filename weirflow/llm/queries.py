@@ -17,6 +17,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.tokens import digest, token_table
+
+    return digest(token_table(_table(spark, sf_dir, "documents"), end_id=2))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.packing import digest, packed
+
+    return digest(packed(_table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.toxicity import toxicity
 
@@ -24,7 +36,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op2_simhash, op5_token_ids, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
