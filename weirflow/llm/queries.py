@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.quality import clean
+
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return clean(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*names)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.simhash import near_duplicates
 
@@ -36,7 +43,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_token_ids, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op5_token_ids, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
