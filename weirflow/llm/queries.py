@@ -24,6 +24,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.chat import digest, format_chats
+
+    says = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return digest(format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.tokens import digest, token_table
 
@@ -43,7 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op5_token_ids, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op5_token_ids, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
