@@ -47,6 +47,13 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(token_table(_table(spark, sf_dir, "documents"), end_id=2))
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.license import licenses
+
+    found = licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ",")).withColumn("dice", F.round("dice", 6))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.packing import digest, packed
 
@@ -60,7 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op7_license, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
