@@ -66,8 +66,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.substrings import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op7_license, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op7_license, op8_packing, op9_toxicity, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
