@@ -47,6 +47,12 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(token_table(_table(spark, sf_dir, "documents"), end_id=2))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.lm import scores
+
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.license import licenses
 
@@ -73,7 +79,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op7_license, op8_packing, op9_toxicity, op10_substrings)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
