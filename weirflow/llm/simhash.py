@@ -99,12 +99,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """docs without all but one document of each group: that with the smallest doc_id stays.
 
-    Of rows that share this doc_id the one of least content hash stays; rows of
-    null doc_id stay if their group has no other id.
+    Of several rows of this doc_id the one of least content hash stays, and one
+    of rows that are equal; a group without any doc_id keeps one row likewise.
     """
     groups = near_duplicates(docs, **parameters)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
-    same = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row")).groupBy("doc_id").agg(F.min("_row").alias("_row"))
-    known = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    one = known.join(kept.select("doc_id").distinct(), known.doc_id.eqNullSafe(kept.doc_id), "left_semi").join(same.toDF("_id", "_least"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_row") == F.col("_least")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    alone = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return alone.select("row.*")

@@ -39,8 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from weirflow.llm.common import chunks, free_shuffles, segments, small_batches, text_bytes, written
+from weirflow.llm.common import chunks, free_shuffles, small_batches, text_bytes, written
 
 LENGTH = 50
 GRAM = 20
@@ -416,45 +417,71 @@ def _applied(length: int, gram: int, digest: bool):
             spans = int(np.count_nonzero(np.diff(np.concatenate([[0], mask.astype(np.int8)])) == 1))
             out.append((len(text), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
         sizes, removed, spans, kept = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        return pa.table([_flat(docs.column(0)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), _flat(docs.column(1))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_hash"])
+        own = [_flat(docs.column(0)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())]
+        return pa.table([*own, *docs.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *docs.column_names[3:]])
 
     return each
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the text that is left, or with digest its sha256), text_hash."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the text that is left, or with digest its sha256).
+
+    The columns keep follow as _0, _1, ..., whatever their names.
+    """
     if not 0 < gram < length <= 127:
         raise ValueError("0 < gram < length <= 127")
     spark = small_batches(docs).sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // RANGE_BYTES))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text")).alias("text_hash"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.hash(F.col("text")).alias("text_hash"),
+        F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
+        *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)),
+    )
     known = own.where(F.col("doc_id").isNotNull())
     binaries = lambda *names: ", ".join(f"{n} binary" for n in ("keys", "counts", *names))
 
     def part_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_part_of(_keys(batch), parts).astype(np.int32)), *batch.columns], ["part", "doc_id", "text_hash", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(_part_of(_keys(batch), parts).astype(np.int32)), *batch.columns], ["part", *batch.schema.names])
+
+    def ranged(rows: DataFrame):
+        return rows.mapInArrow(part_of, StructType([StructField("part", IntegerType()), *rows.schema.fields])).groupBy("part")
+
+    def strip(f):
+        return lambda a, b: f(a.drop_columns(["part"]), b)
 
-    ranged = known.mapInArrow(part_of, "part int, doc_id long, text_hash int, text binary")
-    strip = lambda f: lambda a, b: f(a.drop_columns(["part"]), b)
-    single = lambda a: a.groupBy("bucket")
-    meeting = single(known.mapInArrow(_anchors_out(parts, length, gram), f"bucket int, {binaries('pos', 'low', 'high')}"))
+    texts = known.select("doc_id", "text_hash", "text")
+    meeting = texts.mapInArrow(_anchors_out(parts, length, gram), f"bucket int, {binaries('pos', 'low', 'high')}").groupBy("bucket")
     candidates = written(meeting.applyInArrow(_met(parts), f"part int, {binaries('pos')}"), "candidates")
     del meeting
     free_shuffles(spark)
-    around = ranged.groupBy("part").cogroup(candidates.groupBy("part")).applyInArrow(strip(_around(parts, length, gram)), f"bucket int, {binaries('pos', 'left', 'right', 'bytes')}")
-    verdicts = written(single(around).applyInArrow(_judged(parts, length, gram), f"part int, {binaries('pos', 'first', 'last')}"), "verdicts")
+    around = ranged(texts).cogroup(candidates.groupBy("part")).applyInArrow(strip(_around(parts, length, gram)), f"bucket int, {binaries('pos', 'left', 'right', 'bytes')}")
+    verdicts = written(around.groupBy("bucket").applyInArrow(_judged(parts, length, gram), f"part int, {binaries('pos', 'first', 'last')}"), "verdicts")
     del around
     free_shuffles(spark)
     found = candidates.withColumn("first", F.lit(None).cast("binary")).withColumn("last", F.lit(None).cast("binary")).unionByName(verdicts)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept string, text_hash int"
-    done = ranged.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(strip(_applied(length, gram, digest)), schema)
+    others = known.schema.fields[3:]
+    schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept string").fields, *others])
+    done = ranged(known).cogroup(found.groupBy("part")).applyInArrow(strip(_applied(length, gram, digest)), schema)
     text = F.sha2("text", 256) if digest else F.col("text").cast("string")
-    apart = own.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), text.alias("kept"), "text_hash")
+    zero = F.lit(0).cast("long")
+    apart = own.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept"), *(f.name for f in others))
     return done.unionByName(apart)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
-    return repeats(docs, length, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    return repeats(docs, length, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with what is left of their texts, n_chars (if there) counted anew; documents that lose all of a text go."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = repeats(docs, length, keep=others)
+    left = found.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    columns = {c: F.col(f"_{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(columns[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
