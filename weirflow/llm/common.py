@@ -38,6 +38,20 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Rows, and bytes where Spark knows that bound, of an Arrow batch at most: rows here are whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to Arrow batches that stay small with long texts."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -134,3 +148,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def trim() -> None:
+    """Hand freed memory back to the system; Python workers wait for their next task with what they hold."""
+    import contextlib
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, shared_path, text_bytes
+from weirflow.llm.common import chunks, shared_path, small_batches, text_bytes
 from weirflow.llm.tokens import bases, crcs, list_parts, lists_of, parts_for, write_tokens
 
 LENGTH = 2048
@@ -118,7 +118,7 @@ def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END, tokenizer:
 
     The token table along the curve stays at path, ORC as in tokens.py.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     table = write_tokens(along_curve(own, parts_for(own)), path or shared_path(docs.sparkSession, "packing"), end_id, tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast(bases(table))
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"

@@ -25,15 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, shared_path, text_bytes
+from weirflow.llm.common import chunks, shared_path, small_batches, text_bytes, trim
 
 #: ASCII white space becomes one kind of separator.
 _SPACE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
+#: 1 letters, 2 punctuation but the apostrophe, of ASCII.
+_KIND = np.array([1 if chr(c).isalpha() else 2 if 32 < c < 127 and not chr(c).isalnum() and c != 39 else 0 for c in range(128)] + [0] * 128, np.uint8)
 _FOLDED = bytes(c + 32 if 65 <= c <= 90 else c for c in _SPACE)
-#: Distinct chunks whose ids a worker keeps.
-CACHE = 1_000_000
+#: Distinct chunks whose ids a worker keeps in a generation.
+CACHE = 300_000
 #: Text bytes that are encoded at once: more share more chunks.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Text bytes for each file of a token table.
 FILE_BYTES = 64 << 20
 
@@ -48,7 +50,8 @@ class Encoder:
     """Encodes columns of texts to one flat array of ids and the texts' lengths in ids.
 
     What it knows of chunks outlives a task: the next tasks of the same Python
-    worker use it too.
+    worker use it too.  It is kept in two generations; the older one goes when
+    the younger is full.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -57,40 +60,71 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.end_id = Tokenizer.from_file(path), end_id
-        self.known: dict[str, bytes] = sys.modules.setdefault(f"weirflow-known:{path}", types.ModuleType("known")).__dict__.setdefault("of", {})
+        self.kept = sys.modules.setdefault(f"weirflow-known:{path}", types.ModuleType("known"))
+        if not hasattr(self.kept, "library"):
+            self.kept.library, self.kept.young, self.kept.old = Tokenizer.from_file(path), {}, {}
+            vocabulary = self.kept.library.get_vocab(with_added_tokens=False)
+            self.kept.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.kept.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.library, self.end_id = self.kept.library, end_id
+
+    def _new(self, chunk: list[str]) -> list[bytes]:
+        """The ids of each chunk, from the library: words of letters together, all else one by one."""
+        found: list[bytes] = [b""] * len(chunk)
+        words = [i for i, c in enumerate(chunk) if c.isalpha()]
+        others = [i for i, c in enumerate(chunk) if not c.isalpha()]
+        for k in range(0, len(words), 4096):
+            own = words[k : k + 4096]
+            ids = np.array(self.library.encode_batch_fast([" ".join([chunk[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.kept.ends[ids]) + 1 if ids.size and ids.max() < len(self.kept.ends) else ()
+            if len(ends) == len(own) and ends[-1] == len(ids):  # each word is one pre-token, which ends with its one word end
+                data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+                for n, i in enumerate(own):
+                    found[i] = data[cuts[n] : cuts[n + 1]]
+            else:
+                others += own
+        for i, e in zip(others, self.library.encode_batch_fast([chunk[i] for i in others], add_special_tokens=False), strict=True):
+            found[i] = struct.pack(f"<{len(ids := e.ids)}i", *ids)
+        return found
 
     def _ids(self, chunk: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        get = self.known.get
-        found = list(map(get, chunk))
-        new = [i for i, f in enumerate(found) if f is None]
-        if new:
-            for i, e in zip(new, self.library.encode_batch_fast([chunk[i] for i in new], add_special_tokens=False), strict=True):
-                found[i] = struct.pack(f"<{len(ids := e.ids)}i", *ids)
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-            self.known |= ((chunk[i], found[i]) for i in new)
-        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        young, old = self.kept.young, self.kept.old
+        found = list(map(young.get, chunk))
+        missed = [i for i, f in enumerate(found) if f is None]
+        new = []
+        for i in missed:
+            if (f := old.get(chunk[i])) is None:
+                new.append(i)
+            else:
+                found[i] = f
+        for i, f in zip(new, self._new([chunk[i] for i in new]), strict=True):
+            found[i] = f
+        if len(young) + len(missed) > CACHE:
+            self.kept.young, self.kept.old = {}, young
+        self.kept.young |= ((chunk[i], found[i]) for i in missed)
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int32, len(found)) // 4
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
         data, offsets = _apart(data, offsets)
         texts = pa.Array.from_buffers(pa.string(), len(column), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
         lists = pc.split_pattern(texts, " ")
+        edges = np.asarray(lists.offsets)
         coded = pc.dictionary_encode(lists.values)
+        del lists, texts, data
         flat, sizes = self._ids(coded.dictionary.to_pylist())
         code = np.asarray(coded.indices)
         each = sizes[code]
-        before = np.concatenate([[0], np.cumsum(each)])
-        lengths = np.diff(before[np.asarray(lists.offsets)])
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - before[:-1], each) + np.arange(before[-1])]
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
+        lengths = np.diff(before[edges]).astype(np.int64)
+        at = np.arange(before[-1], dtype=np.int32)
+        at += np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[code] - before[:-1], each)
+        ids = flat[at]
         if self.end_id is None:
             return ids, lengths
-        out = np.empty(len(ids) + len(column), np.int32)
-        ends = np.cumsum(lengths + 1) - 1
-        out[ends] = self.end_id
+        out = np.full(len(ids) + len(lengths), self.end_id, np.int32)
         rest = np.ones(len(out), bool)
-        rest[ends] = False
+        rest[np.cumsum(lengths + 1) - 1] = False
         out[rest] = ids
         return out, lengths + 1
 
@@ -98,18 +132,17 @@ class Encoder:
 def _apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts that encode alike in fewer distinct chunks.
 
-    White space becomes spaces and A-Z lower case (the normaliser does both;
-    not where special tokens may stand, as their case counts), and a space goes
-    before a full stop or comma between an ASCII letter and white space, where
-    the pre-tokeniser cuts anyway.
+    White space becomes spaces and A-Z lower case (the normaliser does both), and
+    a space goes between an ASCII letter and ASCII punctuation after it (but
+    apostrophes, which may start a pre-token), where the pre-tokeniser cuts
+    anyway.  Where special tokens may stand only white space changes.
     """
     raw = data.tobytes()
-    data = np.frombuffer(raw.translate(_SPACE if b"<|" in raw else _FOLDED), np.uint8)
-    if len(data) < 3:
-        return data, offsets
-    mark = (data[1:-1] == 46) | (data[1:-1] == 44)
-    mark &= ((data[:-2] | 32) - np.uint8(97) < 26) & (data[2:] == 32)
-    at = np.flatnonzero(mark) + 1
+    if len(data) < 2 or b"<|" in raw:
+        return np.frombuffer(raw.translate(_SPACE), np.uint8), offsets
+    data = np.frombuffer(raw.translate(_FOLDED), np.uint8)
+    kind = _KIND[data]
+    at = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
     return np.insert(data, at, np.uint8(32)), offsets + np.searchsorted(at, offsets, side="left")
 
 
@@ -140,11 +173,14 @@ def write_tokens(ordered: DataFrame, path: str, end_id: int, tokenizer: str | No
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, total = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, 1, ENCODE_BYTES):
+        for nth, batch in enumerate(chunks(batches, 1, ENCODE_BYTES)):
+            if nth % 4 == 3:
+                trim()
             ids, lengths = encoder(batch.column(1))
             before = total + np.cumsum(lengths) - lengths
             total += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(lengths), part, np.int32)), pa.array(before), pa.array(lengths), lists_of(ids, lengths)], ["doc_id", "part", "local", "n", "ids"])
+        trim()
 
     rows = ordered.select("doc_id", "text").mapInArrow(each, schema)
     rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("compression", "zstd").orc(path)
@@ -169,7 +205,7 @@ def token_table(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None,
     further columns are left out; an empty table gives an empty one.
     """
     path = path or shared_path(docs.sparkSession, "tokens")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
     return write_tokens(own.repartitionByRange(parts_for(own), *order).sortWithinPartitions(*order), path, end_id, tokenizer)
 
