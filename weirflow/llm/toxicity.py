@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, held_apart, segments, text_bytes
+from weirflow.llm.common import chunks, held_apart, text_bytes
 
 #: What separates words: all of ASCII but letters and digits.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -44,56 +44,51 @@ class Ftrl:
     l1: float = 1.5
     l2: float = 1.0
     epochs: int = 3
-    max_rows: int = 24_000
+    max_rows: int = 12_000
     shards: int = 2
     stems: tuple[int, ...] = (4, 5)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = x.astype(np.uint64)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _features(column: pa.Array, model: Ftrl) -> tuple[np.ndarray, np.ndarray]:
-    """(feature ids, their document's row), each pair once, in order of rows."""
+def _grams(column: pa.Array, model: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """(feature id, its document's row) for each occurrence of a feature."""
     data, offsets = text_bytes(column)
-    folded = np.frombuffer(_FOLD, np.uint8)[data]
-    texts = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(folded)])
-    lists = pc.split_pattern(texts, b" ")
-    row = np.repeat(np.arange(len(column)), np.diff(np.asarray(lists.offsets)))
-    words = lists.values
-    filled = np.asarray(pc.greater(pc.binary_length(words), 0))
-    coded = pc.dictionary_encode(words)
-    code, row = np.asarray(coded.indices)[filled], row[filled]
-    known = coded.dictionary.to_pylist()
-    whole = _hashes(known)
+    folded = data.tobytes().translate(_FOLD)
+    texts = pa.Array.from_buffers(pa.string(), len(column), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(folded)])
+    lists = pc.split_pattern(texts, " ")
+    coded = pc.dictionary_encode(lists.values)
+    row = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
+    code = np.asarray(coded.indices)
+    known = coded.dictionary
+    filled = np.asarray(pc.greater(pc.binary_length(known), 0))[code]
+    code, row = code[filled], row[filled]
+    whole = _hashes(known.cast(pa.binary()).to_pylist())
+    shift = np.uint64(64 - model.bits)
+    of_word = [whole >> shift]
+    for n in model.stems:  # a word of no more letters is its own stem
+        stems = pc.dictionary_encode(pc.utf8_slice_codeunits(known, 0, n))
+        marked = _hashes([w + b"\x00%d" % n for w in stems.dictionary.cast(pa.binary()).to_pylist()])[np.asarray(stems.indices)]
+        of_word.append(np.where(np.asarray(pc.utf8_length(known)) > n, marked, whole) >> shift)
+    ids, rows = [x.astype(np.int32)[code] for x in of_word], [row] * len(of_word)
     own = whole[code]
-    grams = [own]
-    rows = [row]
-    for n in model.stems:
-        texts_of = [w.decode("utf-8", "replace") for w in known]
-        stems = _hashes([w[:n].encode() + b"\x00%d" % n if len(w) > n else b"" for w in texts_of])
-        long = np.array([len(w) > n for w in texts_of], bool)[code]
-        grams.append(stems[code][long])
-        rows.append(row[long])
-    for gap in (1, 2):
+    first = own * np.uint64(0x9E3779B97F4A7C15)
+    for gap, odd in ((1, 0xBF58476D1CE4E5B9), (2, 0x94D049BB133111EB)):
+        pair = ((first[:-gap] + own[gap:]) * np.uint64(odd) >> shift).astype(np.int32)
         same = row[gap:] == row[:-gap]
-        grams.append(_mix(own[:-gap] * np.uint64(3) + np.uint64(gap))[same] ^ own[gap:][same])
+        ids.append(pair[same])
         rows.append(row[gap:][same])
-    ids = _mix(np.concatenate(grams)) >> np.uint64(64 - model.bits)
-    both = np.unique((np.concatenate(rows).astype(np.uint64) << np.uint64(model.bits)) | ids)
-    return (both & np.uint64((1 << model.bits) - 1)).astype(np.int64), (both >> np.uint64(model.bits)).astype(np.int64)
+    return np.concatenate(ids), np.concatenate(rows)
+
+
+def _sets(ids: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of (feature id, row) once, in order of rows."""
+    both = np.unique((rows.astype(np.int64) << bits) | ids)
+    return both & ((1 << bits) - 1), both >> bits
 
 
 def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray, float]:
@@ -129,12 +124,12 @@ def train(labelled: DataFrame, model: Ftrl = Ftrl()) -> tuple[np.ndarray, np.nda
     known = rows.count()
     part = model.max_rows / known if known > model.max_rows else 1.0
     span = 1 << 40
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(part * span)).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int"))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(part * span)).select("doc_id", "text", F.col("toxic").cast("int"))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, at = [], []
         for batch in chunks(batches, 1):
-            ids, row = _features(batch.column(1), model)
+            ids, row = _sets(*_grams(batch.column(1), model), model.bits)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             labels = batch.column(2).to_pylist()
             rows += [(ids[cuts[i] : cuts[i + 1]], labels[i]) for i in range(batch.num_rows)]
@@ -156,24 +151,26 @@ def train(labelled: DataFrame, model: Ftrl = Ftrl()) -> tuple[np.ndarray, np.nda
     return ids, dense[ids], bias if total else -35.0
 
 
-def score(docs: DataFrame, trained: tuple[np.ndarray, np.ndarray, float], model: Ftrl = Ftrl(), *keep: str) -> DataFrame:
-    """The columns keep (doc_id unless given) of docs with score, by the trained weights."""
+def score(docs: DataFrame, trained: tuple[np.ndarray, np.ndarray, float], model: Ftrl = Ftrl(), *keep: str, out: str = "score") -> DataFrame:
+    """The columns keep (doc_id unless given) of docs with their score, last, by the trained weights."""
     spark = docs.sparkSession
     names = list(keep) or ["doc_id"]
     sent = spark.sparkContext.broadcast((trained[0].astype(np.int32), trained[1].astype(np.float32), trained[2]))
-    schema = docs.select(*names).schema.add("score", "double")
+    schema = docs.select(*names).schema.add(out, "double")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, values, bias = sent.value
         dense = np.zeros(1 << model.bits, np.float32)
         dense[ids] = values
         last = len(names)
-        for batch in chunks(batches, last):
-            ids, row = _features(batch.column(last), model)
+        for batch in chunks(batches, last, 2 << 20):
+            ids, row = _grams(batch.column(last), model)
+            kept = np.flatnonzero(dense[ids])  # most have no weight
+            ids, row = _sets(ids[kept], row[kept], model.bits)
             total = np.bincount(row, dense[ids].astype(np.float64), batch.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*names, out])
 
-    return docs.select(*names, F.col("text").cast("binary").alias("__text")).mapInArrow(each, schema)
+    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(each, schema)
 
 
 def train_on(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), folds: int = 5, held: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -190,5 +187,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), folds: in
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), threshold: float = 0.5) -> DataFrame:
     """docs without those that score threshold or more."""
-    scored = score(docs, train_on(docs, labels, model), model, *docs.columns)
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    mark = "_toxicity"
+    while mark in docs.columns:
+        mark += "_"
+    scored = score(docs, train_on(docs, labels, model), model, *docs.columns, out=mark)
+    return scored.where(F.col(mark) < threshold).select(*docs.columns)
