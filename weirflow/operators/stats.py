@@ -40,22 +40,42 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _pairs_long(df.agg(*(F.corr(finite(quoted(a).cast("double")), finite(quoted(b).cast("double"))).alias(f"_{i}") for i, (a, b) in enumerate(pairs))), pairs)
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, buckets: int = 64) -> DataFrame:
     """df with the average rank of value among the rows of by.
 
-    Ranks come from the counts of distinct values, so the ordered window holds
-    one row for each value, not each row.
+    Ranks come from the counts of distinct values: summed within buckets of
+    values (bounded by approximate quantiles, so a bucket holds a share of the
+    values, exact in any case), and the buckets' totals before them.
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
-    below = F.sum("_k").over(Window.partitionBy(*by).orderBy(value))
-    ranks = counts.select(*by, value, (below - (F.col("_k") - 1) / 2).alias(out))
+    at = F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("_bounds")
+    bounds = F.broadcast(counts.groupBy(*by).agg(at))  # one row for each group of columns
+    both = counts.join(bounds, list(by)) if by else counts.crossJoin(bounds)
+    placed = both.withColumn("_b", F.size(F.filter("_bounds", lambda q: q < F.col(value)))).drop("_bounds")
+    totals = placed.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))
+    before = totals.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy(value))
+    ranks = placed.withColumn("_upto", upto).join(F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r): Pearson of average ranks among the rows that have both."""
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), finite(quoted(a).cast("double")).alias("x"), finite(quoted(b).cast("double")).alias("y")) for a, b in combinations(columns, 2)))
-    pairs = df.select(F.explode(rows).alias("_x")).select("_x.*").where("x is not null and y is not null")
+    """(a, b, r): Pearson of average ranks among the rows that have both.
+
+    If no value is missing at all, each column is ranked once; else the ranks
+    differ by pair and each pair is ranked for itself.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    values = df.select(*(finite(quoted(c).cast("double")).alias(n) for c, n in zip(columns, names, strict=True)))
+    seen = complete_cases(values, names).first()
+    if seen.n_rows == seen.n_complete:
+        for n in names:
+            values = average_ranks(values, n, (), f"r{n}").drop(n)
+        pairs = list(combinations(range(len(columns)), 2))
+        wide = values.agg(*(F.corr(f"rc{i}", f"rc{j}").alias(f"_{k}") for k, (i, j) in enumerate(pairs)))
+        return _pairs_long(wide, [(columns[i], columns[j]) for i, j in pairs])
+    rows = F.array(*(F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y")) for i, j in combinations(range(len(columns)), 2)))
+    pairs = values.select(F.explode(rows).alias("_x")).select("_x.*").where("x is not null and y is not null")
     ranked = average_ranks(average_ranks(pairs, "x", ["a", "b"], "_rx"), "y", ["a", "b"], "_ry")
     return ranked.groupBy("a", "b").agg(F.corr("_rx", "_ry").alias("r"))
 
