@@ -33,20 +33,18 @@ of it dropped (``deduplicated``); digests are of the bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from weirflow.llm.common import chunks, free_shuffles, small_batches, text_bytes, written
+from weirflow.llm.common import chunks, small_batches, text_bytes, trim, written
 
 LENGTH = 50
 GRAM = 20
 #: Text bytes for each range of documents and each bucket of anchors.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -159,127 +157,107 @@ def suffix_sort(data: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple
     return order, extension
 
 
-# Rows travel as blobs: a list of documents (id and a short hash of the text), how many entries each has, the entries.
-_KEY = np.dtype([("id", "<i8"), ("text", "<i4")])
+# A document is known by its range (part) and its place there (ord): its rank by doc_id and hash of the text, which a
+# recomputed task finds again.  Entries travel as blobs, one row for each range and bucket, one array for each column.
+_ORD, _POS, _BYTE, _SMALL = np.dtype("<u4"), np.dtype("<u4"), np.dtype("u1"), np.dtype("i1")
+
+
+def _trimmed(step):
+    """step of one table, after which freed memory goes back to the system."""
+    return lambda table: (step(table), trim())[0]
 
 
-def _blob(keys: np.ndarray, index: np.ndarray, *columns: np.ndarray) -> list[bytes]:
-    """index (into keys) must be ascending."""
-    own, counts = np.unique(index, return_counts=True)
-    return [keys[own].tobytes(), counts.astype("<u4").tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)]
+def _trimmed_pair(step):
+    return lambda docs, found: (step(docs, found), trim())[0]
 
 
-def _unblob(table: pa.Table, *kinds) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(key of each entry, columns of entries) of all blobs of a table."""
-    parts = []
-    for name, kind in (("keys", _KEY), ("counts", np.dtype("<u4")), *kinds):
-        parts.append([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    keys = np.concatenate([np.repeat(k, c) for k, c in zip(parts[0], parts[1], strict=True)]) if parts[0] else np.zeros(0, _KEY)
-    return keys, [np.concatenate(p) if p else np.zeros(0, kind) for p, (_, kind) in zip(parts[2:], kinds, strict=True)]
+def _blobs(key: str, of: np.ndarray, part: int | None, columns: dict[str, np.ndarray]) -> pa.Table:
+    """Entries as a row for each value of `of` (named key), with part if given."""
+    order = np.argsort(of, kind="stable")
+    found, starts = np.unique(of[order], return_index=True)
+    ends = np.append(starts, len(order))[1:]
+    rows = {key: pa.array(found, pa.int32())} | ({} if part is None else {"part": pa.array([part] * len(found), pa.int32())})
+    for name, column in columns.items():
+        column = np.ascontiguousarray(column[order])
+        rows[name] = pa.array([column[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return pa.table(rows)
 
 
-def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys["id"].astype(np.uint64) ^ (keys["text"].astype(np.uint64) << np.uint64(32))) * _MIX >> np.uint64(33)).astype(np.int64) % parts
+def _entries(table: pa.Table, **kinds: np.dtype) -> list[np.ndarray]:
+    """The columns of entries of all rows of a table of blobs."""
+    return [np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items()]
 
 
-def _keys(table) -> np.ndarray:
-    keys = np.empty(len(table.column(0)), _KEY)
-    keys["id"], keys["text"] = np.asarray(table.column(0)), np.asarray(table.column(1))
-    return keys
+def _part_of_entries(table: pa.Table, name: str, kind: np.dtype) -> np.ndarray:
+    sizes = np.fromiter(map(len, table.column(name).to_pylist()), np.int64, table.num_rows) // kind.itemsize
+    return np.repeat(np.asarray(table.column("part")).astype(np.int64), sizes)
 
 
 def _flat(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-_HASH = (("low", np.dtype("<u4")), ("high", np.dtype("<u2")))
+def _ordered(docs: pa.Table) -> np.ndarray:
+    """Rows of a range (part, doc_id, hash, text, ...) in the order of their places."""
+    return np.lexsort((np.asarray(docs.column(2)), np.asarray(docs.column(1))))
 
 
 def _anchors_out(parts: int, length: int, gram: int):
-    """Step 1: (doc_id, text hash, text) to blobs of anchors by bucket of their hash."""
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, *_ in held])
-            base = np.cumsum([0, *(len(k) for k, *_ in held[:-1])])
-            row = np.concatenate([r + b for (_, r, _, _), b in zip(held, base, strict=True)])
-            pos, h = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            mixed = h * _MIX
-            bucket = (mixed >> np.uint64(40)).astype(np.int64) % parts
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-            rows = {n: [] for n in ("bucket", "keys", "counts", "pos", "low", "high")}
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[b] : cuts[b + 1]]
-                for n, v in zip(rows, (b, *_blob(keys, row[own], pos[own].astype("<u4"), (h[own] & np.uint64(0xFFFFFFFF)).astype("<u4"), (h[own] >> np.uint64(48)).astype("<u2"))), strict=True):
-                    rows[n].append(v)
-            return pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in list(rows)[1:])]))
-
-        for batch in chunks(batches, 2):
-            data, offsets = text_bytes(batch.column(2))
-            row, pos, h = anchors(data, offsets, length, gram)
-            held.append((_keys(batch), row, pos, h))
-            size += len(data)
-            if size >= RANGE_BYTES:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+    """Step 1: the anchors of a range of documents, by bucket of their hash."""
+
+    def each(docs: pa.Table) -> pa.Table:
+        place = np.empty(docs.num_rows, np.int64)
+        place[_ordered(docs)] = np.arange(docs.num_rows)
+        texts = pa.RecordBatch.from_arrays([_flat(docs.column(3))], ["text"])
+        found, before = [], 0
+        for batch in chunks([texts], 0, 1 << 20):
+            row, pos, h = anchors(*text_bytes(batch.column(0)), length, gram)
+            found.append((place[row + before].astype(_ORD), pos.astype(_POS), h))
+            before += batch.num_rows
+        ord_, pos, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, _ORD), np.zeros(0, _POS), np.zeros(0, np.uint64))
+        bucket = (h * _MIX >> np.uint64(40)).astype(np.int64) % parts
+        low, high = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(48)).astype("<u2")
+        return _blobs("bucket", bucket, docs.column(0)[0].as_py(), {"ord": ord_, "pos": pos, "low": low, "high": high})
 
     return each
 
 
-def _met(parts: int):
-    """Step 2: the anchors of a bucket that several doc_ids have, as blobs by range of documents."""
+def _met():
+    """Step 2: the anchors of a bucket that several documents have, by range."""
 
     def each(table: pa.Table) -> pa.Table:
-        keys, (pos, low, high) = _unblob(table, ("pos", np.dtype("<u4")), *_HASH)
+        ord_, pos, low, high = _entries(table, ord=_ORD, pos=_POS, low=np.dtype("<u4"), high=np.dtype("<u2"))
+        part = _part_of_entries(table, "ord", _ORD)
         h = (high.astype(np.uint64) << np.uint64(32)) | low
         order = np.argsort(h, kind="stable")
-        h, ids = h[order], keys["id"][order]
+        h, doc = h[order], (part[order] << 32) | ord_[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
-        several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start) if len(h) else np.zeros(0, bool)
+        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(h) else np.zeros(0, bool)
         kept = order[np.repeat(several, np.diff(np.append(start, len(h))))]
-        return _to_ranges(keys[kept], parts, ("pos", pos[kept]))
+        return _blobs("part", part[kept], None, {"ord": ord_[kept], "pos": pos[kept]})
 
     return each
 
 
-def _to_ranges(keys: np.ndarray, parts: int, *columns: tuple[str, np.ndarray]) -> pa.Table:
-    own, index = np.unique(keys, return_inverse=True)
-    part = _part_of(own, parts)[index]
-    order = np.lexsort((index, part))
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = {n: [] for n in ("part", "keys", "counts", *(n for n, _ in columns))}
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        mine = order[cuts[p] : cuts[p + 1]]
-        for n, v in zip(rows, (p, *_blob(own, index[mine], *(c[mine] for _, c in columns))), strict=True):
-            rows[n].append(v)
-    return pa.table(rows, pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in list(rows)[1:])]))
-
-
 class _Surroundings:
     """The candidates of a range of documents with the bytes around them, equal surroundings by their first document."""
 
     def __init__(self, docs: pa.Table, candidates: pa.Table, length: int, gram: int):
         side, self.width = length - gram, 2 * length - gram
-        self.keys = _keys(docs)
-        known, first = np.unique(self.keys, return_index=True)
-        data, offsets = text_bytes(_flat(docs.column(2)))
-        keys, (pos,) = _unblob(candidates, ("pos", np.dtype("<u4")))
-        self.pos = pos.astype(np.int64)
-        self.doc = first[np.searchsorted(known, keys)] if len(keys) else np.zeros(0, np.int64)
+        order = _ordered(docs)
+        data, offsets = text_bytes(_flat(docs.column(3)))
+        self.ord, pos = _entries(candidates, ord=_ORD, pos=_POS)
+        self.pos, self.doc = pos.astype(np.int64), order[self.ord]
+        self.ids = np.asarray(docs.column(1))[self.doc]
         self.left = np.minimum(self.pos, side)
         self.right = np.minimum(offsets[self.doc + 1] - offsets[self.doc] - self.pos, length)
         padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(length, np.uint8)])
-        self.bytes = np.lib.stride_tricks.sliding_window_view(padded, self.width)[offsets[self.doc] + self.pos] if len(keys) else np.zeros((0, self.width), np.uint8)
+        self.bytes = np.lib.stride_tricks.sliding_window_view(padded, self.width)[offsets[self.doc] + self.pos] if len(pos) else np.zeros((0, self.width), np.uint8)
         for short, cut in ((self.left < side, lambda i: np.arange(self.width) < side - self.left[i, None]), (self.right < length, lambda i: np.arange(self.width) >= side + self.right[i, None])):
             i = np.flatnonzero(short)
             self.bytes[i] = np.where(cut(i), 0, self.bytes[i])
         #: The class of equal surroundings of each candidate, and the first candidate of the least doc_id in each.
-        self.same, self.first = _classes(self.bytes, self.left, self.right, self.keys["id"][self.doc])
+        self.same, self.first = _classes(self.bytes, self.left, self.right, self.ids)
 
 
 def _classes(data: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,13 +267,13 @@ def _classes(data: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     powers = _powers(_ODD, data.shape[1])[:-1]
     values = _values()
-    h = np.concatenate([(values[data[i : i + 65536]] * powers).sum(axis=1, dtype=np.uint64) for i in range(0, n, 65536)])
+    h = np.concatenate([(values[data[i : i + 8192]] * powers).sum(axis=1, dtype=np.uint64) for i in range(0, n, 8192)])
     h = (h * np.uint64(128) + left.astype(np.uint64)) * np.uint64(128) + right.astype(np.uint64)
     order = np.lexsort((np.arange(n), ids, h))
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     of = np.cumsum(new) - 1
     heads = order[new]
-    if not all((data[order[i : i + 65536]] == data[heads[of[i : i + 65536]]]).all() for i in range(0, n, 65536)):
+    if not all((data[order[i : i + 8192]] == data[heads[of[i : i + 8192]]]).all() for i in range(0, n, 8192)):
         rows = np.concatenate([data, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
         order = np.lexsort((np.arange(n), ids, *rows.T[::-1]))
         new = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(axis=1)])
@@ -306,40 +284,31 @@ def _classes(data: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndar
 
 
 def _around(parts: int, length: int, gram: int):
-    """Step 3: the surroundings of each class's first candidate, as blobs by bucket of the anchor."""
+    """Step 3: the surroundings of each class's candidates in its least document, by bucket of the anchor."""
 
     def each(docs: pa.Table, candidates: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _blobs("bucket", np.zeros(0, np.int64), 0, {n: np.zeros(0, _BYTE) for n in ("ord", "id", "pos", "left", "right", "bytes")})
         s = _Surroundings(docs, candidates, length, gram)
-        # Of a class, all candidates in the document of least id are sent: each of them gets its own verdict.
-        sent = np.flatnonzero(s.keys["id"][s.doc] == s.keys["id"][s.doc][s.first[s.same]]) if len(s.doc) else s.doc
-        side = length - gram
-        anchor = s.bytes[sent, side : side + gram]
-        h = (_values()[anchor] * _powers(_ODD, gram)[:-1]).sum(axis=1, dtype=np.uint64) if len(sent) else np.zeros(0, np.uint64)
+        sent = np.flatnonzero(s.ids == s.ids[s.first[s.same]]) if len(s.doc) else s.doc
+        anchor = s.bytes[sent, length - gram : length]
+        h = (_values()[anchor] * _powers(_ODD, gram)[:-1]).sum(axis=1, dtype=np.uint64)
         bucket = (h * _MIX >> np.uint64(40)).astype(np.int64) % parts
-        doc = s.doc[sent]
-        order = np.lexsort((s.pos[sent], doc, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-        rows = {n: [] for n in ("bucket", "keys", "counts", "pos", "left", "right", "bytes")}
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            i = order[cuts[b] : cuts[b + 1]]
-            own = sent[i]
-            for n, v in zip(rows, (b, *_blob(s.keys, doc[i], s.pos[own].astype("<u4"), s.left[own].astype("u1"), s.right[own].astype("u1"), s.bytes[own])), strict=True):
-                rows[n].append(v)
-        return pa.table(rows, pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in list(rows)[1:])]))
+        columns = {"ord": s.ord[sent], "id": s.ids[sent].astype("<i8"), "pos": s.pos[sent].astype(_POS), "left": s.left[sent].astype(_BYTE), "right": s.right[sent].astype(_BYTE), "bytes": s.bytes[sent]}
+        return _blobs("bucket", bucket, docs.column(0)[0].as_py(), columns)
 
     return each
 
 
-def _judged(parts: int, length: int, gram: int):
-    """Step 4: verdicts (position of the anchor, first and last byte to remove, from the anchor) as blobs by range of documents."""
+def _judged(length: int, gram: int):
+    """Step 4: verdicts (position of the anchor, first and last byte to remove, from the anchor), by range of documents."""
 
     def each(table: pa.Table) -> pa.Table:
-        byte = np.dtype("u1")
-        keys, (pos, left, right, flat) = _unblob(table, ("pos", np.dtype("<u4")), ("left", byte), ("right", byte), ("bytes", byte))
+        ord_, ids, pos, left, right, flat = _entries(table, ord=_ORD, id=np.dtype("<i8"), pos=_POS, left=_BYTE, right=_BYTE, bytes=_BYTE)
+        part = _part_of_entries(table, "ord", _ORD)
         side, width = length - gram, 2 * length - gram
         data = flat.reshape(-1, width)
         n = len(data)
-        ids = keys["id"]
         left, right = left.astype(np.int64), right.astype(np.int64)
         same, heads = _classes(data, left, right, ids)
         first, last = np.full(n, length, np.int64), np.full(n, -length, np.int64)
@@ -347,78 +316,80 @@ def _judged(parts: int, length: int, gram: int):
         later = np.flatnonzero((ids > ids[heads[same]]) & (left + right >= length))
         first[later], last[later] = -left[later], right[later]
         # Heads of classes, by anchor; those alone with their anchor are done.
-        h = (_values()[data[heads, side : side + gram]] * _powers(_ODD, gram)[:-1]).sum(axis=1, dtype=np.uint64)
+        h = (_values()[data[heads, side:length]] * _powers(_ODD, gram)[:-1]).sum(axis=1, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         _, group, count = np.unique(h[order], return_inverse=True, return_counts=True)
         several = count[group] > 1
         reps, group = heads[order[several]], group[several]
         if len(reps):
-            m = len(reps)
-            # group holds equal hashes of anchors; suffixes that differ within the anchor fall apart in the sort.
-            by_right, with_right = suffix_sort(data[reps, side:], right[reps], group)
-            by_left, with_left = suffix_sort(data[reps, :side][:, ::-1], left[reps], group)
-            start = np.concatenate([[True], group[1:] != group[:-1]])
-            lo, hi = np.full(m, length, np.int64), np.full(m, -length, np.int64)
-            own_ids, own_left, own_right = ids[reps], left[reps], right[reps]
-            right_class, left_class = np.empty(m, np.int64), np.empty(m, np.int64)
-            for j in range(side + 1):
-                has = np.flatnonzero((own_left >= j) & (own_right >= length - j))
-                if not len(has):
-                    continue
-                right_class[by_right] = np.cumsum(start | (with_right < length - j))
-                left_class[by_left] = np.cumsum(start | (with_left < j))
-                both = right_class[has] * (m + 1) + left_class[has]
-                by = np.argsort(both, kind="stable")
-                head = np.concatenate([[True], both[by][1:] != both[by][:-1]])
-                least = np.minimum.reduceat(own_ids[has[by]], np.flatnonzero(head))[np.cumsum(head) - 1]
-                hit = has[by[own_ids[has[by]] > least]]
-                lo[hit], hi[hit] = np.minimum(lo[hit], -j), np.maximum(hi[hit], length - j)
+            lo, hi = _ranges_of_heads(data[reps], ids[reps], left[reps], right[reps], group, length, gram)
             # What holds for a class's head holds for all of its document's candidates in the class.
             of_class_lo, of_class_hi = np.full(len(heads), length, np.int64), np.full(len(heads), -length, np.int64)
             of_class_lo[same[reps]], of_class_hi[same[reps]] = lo, hi
             first, last = np.minimum(first, of_class_lo[same]), np.maximum(last, of_class_hi[same])
         hit = np.flatnonzero(first < last)
-        return _to_ranges(keys[hit], parts, ("pos", pos[hit]), ("first", first[hit].astype("i1")), ("last", last[hit].astype("i1")))
+        return _blobs("part", part[hit], None, {"ord": ord_[hit], "pos": pos[hit], "first": first[hit].astype(_SMALL), "last": last[hit].astype(_SMALL)})
 
     return each
 
 
+def _ranges_of_heads(data: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte, from the anchor, that strings of smaller documents cover (first > last: none).
+
+    group holds equal hashes of anchors; suffixes that differ within the anchor fall apart in the sort.
+    """
+    m, side = len(data), length - gram
+    by_right, with_right = suffix_sort(data[:, side:], right, group)
+    by_left, with_left = suffix_sort(np.ascontiguousarray(data[:, :side][:, ::-1]), left, group)
+    start = np.concatenate([[True], group[1:] != group[:-1]])
+    lo, hi = np.full(m, length, np.int64), np.full(m, -length, np.int64)
+    right_class, left_class = np.empty(m, np.int64), np.empty(m, np.int64)
+    for j in range(side + 1):
+        has = np.flatnonzero((left >= j) & (right >= length - j))
+        if not len(has):
+            continue
+        right_class[by_right] = np.cumsum(start | (with_right < length - j))
+        left_class[by_left] = np.cumsum(start | (with_left < j))
+        both = right_class[has] * (m + 1) + left_class[has]
+        by = np.argsort(both, kind="stable")
+        head = np.concatenate([[True], both[by][1:] != both[by][:-1]])
+        least = np.minimum.reduceat(ids[has[by]], np.flatnonzero(head))[np.cumsum(head) - 1]
+        hit = has[by[ids[has[by]] > least]]
+        lo[hit], hi[hit] = np.minimum(lo[hit], -j), np.maximum(hi[hit], length - j)
+    return lo, hi
+
+
 def _applied(length: int, gram: int, digest: bool):
     """Step 5: the documents of a range with what is removed from them."""
 
     def each(docs: pa.Table, found: pa.Table) -> pa.Table:
         verdict = pa.compute.is_valid(found.column("first"))
         s = _Surroundings(docs, found.filter(pa.compute.invert(verdict)), length, gram)
-        byte = np.dtype("i1")
-        keys, (pos, first, last) = _unblob(found.filter(verdict), ("pos", np.dtype("<u4")), ("first", byte), ("last", byte))
-        data, offsets = text_bytes(_flat(docs.column(2)))
-        known, inverse = np.unique(s.keys, return_inverse=True)
-        at = np.argsort(inverse, kind="stable")
-        home = at[np.searchsorted(inverse[at], np.arange(len(known)))]  # the row that stands for all rows of a key
+        ord_, pos, first, last = _entries(found.filter(verdict), ord=_ORD, pos=_POS, first=_SMALL, last=_SMALL)
+        data, offsets = text_bytes(_flat(docs.column(3)))
         change = np.zeros(len(data) + 1, np.int32)
 
         def remove(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
             np.add.at(change, offsets[doc] + start, 1)
             np.add.at(change, offsets[doc] + end, -1)
 
-        if len(keys):
-            doc, pos = home[np.searchsorted(known, keys)], pos.astype(np.int64)
-            remove(doc, pos + first, pos + last)
+        at = pos.astype(np.int64)
+        remove(_ordered(docs)[ord_], at + first, at + last)
         if len(s.doc):
-            ids = s.keys["id"][s.doc]
-            later = np.flatnonzero((ids > ids[s.first[s.same]]) & (s.left + s.right >= length))
+            later = np.flatnonzero((s.ids > s.ids[s.first[s.same]]) & (s.left + s.right >= length))
             remove(s.doc[later], s.pos[later] - s.left[later], s.pos[later] + s.right[later])
+        del s
         gone = np.cumsum(change[:-1]) > 0
-        out = []
-        for row, key in enumerate(inverse.tolist()):
-            lead = home[key]
-            text, mask = data[offsets[row] : offsets[row + 1]], gone[offsets[lead] : offsets[lead + 1]]
-            kept = text[~mask].tobytes() if mask.any() else text.tobytes()
-            spans = int(np.count_nonzero(np.diff(np.concatenate([[0], mask.astype(np.int8)])) == 1))
-            out.append((len(text), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
-        sizes, removed, spans, kept = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        own = [_flat(docs.column(0)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())]
-        return pa.table([*own, *docs.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *docs.column_names[3:]])
+        runs = np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1
+        runs[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
+        sums = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(runs)])
+        removed, spans = (np.diff(x[offsets]) for x in sums)
+        left = data[~gone].tobytes()
+        ends = (offsets - sums[0][offsets]).tolist()
+        kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        kept = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "ignore") for k in kept]
+        own = [_flat(docs.column(1)), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.string())]
+        return pa.table([*own, *docs.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *docs.column_names[4:]])
 
     return each
 
@@ -430,41 +401,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: boo
     """
     if not 0 < gram < length <= 127:
         raise ValueError("0 < gram < length <= 127")
-    spark = small_batches(docs).sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // RANGE_BYTES))
     own = docs.select(
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(parts)).cast("int").alias("part"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.hash(F.col("text")).alias("text_hash"),
+        F.xxhash64("text").alias("text_hash"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
         *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)),
     )
     known = own.where(F.col("doc_id").isNotNull())
-    binaries = lambda *names: ", ".join(f"{n} binary" for n in ("keys", "counts", *names))
-
-    def part_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_part_of(_keys(batch), parts).astype(np.int32)), *batch.columns], ["part", *batch.schema.names])
-
-    def ranged(rows: DataFrame):
-        return rows.mapInArrow(part_of, StructType([StructField("part", IntegerType()), *rows.schema.fields])).groupBy("part")
-
-    def strip(f):
-        return lambda a, b: f(a.drop_columns(["part"]), b)
-
-    texts = known.select("doc_id", "text_hash", "text")
-    meeting = texts.mapInArrow(_anchors_out(parts, length, gram), f"bucket int, {binaries('pos', 'low', 'high')}").groupBy("bucket")
-    candidates = written(meeting.applyInArrow(_met(parts), f"part int, {binaries('pos')}"), "candidates")
-    del meeting
-    free_shuffles(spark)
-    around = ranged(texts).cogroup(candidates.groupBy("part")).applyInArrow(strip(_around(parts, length, gram)), f"bucket int, {binaries('pos', 'left', 'right', 'bytes')}")
-    verdicts = written(around.groupBy("bucket").applyInArrow(_judged(parts, length, gram), f"part int, {binaries('pos', 'first', 'last')}"), "verdicts")
-    del around
-    free_shuffles(spark)
+    texts = known.select("part", "doc_id", "text_hash", "text")
+    binaries = lambda *names: ", ".join(f"{n} binary" for n in ("ord", *names))
+
+    found = texts.groupBy("part").applyInArrow(_anchors_out(parts, length, gram), f"bucket int, part int, {binaries('pos', 'low', 'high')}")
+    candidates = written(found.groupBy("bucket").applyInArrow(_trimmed(_met()), f"part int, {binaries('pos')}"), "candidates")
+    around = texts.groupBy("part").cogroup(candidates.groupBy("part")).applyInArrow(_trimmed_pair(_around(parts, length, gram)), f"bucket int, part int, {binaries('id', 'pos', 'left', 'right', 'bytes')}")
+    verdicts = written(around.groupBy("bucket").applyInArrow(_trimmed(_judged(length, gram)), f"part int, {binaries('pos', 'first', 'last')}"), "verdicts")
     found = candidates.withColumn("first", F.lit(None).cast("binary")).withColumn("last", F.lit(None).cast("binary")).unionByName(verdicts)
-    others = known.schema.fields[3:]
+    others = known.schema.fields[4:]
     schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept string").fields, *others])
-    done = ranged(known).cogroup(found.groupBy("part")).applyInArrow(strip(_applied(length, gram, digest)), schema)
+    done = known.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_trimmed_pair(_applied(length, gram, digest)), schema)
     text = F.sha2("text", 256) if digest else F.col("text").cast("string")
     zero = F.lit(0).cast("long")
     apart = own.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept"), *(f.name for f in others))
