@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a Python worker takes in hand at once.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text after which a worker hands freed memory back.
+TRIM_BYTES = 16 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -66,11 +68,20 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, tag: str, *partitions: str) -> DataFrame:
-    """df as a table in the shared folder: read often, computed once, its lineage cut."""
+#: Drops a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: read often, computed once, its lineage cut, its shuffle files dropped."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +94,11 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the text column of each has about max_bytes at most (one row at least)."""
+    """The batches, cut so that the text column of each has about max_bytes at most (one row at least).
+
+    Now and then, and at the end, freed memory goes back to the system.
+    """
+    since = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -91,10 +106,15 @@ def chunks(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = CHUN
         ends = np.cumsum(lengths)
         at = 0
         while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
+            base = int(ends[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
+            since += int(ends[to - 1]) - base
             at = to
+            if since >= TRIM_BYTES:
+                trim()
+                since = 0
+    trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
