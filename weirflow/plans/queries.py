@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import scalars as S
-from weirflow.operators import calendar, calibration, metrics, outliers, quality_flags, resample, spans, splits, stats, windows
+from weirflow.operators import calendar, calibration, metrics, models, outliers, quality_flags, resample, spans, splits, stats, windows
 from weirflow.operators.ordering import keep_first
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,6 +460,39 @@ def fingerprints(spark, sf_dir):
     return rows.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
 
 
+# -- models: no SQL, rows only ------------------------------------------------------------------------------------
+
+MODEL_SETTINGS = windows.WindowSettings(context=48, shift=0, future=6, stride=6, max_gap=None)
+
+
+def _predicted(spark, sf_dir, kind: str) -> DataFrame:
+    """The model's forward pass from seeded weights over all windows, as changes from the end value."""
+    c = models.ForecastConfig(channels=len(CHANNELS), horizon=MODEL_SETTINGS.future, hidden=16, patch=8, heads=2)
+    weights = {"gru": models.gru_weights(c), "mlp": models.mlp_weights(c, MODEL_SETTINGS.context), "teacher": models.attention_weights(c), "student": models.attention_weights(c, student=True)}[kind]
+    found = windows.sliding(scaled(spark, sf_dir), "bin", CHANNELS, "k", MODEL_SETTINGS)
+    return six(models.predict(found, kind, weights, c, residual=True), "y_hat")
+
+
+@query()
+def model_gru(spark, sf_dir):
+    return _predicted(spark, sf_dir, "gru")
+
+
+@query()
+def model_mlp(spark, sf_dir):
+    return _predicted(spark, sf_dir, "mlp")
+
+
+@query()
+def model_teacher(spark, sf_dir):
+    return _predicted(spark, sf_dir, "teacher")
+
+
+@query()
+def model_student(spark, sf_dir):
+    return _predicted(spark, sf_dir, "student")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resample, weigh by Hampel labels, window, persist, calibrate, report."""
     return calibration_report(spark, sf_dir)
