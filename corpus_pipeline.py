@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, ids by their digest."""
-    return packing.digest(packing.packed(docs))
+    return packing.packed(docs, digest=True)
 
 
 STAGES = [

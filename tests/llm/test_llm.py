@@ -282,7 +282,8 @@ def test_packing(docs, rows, encoded, empty):
     for d, e in zip((d for d, *_ in rows), encoded, strict=True):
         if sum(x == d for x, *_ in rows) == 1:
             assert [i for r in by[d] for i in r.ids] == [*e, 1] and all(r.doc_tokens == len(e) + 1 for r in by[d])
-    assert packing.digest(pieces).where("ids_crc32 is null").count() == 0
+    crc = {(r.doc_id, r.sequence_id, r.offset): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got}
+    assert {(r.doc_id, r.sequence_id, r.offset): r.ids_crc32 for r in packing.packed(docs, length=64, digest=True).collect()} == crc
     assert packing.packed(empty).count() == 0
 
 
@@ -459,3 +460,36 @@ def test_suffix_sort_and_collisions(monkeypatch):
     # With hashes that all collide the order comes from the bytes.
     monkeypatch.setattr(substrings, "prefix_hashes", lambda d: np.zeros((*d.shape[:-1], d.shape[-1] + 1), np.uint64))
     check()
+
+
+# -- pipeline -----------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, rows, tmp_path):
+    """Each stage against its operator's plain version, on what its predecessor kept."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    table = [(d, t, la, s, n) for d, t, la, s, n in rows if d is not None]
+    table += [(2000 + i, prose(rng, 60) + (" zonkaxer you zonkbyer" if i % 4 == 0 else ""), "en", "s", None) for i in range(300)]
+    labels = [(2000 + i, 1, int(i % 4 == 0)) for i in range(300)]
+    passage = " ".join(table[-1][1].split()[:30])
+    spark.createDataFrame(table, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept.append(docs.collect())
+        assert name == "packing" or docs.dtypes == spark.read.parquet(f"{tmp_path}/documents.parquet").dtypes
+    toxic, single, cut, clean, pieces = kept
+    gone = {r[0] for r in table} - {r.doc_id for r in toxic}
+    assert len(gone & {2000 + i for i in range(0, 300, 4)}) > 60 and not gone - {2000 + i for i in range(0, 300, 4)}
+    assert len({r.doc_id for r in single}) == len(single) < len(toxic)
+    want = Counter((d, k.decode("utf-8", "ignore")) for d, n, r, s, k in plain_repeats([(r.doc_id, r.text) for r in single], 50) if not r or k)
+    assert Counter((r.doc_id, r.text or "") for r in cut) == want
+    assert {r.doc_id for r in cut} - {r.doc_id for r in clean} == {2299}
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in clean} and sum(r.doc_tokens for r in pieces if r.start == 0) == sum(r.length for r in pieces)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)

@@ -35,11 +35,25 @@ BUCKETS = 1 << 12
 BORDER_ROWS = 50_000
 
 
-_SPACE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
+_IS_SPACE = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
+_BYTE_VALUES = np.random.default_rng(9).integers(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, at least size of them; the last tables are kept."""
+    n = 1 << max(size - 1, 1).bit_length()
+    if n not in _TABLES:
+        _TABLES.clear()
+        _TABLES[n] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(b))])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _TABLES[n]
 
 
 def projection(buckets: int = BUCKETS, dims: int = DIMS, seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((buckets, dims))
+    return np.random.default_rng(seed).standard_normal((buckets, dims)).astype(np.float32)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -74,17 +88,22 @@ def curve_keys(texts: pa.Array, table: np.ndarray, bits: int = BITS) -> np.ndarr
     import xxhash
 
     data, offsets = text_bytes(texts)
-    data = data.tobytes().translate(_SPACE)
-    lists = pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]), b" ")
-    coded = pc.dictionary_encode(lists.values)
-    known = coded.dictionary.to_pylist()
-    rows = table[np.fromiter(map(xxhash.xxh32_intdigest, known), np.int64, len(known)) % len(table)]
-    rows[np.fromiter(map(len, known), np.int64, len(known)) == 0] = 0
-    counts = np.diff(np.asarray(lists.offsets))
-    sums = np.zeros((len(texts), table.shape[1]))
-    filled = counts > 0
-    if filled.any():
-        sums[filled] = np.add.reduceat(rows[np.asarray(coded.indices)], (np.cumsum(counts) - counts)[filled], axis=0)
+    sums = np.zeros((len(texts), table.shape[1]), np.float32)
+    wordy = ~_IS_SPACE[data]
+    edge = np.diff(np.concatenate([[False], wordy, [False]]).astype(np.int8))
+    edge_at = offsets[1:-1]  # a word ends with its text
+    edge_at = edge_at[(edge_at > 0) & (edge_at < len(data))]
+    joined = edge_at[wordy[edge_at - 1] & wordy[edge_at]] if len(data) else edge_at
+    starts = np.sort(np.concatenate([np.flatnonzero(edge == 1), joined]))
+    ends = np.sort(np.concatenate([np.flatnonzero(edge == -1), joined]))
+    if len(starts):
+        powers, inverses = _power_tables(len(data))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[data] * powers[: len(data)])])
+        hashed = (prefix[ends] - prefix[starts]) * inverses[starts] * np.uint64(0xBF58476D1CE4E5B9)
+        rows = table[(hashed >> np.uint64(40)).astype(np.int64) % len(table)]
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        sums[row[first]] = np.add.reduceat(rows, first, axis=0)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     unit = np.where(norm > 0, sums / np.maximum(norm, 1e-12), 0.0)
     return hilbert(np.clip(((unit + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1), bits)
@@ -96,12 +115,13 @@ def along_curve(docs: DataFrame, parts: int) -> DataFrame:
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = projection()
         for batch in chunks(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(batch.column(2), table)), batch.column(1)], ["key", "tie"])
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(batch.column(2), table)), batch.column(1), pc.binary_length(batch.column(2)).cast(pa.int64())], ["key", "tie", "size"])
 
     rows = docs.count()
     drawn = docs if rows <= BORDER_ROWS else docs.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * (BORDER_ROWS / rows)))
-    found = sorted(tuple(x.values()) for x in drawn.mapInArrow(keys, "key long, tie long").toArrow().to_pylist())
-    borders = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+    found = sorted(tuple(x.values()) for x in drawn.mapInArrow(keys, "key long, tie long, size long").toArrow().to_pylist())
+    upto = np.cumsum([1 + f[2] for f in found])
+    borders = [found[i][:2] for i in np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)] if found else []
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = projection()
@@ -113,15 +133,16 @@ def along_curve(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(dealt, "doc_id long, tie long, text string, key long, part int").repartitionById(parts, "part").sortWithinPartitions("key", "tie")
 
 
-def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids.
+def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END, tokenizer: str | None = None, path: str | None = None, digest: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (with digest their crc32).
 
-    The token table along the curve stays at path, ORC as in tokens.py.
+    The token table along the curve stays at path, ORC as in tokens.py; pieces are cut as it is read back.
     """
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     table = write_tokens(along_curve(own, parts_for(own)), path or shared_path(docs.sparkSession, "packing"), end_id, tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast(bases(table))
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    last = ("ids_crc32", "long") if digest else ("ids", "array<int>")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = sent.value
@@ -135,21 +156,8 @@ def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END, tokenizer:
             sequence = at[row] // length + nth
             begin = np.maximum(at[row], sequence * length)
             size = np.minimum(at[row] + n[row], (sequence + 1) * length) - begin
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), *map(pa.array, (begin - at[row], size, n[row], sequence, begin - sequence * length)), lists_of(ids, size)],
-                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
-
-    return table.select("doc_id", "part", "local", "ids").mapInArrow(cut, schema)
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    """pieces with the crc32 of their ids in place of the ids."""
-    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, offsets = list_parts(batch.column(6))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(crcs(ids, offsets[:-1], offsets[1:]), pa.int64())], [*names, "ids_crc32"])
+            ends = np.cumsum(size)
+            content = pa.array(crcs(ids, ends - size, ends), pa.int64()) if digest else lists_of(ids, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, (begin - at[row], size, n[row], sequence, begin - sequence * length)), content], [*names, last[0]])
 
-    return pieces.mapInArrow(each, ", ".join(f"{n} long" for n in [*names, "ids_crc32"]))
+    return table.select("doc_id", "part", "local", "ids").mapInArrow(cut, ", ".join([*(f"{x} long" for x in names), " ".join(last)]))

@@ -61,9 +61,9 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weirflow.llm.packing import digest, packed
+    from weirflow.llm.packing import packed
 
-    return digest(packed(_table(spark, sf_dir, "documents")))
+    return packed(_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
