@@ -41,7 +41,7 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, buckets: int = 64) -> DataFrame:
-    """df with the average rank of value among the rows of by.
+    """(by, value, out): the average rank of each distinct value among the rows of by.
 
     Ranks come from the counts of distinct values: summed within buckets of
     values (bounded by approximate quantiles, so a bucket holds a share of the
@@ -55,8 +55,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, bucket
     totals = placed.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))
     before = totals.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
     upto = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy(value))
-    ranks = placed.withColumn("_upto", upto).join(F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
-    return df.join(ranks, [*by, value])
+    return placed.withColumn("_upto", upto).join(F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -69,14 +68,15 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = df.select(*(finite(quoted(c).cast("double")).alias(n) for c, n in zip(columns, names, strict=True)))
     seen = complete_cases(values, names).first()
     if seen.n_rows == seen.n_complete:
+        ranked = values
         for n in names:
-            values = average_ranks(values, n, (), f"r{n}").drop(n)
+            ranked = ranked.join(average_ranks(values, n, (), f"r{n}"), n)
         pairs = list(combinations(range(len(columns)), 2))
-        wide = values.agg(*(F.corr(f"rc{i}", f"rc{j}").alias(f"_{k}") for k, (i, j) in enumerate(pairs)))
+        wide = ranked.agg(*(F.corr(f"rc{i}", f"rc{j}").alias(f"_{k}") for k, (i, j) in enumerate(pairs)))
         return _pairs_long(wide, [(columns[i], columns[j]) for i, j in pairs])
     rows = F.array(*(F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y")) for i, j in combinations(range(len(columns)), 2)))
     pairs = values.select(F.explode(rows).alias("_x")).select("_x.*").where("x is not null and y is not null")
-    ranked = average_ranks(average_ranks(pairs, "x", ["a", "b"], "_rx"), "y", ["a", "b"], "_ry")
+    ranked = pairs.join(average_ranks(pairs, "x", ["a", "b"], "_rx"), ["a", "b", "x"]).join(average_ranks(pairs, "y", ["a", "b"], "_ry"), ["a", "b", "y"])
     return ranked.groupBy("a", "b").agg(F.corr("_rx", "_ry").alias("r"))
 
 

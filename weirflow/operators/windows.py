@@ -39,8 +39,11 @@ def weight_column(columns: Sequence[str]) -> str | None:
 
 def median_step(df: DataFrame, ts: str, tie: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """One row: step, the median positive time between rows in microseconds, truncated."""
-    rows = numbered(df.select(*keys, ts, *tie), ts, tie, keys)
-    gaps = over_chunks(rows, "_r", 1, 0, lambda d, w: d.withColumn("_gap", micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w)), keys)
+    return _median_step(numbered(df.select(*keys, ts, *tie), ts, tie, keys), ts, keys)
+
+
+def _median_step(rows: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
+    gaps = over_chunks(rows.select(*keys, ts, "_r"), "_r", 1, 0, lambda d, w: d.withColumn("_gap", micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w)), keys)
     return gaps.where("_gap > 0").agg(F.floor(F.percentile("_gap", F.lit(0.5))).cast("long").alias("step"))
 
 
@@ -58,7 +61,7 @@ def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: Win
     slim = df.select(*keys, ts, *tie, F.struct(*(value(c).alias(f"f{i}") for i, c in enumerate(features)), value(target).alias("y")).alias("_x"), value(target).alias("_y"), w.alias("_w"))
     rows = numbered(slim, ts, tie, keys)
     back, ahead = s.context - 1, s.shift + s.future
-    gap_limit = F.broadcast(median_step(df, ts, tie, keys)) if s.max_gap is not None else None
+    gap_limit = F.broadcast(_median_step(rows, ts, keys)) if s.max_gap is not None else None
 
     def frames(d: DataFrame, win: WindowSpec) -> DataFrame:
         d = d.withColumn("_context", F.collect_list("_x").over(win.rowsBetween(-back, 0)))
