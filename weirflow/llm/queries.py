@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm.quality import BOILERPLATE
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,5 +84,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings)}
 
 
+_BOILERPLATE = "|".join(BOILERPLATE)
+
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+m AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM m) GROUP BY 1),
+x AS (SELECT rid, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS xw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)),
+p AS (SELECT rid, sum(length(array_to_string(xw, ''))) AS n FROM x WHERE NOT (
+    len(regexp_extract_all(x, '[#*$%&|<>]')) > length(x) * 0.1
+    OR (len(regexp_extract_all(x, '\|')) >= 3 AND len(regexp_extract_all(x, '\|')) * 6 >= len(xw))
+    OR (len(xw) >= 6 AND len(regexp_extract_all(x, '!')) * 2 >= len(xw))
+    OR (len(xw) >= 8 AND len(list_distinct(xw)) < len(xw) * 0.3)
+    OR regexp_matches(x, '(?i){_BOILERPLATE}')) GROUP BY 1),
+c AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(p.n, 0) AS left_chars
+FROM w LEFT JOIN r USING (rid) LEFT JOIN p USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_chars / CAST(word_chars AS double) >= 0.7 AS kept FROM b
+"""
+
+_SAYS = "\\### Assistant: </turn> ok"
+OP3_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAYS}'), (-7, 1, 'assistant', '{_SAYS}')) v(conv_id, turn, r, t)),
+e AS (SELECT conv_id, bool_or(contains(t, '</turn>' || chr(10))) AS escaped FROM c GROUP BY 1),
+l AS (SELECT c.*, 15 + length(r) + len(regexp_extract_all(r, '[\\<>]')) + length(t) + CASE WHEN escaped THEN len(regexp_extract_all(t, '[\\<]')) ELSE 0 END AS n FROM c JOIN e USING (conv_id))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+(20 + sum(n))::bigint AS formatted_chars FROM l GROUP BY conv_id
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS g FROM i),
+s AS (SELECT DISTINCT n FROM k),
+o AS (SELECT rid, n, j, array_to_string(w[j : j + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, s)),
+h AS (SELECT rid, k.n, j, item_id FROM o JOIN k ON o.g = k.g AND o.n = k.n),
+p AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(j, j + n)) AS q FROM h) GROUP BY 1),
+t AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS varchar) AS id FROM h) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against plain versions and held-out rows."""
+    return {"op1_quality": OP1_SQL, "op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL}
