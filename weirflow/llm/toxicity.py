@@ -39,11 +39,14 @@ _FOLD = bytes(32 if c in SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 20
-    alpha: float = 0.1
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 5.0
     l2: float = 1.0
+    #: Updates of each shard, in whole passes: epochs at least, most_epochs at most.
+    steps: int = 60_000
     epochs: int = 3
+    most_epochs: int = 20
     max_rows: int = 12_000
     shards: int = 2
     stems: tuple[int, ...] = (4, 5)
@@ -92,7 +95,7 @@ def _sets(ids: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 
 
 def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray, float]:
-    """Weights and bias after model.epochs passes over (feature ids, label)."""
+    """Weights and bias after model.steps updates, in passes over (feature ids, label)."""
     z, n = np.zeros(1 << model.bits), np.zeros(1 << model.bits)
     zb = nb = 0.0
     order = np.random.default_rng(7)
@@ -100,7 +103,7 @@ def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray,
     def weights(zi, ni):
         return np.where(np.abs(zi) <= model.l1, 0.0, (np.sign(zi) * model.l1 - zi) / ((model.beta + np.sqrt(ni)) / model.alpha + model.l2))
 
-    for _ in range(model.epochs):
+    for _ in range(max(model.epochs, min(model.most_epochs, model.steps // len(rows)))):
         for k in order.permutation(len(rows)):
             ids, label = rows[k]
             zi, ni = z[ids], n[ids]
