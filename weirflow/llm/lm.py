@@ -5,8 +5,8 @@ P(token | context) = P(class | context) * P(token | class).
 * A token's class is its own for the most frequent tokens and a hash of its last
   bytes for the others.
 * P(class | context) is a softmax over the sum of weight rows of hashed
-  features: the tokens one, two and three back (n-gram and skip features), the
-  pair one and two back, and a bias.
+  features: the token one back, the token two back (a skip feature), the pair of
+  both, and a bias.
 * P(token | class) is the token's share of its class's training tokens with
   absolute discounting; what the discount frees is the class's share for tokens
   that training has not seen.  The probabilities of a class's tokens and of
@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,9 @@ _ODDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 class MaxEnt:
     #: Weight rows are 2**bits, each of `classes` numbers; a fixed size, whatever the corpus.
     bits: int = 14
-    classes: int = 40
+    classes: int = 32
     #: Classes of one frequent token each.
-    own: int = 16
+    own: int = 12
     suffix: int = 3
     rate: float = 0.5
     batch: int = 8192
@@ -97,7 +98,7 @@ def _features(h: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.ndarray]:
     """Row numbers of the weights for each token's context."""
     starts = np.cumsum(sizes) - sizes
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         b = np.empty_like(h)
         b[k:], b[:k] = h[:-k], _START
         for d in range(k):
@@ -105,7 +106,7 @@ def _features(h: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.ndarray]:
             b[at] = _START
         back.append(b)
     shift = np.uint64(64 - bits)
-    rows = [((b * odd) ^ (b >> np.uint64(29))) * _ODDS[4] >> shift for b, odd in zip(back, _ODDS[:3], strict=True)]
+    rows = [((b * odd) ^ (b >> np.uint64(29))) * _ODDS[4] >> shift for b, odd in zip(back, _ODDS[:2], strict=True)]
     rows.append((back[0] * _ODDS[3] + back[1]) * _ODDS[4] >> shift)
     return [r.astype(np.uint16 if bits <= 16 else np.int64) for r in rows]
 
@@ -293,11 +294,12 @@ def scores(docs: DataFrame, model: MaxEnt = MaxEnt(), folds: int = 7, held: int
     del asked
     totals = _totals(answers, model)
     weights, bias = _trained(own, totals.frequent, model)
-    sent = spark.sparkContext.broadcast((weights, bias, totals))
+    sent = spark.sparkContext.broadcast((weights, bias, vars(totals)))  # plain values: broadcasts are read without this package
     free_shuffles(spark)
 
     def each(table: pa.Table, answers: pa.Table) -> pa.Table:
-        weights, bias, t = sent.value
+        weights, bias, sums = sent.value
+        t = SimpleNamespace(**sums)
         known_h = np.concatenate([np.frombuffer(x, "<u8") for x in answers.column("hashes").to_pylist()])
         known_c = np.concatenate([np.frombuffer(x, "<u8") for x in answers.column("counts").to_pylist()]).astype(np.float64)
         order = np.argsort(known_h)
