@@ -408,18 +408,19 @@ def plain_repeats(rows, length):
         yield d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), kept
 
 
-@pytest.mark.parametrize("length,gram", [(50, 20), (12, 5)])
-def test_repeats(docs, rows, empty, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(50, 20, substrings.HOT), (50, 20, 3), (12, 5, substrings.HOT), (12, 5, 0), (12, 5, 4)])
+def test_repeats(docs, rows, empty, length, gram, hot):
     want = Counter((d, n, r, s, hashlib.sha256(k).hexdigest()) for d, n, r, s, k in plain_repeats(rows, length))
-    assert Counter(map(tuple, substrings.repeats(docs, length, gram, digest=True).collect())) == want
+    assert Counter(map(tuple, substrings.repeats(docs, length, gram, digest=True, hot=hot).collect())) == want
 
 
-def test_repeats_in_runs_of_few_letters(spark):
+@pytest.mark.parametrize("hot", [substrings.HOT, 2, 30])
+def test_repeats_in_runs_of_few_letters(spark, hot):
     rng = random.Random(11)
     unit = "".join(rng.choice("ab") for _ in range(40))
     rows = [(i, "".join(rng.choice([unit, unit[:7], "a", "b" * 9, unit[3:30]]) for _ in range(rng.randrange(1, 20)))) for i in range(60)]
     want = Counter((d, n, r, s, hashlib.sha256(k).hexdigest()) for d, n, r, s, k in plain_repeats(rows, 20))
-    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, 8, digest=True)
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, 8, digest=True, hot=hot)
     assert Counter(map(tuple, got.collect())) == want
 
 

@@ -7,11 +7,14 @@ document with a smaller doc_id.  Five steps, all of them exact:
    k-grams of least hash) at equal offsets, so it is enough to compare strings
    around minimizers: about one position in 15.  Hashes are polynomial, from
    prefix sums.
-2. Anchors meet by hash; those seen in one document only go.
+2. Distinct anchors of each range of documents meet by hash; those in one
+   document only are of no interest.
 3. The bytes around the others, ``length`` - k on both sides, are cut from the
    texts.  Of documents of one range with equal surroundings only the first
    sends them on (the rest is settled in step 5), so the copies of a hot
-   passage shrink to one for each range before they are shuffled.
+   passage shrink to one for each range before they are shuffled.  Around an
+   anchor that occurs very often (``HOT``) each string is sent by itself, so
+   that equal ones shrink likewise although their surroundings differ.
 4. Surroundings meet by anchor.  Suffixes to the right of the anchor, and to
    its left, are sorted: a merge sort within each group of one anchor, in which
    suffixes are compared by the binary search for their common extension over
@@ -39,12 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weirflow.llm.common import chunks, small_batches, text_bytes, trim, written
+from weirflow.llm.common import chunks, segments, small_batches, text_bytes, trim, written
 
 LENGTH = 50
 GRAM = 20
 #: Text bytes for each range of documents and each bucket of anchors.
 RANGE_BYTES = 8 << 20
+#: Occurrences of one anchor from which on the strings around it are compared one by one, with the same result.
+HOT = 1 << 17
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -202,62 +207,98 @@ def _ordered(docs: pa.Table) -> np.ndarray:
     return np.lexsort((np.asarray(docs.column(2)), np.asarray(docs.column(1))))
 
 
+def _anchors_of(docs: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, hash) of all anchors of a range of documents."""
+    texts = pa.RecordBatch.from_arrays([_flat(docs.column(3))], ["text"])
+    found, before = [], 0
+    for batch in chunks([texts], 0, 1 << 20):
+        row, pos, h = anchors(*text_bytes(batch.column(0)), length, gram)
+        found.append(((row + before).astype(np.int32), pos.astype(np.int32), h))
+        before += batch.num_rows
+    kinds = (np.int32, np.int32, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, k) for k in kinds)
+
+
 def _anchors_out(parts: int, length: int, gram: int):
-    """Step 1: the anchors of a range of documents, by bucket of their hash."""
+    """Step 1: the distinct anchors of a range, how often each occurs and whether in several documents, by bucket of the hash."""
 
     def each(docs: pa.Table) -> pa.Table:
-        place = np.empty(docs.num_rows, np.int64)
-        place[_ordered(docs)] = np.arange(docs.num_rows)
-        texts = pa.RecordBatch.from_arrays([_flat(docs.column(3))], ["text"])
-        found, before = [], 0
-        for batch in chunks([texts], 0, 1 << 20):
-            row, pos, h = anchors(*text_bytes(batch.column(0)), length, gram)
-            found.append((place[row + before].astype(_ORD), pos.astype(_POS), h))
-            before += batch.num_rows
-        ord_, pos, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, _ORD), np.zeros(0, _POS), np.zeros(0, np.uint64))
+        row, _, h = _anchors_of(docs, length, gram)
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        times = np.diff(np.append(start, len(h)))
+        several = np.minimum.reduceat(row, start) != np.maximum.reduceat(row, start) if len(h) else np.zeros(0, bool)
+        h = h[start]
         bucket = (h * _MIX >> np.uint64(40)).astype(np.int64) % parts
-        low, high = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(48)).astype("<u2")
-        return _blobs("bucket", bucket, docs.column(0)[0].as_py(), {"ord": ord_, "pos": pos, "low": low, "high": high})
+        return _blobs("bucket", bucket, docs.column(0)[0].as_py(), {"hash": h.astype("<u8"), "times": (times * 2 + several).astype("<u4")})
 
     return each
 
 
-def _met():
-    """Step 2: the anchors of a bucket that several documents have, by range."""
+def _met(hot: int):
+    """Step 2: of the anchors of a bucket those in several documents, for each range that has them; hot ones are marked."""
 
     def each(table: pa.Table) -> pa.Table:
-        ord_, pos, low, high = _entries(table, ord=_ORD, pos=_POS, low=np.dtype("<u4"), high=np.dtype("<u2"))
-        part = _part_of_entries(table, "ord", _ORD)
-        h = (high.astype(np.uint64) << np.uint64(32)) | low
+        h, times = _entries(table, hash=np.dtype("<u8"), times=np.dtype("<u4"))
+        part = _part_of_entries(table, "hash", np.dtype("<u8"))
         order = np.argsort(h, kind="stable")
-        h, doc = h[order], (part[order] << 32) | ord_[order]
+        h, part, times = h[order], part[order], times[order].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
-        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(h) else np.zeros(0, bool)
-        kept = order[np.repeat(several, np.diff(np.append(start, len(h))))]
-        return _blobs("part", part[kept], None, {"ord": ord_[kept], "pos": pos[kept]})
+        size = np.diff(np.append(start, len(h)))
+        if not len(h):
+            return _blobs("part", part, None, {"hash": h, "hot": np.zeros(0, _BYTE)})
+        several = (size > 1) | (times[start] & 1 == 1)
+        many = np.add.reduceat(times >> 1, start) > hot
+        kept = np.repeat(several, size)
+        return _blobs("part", part[kept], None, {"hash": h[kept], "hot": np.repeat(many, size)[kept].astype(_BYTE)})
 
     return each
 
 
 class _Surroundings:
-    """The candidates of a range of documents with the bytes around them, equal surroundings by their first document."""
+    """The candidates of a range of documents with the bytes around them, equal surroundings by their first document.
+
+    A candidate is an anchor that other documents have too.  In place of a hot
+    one stand all strings of length bytes around it, each by itself (whole):
+    equal strings of a range then shrink to one, so no group grows with the
+    number of documents that have the anchor.
+    """
 
     def __init__(self, docs: pa.Table, candidates: pa.Table, length: int, gram: int):
         side, self.width = length - gram, 2 * length - gram
-        order = _ordered(docs)
         data, offsets = text_bytes(_flat(docs.column(3)))
-        self.ord, pos = _entries(candidates, ord=_ORD, pos=_POS)
-        self.pos, self.doc = pos.astype(np.int64), order[self.ord]
+        known, hot = _entries(candidates, hash=np.dtype("<u8"), hot=_BYTE)
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
+        doc, pos, h = _anchors_of(docs, length, gram)
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        met = known[at] == h if len(known) else np.zeros(len(h), bool)
+        doc, pos, warm = doc[met].astype(np.int64), pos[met].astype(np.int64), hot[at[met]] > 0 if len(known) else np.zeros(0, bool)
+        size = np.diff(offsets)
+        first, last = np.maximum(pos[warm] - side, 0), np.minimum(pos[warm], size[doc[warm]] - length)
+        counts = last - first + 1
+        strings = np.unique(np.stack([np.repeat(doc[warm], counts), np.repeat(first, counts) + segments(counts)]), axis=1) if len(counts) else np.zeros((2, 0), np.int64)
+        self.whole = np.concatenate([np.zeros(int((~warm).sum()), bool), np.ones(strings.shape[1], bool)])
+        self.doc, self.pos = np.concatenate([doc[~warm], strings[0]]), np.concatenate([pos[~warm], strings[1]])
+        place = np.empty(docs.num_rows, np.int64)
+        place[_ordered(docs)] = np.arange(docs.num_rows)
+        self.ord = place[self.doc].astype(_ORD)
         self.ids = np.asarray(docs.column(1))[self.doc]
-        self.left = np.minimum(self.pos, side)
-        self.right = np.minimum(offsets[self.doc + 1] - offsets[self.doc] - self.pos, length)
+        self.left = np.where(self.whole, 0, np.minimum(self.pos, side))
+        self.right = np.minimum(size[self.doc] - self.pos, length)
         padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(length, np.uint8)])
-        self.bytes = np.lib.stride_tricks.sliding_window_view(padded, self.width)[offsets[self.doc] + self.pos] if len(pos) else np.zeros((0, self.width), np.uint8)
+        self.bytes = np.lib.stride_tricks.sliding_window_view(padded, self.width)[offsets[self.doc] + self.pos] if len(self.pos) else np.zeros((0, self.width), np.uint8)
         for short, cut in ((self.left < side, lambda i: np.arange(self.width) < side - self.left[i, None]), (self.right < length, lambda i: np.arange(self.width) >= side + self.right[i, None])):
             i = np.flatnonzero(short)
             self.bytes[i] = np.where(cut(i), 0, self.bytes[i])
         #: The class of equal surroundings of each candidate, and the first candidate of the least doc_id in each.
-        self.same, self.first = _classes(self.bytes, self.left, self.right, self.ids)
+        self.same, self.first = _classes(self.bytes, _left_key(self.left, self.whole), self.right, self.ids)
+
+
+def _left_key(left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Tells whole strings from anchors at the start of a text; left itself is under 127."""
+    return np.where(whole, 127, left)
 
 
 def _classes(data: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,43 +325,49 @@ def _classes(data: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndar
 
 
 def _around(parts: int, length: int, gram: int):
-    """Step 3: the surroundings of each class's candidates in its least document, by bucket of the anchor."""
+    """Step 3: the surroundings of each class's candidates in its least document, by bucket of the anchor (whole strings by their own)."""
 
     def each(docs: pa.Table, candidates: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _blobs("bucket", np.zeros(0, np.int64), 0, {n: np.zeros(0, _BYTE) for n in ("ord", "id", "pos", "left", "right", "bytes")})
+            return _blobs("bucket", np.zeros(0, np.int64), 0, {n: np.zeros(0, _BYTE) for n in ("ord", "id", "pos", "left", "right", "bytes", "whole")})
         s = _Surroundings(docs, candidates, length, gram)
         sent = np.flatnonzero(s.ids == s.ids[s.first[s.same]]) if len(s.doc) else s.doc
-        anchor = s.bytes[sent, length - gram : length]
-        h = (_values()[anchor] * _powers(_ODD, gram)[:-1]).sum(axis=1, dtype=np.uint64)
+        side, whole = length - gram, s.whole[sent]
+        h = _hash_of(s.bytes[sent, side:length])
+        h[whole] = _hash_of(s.bytes[sent[whole], side:])
         bucket = (h * _MIX >> np.uint64(40)).astype(np.int64) % parts
-        columns = {"ord": s.ord[sent], "id": s.ids[sent].astype("<i8"), "pos": s.pos[sent].astype(_POS), "left": s.left[sent].astype(_BYTE), "right": s.right[sent].astype(_BYTE), "bytes": s.bytes[sent]}
+        columns = {"ord": s.ord[sent], "id": s.ids[sent].astype("<i8"), "pos": s.pos[sent].astype(_POS), "left": s.left[sent].astype(_BYTE), "right": s.right[sent].astype(_BYTE), "bytes": s.bytes[sent], "whole": whole.astype(_BYTE)}
         return _blobs("bucket", bucket, docs.column(0)[0].as_py(), columns)
 
     return each
 
 
+def _hash_of(data: np.ndarray) -> np.ndarray:
+    return (_values()[data] * _powers(_ODD, data.shape[1])[:-1]).sum(axis=1, dtype=np.uint64)
+
+
 def _judged(length: int, gram: int):
     """Step 4: verdicts (position of the anchor, first and last byte to remove, from the anchor), by range of documents."""
 
     def each(table: pa.Table) -> pa.Table:
-        ord_, ids, pos, left, right, flat = _entries(table, ord=_ORD, id=np.dtype("<i8"), pos=_POS, left=_BYTE, right=_BYTE, bytes=_BYTE)
+        ord_, ids, pos, left, right, flat, whole = _entries(table, ord=_ORD, id=np.dtype("<i8"), pos=_POS, left=_BYTE, right=_BYTE, bytes=_BYTE, whole=_BYTE)
         part = _part_of_entries(table, "ord", _ORD)
         side, width = length - gram, 2 * length - gram
         data = flat.reshape(-1, width)
         n = len(data)
         left, right = left.astype(np.int64), right.astype(np.int64)
-        same, heads = _classes(data, left, right, ids)
+        same, heads = _classes(data, _left_key(left, whole > 0), right, ids)
         first, last = np.full(n, length, np.int64), np.full(n, -length, np.int64)
         # Whole surroundings that a smaller document has.
         later = np.flatnonzero((ids > ids[heads[same]]) & (left + right >= length))
         first[later], last[later] = -left[later], right[later]
-        # Heads of classes, by anchor; those alone with their anchor are done.
-        h = (_values()[data[heads, side:length]] * _powers(_ODD, gram)[:-1]).sum(axis=1, dtype=np.uint64)
+        # Heads of classes, by anchor; whole strings, and those alone with their anchor, are done.
+        open_ = heads[whole[heads] == 0]
+        h = _hash_of(data[open_, side:length])
         order = np.argsort(h, kind="stable")
         _, group, count = np.unique(h[order], return_inverse=True, return_counts=True)
         several = count[group] > 1
-        reps, group = heads[order[several]], group[several]
+        reps, group = open_[order[several]], group[several]
         if len(reps):
             lo, hi = _ranges_of_heads(data[reps], ids[reps], left[reps], right[reps], group, length, gram)
             # What holds for a class's head holds for all of its document's candidates in the class.
@@ -394,7 +441,7 @@ def _applied(length: int, gram: int, digest: bool):
     return each
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the text that is left, or with digest its sha256).
 
     The columns keep follow as _0, _1, ..., whatever their names.
@@ -412,13 +459,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: boo
     )
     known = own.where(F.col("doc_id").isNotNull())
     texts = known.select("part", "doc_id", "text_hash", "text")
-    binaries = lambda *names: ", ".join(f"{n} binary" for n in ("ord", *names))
+    binaries = lambda *names: ", ".join(f"{n} binary" for n in names)
 
-    found = texts.groupBy("part").applyInArrow(_anchors_out(parts, length, gram), f"bucket int, part int, {binaries('pos', 'low', 'high')}")
-    candidates = written(found.groupBy("bucket").applyInArrow(_trimmed(_met()), f"part int, {binaries('pos')}"), "candidates")
-    around = texts.groupBy("part").cogroup(candidates.groupBy("part")).applyInArrow(_trimmed_pair(_around(parts, length, gram)), f"bucket int, part int, {binaries('id', 'pos', 'left', 'right', 'bytes')}")
-    verdicts = written(around.groupBy("bucket").applyInArrow(_trimmed(_judged(length, gram)), f"part int, {binaries('pos', 'first', 'last')}"), "verdicts")
-    found = candidates.withColumn("first", F.lit(None).cast("binary")).withColumn("last", F.lit(None).cast("binary")).unionByName(verdicts)
+    found = texts.groupBy("part").applyInArrow(_anchors_out(parts, length, gram), f"bucket int, part int, {binaries('hash', 'times')}")
+    candidates = written(found.groupBy("bucket").applyInArrow(_trimmed(_met(hot)), f"part int, {binaries('hash', 'hot')}"), "candidates")
+    around = texts.groupBy("part").cogroup(candidates.groupBy("part")).applyInArrow(_trimmed_pair(_around(parts, length, gram)), f"bucket int, part int, {binaries('ord', 'id', 'pos', 'left', 'right', 'bytes', 'whole')}")
+    verdicts = written(around.groupBy("bucket").applyInArrow(_trimmed(_judged(length, gram)), f"part int, {binaries('ord', 'pos', 'first', 'last')}"), "verdicts")
+    found = candidates.unionByName(verdicts, allowMissingColumns=True)
     others = known.schema.fields[4:]
     schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept string").fields, *others])
     done = known.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_trimmed_pair(_applied(length, gram, digest)), schema)
