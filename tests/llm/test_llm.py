@@ -144,6 +144,14 @@ def test_simhash(docs, rows, empty):
         simhash.links(docs, 3)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(None, a, None), (None, b, None), (None, b, None), (5, c, "x"), (5, d, "x"), (9, d, "x"), (None, d, "x"), (8, None, e), (8, e, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, a, None), (None, b, None), (5, c, "x"), (5, d, "x"), (8, None, e), (8, e, None)])
+
+
 def test_balls_join_all_that_is_near(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(30)]

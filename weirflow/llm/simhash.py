@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import chunks, connected, written
@@ -48,16 +48,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts.astype(np.int64) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp), and row (a long of the caller's) where one is given: fp is the fingerprint as a signed long."""
+    more = [] if row is None else [row.alias("row")]
+    names = ["doc_id", "fp", *(["row"] if more else [])]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             texts = batch.column(1).fill_null(b"").to_pylist()
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(each, ", ".join(f"{n} long" for n in names))
 
 
 def ball(radius: int) -> list[int]:
@@ -85,25 +87,37 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def _rooted(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, first_id, root): each distinct fingerprint of own, the least doc_id that has it and its group's root."""
+    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = connected(links(own, radius)).toDF("fp", "root")
+    return written(firsts.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint hex, component_id) for each row of docs."""
     own = written(fingerprints(docs, shingle, seed), "simhash")
-    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected(links(own, radius)).toDF("fp", "root")
-    named = written(firsts.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash")
+    named = _rooted(own, radius)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = named.join(least, "root").select("fp", "component_id")
     return own.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs without all but one document of each group: that with the smallest doc_id stays.
 
-    Of several rows of this doc_id the one of least content hash stays, and one
-    of rows that are equal; a group without any doc_id keeps one row likewise.
+    Groups are told apart by their root, not by an id: each keeps one row, also
+    where it has no doc_id at all or shares one with another group.  Of several
+    rows of this doc_id in the group the one of least content hash stays, and
+    one of rows that are equal.
     """
-    groups = near_duplicates(docs, **parameters)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    alone = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    # The hash skips nulls, so where they are goes in too: equal keys are equal rows, and so of one group.
+    content = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    own = written(fingerprints(docs, shingle, seed, content), "simhash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    least = own.join(_rooted(own, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min_by(F.struct(number.alias("number"), "row"), order).alias("first"))
+    keys = least.select("first.number", F.col("first.row").alias("content"))
+    rows = docs.select(number.alias("number"), content.alias("content"), F.struct(*docs.columns).alias("row"))
+    alone = rows.join(keys, ["number", "content"], "left_semi").groupBy("number", "content").agg(F.first("row").alias("row"))
     return alone.select("row.*")
