@@ -370,6 +370,23 @@ def test_licenses(spark, docs, empty):
     assert license.licenses(docs).count() == docs.count() and license.licenses(empty).count() == 0
 
 
+def test_licenses_within_lines_and_across_blocks():
+    scanner = license.Scanner(license.templates(), license.THRESHOLD)
+    inside = {"Copyright 2020 Foo Inc. Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Foo is free software. Released under the MIT License.": "MIT", "This project is released under the MIT License.": "MIT"}
+    for text, want in inside.items():
+        assert [(f[0], f[1]) for f in scanner.scan(text)] == [(1.0, want)]
+    both = scanner.scan("Code is released under the MIT License, and its many pictures are licensed under CC BY-NC 4.0, as said before.")
+    assert [f[1] for f in both] == ["MIT", "CC-BY-NC-4.0"]
+    a = license.TEXTS["Apache-2.0"]
+    cut = a.index("You may"), a.index("Unless")
+    text = "Copyright 2020 Foo\n\n" + "\n\n".join([a[: cut[0]], "    " + a[cut[0] : cut[1]], a[cut[1] :]]) + "\n\n" + " ".join(f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    top = max(scanner.scan(text))
+    assert top[:2] == (1.0, "Apache-2.0") and text[top[2] : top[3]].startswith("Licensed under") and text[top[2] : top[3]].endswith("under the License")
+    whole = dict(license.WHOLE)["BSD-3-Clause"]
+    assert {f[1] for f in scanner.scan("Some file " + whole + " more " * 3 + " ".join(f"code{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))} == {"BSD-3-Clause"}
+    assert scanner.scan("the software and the license under which this is released " * 50) == []
+
+
 # -- 9 toxicity ---------------------------------------------------------------------------------------------------
 
 

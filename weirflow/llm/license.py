@@ -8,18 +8,24 @@ so templates outside these bounds, and units outside those of all templates,
 are never compared.  What is left meets templates through an index of their
 bigrams, and the coefficient is exact.
 
+Notices in the middle of a line or across lines and blocks are found by windows
+over the words of the whole text: from a word pair of a template to a later one,
+of at most the template's size times (2 - t) / t.  Of windows that overlap the
+best one counts, and one that lies within a matching unit is no match of its own.
+
 One pass over the rows, no shuffle; the templates are the only thing sent to
 the executors and their number does not depend on the data.
 
 Defined results: null and empty texts have no licence; a unit of one word has
 no bigram and matches nothing; of templates with equal coefficients the first
 licence id wins, of units the first in the text, lines before blocks before
-the whole text; equal rows get equal results each; further columns are ignored.
+the whole text before windows; equal rows get equal results each; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -54,7 +60,7 @@ NOTICES = (
     "Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}",
     "This work is licensed under the {}", "This software is distributed under the terms of the {}", "Available under the {}",
 )
-#: Longer notices and whole licences, in their usual wording.
+#: Longer notices and opening paragraphs, in their usual wording.
 TEXTS = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
@@ -65,6 +71,21 @@ TEXTS = {
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
+_GNU = """This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_NO_NAMES = """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Whole short licences, and the notices of the other GNU licences.  The legal texts of many pages are not templates.
+WHOLE = (
+    ("AGPL-3.0", _GNU.format(what="program", stop=":", name="Affero General Public License", mark=",", version="3")),
+    ("LGPL-2.1", _GNU.format(what="library", stop=";", name="Lesser General Public License", mark=";", version="2.1")),
+    ("LGPL-3.0", _GNU.format(what="library", stop=":", name="Lesser General Public License", mark=",", version="3")),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _NO_NAMES + _BSD_END),
+    ("ISC", TEXTS["ISC"] + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", TEXTS["MIT"] + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+)
+
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+|[^\W_]+")
 _BLOCK = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)+")
 
@@ -72,7 +93,7 @@ _BLOCK = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)+")
 def templates() -> list[tuple[str, str]]:
     """(licence id, text) of all templates."""
     short = [(key, n.format(name)) for key, names in NAMES.items() for name in names for n in NOTICES]
-    return short + [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items())
+    return short + [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items()) + list(WHOLE)
 
 
 def bigrams(text: str, most: float = float("inf")) -> set[tuple[str, str]] | None:
@@ -90,12 +111,19 @@ def bigrams(text: str, most: float = float("inf")) -> set[tuple[str, str]] | Non
 
 class Scanner:
     def __init__(self, known: list[tuple[str, str]], threshold: float):
+        lengths: dict[frozenset, int] = {}
+        for _, text in known:
+            grams = frozenset(bigrams(text))
+            lengths[grams] = max(lengths.get(grams, 0), len(_WORD.findall(text.lower())) - 1)
         self.known = sorted({(key, grams) for key, text in known if (grams := frozenset(bigrams(text)))}, key=lambda x: (x[0], len(x[1]), sorted(x[1])))
         self.threshold, self.wide = threshold, (2 - threshold) / threshold
         self.by: dict[tuple[str, str], list[int]] = {}
         for i, (_, grams) in enumerate(self.known):
             for g in grams:
                 self.by.setdefault(g, []).append(i)
+        #: Bigrams of a window of each template at most, and those in common at least.
+        self.longest = [int(lengths[g] * self.wide) for _, g in self.known]
+        self.common = [len(g) / self.wide for _, g in self.known]
         sizes = [len(g) for _, g in self.known] or [0]
         self.least, self.most = min(sizes) / self.wide, max(sizes) * self.wide
 
@@ -121,7 +149,55 @@ class Scanner:
         if len(units) > 1:
             units += [m.span() for m in _BLOCK.finditer(text)]
             units.append((0, len(text)))
-        return [(*b, s, e) for s, e in dict.fromkeys(units) if (b := self.best(text[s:e]))]
+        found = [(*b, s, e) for s, e in dict.fromkeys(units) if (b := self.best(text[s:e]))]
+        apart = [w for w in self.windows(text) if not any(s <= w[2] and w[3] <= e for _, _, s, e in found)]
+        return found + apart
+
+    def windows(self, text: str) -> list[tuple[float, str, int, int]]:
+        """The best windows over the words of the whole text, none of which overlap, in order."""
+        spans, words = [], []
+        for m in _WORD.finditer(text):
+            spans.append(m.span())
+            words.append(m.group().lower())
+        grams = list(zip(words, words[1:], strict=False))
+        by = self.by
+        places: dict[int, list[int]] = {}
+        kinds: Counter[int] = Counter()
+        seen = [g for g in set(grams) if g in by]
+        for g in seen:
+            kinds.update(by[g])
+        near = {i for i, n in kinds.items() if n >= self.common[i]}
+        if not near:
+            return []
+        of = {g: [i for i in by[g] if i in near] for g in seen}
+        for at, g in enumerate(grams):
+            for i in of.get(g, ()):
+                places.setdefault(i, []).append(at)
+        all_found = []
+        for i, hits in places.items():
+            key, own = self.known[i]
+            for k, first in enumerate(hits):
+                last = bisect_right(hits, first + self.longest[i] - 1, k)
+                if last - k < self.common[i]:
+                    continue
+                inside, both, best, to = set(), 0, (0.0, 0), first
+                for end in hits[k:last]:
+                    for g in grams[to : end + 1]:
+                        if g not in inside:
+                            inside.add(g)
+                            both += g in own
+                    to = end + 1
+                    best = max(best, (2 * both / (len(own) + len(inside)), end))
+                if best[0] >= self.threshold:
+                    all_found.append((-best[0], -len(own), key, first, best[1]))
+        taken, kept = [], []
+        for dice, _, key, first, end in sorted(all_found):
+            # Word pairs first to end hold the words first to end + 1.
+            at = bisect_right(taken, (first, end))
+            if (at == 0 or taken[at - 1][1] + 1 < first) and (at == len(taken) or end + 1 < taken[at][0]):
+                taken.insert(at, (first, end))
+                kept.append((-dice, key, spans[first][0], spans[end + 1][1]))
+        return sorted(kept, key=lambda x: x[2])
 
 
 def licenses(docs: DataFrame, threshold: float = THRESHOLD, known: list[tuple[str, str]] | None = None) -> DataFrame:
