@@ -263,3 +263,31 @@ def test_models(spark):
     assert ridge["w"].shape == (4, 3)
     stop = models.EarlyStopping(2, 0.1)
     assert [stop.step(i, m) for i, m in enumerate([5.0, 4.0, 3.95, float("nan")])] == [False, False, False, True] and stop.best_epoch == 1
+
+
+def test_student_estimates_the_end_value(spark):
+    rng = np.random.default_rng(9)
+    c = models.ForecastConfig(channels=2, horizon=3, hidden=8, layers=2, patch=4, heads=2, kv_layers=1)
+    x, ok = rng.normal(size=(5, 8, 2)), rng.random((5, 8, 2)) < 0.8
+    for shared in (False, True):
+        p = models.attention_weights(c, True, shared, residual=True)
+        y, end, delta = models.attention_residual(p, x, ok, c)
+        assert y.shape == delta.shape == (5, 3) and end.shape == (5,) and np.allclose(y, end[:, None] + delta) and end.std() > 0
+    df = series(spark, [float(i % 5) for i in range(40)])
+    w = windows.sliding(df.withColumn("u", F.col("v") * 2), "ts", ["v", "u"], "v", windows.WindowSettings(8, 0, 3, 1), keys=())
+    got = models.predict(w, "student_residual", p, c, keys=())
+    assert got.columns == ["window_id", "step", "y_hat", "end_hat", "delta"] and got.count() == w.count() * 3
+    assert got.where("y_hat is null or abs(y_hat - end_hat - delta) > 1e-9").count() == 0
+    # the observed end value does not matter
+    other = models.predict(w.withColumn("end_value", F.col("end_value") + 7), "student_residual", p, c, keys=())
+    assert sorted(map(tuple, other.collect())) == sorted(map(tuple, got.collect()))
+    with pytest.raises(ValueError):
+        models.predict(w, "student", p, c, residual=True, keys=())
+
+
+def test_mlp_has_two_hidden_layers():
+    c = models.ForecastConfig(channels=1, horizon=1, hidden=2)
+    p = {"head1.w": np.array([[1.0, 0], [0, 1]]), "head1.b": np.zeros(2), "head2.w": np.array([[1.0, -1], [-1, 1]]), "head2.b": np.array([0.0, 0.5]), "head3.w": np.array([[2.0, 3.0]]), "head3.b": np.array([1.0])}
+    x = np.array([[[3.0], [1.0]], [[-1.0], [2.0]]])
+    assert models.mlp(p, x, np.ones_like(x, bool), c).tolist() == [[5.0], [8.5]]
+    assert set(models.mlp_weights(c, 2)) == set(p)

@@ -31,6 +31,8 @@ class ForecastConfig:
     layers: int = 2
     patch: int = 16
     heads: int = 4
+    #: Layers of the encoder of keys and values; None: as many as that of the queries.
+    kv_layers: int | None = None
 
 
 def _init(rng: np.random.Generator, *shape: int) -> np.ndarray:
@@ -83,13 +85,15 @@ def gru(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig) -> np.ndar
 def mlp_weights(c: ForecastConfig, length: int, seed: int = 0) -> dict[str, np.ndarray]:
     rng, p = np.random.default_rng(seed), {}
     _add(p, rng, "head1", c.hidden, length * c.channels)
-    _add(p, rng, "head2", c.horizon, c.hidden)
+    _add(p, rng, "head2", c.hidden, c.hidden)
+    _add(p, rng, "head3", c.horizon, c.hidden)
     return p
 
 
 def mlp(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig) -> np.ndarray:
     flat = np.where(valid, x, 0.0).reshape(len(x), -1)
-    return _dense(p, "head2", np.maximum(_dense(p, "head1", flat), 0))
+    hidden = np.maximum(_dense(p, "head1", flat), 0)
+    return _dense(p, "head3", np.maximum(_dense(p, "head2", hidden), 0))
 
 
 def fold(x: np.ndarray, valid: np.ndarray, patch: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,20 +123,25 @@ def _attend(p: dict, name: str, q: np.ndarray, kv: np.ndarray, pad: np.ndarray,
     return _dense(p, f"{name}.o", mixed.transpose(0, 2, 1, 3).reshape(b, n, d))
 
 
-def _encode(p: dict, name: str, x: np.ndarray, pad: np.ndarray, c: ForecastConfig) -> np.ndarray:
-    for k in range(c.layers):
+def _encode(p: dict, name: str, x: np.ndarray, pad: np.ndarray, c: ForecastConfig, layers: int) -> np.ndarray:
+    for k in range(layers):
         x = _norm(x + _attend(p, f"{name}{k}", x, x, pad, c.heads), p[f"{name}{k}.g1"], p[f"{name}{k}.n1"])
         x = _norm(x + _dense(p, f"{name}{k}.f2", np.maximum(_dense(p, f"{name}{k}.f1", x), 0)), p[f"{name}{k}.g2"], p[f"{name}{k}.n2"])
     return x
 
 
-def attention_weights(c: ForecastConfig, student: bool = False, shared: bool = False, seed: int = 0) -> dict[str, np.ndarray]:
-    """Teacher: queries from the channels, keys and values from channels and target.  Student: both from the channels."""
+def attention_weights(c: ForecastConfig, student: bool = False, shared: bool = False, seed: int = 0, residual: bool = False) -> dict[str, np.ndarray]:
+    """Teacher: queries from the channels, keys and values from channels and target.  Student: both from the channels.
+
+    residual adds the student's head of the end value; there a shared encoder still has its own embedding of keys and values.
+    """
+    if residual and not student:
+        raise ValueError("only a student estimates the end value")
     rng, p, d = np.random.default_rng(seed), {}, c.hidden
     sides = {"q": c.channels} | ({} if shared else {"kv": c.channels if student else c.channels + 1})
     for side, channels in sides.items():
         _add(p, rng, f"embed_{side}", d, c.patch * channels)
-        for k in range(c.layers):
+        for k in range(c.layers if side == "q" or c.kv_layers is None else c.kv_layers):
             for part in "qkvo":
                 _add(p, rng, f"enc_{side}{k}.{part}", d, d)
             _add(p, rng, f"enc_{side}{k}.f1", 4 * d, d)
@@ -144,16 +153,34 @@ def attention_weights(c: ForecastConfig, student: bool = False, shared: bool = F
     p["norm.g"], p["norm.b"] = np.ones(d), np.zeros(d)
     _add(p, rng, "head1", d, d)
     _add(p, rng, "head2", c.horizon, d)
+    if residual:
+        _add(p, rng, "end1", d, d)
+        _add(p, rng, "end2", 1, d)
+        if shared:
+            _add(p, rng, "embed_kv", d, c.patch * c.channels)
     return p
 
 
 def attention(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig, target: np.ndarray | None = None, target_valid: np.ndarray | None = None) -> np.ndarray:
     """Cross attention over patches.  target (B, L) makes it the teacher; without it keys and values come from the channels."""
+    return _dense(p, "head2", np.maximum(_dense(p, "head1", _pooled(p, x, valid, c, target, target_valid)), 0))
+
 
+def attention_residual(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y_hat, end_hat, delta) of the student that estimates the end value itself, from the channels alone; y_hat is end_hat + delta."""
+    pooled = _pooled(p, x, valid, c)
+    end = _dense(p, "end2", np.maximum(_dense(p, "end1", pooled), 0))
+    delta = _dense(p, "head2", np.maximum(_dense(p, "head1", pooled), 0))
+    return end + delta, end[:, 0], delta
+
+
+def _pooled(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig, target: np.ndarray | None = None, target_valid: np.ndarray | None = None) -> np.ndarray:
     def side(name: str, values: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         patches, there = fold(values, ok, c.patch)
         pad = padding(there)
-        return _encode(p, f"enc_{name}", _dense(p, f"embed_{name}", patches), pad, c), pad
+        own = f"enc_{name}" if f"enc_{name}0.f1.w" in p else "enc_q"
+        layers = c.layers if own == "enc_q" or c.kv_layers is None else c.kv_layers
+        return _encode(p, own, _dense(p, f"embed_{name}", patches), pad, c, layers), pad
 
     q, q_pad = side("q", x, valid)
     if target is not None:
@@ -162,17 +189,26 @@ def attention(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig, targ
         kv, pad = side("kv", x, valid)
     else:
         kv, pad = q, q_pad
-    mixed = _norm(q + _attend(p, "cross", q, kv, pad, c.heads), p["norm.g"], p["norm.b"])
-    return _dense(p, "head2", np.maximum(_dense(p, "head1", mixed.mean(axis=1)), 0))
+    return _norm(q + _attend(p, "cross", q, kv, pad, c.heads), p["norm.g"], p["norm.b"]).mean(axis=1)
 
 
 def predict(windows: DataFrame, kind: str, weights: dict[str, np.ndarray], c: ForecastConfig, residual: bool = False, keys: tuple[str, ...] = ("split",)) -> DataFrame:
-    """(keys, window_id, step, y_hat) of each window.  kind: gru, mlp, teacher or student; residual adds the end value (0 if missing)."""
-    runs = {"gru": gru, "mlp": mlp, "student": attention, "teacher": attention}
+    """(keys, window_id, step, y_hat) of each window.  kind: gru, mlp, teacher, student or student_residual.
+
+    residual adds the observed end value (0 if missing), which a student of the
+    channels does not see; student_residual adds its own estimate instead and
+    has the further columns end_hat and delta.
+    """
+    runs = {"gru": gru, "mlp": mlp, "student": attention, "teacher": attention, "student_residual": attention_residual}
     if kind not in runs:
         raise ValueError(f"kind must be one of {sorted(runs)}")
+    if residual and kind in ("student", "student_residual"):
+        raise ValueError("a student does not see the end value; student_residual estimates it")
+    own_end = kind == "student_residual"
     sent = windows.sparkSession.sparkContext.broadcast(weights)
     schema = windows.select(*keys, "window_id").schema.add("y_hats", ArrayType(DoubleType()))
+    if own_end:
+        schema = schema.add("end_hat", DoubleType()).add("deltas", ArrayType(DoubleType()))
     names = [*(f"f{i}" for i in range(c.channels)), "y"]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +224,16 @@ def predict(windows: DataFrame, kind: str, weights: dict[str, np.ndarray], c: Fo
             y = runs[kind](p, x[..., :-1], ok[..., :-1], c, **more)
             if residual:
                 y = y + np.nan_to_num(np.asarray(batch.column(len(keys) + 1).to_numpy(zero_copy_only=False), float))[:, None]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(list(y), pa.list_(pa.float64()))], schema.names)
+            more_out = []
+            if own_end:
+                y, end, delta = y
+                more_out = [pa.array(end), pa.array(list(delta), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(list(y), pa.list_(pa.float64())), *more_out], schema.names)
 
     found = windows.select(*keys, "window_id", "end_value", "context").mapInArrow(each, schema)
+    if own_end:
+        steps = found.select(*keys, "window_id", "end_hat", "deltas", F.posexplode("y_hats").alias("step", "y_hat"))
+        return steps.select(*keys, "window_id", "step", "y_hat", "end_hat", F.get("deltas", "step").alias("delta"))
     return found.select(*keys, "window_id", F.posexplode("y_hats").alias("step", "y_hat"))
 
 

@@ -466,11 +466,12 @@ MODEL_SETTINGS = windows.WindowSettings(context=48, shift=0, future=6, stride=6,
 
 
 def _predicted(spark, sf_dir, kind: str) -> DataFrame:
-    """The model's forward pass from seeded weights over all windows, as changes from the end value."""
+    """The model's forward pass from seeded weights over all windows, as changes from the end value; the student's from its own estimate."""
     c = models.ForecastConfig(channels=len(CHANNELS), horizon=MODEL_SETTINGS.future, hidden=16, patch=8, heads=2)
-    weights = {"gru": models.gru_weights(c), "mlp": models.mlp_weights(c, MODEL_SETTINGS.context), "teacher": models.attention_weights(c), "student": models.attention_weights(c, student=True)}[kind]
+    weights = {"gru": models.gru_weights(c), "mlp": models.mlp_weights(c, MODEL_SETTINGS.context), "teacher": models.attention_weights(c), "student_residual": models.attention_weights(c, student=True, residual=True)}[kind]
     found = windows.sliding(scaled(spark, sf_dir), "bin", CHANNELS, "k", MODEL_SETTINGS)
-    return six(models.predict(found, kind, weights, c, residual=True), "y_hat")
+    own_end = kind == "student_residual"
+    return six(models.predict(found, kind, weights, c, residual=not own_end), "y_hat", *(("end_hat", "delta") if own_end else ()))
 
 
 @query()
@@ -490,7 +491,7 @@ def model_teacher(spark, sf_dir):
 
 @query()
 def model_student(spark, sf_dir):
-    return _predicted(spark, sf_dir, "student")
+    return _predicted(spark, sf_dir, "student_residual")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
