@@ -231,6 +231,14 @@ def test_decontamination(spark, docs, rows, empty):
     assert {r.doc_id for r in near.collect()} == want_near
 
 
+def test_words_do_not_depend_on_what_follows(spark):
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "ΟΔΟΣ'" + rest), (2, rest), (3, rest)], "doc_id long, text string")
+    item = spark.createDataFrame([(7, "ΟΔΟΣ " + rest)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.hits(docs, item).collect()}
+    assert got == {1: (13, 13, ["7"]), 2: (12, 0, []), 3: (12, 0, [])}
+
+
 # -- 5 and 8 tokens -----------------------------------------------------------------------------------------------
 
 

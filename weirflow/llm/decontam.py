@@ -16,8 +16,8 @@ Only DataFrame expressions; an item's words and a document's words meet in
 slices of the item's length.  The terms and the candidate documents are
 broadcast below a counted bound and joined by a shuffle beyond it.
 
-Words are lower-cased at A-Z alone.  The index itself is folded further (all of
-Unicode); this only adds candidates, which step 5 then refuses.
+Words are lower-cased at A-Z alone, in the index too: folding all of Unicode
+depends on what follows a word (Greek final sigma) and would part equal words.
 
 Defined results: null text and text without words: no words, no hit; items
 without words match nothing; items with fewer words than a window are one
@@ -44,11 +44,6 @@ def exact_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), SEPARATOR), lambda w: w != "")
 
 
-def folded_words(text: Column) -> Column:
-    """As many words as exact_words has, at the same places, equal where those are equal."""
-    return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
-
-
 def small(df: DataFrame) -> DataFrame:
     """df with the broadcast hint if it has few rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -61,19 +56,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _postings(keyed: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, k1, k2, pos) of the documents' words that terms (term) has."""
-    words = keyed.where(F.col("text").isNotNull()).select("k1", "k2", F.posexplode(folded_words(F.col("text"))).alias("pos", "term"))
+    words = keyed.where(F.col("text").isNotNull()).select("k1", "k2", F.posexplode(exact_words(F.col("text"))).alias("pos", "term"))
     return words.join(terms, "term")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(iid, item_id, n, exact, folded): exact and folded are arrays of the item's words."""
-    rows = benchmark.select("item_id", exact_words(F.col("text")).alias("exact"), folded_words(F.col("text")).alias("folded")).where(F.size("exact") > 0)
-    return rows.select(F.xxhash64("item_id", "exact").alias("iid"), "item_id", F.size("exact").alias("n"), "exact", "folded").dropDuplicates(["iid"])
+    """(iid, item_id, n, exact): exact is the array of the item's words."""
+    rows = benchmark.select("item_id", exact_words(F.col("text")).alias("exact")).where(F.size("exact") > 0)
+    return rows.select(F.xxhash64("item_id", "exact").alias("iid"), "item_id", F.size("exact").alias("n"), "exact").dropDuplicates(["iid"])
 
 
 def anchors_of(items: DataFrame, frequencies: DataFrame, window: int = WINDOW) -> DataFrame:
     """(iid, term, p, second, q): the rarest and next rarest terms of windows and their places in the item."""
-    terms = items.select("iid", "n", F.posexplode("folded").alias("p", "term")).join(frequencies, "term", "left")
+    terms = items.select("iid", "n", F.posexplode("exact").alias("p", "term")).join(frequencies, "term", "left")
     ahead = Window.partitionBy("iid").orderBy("p").rowsBetween(0, window - 1)
     rarity = F.struct(F.coalesce("frequency", F.lit(0)).alias("frequency"), "p", "term")
     windows = terms.withColumn("ranked", F.slice(F.sort_array(F.collect_list(rarity).over(ahead)), 1, 2)).where(F.col("p") <= F.greatest(F.col("n") - window, F.lit(0)))
@@ -88,7 +83,7 @@ class Index:
         self.window = window
         self.keyed = _keyed(docs)
         self.items = written(items_of(benchmark), "items")
-        terms = self.items.select(F.explode("folded").alias("term")).distinct()
+        terms = self.items.select(F.explode("exact").alias("term")).distinct()
         frequencies = written(_postings(self.keyed, small(terms)).groupBy("term").agg(F.count("*").alias("frequency")), "frequencies")
         self.anchors = written(anchors_of(self.items, frequencies, window), "anchors")
         self.postings = written(_postings(self.keyed, small(self.anchors.select("term").distinct())), "postings")
@@ -135,7 +130,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     matches = written(index.matches(), "matches")
     places = matches.select("k1", "k2", F.explode("places").alias("place")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
     ids = matches.select("k1", "k2", F.col("item_id").cast("string").alias("id")).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("id")).alias("item_ids"))
-    counted = index.keyed.select("doc_id", "k1", "k2", F.coalesce(F.size(folded_words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
+    counted = index.keyed.select("doc_id", "k1", "k2", F.coalesce(F.size(exact_words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
     counted = counted.withColumn("n_words", F.greatest("n_words", F.lit(0)))
     own = counted.join(places.join(ids, ["k1", "k2"]), ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
