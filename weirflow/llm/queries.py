@@ -108,7 +108,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 _SAYS = "\\### Assistant: </turn> ok"
 OP3_SQL = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAYS}'), (-7, 1, 'assistant', '{_SAYS}')) v(conv_id, turn, r, t)),
-e AS (SELECT conv_id, bool_or(contains(t, '</turn>' || chr(10))) AS escaped FROM c GROUP BY 1),
+e AS (SELECT conv_id, bool_or(regexp_matches(t, '</?(turn|chat)')) AS escaped FROM c GROUP BY 1),
 l AS (SELECT c.*, 15 + length(r) + len(regexp_extract_all(r, '[\\<>]')) + length(t) + CASE WHEN escaped THEN len(regexp_extract_all(t, '[\\<]')) ELSE 0 END AS n FROM c JOIN e USING (conv_id))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
 coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
