@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,11 +25,15 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where a session has none (tests on one machine) a temporary folder of
-    this machine stands in.
+    Where it is unset, a session whose executors are the driver itself takes a
+    temporary folder; on a cluster that is an error, as others could not read it.
     """
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "weirflow-shared")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "weirflow-shared")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -45,7 +50,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, its session set to Arrow batches that stay small with long texts."""
+    """df, its session set to Arrow batches that stay small with long texts.
+
+    The setting stays: plans read it when they run, which is after the operator has returned its lazy result.
+    """
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = conf.get(key)
@@ -54,6 +62,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables that written() made and nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_written", None)) is not None:
+            drop_shared(df.sparkSession, path)
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -82,7 +97,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -127,6 +144,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def long_pieces(column: pa.Array, most: int) -> tuple[pa.Array, np.ndarray | None]:
+    """(texts of about most bytes at most, pieces of each row), cut before an ASCII white space; None where no row is longer.
+
+    A run without white space stays whole.
+    """
+    data, offsets = text_bytes(column)
+    sizes = np.diff(offsets)
+    if not len(sizes) or sizes.max() <= most:
+        return column, None
+    blank = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    cuts, counts = [], np.ones(len(sizes), np.int64)
+    for row in np.flatnonzero(sizes > most):
+        at, end = int(offsets[row]), int(offsets[row + 1])
+        while end - at > most:
+            k = np.searchsorted(blank, at + most, side="right") - 1
+            if k < 0 or blank[k] <= at:
+                k += 1
+            if k >= len(blank) or blank[k] >= end:
+                break
+            at = int(blank[k])
+            cuts.append(at)
+            counts[row] += 1
+    edges = np.sort(np.concatenate([offsets, np.array(cuts, np.int64)]))
+    return pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]), counts
+
+
 def segments(lengths: np.ndarray) -> np.ndarray:
     """0 .. n-1 within each of consecutive runs of these lengths."""
     total = int(lengths.sum())
@@ -155,11 +198,12 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "cc")
+        large, old = written(large, "cc"), now
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = written(small.distinct(), "cc")
+        drop_written(large, old)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -9,7 +9,9 @@ padding.
 
 Defined results: null and empty texts have the end id alone (no direction,
 so the grid's middle); copies are neighbours; a null doc_id and repeated rows
-are documents like any other; an empty table gives an empty result.
+are documents like any other; further columns are left out; an empty table gives
+an empty result.  A long text's vector is the sum over pieces that end before
+white space, so a worker never holds a multiple of it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, shared_path, small_batches, text_bytes
+from weirflow.llm.common import chunks, long_pieces, shared_path, small_batches, text_bytes
 from weirflow.llm.tokens import bases, crcs, list_parts, lists_of, parts_for, write_tokens
 
 LENGTH = 2048
@@ -31,8 +33,11 @@ END = 1
 DIMS = 4
 BITS = 15
 BUCKETS = 1 << 12
-#: Documents whose keys set the borders of the range parts; they balance the parts and change no result's order.
-BORDER_ROWS = 50_000
+#: Documents whose keys set the borders of the range parts: so many for each part, and so many at least.  They come to
+#: the driver (24 bytes each, 300 MB for the parts of 100 TB), balance the parts and change no result's order.
+BORDERS_PER_PART, BORDER_ROWS = 8, 50_000
+#: Text bytes whose words are hashed at once.
+VECTOR_BYTES = 1 << 20
 
 
 _IS_SPACE = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
@@ -83,10 +88,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(texts: pa.Array, table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Hilbert key of each text: its vector counts the buckets that its words (ASCII white space apart) hash to."""
-    import xxhash
-
+def _sums(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    """The sum of the projections of each text's words."""
     data, offsets = text_bytes(texts)
     sums = np.zeros((len(texts), table.shape[1]), np.float32)
     wordy = ~_IS_SPACE[data]
@@ -104,6 +107,17 @@ def curve_keys(texts: pa.Array, table: np.ndarray, bits: int = BITS) -> np.ndarr
         row = np.searchsorted(offsets, starts, side="right") - 1
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         sums[row[first]] = np.add.reduceat(rows, first, axis=0)
+    return sums
+
+
+def curve_keys(texts: pa.Array, table: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert key of each text: its vector counts the buckets that its words (ASCII white space apart) hash to."""
+    pieces, counts = long_pieces(texts, VECTOR_BYTES)
+    if counts is None:
+        sums = _sums(texts, table)
+    else:
+        each = np.concatenate([_sums(b.column(0), table) for b in chunks([pa.RecordBatch.from_arrays([pieces], ["text"])], 0, VECTOR_BYTES)])
+        sums = np.add.reduceat(each, np.cumsum(counts) - counts, axis=0)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     unit = np.where(norm > 0, sums / np.maximum(norm, 1e-12), 0.0)
     return hilbert(np.clip(((unit + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1), bits)
@@ -117,11 +131,14 @@ def along_curve(docs: DataFrame, parts: int) -> DataFrame:
         for batch in chunks(batches, 2):
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(batch.column(2), table)), batch.column(1), pc.binary_length(batch.column(2)).cast(pa.int64())], ["key", "tie", "size"])
 
-    rows = docs.count()
-    drawn = docs if rows <= BORDER_ROWS else docs.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * (BORDER_ROWS / rows)))
-    found = sorted(tuple(x.values()) for x in drawn.mapInArrow(keys, "key long, tie long, size long").toArrow().to_pylist())
-    upto = np.cumsum([1 + f[2] for f in found])
-    borders = [found[i][:2] for i in np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)] if found else []
+    rows, wanted = docs.count(), max(BORDER_ROWS, BORDERS_PER_PART * parts)
+    drawn = docs if rows <= wanted else docs.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * (wanted / rows)))
+    found = drawn.mapInArrow(keys, "key long, tie long, size long").toArrow()
+    key, tie, size = (np.asarray(found.column(c)) for c in ("key", "tie", "size"))
+    order = np.lexsort((tie, key))
+    upto = np.cumsum(1 + size[order])
+    at = order[np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)] if len(order) else order
+    borders = list(zip(key[at].tolist(), tie[at].tolist(), strict=True))
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = projection()

@@ -8,12 +8,16 @@ shuffle, no Python.
 
 Words are maximal runs of anything but 0x20 and 0x09-0x0D; lines are split at
 \\n.  Defined results: null text has no words (all counts 0, base_failed true)
-and cleans to the empty text; repeated rows are judged each; further columns
-pass through ``clean`` untouched.
+and cleans to the empty text; repeated rows are judged each; a text is one row's
+arrays of words and windows, some ten times its size, so texts of some 100 MB are
+the limit; an empty table gives an empty result; further columns pass through
+``clean`` untouched, also those named like a result, which then is named with
+underscores after it (``fresh``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -77,39 +81,51 @@ def line_passes(line: Column, rules: Rules) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in 3-word windows which occur twice or more (words may be null: 0).
 
-    Windows are sorted by hash, neighbours of one hash marked; the marked
-    windows, in order, cover up to three words each.
+    Windows are sorted by hash; those whose neighbour has the same hash and the
+    same words are marked; the marked windows, in order, cover up to three words
+    each.
     """
 
     def windows(w: Column) -> Column:
         return F.slice(F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
 
-    def marked(s: Column) -> Column:
-        same = lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])
-        return F.sort_array(F.transform(F.filter(s, lambda x, j: F.coalesce(F.when(j == 0, F.get(s, j + 1)["h"] == x["h"]).otherwise(same(x, j)), (j > 0) & (F.get(s, j - 1)["h"] == x["h"]), F.lit(False))), lambda x: x["i"]))
+    def marked(s: Column, w: Column) -> Column:
+        word = lambda x, k: F.get(w, x["i"] + k)
+        same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda x, j: F.least(F.coalesce(F.get(at, j + 1) - x, F.lit(3)), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(F.sort_array(let(words, windows)), marked), covered))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(F.sort_array(windows(words)), lambda s: marked(s, words)), covered))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """docs with the counts n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def fresh(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """names, each with as many underscores after it as make it no taken one (whatever the case of letters)."""
+    used, found = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _counts(text: Column) -> Column:
+    """A struct of COUNTS of a text that is not null."""
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    packed = let(
+    return let(
         words_of(text),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")),
-    )
-    return (
-        docs.withColumn("_c", packed)
-        .withColumn("n_words", F.col("_c.n_words"))
-        .withColumn("word_chars", F.col("_c.word_chars"))
-        .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
-        .withColumn("n_dup_lines", lines.cast("long"))
-        .withColumn("n_repeat_words", F.col("_c.n_repeat_words"))
-        .drop("_c")
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            lines.cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        ),
     )
 
 
@@ -117,6 +133,11 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs with the counts, base_failed, cleaned (the passing lines), left (part of word characters left) and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: line_passes(x, rules)), "\n")
-    failed = (F.col("n_words") < rules.min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words"))
-    left = F.when(F.col("word_chars") > 0, F.length(F.regexp_replace("cleaned", SPACE, "")) / F.col("word_chars")).otherwise(F.lit(0.0))
-    return counts(docs).withColumn("base_failed", failed).withColumn("cleaned", cleaned).withColumn("left", left).withColumn("kept", ~F.col("base_failed") & (F.col("left") >= rules.min_left))
+    c, out, failed, left = fresh(("counts", "cleaned", "failed", "left"), docs.columns)
+    n = F.col(c)["n_words"]
+    bad = (n < rules.min_words) | (F.lit(100) * F.col(c)["n_repeat_words"] > F.lit(rules.max_repeat_percent) * n)
+    part = F.when(F.col(c)["word_chars"] > 0, F.length(F.regexp_replace(out, SPACE, "")) / F.col(c)["word_chars"]).otherwise(F.lit(0.0))
+    judged = docs.withColumns({c: _counts(text), out: cleaned}).withColumns({failed: bad, left: part})
+    results = [*(F.col(c)[name] for name in COUNTS), F.col(failed), F.col(out), F.col(left), ~F.col(failed) & (F.col(left) >= rules.min_left)]
+    names = fresh((*COUNTS, "base_failed", "cleaned", "left", "kept"), docs.columns)
+    return judged.select(*(F.col("`" + x.replace("`", "``") + "`") for x in docs.columns), *(r.alias(x) for r, x in zip(results, names, strict=True)))

@@ -12,13 +12,14 @@ Defined results: null text counts as empty; a text without words has
 fingerprint zero, linked like any other; equal rows are copies and share a
 group; a null doc_id takes part in linking and is named a component only when
 no other id is there.  Further columns are ignored.  An empty table gives an
-empty result.
+empty result.  A long text's shingles are hashed in blocks of ``BLOCK`` and their
+bits counted, so a worker holds its words (some ten times the text) alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, connected, written
+from weirflow.llm.common import chunks, connected, small_batches, written
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+#: Shingles that are hashed at once.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -41,11 +44,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = bits.sum(axis=0, dtype=np.int64) if len(hashes) > 255 else np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return int(np.packbits(counts.astype(np.int64) * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    parts = iter([b" ".join(words)]) if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    total, counts = 0, np.zeros(64, np.int64)
+    while len(hashes := np.fromiter(map(xxhash.xxh64_intdigest, islice(parts, BLOCK), repeat(seed)), np.uint64)):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64) if len(hashes) > 255 else np.add.reduce(bits, axis=0, dtype=np.uint8)
+        total += len(hashes)
+        if len(hashes) < BLOCK:
+            break
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, row: Column | None = None) -> DataFrame:
@@ -59,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, row:
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(each, ", ".join(f"{n} long" for n in names))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(each, ", ".join(f"{n} long" for n in names))
 
 
 def ball(radius: int) -> list[int]:

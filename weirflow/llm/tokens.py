@@ -6,12 +6,16 @@ encoding in stripes with row indexes, and a Bloom filter on doc_id, so that
 readers take stripes in parallel and skip those that cannot hold an id.
 
 The library encodes each distinct white-space-separated chunk once per worker.
-This equals encoding the whole text: the vocabulary's normaliser and its
-pre-tokeniser never look across ASCII white space.
+This equals encoding the whole text where the vocabulary's normaliser and
+pre-tokeniser never look across ASCII white space; ``Encoder`` knows the ones
+(``CUTS``) of which that holds, with any other it encodes whole texts.  A long
+text is encoded in pieces that end before white space, so a worker holds its ids
+(4 bytes each) and a few times ``ENCODE_BYTES``, not a multiple of the text.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import sys
 import types
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, shared_path, small_batches, text_bytes
+from weirflow.llm.common import chunks, long_pieces, shared_path, small_batches, text_bytes
 
 #: ASCII white space becomes one kind of separator.
 _SPACE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
@@ -38,6 +42,18 @@ CACHE = 300_000
 ENCODE_BYTES = 4 << 20
 #: Text bytes for each file of a token table.
 FILE_BYTES = 64 << 20
+#: Bytes of a stripe's buffers; a file of FILE_BYTES of text has several stripes, each of which a reader can take by itself.
+STRIPE_BYTES = 4 << 20
+#: Rows of a stripe's row groups, and between checks of its size.
+GROUP_ROWS = 1000
+# The normaliser and the pre-tokeniser that fold A-Z, take all white space for one kind and cut there, and cut between a letter and punctuation.
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -66,6 +82,9 @@ class Encoder:
             vocabulary = self.kept.library.get_vocab(with_added_tokens=False)
             self.kept.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
             self.kept.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+            known = json.loads(self.kept.library.to_str())
+            marks = {t["content"] for t in known.get("added_tokens", ())}
+            self.kept.cuts = all(known.get(k) == v for k, v in CUTS.items()) and known["model"].get("end_of_word_suffix") == "</w>" and all(m.startswith("<|") for m in marks)
         self.library, self.end_id = self.kept.library, end_id
 
     def _new(self, chunk: list[str]) -> list[bytes]:
@@ -105,6 +124,28 @@ class Encoder:
         return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int32, len(found)) // 4
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, ids of each row)."""
+        if not self.kept.cuts:
+            found = self.library.encode_batch_fast(["" if t is None else t for t in column.to_pylist()], add_special_tokens=False)
+            lengths = np.fromiter((len(e.ids) for e in found), np.int64, len(found))
+            return self._ended(np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in found)]), lengths)
+        texts, counts = long_pieces(column, ENCODE_BYTES)
+        if counts is None:
+            return self._ended(*self._cut(texts))
+        parts = [self._cut(b.column(0)) for b in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], 0, ENCODE_BYTES)]
+        lengths = np.concatenate([p[1] for p in parts])
+        return self._ended(np.concatenate([p[0] for p in parts]), np.add.reduceat(lengths, np.cumsum(counts) - counts))
+
+    def _ended(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.end_id is None:
+            return ids, lengths
+        out = np.full(len(ids) + len(lengths), self.end_id, np.int32)
+        rest = np.ones(len(out), bool)
+        rest[np.cumsum(lengths + 1) - 1] = False
+        out[rest] = ids
+        return out, lengths + 1
+
+    def _cut(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
         data, offsets = _apart(data, offsets)
         texts = pa.Array.from_buffers(pa.string(), len(column), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
@@ -119,14 +160,7 @@ class Encoder:
         lengths = np.diff(before[edges]).astype(np.int64)
         at = np.arange(before[-1], dtype=np.int32)
         at += np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[code] - before[:-1], each)
-        ids = flat[at]
-        if self.end_id is None:
-            return ids, lengths
-        out = np.full(len(ids) + len(lengths), self.end_id, np.int32)
-        rest = np.ones(len(out), bool)
-        rest[np.cumsum(lengths + 1) - 1] = False
-        out[rest] = ids
-        return out, lengths + 1
+        return flat[at], lengths
 
 
 def _apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +196,7 @@ def parts_for(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
 
 
-def write_tokens(ordered: DataFrame, path: str, end_id: int, tokenizer: str | None = None) -> DataFrame:
+def write_tokens(ordered: DataFrame, path: str, end_id: int, tokenizer: str | None = None, stripe_bytes: int = STRIPE_BYTES) -> DataFrame:
     """Encodes ordered (doc_id, text; each partition a sorted range) to an ORC token table; returns it as read back.
 
     Its columns: doc_id, part (the range's number), local (ids before the
@@ -180,12 +214,13 @@ def write_tokens(ordered: DataFrame, path: str, end_id: int, tokenizer: str | No
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(lengths), part, np.int32)), pa.array(before), pa.array(lengths), lists_of(ids, lengths)], ["doc_id", "part", "local", "n", "ids"])
 
     rows = ordered.select("doc_id", "text").mapInArrow(each, schema)
-    rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("compression", "zstd").orc(path)
+    layout = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "orc.row.index.stride": GROUP_ROWS, "orc.stripe.size": stripe_bytes, "orc.rows.between.memory.checks": GROUP_ROWS, "compression": "zstd"}
+    rows.write.options(**layout).orc(path)
     return ordered.sparkSession.read.schema(schema).orc(path)
 
 
 def bases(table: DataFrame) -> dict[int, int]:
-    """Ids before each part of a token table.  One number for each of its files comes to the driver."""
+    """Ids before each part of a token table.  One number for each of its files comes to the driver: 16 bytes for FILE_BYTES of text (25 MB at 100 TB)."""
     totals = table.groupBy("part").agg(F.max(F.col("local") + F.col("n")).alias("all")).orderBy("part").collect()
     found, total = {}, 0
     for row in totals:
@@ -194,17 +229,18 @@ def bases(table: DataFrame) -> dict[int, int]:
     return found
 
 
-def token_table(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def token_table(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, path: str | None = None, stripe_bytes: int = STRIPE_BYTES) -> DataFrame:
     """Writes docs (doc_id, text) as a token table in ascending doc_id order and returns it as read back.
 
     Null text is empty and so has the end id alone; a null doc_id comes first;
     documents of one id stay side by side, in the order of their text's hash;
-    further columns are left out; an empty table gives an empty one.
+    repeated rows are documents each; further columns are left out; an empty
+    table gives an empty one.
     """
     path = path or shared_path(docs.sparkSession, "tokens")
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
-    return write_tokens(own.repartitionByRange(parts_for(own), *order).sortWithinPartitions(*order), path, end_id, tokenizer)
+    return write_tokens(own.repartitionByRange(parts_for(own), *order).sortWithinPartitions(*order), path, end_id, tokenizer, stripe_bytes)
 
 
 def digest(table: DataFrame) -> DataFrame:

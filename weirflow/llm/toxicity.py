@@ -6,16 +6,20 @@ sets of its hashed words, word stems (first letters, so that inflected forms
 share a feature), word pairs and skip pairs (one word left out).  The score is
 a function of the whole text alone.
 
-Training takes a bounded sample of the labelled rows (``Ftrl.max_rows``, a
-documented parameter; it is drawn by a hash of doc_id over all of them), dealt
-over a fixed number of shards.  Each shard learns by itself and the shards'
-weights are averaged, so no task sees more than max_rows / shards rows.
+Training takes a bounded sample of the labelled rows: the ``Ftrl.max_rows`` (a
+documented parameter) of least hash of (doc_id, text, label) among all of them,
+dealt over shards of at most ``Ftrl.shard_bytes`` of text, two at least.  Each
+shard learns by itself, in a fixed number of passes, and the shards' weights are
+averaged.  A row's features are a set of hashes, so a task holds at most the
+hashes of its shard's words.  A long text is read in pieces that share the words
+at their borders, which gives the same set.
 
 Defined results: null and empty texts have no features and get the score of
 the bias; null labels and labels without a document are not learnt from; a
-doc_id with several labels is learnt from once per label; without any label
-of both kinds every score is the prior (0 when there is none).  Repeated rows
-are scored each.  Further columns are ignored.
+doc_id with several labels is learnt from once per label, equal rows with one
+label once; without any label of both kinds every score is the prior (0 when
+there is none).  Repeated rows are scored each.  Further columns are ignored.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, held_apart, text_bytes
+from weirflow.llm.common import chunks, held_apart, long_pieces, small_batches, text_bytes, written
 
 #: What separates words: all of ASCII but letters and digits.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 _FOLD = bytes(32 if c in SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Text bytes whose words are hashed at once.
+PIECE_BYTES = 1 << 20
+
+
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 20
@@ -43,11 +51,10 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 5.0
     l2: float = 1.0
-    #: Updates of each shard, in whole passes: epochs at least, most_epochs at most.
-    steps: int = 60_000
-    epochs: int = 3
-    most_epochs: int = 20
+    epochs: int = 20
     max_rows: int = 12_000
+    #: Text bytes of each shard, and shards at least.
+    shard_bytes: int = 32 << 20
     shards: int = 2
     stems: tuple[int, ...] = (4, 5)
 
@@ -88,6 +95,44 @@ def _grams(column: pa.Array, model: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(rows)
 
 
+def _pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray | None]:
+    """long_pieces whose later pieces begin with the last two words (or more) of the one before."""
+    texts, counts = long_pieces(column, PIECE_BYTES)
+    if counts is None:
+        return texts, None
+    own = texts.cast(pa.binary()).to_pylist()
+    firsts = set((np.cumsum(counts) - counts).tolist())
+    found, tail = [], b""
+    for k, piece in enumerate(own):
+        whole = piece if k in firsts else tail + piece
+        found.append(whole)
+        back = 0
+        while True:  # far enough back to hold two words, whatever stands between them
+            back = min(len(whole), max(4096, 2 * back))
+            tail = whole[len(whole) - back :]
+            if back == len(whole) or len(tail.translate(_FOLD).split()) > 2:
+                break
+    return pa.array([w.decode("utf-8", "ignore") for w in found]), counts
+
+
+def _features(column: pa.Array, model: Ftrl, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of (feature id, row) once, in order of rows; with weights those alone that have one."""
+    texts, counts = _pieces(column)
+    owner = np.arange(len(column)) if counts is None else np.repeat(np.arange(len(column)), counts)
+    found, before = [], 0
+    for batch in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], 0, 2 * PIECE_BYTES):
+        ids, row = _grams(batch.column(0), model)
+        if weights is not None:
+            kept = np.flatnonzero(weights[ids])  # most have none
+            ids, row = ids[kept], row[kept]
+        found.append(_sets(ids, owner[row + before], model.bits))
+        before += batch.num_rows
+    if len(found) == 1:
+        return found[0]
+    none = np.zeros(0, np.int64)
+    return _sets(np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)]), model.bits)
+
+
 def _sets(ids: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each pair of (feature id, row) once, in order of rows."""
     both = np.unique((rows.astype(np.int64) << bits) | ids)
@@ -95,7 +140,7 @@ def _sets(ids: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 
 
 def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray, float]:
-    """Weights and bias after model.steps updates, in passes over (feature ids, label)."""
+    """Weights and bias after model.epochs passes over (feature ids, label)."""
     z, n = np.zeros(1 << model.bits), np.zeros(1 << model.bits)
     zb = nb = 0.0
     order = np.random.default_rng(7)
@@ -103,7 +148,7 @@ def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray,
     def weights(zi, ni):
         return np.where(np.abs(zi) <= model.l1, 0.0, (np.sign(zi) * model.l1 - zi) / ((model.beta + np.sqrt(ni)) / model.alpha + model.l2))
 
-    for _ in range(max(model.epochs, min(model.most_epochs, model.steps // len(rows)))):
+    for _ in range(model.epochs):
         for k in order.permutation(len(rows)):
             ids, label = rows[k]
             zi, ni = z[ids], n[ids]
@@ -120,36 +165,38 @@ def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray,
 def train(labelled: DataFrame, model: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
     """Non-zero weights (ids, values) and bias from labelled: doc_id, text, toxic.
 
-    What comes to the driver has at most shards * 2**bits weights, whatever the
-    size of the input.
+    What comes to the driver at once is one shard's weights, 2**bits at most.
     """
-    rows = labelled.where(F.col("toxic").isin(0, 1))
-    known = rows.count()
-    part = model.max_rows / known if known > model.max_rows else 1.0
-    span = 1 << 40
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(part * span)).select("doc_id", "text", F.col("toxic").cast("int"))
+    rows = small_batches(labelled).where(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text", "toxic"))
+    hashed = rows.select("draw", F.octet_length("text").alias("size")).groupBy("draw").agg(F.first("size").alias("size"))
+    # What is ordered here is max_rows numbers.
+    limit = hashed.orderBy("draw").limit(model.max_rows).agg(F.max("draw"), F.sum("size")).first()
+    shards = max(model.shards, -(-(limit[1] or 0) // model.shard_bytes))
+    drawn = rows.where(F.col("draw") <= F.lit(limit[0])).dropDuplicates(["draw"])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, at = [], []
-        for batch in chunks(batches, 1):
-            ids, row = _sets(*_grams(batch.column(1), model), model.bits)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            labels = batch.column(2).to_pylist()
+        for batch in chunks(batches, 0):
+            ids, row = _features(batch.column(0), model)
+            ids, cuts = ids.astype(np.int32), np.searchsorted(row, np.arange(batch.num_rows + 1))
+            labels = batch.column(1).to_pylist()
             rows += [(ids[cuts[i] : cuts[i + 1]], labels[i]) for i in range(batch.num_rows)]
-            at += batch.column(0).fill_null(0).to_pylist()
+            at += batch.column(2).to_pylist()
         if rows:
-            order = sorted(range(len(rows)), key=lambda i: (at[i], rows[i][1], len(rows[i][0])))
+            order = sorted(range(len(rows)), key=at.__getitem__)
             weights, bias = _learn([rows[i] for i in order], model)
             ids = np.flatnonzero(weights)
             yield pa.RecordBatch.from_pydict({"n": [len(rows)], "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), "weights": pa.array([weights[ids]], pa.list_(pa.float64())), "bias": [bias]}, pa.schema([("n", pa.int64()), ("ids", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
-    shards = drawn.repartition(model.shards, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(model.shards)))
-    found = shards.mapInArrow(each, "n long, ids array<int>, weights array<double>, bias double").toArrow().to_pylist()
-    total = sum(f["n"] for f in found)
-    dense, bias = np.zeros(1 << model.bits), 0.0
-    for f in sorted(found, key=lambda f: (f["n"], f["bias"])):
-        dense[f["ids"]] += np.array(f["weights"]) * (f["n"] / total)
-        bias += f["bias"] * f["n"] / total
+    dealt = drawn.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").select("text", "toxic", "draw")
+    total, dense, bias = 0, np.zeros(1 << model.bits), 0.0
+    found = dealt.mapInArrow(each, "n long, ids array<int>, weights array<double>, bias double")
+    for f in written(found, "ftrl").orderBy("n", "bias").toLocalIterator():
+        total += f["n"]
+        dense[np.array(f["ids"], np.int64)] += np.array(f["weights"]) * f["n"]
+        bias += f["bias"] * f["n"]
+    dense, bias = dense / max(total, 1), bias / max(total, 1)
     ids = np.flatnonzero(dense)
     return ids, dense[ids], bias if total else -35.0
 
@@ -167,13 +214,11 @@ def score(docs: DataFrame, trained: tuple[np.ndarray, np.ndarray, float], model:
         dense[ids] = values
         last = len(names)
         for batch in chunks(batches, last, 2 << 20):
-            ids, row = _grams(batch.column(last), model)
-            kept = np.flatnonzero(dense[ids])  # most have no weight
-            ids, row = _sets(ids[kept], row[kept], model.bits)
+            ids, row = _features(batch.column(last), model, dense)
             total = np.bincount(row, dense[ids].astype(np.float64), batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*names, out])
 
-    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(each, schema)
+    return small_batches(docs).select(*names, F.col("text").alias("__text")).mapInArrow(each, schema)
 
 
 def train_on(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), folds: int = 5, held: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
