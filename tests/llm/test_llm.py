@@ -463,6 +463,39 @@ def test_many_ranges(docs, rows, monkeypatch):
     assert Counter(map(tuple, substrings.repeats(docs, digest=True).collect())) == want
 
 
+@pytest.mark.parametrize("segment,crowd", [(400, 1 << 20), (1 << 20, 300), (130, 200)])
+def test_long_and_crowded_texts(docs, rows, monkeypatch, segment, crowd):
+    """Texts in segments, and copies of one doc_id looked at once, give what whole texts give; other columns stay with their rows."""
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(substrings, "LANES", 4)
+    table = docs.unionByName(docs.where("doc_id in (0, 3, 44)").withColumn("source", F.lit("again"))).unionByName(docs.where("doc_id = 3"))
+    more = [(r.doc_id, r.text) for r in table.collect()]
+    want = Counter((d, n, r, s, hashlib.sha256(k).hexdigest()) for d, n, r, s, k in plain_repeats(more, 50))
+    got = substrings.repeats(table, digest=True, keep=("source", "part"), segment=segment, crowd=crowd).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    assert Counter((r.doc_id, r._0, r._1) for r in got) == Counter((r.doc_id, r.source, r.part) for r in table.collect())
+
+
+def test_a_very_long_text_and_many_equal_rows(spark):
+    rng = random.Random(31)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    long = "".join(f"{i} {base[i * 37 % 100_000:][:2000]}" for i in range(12_000))
+    assert len(long) > 20 << 20
+    one = spark.createDataFrame([(9, long)], "doc_id long, text string")
+    copies = spark.range(10_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(base[:1000]).alias("text"))
+    got = substrings.digest(one.unionByName(copies)).collect()
+    assert len(got) == 10_001 and {tuple(r)[1:4] for r in got if r.doc_id == 3} == {(1000, 0, 0)}
+    first = next(r for r in got if r.doc_id == 9)
+    # Only bytes of the first 1000 of base go, wherever a piece of 50 or more of them stands.
+    parts, gone = base[:1000], bytearray(len(long))
+    known = {parts[j : j + 50] for j in range(951)}
+    for j in range(len(long) - 49):
+        if long[j : j + 50] in known:
+            gone[j : j + 50] = b"\1" * 50
+    kept = bytes(c for c, g in zip(long.encode(), gone, strict=True) if not g)
+    assert (first.n_bytes, first.n_removed, first.kept_sha256) == (len(long), sum(gone), hashlib.sha256(kept).hexdigest()) and first.n_removed > 0
+
+
 def test_deduplicated(docs, rows, empty):
     got = substrings.deduplicated(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes

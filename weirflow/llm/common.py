@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a Python worker takes in hand at once.
@@ -177,6 +177,11 @@ def segments(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(starts, lengths)
 
 
+def column(name: str) -> Column:
+    """A column whose name may hold dots or other signs."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_apart(doc_id: str, modulus: int):
     """crc32 of doc_id written as text, modulo modulus; null doc_id gives null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)

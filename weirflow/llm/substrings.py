@@ -22,15 +22,29 @@ document with a smaller doc_id.  Five steps, all of them exact:
    collision the order is made anew from the bytes.  A string that starts j
    bytes before the anchor is known by the interval of suffixes that share its
    part right of the anchor, and that of its part left of it; the least doc_id
-   of each class of strings decides.
+   of each class of strings decides.  Strings sent by themselves are groups of
+   one hash, sorted in the same way.
 5. Verdicts go back to the documents' range, where they are applied.
 
+Entries travel as one row for each range and bucket.  Buckets come in multiples
+of ``LANES``, so up to LANES * RANGE_BYTES of text these rows grow with the
+ranges alone; beyond it a row still holds one entry at least, so they are never
+more than the entries, which are a fixed part of the text.
+
+A text of over ``SEGMENT_BYTES`` is dealt out in segments that share length - 1
+bytes, so each string lies whole in one; a text that its doc_id has so often that
+the copies would crowd a range (``CROWD_BYTES``) is looked at once for all of
+them.  So no range holds much more than RANGE_BYTES.  What is removed comes
+together again for one text at a time.
+
 Texts are UTF-8 bytes.  Defined results: null text is empty; equal doc_ids are
 not smaller than each other, so neither rows nor texts of one doc_id remove
 each other's bytes; rows of null doc_id are left whole and remove nothing;
-texts of fewer than ``length`` bytes are left whole; further columns are
-ignored.  Texts that lose part of a UTF-8 sequence decode with what is left
-of it dropped (``deduplicated``); digests are of the bytes.
+texts of fewer than ``length`` bytes are left whole; repeated rows have equal
+results; an empty table gives an empty result; further columns are ignored, or
+follow untouched where asked for.  Texts that lose part of a UTF-8 sequence
+decode with what is left of it dropped (``deduplicated``); digests are of the
+bytes.
 """
 
 from __future__ import annotations
@@ -42,12 +56,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weirflow.llm.common import chunks, segments, small_batches, text_bytes, trim, written
+from weirflow.llm.common import chunks, column, segments, small_batches, text_bytes, trim, written
 
 LENGTH = 50
 GRAM = 20
 #: Text bytes for each range of documents and each bucket of anchors.
 RANGE_BYTES = 8 << 20
+#: Buckets of anchors come in multiples of this.
+LANES = 128
+#: Text bytes of a segment of a long text, and of the rows of one doc_id and text that are looked at once.
+SEGMENT_BYTES = 1 << 20
+CROWD_BYTES = 2 << 20
+#: Keys of such rows that are broadcast at most (16 bytes each).
+BROADCAST_ROWS = 100_000
 #: Occurrences of one anchor from which on the strings around it are compared one by one, with the same result.
 HOT = 1 << 17
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -356,13 +377,19 @@ def _judged(length: int, gram: int):
         data = flat.reshape(-1, width)
         n = len(data)
         left, right = left.astype(np.int64), right.astype(np.int64)
-        same, heads = _classes(data, _left_key(left, whole > 0), right, ids)
         first, last = np.full(n, length, np.int64), np.full(n, -length, np.int64)
-        # Whole surroundings that a smaller document has.
-        later = np.flatnonzero((ids > ids[heads[same]]) & (left + right >= length))
+        strings = np.flatnonzero(whole)
+        later = strings[_later_strings(data[strings, side:], ids[strings])]
+        first[later], last[later] = 0, length
+        around = np.flatnonzero(whole == 0)
+        of, heads = _classes(data[around], left[around], right[around], ids[around])
+        heads, same = around[heads], np.full(n, -1, np.int64)
+        same[around] = of
+        # Surroundings that a smaller document has as a whole.
+        later = around[(ids[around] > ids[heads[of]]) & (left[around] + right[around] >= length)] if len(around) else around
         first[later], last[later] = -left[later], right[later]
-        # Heads of classes, by anchor; whole strings, and those alone with their anchor, are done.
-        open_ = heads[whole[heads] == 0]
+        # Heads of classes, by anchor; those alone with their anchor are done.
+        open_ = heads
         h = _hash_of(data[open_, side:length])
         order = np.argsort(h, kind="stable")
         _, group, count = np.unique(h[order], return_inverse=True, return_counts=True)
@@ -373,13 +400,28 @@ def _judged(length: int, gram: int):
             # What holds for a class's head holds for all of its document's candidates in the class.
             of_class_lo, of_class_hi = np.full(len(heads), length, np.int64), np.full(len(heads), -length, np.int64)
             of_class_lo[same[reps]], of_class_hi[same[reps]] = lo, hi
-            first, last = np.minimum(first, of_class_lo[same]), np.maximum(last, of_class_hi[same])
+            first[around], last[around] = np.minimum(first[around], of_class_lo[of]), np.maximum(last[around], of_class_hi[of])
         hit = np.flatnonzero(first < last)
         return _blobs("part", part[hit], None, {"ord": ord_[hit], "pos": pos[hit], "first": first[hit].astype(_SMALL), "last": last[hit].astype(_SMALL)})
 
     return each
 
 
+def _later_strings(data: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows whose string a smaller id has too: the strings of one hash are sorted, equal ones are neighbours."""
+    n, length = data.shape
+    if not n:
+        return np.zeros(0, np.int64)
+    h = _hash_of(data)
+    by = np.argsort(h, kind="stable")
+    group = np.cumsum(np.concatenate([[True], h[by][1:] != h[by][:-1]])) - 1
+    order, extension = suffix_sort(data[by], np.full(n, length, np.int64), group)
+    head = np.concatenate([[True], (group[1:] != group[:-1]) | (extension[1:] < length)])
+    row = by[order]
+    least = np.minimum.reduceat(ids[row], np.flatnonzero(head))[np.cumsum(head) - 1]
+    return row[ids[row] > least]
+
+
 def _ranges_of_heads(data: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last byte, from the anchor, that strings of smaller documents cover (first > last: none).
 
@@ -406,73 +448,149 @@ def _ranges_of_heads(data: np.ndarray, ids: np.ndarray, left: np.ndarray, right:
     return lo, hi
 
 
+def _removed(docs: pa.Table, found: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, whether each byte goes) of the documents of a range."""
+    verdict = pa.compute.is_valid(found.column("first"))
+    s = _Surroundings(docs, found.filter(pa.compute.invert(verdict)), length, gram)
+    ord_, pos, first, last = _entries(found.filter(verdict), ord=_ORD, pos=_POS, first=_SMALL, last=_SMALL)
+    data, offsets = text_bytes(_flat(docs.column(3)))
+    change = np.zeros(len(data) + 1, np.int32)
+
+    def remove(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        np.add.at(change, offsets[doc] + start, 1)
+        np.add.at(change, offsets[doc] + end, -1)
+
+    at = pos.astype(np.int64)
+    remove(_ordered(docs)[ord_], at + first, at + last)
+    if len(s.doc):
+        later = np.flatnonzero((s.ids > s.ids[s.first[s.same]]) & (s.left + s.right >= length))
+        remove(s.doc[later], s.pos[later] - s.left[later], s.pos[later] + s.right[later])
+    return data, offsets, np.cumsum(change[:-1]) > 0
+
+
+def _left_over(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, digest: bool) -> list[pa.Array]:
+    """n_bytes, n_removed, n_spans and kept of each text."""
+    runs = np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1
+    runs[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
+    sums = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(runs)])
+    removed, spans = (np.diff(x[offsets]) for x in sums)
+    left = data[~gone].tobytes()
+    ends = (offsets - sums[0][offsets]).tolist()
+    kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    kept = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "ignore") for k in kept]
+    return [pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.string())]
+
+
+_RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
 def _applied(length: int, gram: int, digest: bool):
     """Step 5: the documents of a range with what is removed from them."""
 
     def each(docs: pa.Table, found: pa.Table) -> pa.Table:
-        verdict = pa.compute.is_valid(found.column("first"))
-        s = _Surroundings(docs, found.filter(pa.compute.invert(verdict)), length, gram)
-        ord_, pos, first, last = _entries(found.filter(verdict), ord=_ORD, pos=_POS, first=_SMALL, last=_SMALL)
-        data, offsets = text_bytes(_flat(docs.column(3)))
-        change = np.zeros(len(data) + 1, np.int32)
-
-        def remove(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-            np.add.at(change, offsets[doc] + start, 1)
-            np.add.at(change, offsets[doc] + end, -1)
-
-        at = pos.astype(np.int64)
-        remove(_ordered(docs)[ord_], at + first, at + last)
-        if len(s.doc):
-            later = np.flatnonzero((s.ids > s.ids[s.first[s.same]]) & (s.left + s.right >= length))
-            remove(s.doc[later], s.pos[later] - s.left[later], s.pos[later] + s.right[later])
-        del s
-        gone = np.cumsum(change[:-1]) > 0
-        runs = np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1
-        runs[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
-        sums = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(runs)])
-        removed, spans = (np.diff(x[offsets]) for x in sums)
-        left = data[~gone].tobytes()
-        ends = (offsets - sums[0][offsets]).tolist()
-        kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        kept = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "ignore") for k in kept]
-        own = [_flat(docs.column(1)), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.string())]
-        return pa.table([*own, *docs.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *docs.column_names[4:]])
+        own = _left_over(*_removed(docs, found, length, gram), digest)
+        return pa.table([_flat(docs.column(1)), *own, *docs.columns[4:]], ["doc_id", *_RESULTS, *docs.column_names[4:]])
+
+    return each
+
+
+def _spans_of(length: int, gram: int):
+    """Step 5 for segments (part, doc_id, rank, text, text_hash, start): the first and last bytes, in the whole text, of what is removed."""
+
+    def each(docs: pa.Table, found: pa.Table) -> pa.Table:
+        data, offsets, gone = _removed(docs, found, length, gram)
+        starts, ends = [], []
+        for k, begin in enumerate(docs.column(5).to_pylist()):
+            step = np.diff(np.concatenate([[0], gone[offsets[k] : offsets[k + 1]].astype(np.int8), [0]]))
+            starts.append(np.flatnonzero(step == 1) + begin)
+            ends.append(np.flatnonzero(step == -1) + begin)
+        kind = pa.list_(pa.int64())
+        return pa.table([docs.column(1), docs.column(4), pa.array(starts, kind), pa.array(ends, kind)], ["doc_id", "text_hash", "starts", "ends"])
+
+    return each
+
+
+def _cut_out(digest: bool):
+    """Rows (doc_id, text, starts, ends, ...) with what is removed from them, one text at a time."""
+
+    def each(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                data, offsets = text_bytes(row.column(1))
+                gone = np.zeros(len(data), bool)
+                for a, b in zip(row.column(2)[0].as_py() or (), row.column(3)[0].as_py() or (), strict=True):
+                    gone[a:b] = True
+                yield pa.RecordBatch.from_arrays([row.column(0), *_left_over(data, offsets, gone, digest), *row.columns[4:]], ["doc_id", *_RESULTS, *row.schema.names[4:]])
+            trim()
 
     return each
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False, keep: tuple[str, ...] = (), hot: int = HOT, segment: int = SEGMENT_BYTES, crowd: int = CROWD_BYTES) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the text that is left, or with digest its sha256).
 
     The columns keep follow as _0, _1, ..., whatever their names.
     """
     if not 0 < gram < length <= 127:
         raise ValueError("0 < gram < length <= 127")
-    total = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // RANGE_BYTES))
-    own = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(parts)).cast("int").alias("part"),
+    own = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
-        *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)),
+        *(column(c).alias(f"_{i}") for i, c in enumerate(keep)),
     )
     known = own.where(F.col("doc_id").isNotNull())
-    texts = known.select("part", "doc_id", "text_hash", "text")
+    key = ["doc_id", "text_hash"]
+    equal = known.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("size"))
+    crowded = (F.col("size") > segment) | ((F.col("n") > 1) & (F.col("n") * F.col("size") > crowd))
+    total, n_apart, apart_bytes = equal.agg(F.sum(F.col("n") * F.col("size")), F.count_if(crowded), F.sum(F.when(crowded, F.col("size")))).first()
+    parts = max(1, -(-(total or 0) // RANGE_BYTES))
+    buckets = LANES * -(-parts // LANES)
+    light = known
+    if n_apart:
+        keys = written(equal.where(crowded).select(*key), "apart")
+        keys = F.broadcast(keys) if n_apart <= BROADCAST_ROWS else keys
+        light, apart = known.join(keys, key, "left_anti"), known.join(keys, key, "left_semi")
+    place = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part")
+    light = light.select(place, *key, "text", *(f"_{i}" for i in range(len(keep))))
+    texts = light.select("part", "doc_id", F.col("text_hash").alias("rank"), "text")
+    if n_apart:
+        more = max(1, -(-apart_bytes // RANGE_BYTES))
+        once = apart.groupBy(*key).agg(F.first("text").alias("text"))
+        number = F.greatest(F.ceil((F.octet_length("text") - (length - 1)) / segment), F.lit(1)).cast("int")
+        piece = lambda k: F.struct(k.alias("k"), F.substring("text", k * segment + 1, F.lit(segment + length - 1)).alias("text"))
+        cut = once.select(*key, F.explode(F.transform(F.sequence(F.lit(0), number - 1), piece)).alias("piece")).select(*key, "piece.*")
+        segments_ = cut.select(
+            (F.lit(parts) + F.pmod(F.xxhash64(*key, "k"), F.lit(more))).cast("int").alias("part"),
+            "doc_id",
+            F.xxhash64("text_hash", "k").alias("rank"),
+            "text",
+            "text_hash",
+            (F.col("k").cast("long") * segment).alias("start"),
+        )
+        segments_ = written(segments_, "segments")
+        texts = texts.unionByName(segments_.select("part", "doc_id", "rank", "text"))
     binaries = lambda *names: ", ".join(f"{n} binary" for n in names)
 
-    found = texts.groupBy("part").applyInArrow(_anchors_out(parts, length, gram), f"bucket int, part int, {binaries('hash', 'times')}")
+    found = texts.groupBy("part").applyInArrow(_anchors_out(buckets, length, gram), f"bucket int, part int, {binaries('hash', 'times')}")
     candidates = written(found.groupBy("bucket").applyInArrow(_trimmed(_met(hot)), f"part int, {binaries('hash', 'hot')}"), "candidates")
-    around = texts.groupBy("part").cogroup(candidates.groupBy("part")).applyInArrow(_trimmed_pair(_around(parts, length, gram)), f"bucket int, part int, {binaries('ord', 'id', 'pos', 'left', 'right', 'bytes', 'whole')}")
+    around = texts.groupBy("part").cogroup(candidates.groupBy("part")).applyInArrow(_trimmed_pair(_around(buckets, length, gram)), f"bucket int, part int, {binaries('ord', 'id', 'pos', 'left', 'right', 'bytes', 'whole')}")
     verdicts = written(around.groupBy("bucket").applyInArrow(_trimmed(_judged(length, gram)), f"part int, {binaries('ord', 'pos', 'first', 'last')}"), "verdicts")
     found = candidates.unionByName(verdicts, allowMissingColumns=True)
-    others = known.schema.fields[4:]
+    others = light.schema.fields[4:]
     schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept string").fields, *others])
-    done = known.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_trimmed_pair(_applied(length, gram, digest)), schema)
+    own_found = found.where(F.col("part") < parts) if n_apart else found
+    done = light.groupBy("part").cogroup(own_found.groupBy("part")).applyInArrow(_trimmed_pair(_applied(length, gram, digest)), schema)
+    if n_apart:
+        spans = segments_.groupBy("part").cogroup(found.where(F.col("part") >= parts).groupBy("part")).applyInArrow(_trimmed_pair(_spans_of(length, gram)), "doc_id long, text_hash long, starts array<long>, ends array<long>")
+        spans = spans.where(F.size("starts") > 0).groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+        rows = apart.join(spans, key, "left").select("doc_id", "text", "starts", "ends", *(f.name for f in others))
+        done = done.unionByName(rows.mapInArrow(_cut_out(digest), schema))
     text = F.sha2("text", 256) if digest else F.col("text").cast("string")
     zero = F.lit(0).cast("long")
-    apart = own.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept"), *(f.name for f in others))
-    return done.unionByName(apart)
+    unknown = own.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept"), *(f.name for f in others))
+    return done.unionByName(unknown)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -8,7 +8,7 @@ a function of the whole text alone.
 
 Training takes a bounded sample of the labelled rows: the ``Ftrl.max_rows`` (a
 documented parameter) of least hash of (doc_id, text, label) among all of them,
-dealt over shards of at most ``Ftrl.shard_bytes`` of text, two at least.  Each
+dealt over shards of about ``Ftrl.shard_bytes`` of text.  Each
 shard learns by itself, in a fixed number of passes, and the shards' weights are
 averaged.  A row's features are a set of hashes, so a task holds at most the
 hashes of its shard's words.  A long text is read in pieces that share the words
@@ -51,11 +51,11 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 5.0
     l2: float = 1.0
-    epochs: int = 20
+    epochs: int = 10
     max_rows: int = 12_000
     #: Text bytes of each shard, and shards at least.
     shard_bytes: int = 32 << 20
-    shards: int = 2
+    shards: int = 1
     stems: tuple[int, ...] = (4, 5)
 
 
