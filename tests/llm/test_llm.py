@@ -324,10 +324,17 @@ def test_curve_keys_bring_like_texts_together():
 # -- 6 language model ---------------------------------------------------------------------------------------------
 
 
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+
+
+def tokens_of(t):
+    return [*(t or "").encode().lower().split(), b"\n"]
+
+
 def test_language_model(spark, docs, rows, empty):
     got = lm.scores(docs).collect()
-    toks = [(d, [*(t or "").encode().lower().split(), b"\n"]) for d, t, *_ in rows]
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    toks = [(d, tokens_of(t)) for d, t, *_ in rows]
     count = Counter(w for d, ws in toks if not held(d) for w in ws)
     n, v = sum(count.values()), len(count)
     want = Counter((d, held(d), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 5)) for d, ws in toks)
@@ -338,19 +345,154 @@ def test_language_model(spark, docs, rows, empty):
     assert {r.train_tokens for r in lm.scores(only_held).collect()} == {0}
 
 
-def test_language_model_is_a_distribution():
-    model = lm.MaxEnt()
-    known, code, sizes = lm.tokens(pa.array(["a b c", None, "A  b\n"]))
-    assert [known[c] for c in code] == [b"a", b"b", b"c", lm.END, lm.END, b"a", b"b", lm.END] and sizes.tolist() == [4, 1, 3]
-    learner = lm.Learner(model)
-    h = lm.hashes(known)
-    rows = lm._features(h[code], sizes, model.bits)
-    assert (rows[0][[0, 4, 5]] == rows[0][0]).all() and rows[0][1] != rows[0][0]
-    for _ in range(20):
-        learner.step(rows, lm.suffix_classes(known, model)[code])
-    p = lm._softmax(learner.weights, learner.bias, rows)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    assert p[np.arange(len(code)), lm.suffix_classes(known, model)[code]].mean() > 0.5
+def plain_scores(rows, model):
+    """The model with dicts and loops over tokens, one range: (doc_id, text, score) of each row, and the probabilities' sums over each class."""
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    mask = (1 << 64) - 1
+    odds, start = [int(x) for x in lm._ODDS], int(lm._START)
+    key = {r[:2]: i for i, r in enumerate(rows)}
+    toks = [tokens_of(t) for _, t in rows]
+    trains = [not held(d) for d, _ in rows]
+    count = Counter(w for ws, tr in zip(toks, trains, strict=True) if tr for w in ws)
+    vocabulary = sorted({w for ws in toks for w in ws})
+    frequent = sorted(count, key=lambda w: (-count[w], h(w)))[: model.own]
+    suffix = lambda w: model.own + xxhash.xxh32_intdigest(w[-model.suffix :]) % (64 - model.own)
+    of = {w: frequent.index(w) if w in frequent else suffix(w) for w in vocabulary}
+    ones, twos = sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+    d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+    size, types = Counter(), Counter()
+    for w, c in count.items():
+        size[of[w]] += c
+        types[of[w]] += 1
+    cut = lambda c: 0.0 if c < len(frequent) else d
+    unseen = lambda c: 1.0 if not size[c] else 1e-12 if c < len(frequent) else max(d * types[c], 1e-3) / size[c]
+    share = lambda w: max(count[w] - cut(of[w]), 1e-3) / size[of[w]] if count[w] else unseen(of[w])
+    cell = lambda b: (b * odds[1] & mask) >> (64 - model.cell_bits)
+    contexts = []  # (document, token, hashes one, two and three back)
+    for i, ws in enumerate(toks):
+        hs = [start] * 3 + [h(w) for w in ws]
+        contexts += [(i, w, hs[j + 2 :: -1][:3]) for j, w in enumerate(ws)]
+    pairs = Counter((cell(b[0]), w) for i, w, b in contexts if trains[i])
+    after = Counter(cell(b[0]) for i, w, b in contexts if trains[i])
+    n = sum(count.values())
+
+    def kind(p, c, k):
+        if p <= 0:
+            return 0
+        return min(max(math.floor(math.log2(p / (max(after[k], 1) * max(c, 1) / n)) / 2) + model.excess // 3, 0), model.excess - 1) + 1
+
+    mass, of_tokens, seen = Counter(), Counter(), Counter()
+    for (k, w), p in pairs.items():
+        mass[of[w], k, kind(p, count[w], k)] += share(w)
+    for i, w, b in contexts:
+        k = cell(b[0])
+        if trains[i] and count[w] > 1:
+            seen[kind(pairs[k, w] - 1, count[w] - 1, k)] += 1
+            of_tokens[of[w], k] += 1
+    places = sorted({m[:2] for m in mass} | set(of_tokens) | {(of[w], cell(b[0])) for i, w, b in contexts})
+    table = np.array([[mass[*m, z] for m in places] for z in range(1, model.excess + 1)])
+    table = np.concatenate([np.maximum(1 - table.sum(axis=0), 1e-9)[None], table])
+    theta, fill, goal = np.zeros(model.excess + 1), np.array([of_tokens[m] for m in places]), np.array([seen[z] for z in range(model.excess + 1)])
+    for _ in range(model.rounds):
+        weighed = np.exp(theta)[:, None] * table
+        expected = (weighed * (fill / weighed.sum(axis=0))).sum(axis=1)
+        theta += np.clip(np.log((goal + 0.5) / (expected + 0.5)), -2, 2)
+        theta = np.clip(theta - theta[0], -20, 20)
+    z = dict(zip(places, (np.exp(theta)[:, None] * table).sum(axis=0), strict=True))
+
+    weights, rates = [{}, {}], [{}, {}]
+    bias, bias_rate = [np.zeros(8), np.zeros(8)], [1e-6, 1e-6]
+
+    def rows_of(b, group=None):
+        mixed = [((x * odds[k] & mask) ^ (x >> 29)) * odds[4] & mask for k, x in enumerate(b)] + [(b[0] * odds[3] + b[1]) * odds[4] & mask]
+        at = [m >> (64 - model.bits) for m in mixed]
+        return at if group is None else [a ^ (((group + 1) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - model.bits)) for a in at]
+
+    def chances(t, at):
+        x = sum((weights[t].get(a, 0) for a in at), bias[t].copy())
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    order = sorted(range(len(rows)), key=lambda i: (len((rows[i][1] or "").encode()), keys_of[i]))
+    by = {}
+    for c in contexts:
+        by.setdefault(c[0], []).append(c)
+    stream = [c for i in order if trains[i] for c in by[i]]
+    for s in range(0, len(stream), model.batch):
+        for t in (0, 1):
+            total, total_bias = {}, np.zeros(8)
+            for i, w, b in stream[s : s + model.batch]:
+                group, label = divmod(of[w], 8)
+                at = rows_of(b, group if t else None)
+                g = chances(t, at)
+                g[label if t else group] -= 1
+                total_bias += g
+                for a in at:
+                    total[a] = total.get(a, 0) + g
+            for a, g in total.items():
+                rates[t][a] = rates[t].get(a, 0) + g @ g
+                weights[t][a] = weights[t].get(a, 0) - g * model.rate / math.sqrt(rates[t][a] + 1e-6)
+            bias_rate[t] += total_bias @ total_bias
+            bias[t] -= total_bias * model.rate / math.sqrt(bias_rate[t])
+    out = [0.0] * len(rows)
+    for i, w, b in contexts:
+        k = cell(b[0])
+        group, label = divmod(of[w], 8)
+        p = chances(0, rows_of(b))[group] * chances(1, rows_of(b, group))[label]
+        out[i] += math.log10(p * share(w) * math.exp(theta[kind(pairs[k, w], count[w], k)]) / z[of[w], k])
+    # All tokens of a class and its unseen share, after any cell, sum to 1.
+    for c, k in places[:: max(len(places) // 200, 1)]:
+        if size[c]:
+            total = sum(share(w) * math.exp(theta[kind(pairs[k, w], count[w], k)]) / z[c, k] for w in count if of[w] == c) + (0 if c < len(frequent) else unseen(c) / z[c, k])
+            assert total == pytest.approx(1, abs=1e-6)
+    return out
+
+
+keys_of = []
+
+
+def test_language_model_equals_a_plain_one(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.randrange(1, 60))) for i in range(120)] + [(500, ""), (501, None), (502, "A  b\nA b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.MaxEnt(bits=12, batch=256)
+    keys = {r.doc_id: r.key for r in df.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text").collect()}
+    keys |= {r.doc_id: r.key for r in df.where("text is null").select("doc_id", F.xxhash64("doc_id", "text").alias("key")).collect()}
+    keys_of[:] = [keys[d] for d, _ in rows]
+    want = plain_scores(rows, model)
+    got = {r.doc_id: r.score for r in lm.scores(df.repartition(3), model).collect()}
+    for (d, _), w in zip(rows, want, strict=True):
+        assert got[d] == pytest.approx(w, rel=2e-3, abs=2e-3)
+    # The layout of the table does not matter.
+    again = {r.doc_id: r.score for r in lm.scores(df.repartition(7), model).collect()}
+    assert all(again[d] == pytest.approx(got[d], rel=1e-9) for d in got)
+
+
+def test_language_model_of_crowds_and_long_texts(spark, monkeypatch):
+    """Equal rows worked on once, texts read in pieces and many ranges give the counts of plain reading."""
+    rng = random.Random(42)
+    rows = [(i, prose(rng, rng.randrange(1, 300))) for i in range(30)]
+    rows += [(None, "same text here")] * 50 + [(7, "and the same id")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, lm.scores(df).collect()), key=repr)
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 200)
+    pieces = sorted(map(tuple, lm.scores(df, crowd=100).collect()), key=repr)
+    assert [r[:5] for r in pieces] == [r[:5] for r in whole] and all(a[5] == pytest.approx(b[5], rel=1e-9) for a, b in zip(pieces, whole, strict=True))
+    many = sorted(map(tuple, lm.scores(df, lm.MaxEnt(range_bytes=2000)).collect()), key=repr)
+    assert [r[:5] for r in many] == [r[:5] for r in whole]
+
+
+def test_pieces_of_a_text_keep_its_context(monkeypatch):
+    rng = random.Random(43)
+    texts = pa.array([prose(rng, 200), None, "x", prose(rng, 3), prose(rng, 500)])
+    whole = list(lm.blocks(texts))
+    monkeypatch.setattr(lm, "PIECE_BYTES", 50)
+    cut = list(lm.blocks(texts, 60))
+    assert len(whole) == 1 and len(cut) > 20
+    assert np.array_equal(np.concatenate([b.h for b in cut]), whole[0].h)
+    for k in range(lm.BACK):
+        assert np.array_equal(np.concatenate([b.back[k] for b in cut]), whole[0].back[k])
 
 
 # -- 7 licences ---------------------------------------------------------------------------------------------------
