@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -102,6 +103,19 @@ def test_quality(spark, docs, rows, empty):
         assert not (r.kept and r.base_failed)
     by = {r.doc_id: r for r in got}
     assert not by[901].kept and not by[902].kept and not by[903].kept and by[903].cleaned == ""
+    furniture = re.compile("|".join(quality.BOILERPLATE), re.IGNORECASE)
+
+    def passes(line):
+        w, bars = words(line), line.count("|")
+        if sum(c in "#*$%&|<>" for c in line) > 0.1 * len(line) or (bars >= 3 and 6 * bars >= len(w)):
+            return False
+        return not (len(w) >= 6 and 2 * line.count("!") >= len(w)) and not (len(w) >= 8 and len(set(w)) < 0.3 * len(w)) and not furniture.search(line)
+
+    for r in got:
+        lines = [x for x in (r.text or "").split("\n") if passes(x)]
+        assert r.cleaned == "\n".join(lines)
+        part = sum(len(x) for line in lines for x in words(line)) / r.word_chars if r.word_chars else 0.0
+        assert r.left == pytest.approx(part) and r.kept == (not r.base_failed and part >= 0.7)
     plain = [r for r in got if r.doc_id is not None and r.doc_id < 40 and not r.base_failed]
     assert plain and all(r.kept and r.cleaned == r.text for r in plain)
     assert quality.clean(empty).count() == 0
@@ -277,6 +291,66 @@ def test_token_table(spark, docs, rows, encoded, empty, tmp_path):
     assert tokens.digest(tokens.token_table(empty)).count() == 0
 
 
+def scanned(df):
+    """Rows that the scan of a query gives to the query, after stripes and row groups are passed over."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_stripes_row_groups_and_bloom_filters(spark, tmp_path):
+    import glob
+
+    from pyarrow import orc
+
+    docs = spark.range(0, 24_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("a few words of text number "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        table = tokens.token_table(docs, path=f"file://{tmp_path}/t", stripe_bytes=1 << 16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (file,) = glob.glob(f"{tmp_path}/t/*.orc")
+    stripes = orc.ORCFile(file).nstripes
+    assert stripes > 2 and orc.ORCFile(file).nrows == 12_000
+    # Stripes are read by tasks of their own.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(os.path.getsize(file) // stripes))
+    try:
+        sizes = [n for n in spark.read.orc(f"file://{tmp_path}/t").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) > 2 and sum(sizes) == 12_000
+    # Least and largest doc_id of a row group leave one group of 1000 rows; the Bloom filter leaves none for an id between two others.
+    assert table.where("doc_id = 5000").count() == 1
+    assert 0 < scanned(table.where("doc_id = 5000").select("doc_id", "n")) <= tokens.GROUP_ROWS
+    absent = [scanned(table.where(f"doc_id = {i}").select("doc_id", "n")) for i in range(5001, 5041, 2)]
+    assert sum(n == 0 for n in absent) >= 15
+
+
+def test_other_tokenizers_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"[UNK]": 0, "Ab": 1, "ab": 2, "Ab cd": 3}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    other.save(f"{tmp_path}/other.json")
+    ids, lengths = tokens.Encoder(f"{tmp_path}/other.json", 7)(pa.array(["Ab|ab|Ab cd", None, "x|Ab"]))
+    assert ids.tolist() == [1, 2, 3, 7, 7, 0, 1, 7] and lengths.tolist() == [4, 1, 3]
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    rng = random.Random(61)
+    texts = pa.array([prose(rng, 300), "", None, "x" * 500 + " " + prose(rng, 200), prose(rng, 10), "y" * 400])
+    whole = tokens.Encoder(tokens.vocabulary(), 2)(texts)
+    table = packing.projection()
+    keys = packing.curve_keys(texts, table)
+    monkeypatch.setattr(tokens, "ENCODE_BYTES", 64)
+    monkeypatch.setattr(packing, "VECTOR_BYTES", 64)
+    pieces = tokens.Encoder(tokens.vocabulary(), 2)(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces, strict=True))
+    assert len(common.long_pieces(texts, 64)[0]) > 20
+    near = packing.curve_keys(texts, table)
+    assert (np.abs(near - keys) <= np.abs(keys) * 1e-3 + 1e9).all()
+
+
 def test_packing(docs, rows, encoded, empty):
     pieces = packing.packed(docs, length=64)
     got = pieces.collect()
@@ -540,6 +614,16 @@ def test_licenses_within_lines_and_across_blocks():
 # -- 9 toxicity ---------------------------------------------------------------------------------------------------
 
 
+def test_long_texts_have_the_same_features(monkeypatch):
+    rng = random.Random(71)
+    texts = pa.array([prose(rng, 300), None, "", prose(rng, 4), prose(rng, 250) + " ..... " * 40 + prose(rng, 60)])
+    model = toxicity.Ftrl()
+    whole = toxicity._features(texts, model)
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 300)
+    pieces = toxicity._features(texts, model)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces, strict=True)) and len(common.long_pieces(texts, 300)[0]) > 10
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(10)
     rows, labels = [], []
@@ -671,6 +755,36 @@ def test_suffix_sort_and_collisions(monkeypatch):
     check()
 
 
+# -- further columns --------------------------------------------------------------------------------------------------
+
+
+CLASHES = {c: i for i, c in enumerate(("k1", "k2", "part", "key", "rank", "bucket", "row", "content", "number", "score", "_toxicity", "n_words", "kept", "left", "cleaned", "counts", "failed", "base_failed", "text_hash", "_0", "_row", "hash", "fp", "a.b", "times", "draw"))}
+
+
+def test_values_of_clashing_columns_stay(spark):
+    rng = random.Random(51)
+    rows = [(i, prose(rng, 60)) for i in range(40)] + [(100, ""), (101, None), (None, prose(rng, 70))]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1000 + i).cast("int") for c, i in CLASHES.items()})
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    item = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string").withColumns({c: F.lit("x") for c in ("iid", "n", "p", "tid", "words", "term")})
+    kept = {"toxicity": toxicity.drop_toxic(docs, given), "near": simhash.keep_one(docs), "repeats": substrings.deduplicated(docs), "decontaminate": decontam.decontaminate(docs, item), "clean": quality.clean(docs)}
+    for name, df in kept.items():
+        assert df.columns[: len(docs.columns)] == docs.columns and df.dtypes[: len(docs.columns)] == docs.dtypes, name
+        found = df.select(*(F.col(f"`{c}`") for c in docs.columns)).collect()
+        assert found and all(tuple(r)[2:] == tuple(1000 + i for i in range(len(CLASHES))) for r in found), name
+    assert 3 not in {r.doc_id for r in kept["decontaminate"].collect()} and kept["decontaminate"].count() == len(rows) - 1
+    made = kept["clean"].columns[len(docs.columns) :]
+    assert made == ["n_words_", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed_", "cleaned_", "left_", "kept_"]
+    plain = {r.doc_id: tuple(r)[2:] for r in quality.clean(docs.select("doc_id", "text")).collect()}
+    assert {r.doc_id: tuple(r)[len(docs.columns) :] for r in kept["clean"].collect()} == plain
+    # Those that return tables of their own take no notice.
+    own = docs.select("doc_id", "text")
+    same = lambda a, b: Counter(map(repr, a.collect())) == Counter(map(repr, b.collect()))
+    for f in (simhash.near_duplicates, license.licenses, lambda d: decontam.hits(d, item), lambda d: tokens.digest(tokens.token_table(d)), lambda d: packing.packed(d, digest=True), substrings.digest, lm.scores, lambda d: toxicity.toxicity(d, given)):
+        assert same(f(docs), f(own))
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------
 
 

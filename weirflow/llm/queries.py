@@ -36,11 +36,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weirflow.llm.decontam import hits
+    from weirflow.llm.decontam import WINDOW, hits
 
-    found = hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), distance=WINDOW)
     ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids, "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids, "contaminated", F.size("near_ids").cast("long").alias("n_near"))
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +124,17 @@ s AS (SELECT DISTINCT n FROM k),
 o AS (SELECT rid, n, j, array_to_string(w[j : j + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, s)),
 h AS (SELECT rid, k.n, j, item_id FROM o JOIN k ON o.g = k.g AND o.n = k.n),
 p AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(j, j + n)) AS q FROM h) GROUP BY 1),
-t AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS varchar) AS id FROM h) GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
+t AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS varchar) AS id FROM h) GROUP BY 1),
+u AS (SELECT item_id, row_number() OVER () AS bid, w FROM b WHERE len(w) > 0),
+x AS (SELECT bid, q, w[q] AS term FROM (SELECT bid, w, unnest(range(1, len(w) + 1)) AS q FROM u)),
+y AS (SELECT rid, q, w[q] AS term FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS q FROM d) WHERE w[q] IN (SELECT term FROM x)),
+f AS (SELECT term, count(*) AS f FROM y GROUP BY 1),
+r AS (SELECT v.bid, v.j, x.term, coalesce(f.f, 0) AS f, row_number() OVER (PARTITION BY v.bid, v.j ORDER BY coalesce(f.f, 0), x.q) AS k
+FROM (SELECT bid, len(w) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j FROM u) v JOIN x ON x.bid = v.bid AND x.q BETWEEN v.j AND v.j + 12 LEFT JOIN f USING (term)),
+a AS (SELECT DISTINCT r1.bid, r1.term AS t1, coalesce(r2.term, r1.term) AS t2 FROM (SELECT * FROM r WHERE k = 1 AND f > 0) r1 LEFT JOIN (SELECT * FROM r WHERE k = 2) r2 ON r1.bid = r2.bid AND r1.j = r2.j),
+m AS (SELECT rid, count(DISTINCT CAST(item_id AS varchar)) AS n_near FROM (SELECT DISTINCT y1.rid, a.bid FROM a JOIN y y1 ON y1.term = a.t1 JOIN y y2 ON y2.rid = y1.rid AND y2.term = a.t2 AND abs(y1.q - y2.q) <= 13) JOIN u USING (bid) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid) LEFT JOIN m USING (rid)
 """
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks, connected, small_batches, written
+from weirflow.llm.common import chunks, column, connected, small_batches, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -119,12 +119,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
     one of rows that are equal.
     """
     # The hash skips nulls, so where they are goes in too: equal keys are equal rows, and so of one group.
-    content = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    content = F.xxhash64(*map(column, docs.columns), *(column(c).isNull() for c in docs.columns))
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     own = written(fingerprints(docs, shingle, seed, content), "simhash")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     least = own.join(_rooted(own, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min_by(F.struct(number.alias("number"), "row"), order).alias("first"))
     keys = least.select("first.number", F.col("first.row").alias("content"))
-    rows = docs.select(number.alias("number"), content.alias("content"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(number.alias("number"), content.alias("content"), F.struct(*map(column, docs.columns)).alias("row"))
     alone = rows.join(keys, ["number", "content"], "left_semi").groupBy("number", "content").agg(F.first("row").alias("row"))
     return alone.select("row.*")
