@@ -4,36 +4,45 @@ Units of a text are its lines, its blocks (lines between blank ones) and the
 whole text.  A unit is normalised to words (letters and digits, dotted numbers
 kept together, lower case).  With threshold t, the Dice coefficient of bigram
 sets of sizes a and b can reach t only if a <= b * (2 - t) / t and the reverse,
-so templates outside these bounds, and units outside those of all templates,
-are never compared.  What is left meets templates through an index of their
-bigrams, and the coefficient is exact.
+and only if they share a * t / (2 - t) bigrams at least.  A unit meets templates
+through an index of their bigrams; those outside these bounds are not compared,
+and what is left is compared exactly.
 
 Notices in the middle of a line or across lines and blocks are found by windows
 over the words of the whole text: from a word pair of a template to a later one,
 of at most the template's size times (2 - t) / t.  Of windows that overlap the
 best one counts, and one that lies within a matching unit is no match of its own.
 
+Of templates whose coefficients agree to two places the one counts of which
+fewest bigrams are missing, so a notice is not taken for a kin with more in common
+by chance.  Templates are short notices, whole short licences and, in the folder
+licences, the legal texts of the Apache, GNU, Mozilla and CC0 licences.
+
 One pass over the rows, no shuffle; the templates are the only thing sent to
-the executors and their number does not depend on the data.
+the executors and their number does not depend on the data.  A text is read as a
+whole; its words take some twenty times its size while it is.
 
 Defined results: null and empty texts have no licence; a unit of one word has
-no bigram and matches nothing; of templates with equal coefficients the first
+no bigram and matches nothing; of templates equal in all this the first
 licence id wins, of units the first in the text, lines before blocks before
-the whole text before windows; equal rows get equal results each; further columns are ignored.
+the whole text before windows; equal rows get equal results each; further columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import chunks
+from weirflow.llm.common import chunks, small_batches
 
 THRESHOLD = 0.8
 
@@ -55,6 +64,7 @@ NAMES = {
     "MIT": ("MIT License",),
     "MPL-2.0": ("Mozilla Public License, version 2.0", "MPL-2.0"),
     "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
 }
 NOTICES = (
     "Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}",
@@ -75,13 +85,14 @@ _GNU = """This {what} is free software{stop} you can redistribute it and/or modi
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _NO_NAMES = """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-#: Whole short licences, and the notices of the other GNU licences.  The legal texts of many pages are not templates.
+#: Whole short licences, and the notices of the other GNU licences.
 WHOLE = (
     ("AGPL-3.0", _GNU.format(what="program", stop=":", name="Affero General Public License", mark=",", version="3")),
     ("LGPL-2.1", _GNU.format(what="library", stop=";", name="Lesser General Public License", mark=";", version="2.1")),
     ("LGPL-3.0", _GNU.format(what="library", stop=":", name="Lesser General Public License", mark=",", version="3")),
     ("BSD-2-Clause", _BSD + _BSD_END),
     ("BSD-3-Clause", _BSD + _NO_NAMES + _BSD_END),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
     ("ISC", TEXTS["ISC"] + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("MIT", TEXTS["MIT"] + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 )
@@ -93,30 +104,30 @@ _BLOCK = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)+")
 def templates() -> list[tuple[str, str]]:
     """(licence id, text) of all templates."""
     short = [(key, n.format(name)) for key, names in NAMES.items() for name in names for n in NOTICES]
-    return short + [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items()) + list(WHOLE)
+    legal = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+    return short + [(key, f"SPDX-License-Identifier: {key}") for key in NAMES] + list(TEXTS.items()) + list(WHOLE) + legal
+
 
+def words_of(text: str) -> list[str]:
+    return [m.group().lower() for m in _WORD.finditer(text)]
 
-def bigrams(text: str, most: float = float("inf")) -> set[tuple[str, str]] | None:
-    """The set of word bigrams, or None as soon as there are more than most."""
-    found, last = set(), None
-    for match in _WORD.finditer(text.lower()):
-        word = match.group()
-        if last is not None:
-            found.add((last, word))
-            if len(found) > most:
-                return None
-        last = word
-    return found
+
+def bigrams(text: str) -> set[tuple[str, str]]:
+    words = words_of(text)
+    return set(zip(words, words[1:], strict=False))
 
 
 class Scanner:
     def __init__(self, known: list[tuple[str, str]], threshold: float):
         lengths: dict[frozenset, int] = {}
-        for _, text in known:
-            grams = frozenset(bigrams(text))
-            lengths[grams] = max(lengths.get(grams, 0), len(_WORD.findall(text.lower())) - 1)
-        self.known = sorted({(key, grams) for key, text in known if (grams := frozenset(bigrams(text)))}, key=lambda x: (x[0], len(x[1]), sorted(x[1])))
+        found = []
+        for key, text in known:
+            if grams := frozenset(bigrams(text)):
+                lengths[grams] = max(lengths.get(grams, 0), len(words_of(text)) - 1)
+                found.append((key, grams))
+        self.known = sorted(set(found), key=lambda x: (x[0], len(x[1]), sorted(x[1])))
         self.threshold, self.wide = threshold, (2 - threshold) / threshold
+        #: Templates of each bigram.
         self.by: dict[tuple[str, str], list[int]] = {}
         for i, (_, grams) in enumerate(self.known):
             for g in grams:
@@ -124,24 +135,34 @@ class Scanner:
         #: Bigrams of a window of each template at most, and those in common at least.
         self.longest = [int(lengths[g] * self.wide) for _, g in self.known]
         self.common = [len(g) / self.wide for _, g in self.known]
-        sizes = [len(g) for _, g in self.known] or [0]
-        self.least, self.most = min(sizes) / self.wide, max(sizes) * self.wide
+        self.least = min(self.common, default=0)
 
-    def best(self, unit: str) -> tuple[float, str] | None:
-        """The largest coefficient that reaches the threshold, and its licence."""
-        grams = bigrams(unit, self.most)
-        if grams is None or len(grams) < self.least:
+    def best(self, grams: list[tuple[str, str]]) -> tuple[float, str] | None:
+        """The coefficient and licence of the best template of those that reach the threshold."""
+        by = self.by
+        seen = {g for g in grams if g in by}
+        if not seen or len(seen) < self.least:
             return None
-        met = Counter(i for g in grams if g in self.by for i in self.by[g])
-        found = None
-        for i, common in met.items():
+        met = Counter(i for g in seen for i in by[g])
+        close = [(i, n) for i, n in met.items() if n >= self.common[i]]
+        if not close:
+            return None
+        size, found = len(set(grams)), []
+        for i, common in close:
             key, own = self.known[i]
-            if len(own) <= len(grams) * self.wide and len(grams) <= len(own) * self.wide and (dice := 2 * common / (len(own) + len(grams))) >= self.threshold and (found is None or (-dice, key) < found):
-                found = (-dice, key)
-        return found and (-found[0], found[1])
+            if len(own) <= size * self.wide and size <= len(own) * self.wide and (dice := 2 * common / (len(own) + size)) >= self.threshold:
+                found.append((-round(dice, 2), len(own) - common, -dice, key))
+        return (-min(found)[2], min(found)[3]) if found else None
 
     def scan(self, text: str) -> list[tuple[float, str, int, int]]:
-        """(coefficient, licence, start, end) of all units that match: lines, blocks of lines, the whole text."""
+        """(coefficient, licence, start, end) of all units that match: lines, blocks of lines, the whole text, windows."""
+        spans, words = [], []
+        for m in _WORD.finditer(text):
+            spans.append(m.span())
+            words.append(m.group().lower())
+        grams = list(zip(words, words[1:], strict=False))
+        if not any(g in self.by for g in grams):
+            return []
         units, at = [], 0
         for line in text.split("\n"):
             units.append((at, at + len(line)))
@@ -149,49 +170,43 @@ class Scanner:
         if len(units) > 1:
             units += [m.span() for m in _BLOCK.finditer(text)]
             units.append((0, len(text)))
-        found = [(*b, s, e) for s, e in dict.fromkeys(units) if (b := self.best(text[s:e]))]
-        apart = [w for w in self.windows(text) if not any(s <= w[2] and w[3] <= e for _, _, s, e in found)]
+        found, starts = [], [s for s, _ in spans]
+        for s, e in dict.fromkeys(units):
+            first, last = bisect_left(starts, s), bisect_left(starts, e) - 1
+            if last > first and (b := self.best(grams[first:last])):
+                found.append((*b, s, e))
+        apart = [w for w in self.windows(spans, grams) if not any(s <= w[2] and w[3] <= e for _, _, s, e in found)]
         return found + apart
 
-    def windows(self, text: str) -> list[tuple[float, str, int, int]]:
+    def windows(self, spans: list[tuple[int, int]], grams: list[tuple[str, str]]) -> list[tuple[float, str, int, int]]:
         """The best windows over the words of the whole text, none of which overlap, in order."""
-        spans, words = [], []
-        for m in _WORD.finditer(text):
-            spans.append(m.span())
-            words.append(m.group().lower())
-        grams = list(zip(words, words[1:], strict=False))
         by = self.by
-        places: dict[int, list[int]] = {}
-        kinds: Counter[int] = Counter()
-        seen = [g for g in set(grams) if g in by]
-        for g in seen:
-            kinds.update(by[g])
-        near = {i for i, n in kinds.items() if n >= self.common[i]}
+        seen = {g for g in grams if g in by}
+        kinds = Counter(i for g in seen for i in by[g])
+        near = [i for i, n in kinds.items() if n >= self.common[i]]
         if not near:
             return []
-        of = {g: [i for i in by[g] if i in near] for g in seen}
+        before, last = np.full(len(grams), -1), {}
         for at, g in enumerate(grams):
-            for i in of.get(g, ()):
-                places.setdefault(i, []).append(at)
+            before[at] = last.get(g, -1)
+            last[g] = at
         all_found = []
-        for i, hits in places.items():
+        for i in near:
             key, own = self.known[i]
-            for k, first in enumerate(hits):
-                last = bisect_right(hits, first + self.longest[i] - 1, k)
-                if last - k < self.common[i]:
-                    continue
-                inside, both, best, to = set(), 0, (0.0, 0), first
-                for end in hits[k:last]:
-                    for g in grams[to : end + 1]:
-                        if g not in inside:
-                            inside.add(g)
-                            both += g in own
-                    to = end + 1
-                    best = max(best, (2 * both / (len(own) + len(inside)), end))
-                if best[0] >= self.threshold:
-                    all_found.append((-best[0], -len(own), key, first, best[1]))
+            there = np.fromiter((g in own for g in grams), bool, len(grams))
+            hits = np.flatnonzero(there)
+            reach = np.searchsorted(hits, hits + self.longest[i] - 1, side="right")
+            for k in np.flatnonzero(reach - np.arange(len(hits)) >= self.common[i]).tolist():
+                first, end = int(hits[k]), int(hits[reach[k] - 1]) + 1
+                new = before[first:end] < first  # a bigram counts once in a window
+                both, size = np.cumsum(new & there[first:end]), np.cumsum(new)
+                ends = hits[k : reach[k]] - first
+                dice = 2 * both[ends] / (len(own) + size[ends])
+                top = len(dice) - 1 - int(np.argmax(dice[::-1]))  # of equal ones the last
+                if dice[top] >= self.threshold:
+                    all_found.append((-round(float(dice[top]), 2), len(own) - int(both[ends[top]]), -float(dice[top]), -len(own), key, first, first + int(ends[top])))
         taken, kept = [], []
-        for dice, _, key, first, end in sorted(all_found):
+        for _, _, dice, _, key, first, end in sorted(all_found):
             # Word pairs first to end hold the words first to end + 1.
             at = bisect_right(taken, (first, end))
             if (at == 0 or taken[at - 1][1] + 1 < first) and (at == len(taken) or end + 1 < taken[at][0]):
@@ -217,4 +232,4 @@ def licenses(docs: DataFrame, threshold: float = THRESHOLD, known: list[tuple[st
             kinds = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_units", "licenses", "license", "dice", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(each, schema)
