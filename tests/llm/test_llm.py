@@ -557,6 +557,12 @@ def test_language_model_of_crowds_and_long_texts(spark, monkeypatch):
     assert [r[:5] for r in many] == [r[:5] for r in whole]
 
 
+def test_short_counts():
+    counts = np.array([0, 1, 2, 255, 256, 1000, 123456, 10**12])
+    back = lm.long(lm.short(counts) | lm._OWNER)
+    assert back[:5].tolist() == counts[:5].tolist() and (np.abs(back - counts) <= counts / 128).all()
+
+
 def test_pieces_of_a_text_keep_its_context(monkeypatch):
     rng = random.Random(43)
     texts = pa.array([prose(rng, 200), None, "x", prose(rng, 3), prose(rng, 500)])
@@ -566,7 +572,7 @@ def test_pieces_of_a_text_keep_its_context(monkeypatch):
     assert len(whole) == 1 and len(cut) > 20
     assert np.array_equal(np.concatenate([b.h for b in cut]), whole[0].h)
     for k in range(lm.BACK):
-        assert np.array_equal(np.concatenate([b.back[k] for b in cut]), whole[0].back[k])
+        assert np.array_equal(np.concatenate([b.back()[k] for b in cut]), whole[0].back()[k])
 
 
 # -- 7 licences ---------------------------------------------------------------------------------------------------

@@ -24,6 +24,9 @@ no task needs the vocabulary.  Rows that travel are one for each range and
 bucket; buckets come in multiples of ``LANES`` and hold one entry at least, so
 these rows grow with the ranges, and never beyond the entries.
 
+A range's rows are read once more to learn and to score; it finds its own keys
+again, so answers carry counts alone.
+
 The context weights (2 tables of 2**bits rows of 8) are trained on all training
 documents: each range takes gradient steps (AdaGrad, per weight row) through its
 documents in a fixed order, and the ranges' weights are averaged in proportion to
@@ -141,13 +144,30 @@ class Block:
     sizes: np.ndarray
     #: The row of each run of tokens.
     rows: np.ndarray
-    #: Hashes of the tokens 1, 2, ... back, for each token.
-    back: list[np.ndarray]
+    #: Hashes of the last BACK tokens before the first run.
+    before: np.ndarray
 
     @property
     def h(self) -> np.ndarray:
         return self.known_h[self.code]
 
+    @property
+    def present(self) -> np.ndarray:
+        return np.bincount(self.code, minlength=len(self.known)) > 0
+
+    def back(self, most: int = BACK) -> list[np.ndarray]:
+        """Hashes of the tokens 1, 2, ... back, for each token."""
+        h, begin, found = self.h, np.cumsum(self.sizes) - self.sizes, []
+        for k in range(1, most + 1):
+            b = np.full(len(h), _START, np.uint64)
+            b[k:] = h[:-k]
+            for d in range(k):
+                b[begin[self.sizes > d] + d] = _START
+            n = min(k, int(self.sizes[0]))
+            b[:n] = self.before[BACK - k : BACK - k + n]
+            found.append(b)
+        return found
+
 
 def blocks(column: pa.Array, most: int = 2 * PIECE_BYTES) -> Iterator[Block]:
     """The tokens of a column in order; a later piece of a text knows the tokens before it."""
@@ -156,32 +176,18 @@ def blocks(column: pa.Array, most: int = 2 * PIECE_BYTES) -> Iterator[Block]:
     owner = np.repeat(np.arange(len(column)), counts)
     last = np.zeros(len(owner), bool)
     last[np.cumsum(counts) - 1] = True
-    at, tail = 0, None
+    start = np.full(BACK, _START, np.uint64)
+    at, tail = 0, start
     for batch in chunks([pa.RecordBatch.from_arrays([pieces], ["text"])], 0, most):
-        here = slice(at, at + batch.num_rows)
-        known, code, sizes = tokens(batch.column(0), last[here])
-        known_h = hashes(known)
-        h, starts = known_h[code], np.cumsum(sizes) - sizes
-        goes_on = at > 0 and owner[at] == owner[at - 1]
+        here = owner[at : at + batch.num_rows]
+        known, code, sizes = tokens(batch.column(0), last[at : at + batch.num_rows])
         # Pieces of one text within a block are one run.
-        head = np.concatenate([[True], np.diff(owner[here]) > 0])
+        head = np.concatenate([[True], np.diff(here) > 0])
         run = np.add.reduceat(sizes, np.flatnonzero(head))
-        begin = starts[head]
-        back = []
-        for k in range(1, BACK + 1):
-            b = np.full(len(h), _START, np.uint64)
-            b[k:] = h[:-k]
-            for d in range(k):
-                b[begin[run > d] + d] = _START
-            if goes_on:
-                n = min(k, int(run[0]))
-                b[:n] = tail[BACK - k : BACK - k + n]
-            back.append(b)
-        before = tail if goes_on else np.full(BACK, _START, np.uint64)
-        open_run = h[len(h) - int(run[-1]) :]
-        before = before if goes_on and len(run) == 1 else np.full(BACK, _START, np.uint64)
-        tail = np.concatenate([before, open_run])[-BACK:]
-        yield Block(known, known_h, code, run, owner[here][head], back)
+        before = tail if at and owner[at] == owner[at - 1] else start
+        block = Block(known, hashes(known), code.astype(np.int32), run, here[head], before)
+        tail = np.concatenate([before if len(run) == 1 else start, block.h[len(code) - int(run[-1]) :]])[-BACK:]
+        yield block
         at += batch.num_rows
 
 
@@ -330,9 +336,9 @@ def _asked(buckets: int, model: MaxEnt):
                 weight = np.where(trains, times, 0)[b.rows]
                 each_ = np.repeat(weight, b.sizes)
                 counts = np.bincount(b.code, each_, len(b.known)).astype(np.int64)
-                present = np.bincount(b.code, minlength=len(b.known)) > 0
+                present = b.present
                 found.append((b.known_h[present], counts[present], suffix_classes(b.known, model)[present]))
-                keys = pair_keys(b.h, cells(b.back[0], model))
+                keys = pair_keys(b.h, cells(b.back(1)[0], model))
                 pairs.append(_counted_ones(keys, each_) if weight.max(initial=0) <= 1 else _counted(keys, each_))
         h, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([f[1] for f in found]), len(h)).astype("<u8")
@@ -347,12 +353,21 @@ def _asked(buckets: int, model: MaxEnt):
     return lambda table: (each(table), trim())[0]
 
 
-_ANSWERED = "part int, bucket int, hashes binary, counts binary, pairs binary, pair_counts binary, stats binary"
-_OWNER = np.uint32(1 << 31)
+_ANSWERED = "part int, bucket int, counts binary, pair_counts binary, stats binary"
+_OWNER = np.uint16(1 << 15)
+
+
+def short(counts: np.ndarray) -> np.ndarray:
+    """Counts as the upper half of a 32-bit float: exact to 256, else to 8 bits; the top bit stays free."""
+    return (np.asarray(counts, "<f4").view("<u4") >> np.uint32(16)).astype("<u2")
+
+
+def long(counts: np.ndarray) -> np.ndarray:
+    return ((counts & ~_OWNER).astype("<u4") << np.uint32(16)).view("<f4").astype(np.int64)
 
 
 def _answered(model: MaxEnt):
-    """A bucket's totals: one row for each range that asked, and one (part -1) with the bucket's statistics.
+    """A bucket's totals: one row for each range that asked, in the order of what it asked, and one (part -1) with the bucket's statistics.
 
     The first range that asked for a pair owns it (the top bit of its count).
     """
@@ -370,12 +385,12 @@ def _answered(model: MaxEnt):
         order = np.argsort(own, kind="stable")  # stable: the first range that asked comes first
         new = np.concatenate([[True], own[order][1:] != own[order][:-1]])[: len(own)]
         sums = np.add.reduceat(np.concatenate(read("pair_counts", "<u4")).astype(np.int64)[order], np.flatnonzero(new)) if len(own) else np.zeros(0, np.int64)
-        reply = np.empty(len(own), "<u4")
-        reply[order] = np.minimum(sums, (1 << 31) - 1)[np.cumsum(new) - 1].astype(np.uint32) | np.where(new, _OWNER, np.uint32(0))
-        rows = [(p, bucket, asked[i].tobytes(), total[inverse[edges[i] : edges[i + 1]]].tobytes(), keys[i].tobytes(), reply[ends[i] : ends[i + 1]].tobytes(), None) for i, p in enumerate(parts)]
-        rows.append((-1, bucket, None, None, None, None, _statistics(h, total, np.concatenate(classes)[first] if len(h) else np.zeros(0, "<u2"), model)))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "bucket", "hashes", "counts", "pairs", "pair_counts", "stats"])
+        reply = np.empty(len(own), "<u2")
+        reply[order] = short(sums)[np.cumsum(new) - 1] | np.where(new, _OWNER, np.uint16(0))
+        rows = [(p, bucket, total[inverse[edges[i] : edges[i + 1]]].tobytes(), reply[ends[i] : ends[i + 1]].tobytes(), None) for i, p in enumerate(parts)]
+        rows.append((-1, bucket, None, None, _statistics(h, total, np.concatenate(classes)[first] if len(h) else np.zeros(0, "<u2"), model)))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "bucket", "counts", "pair_counts", "stats"])
 
     return lambda table: (each(table.sort_by("part")), trim())[0]
 
@@ -471,14 +486,20 @@ def fitted(mass: np.ndarray, of_tokens: np.ndarray, seen: np.ndarray, rounds: in
 
 
 class Known:
-    """A range's answers: totals of its tokens and pairs."""
-
-    def __init__(self, answers: pa.Table):
-        answers = answers.sort_by("bucket")  # buckets are ranges of keys
-        read = lambda name, kind: np.frombuffer(b"".join(x for x in answers.column(name).to_pylist() if x), kind)
-        self.hashes, self.counts = read("hashes", "<u8"), read("counts", "<u8")
-        self.pairs, replies = read("pairs", "<u8"), read("pair_counts", "<u4")
-        self.owned, self.pair_counts = replies >= _OWNER, (replies & (_OWNER - np.uint32(1))).astype(np.int64)
+    """A range's blocks with the answers: totals of its tokens and pairs."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table, model: MaxEnt):
+        #: (rows, whether each trains, how often each counts, blocks)
+        self.read = [(batch, trains, times, list(blocks(batch.column(2)))) for batch, trains, times in _rows(table)]
+        every = [b for *_, bs in self.read for b in bs]
+        self.hashes = np.unique(np.concatenate([b.known_h[b.present] for b in every]))
+        pairs = np.concatenate([pair_keys(b.h, cells(b.back(1)[0], model)) for b in every])
+        pairs.sort()
+        self.pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        answers = answers.sort_by("bucket")  # buckets are ranges of keys, answers come in the order of what was asked
+        read = lambda name, kind: np.frombuffer(b"".join(answers.column(name).to_pylist()), kind)
+        self.counts, replies = read("counts", "<u8"), read("pair_counts", "<u2")
+        self.owned, self.pair_counts = replies >= _OWNER, replies
 
     def of_tokens(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -494,35 +515,37 @@ def _learnt(sent, model: MaxEnt):
 
     def each(table: pa.Table, answers: pa.Table) -> pa.Table:
         t = SimpleNamespace(**sent.value)
-        known, learner = Known(answers), Learner(model)
+        known, learner = Known(table, answers, model), Learner(model)
         mass, of_tokens, seen = np.zeros((model.excess, contexts), np.float32), np.zeros(contexts), np.zeros(width)
         done = ~known.owned  # pairs whose share is another range's to add, or added
-        for batch, trains, times in _rows(table):
-            for b in blocks(batch.column(2)):
+        for _, trains, times, own_blocks in known.read:
+            for b in own_blocks:
                 count = known.of_tokens(b.known_h)
                 of = class_of(b.known, b.known_h, t.frequent, model)
                 share = shares(count, of, t, model)
-                cell = cells(b.back[0], model)
+                back = b.back()
+                cell = cells(back[0], model)
                 at = known.places(pair_keys(b.h, cell))
+                pairs = long(known.pair_counts[at])
                 labels, count = of[b.code], count[b.code]
                 context = (labels << model.cell_bits) | cell
                 # Each pair's share, once.
-                todo = np.flatnonzero(~done[at] & (known.pair_counts[at] > 0))
+                todo = np.flatnonzero(~done[at] & (pairs > 0))
                 _, first = np.unique(at[todo], return_index=True)
                 todo = todo[first]
-                kind = excess(known.pair_counts[at[todo]], count[todo], cell[todo], t, model)
+                kind = excess(pairs[todo], count[todo], cell[todo], t, model)
                 mass += np.bincount((kind - 1) * contexts + context[todo], share[b.code[todo]], model.excess * contexts).reshape(mass.shape)
                 done[at] = True
                 # Training tokens, each left out of its own counts; one that is alone with its kind is unseen then.
                 weight = np.repeat(np.where(trains, times, 0)[b.rows], b.sizes)
                 keep = np.flatnonzero(weight)
                 left = keep[count[keep] > weight[keep]]
-                kind = excess(known.pair_counts[at[left]] - weight[left], count[left] - weight[left], cell[left], t, model)
+                kind = excess(pairs[left] - weight[left], count[left] - weight[left], cell[left], t, model)
                 seen += np.bincount(kind, weight[left], width)
                 of_tokens += np.bincount(context[left], weight[left], contexts)
                 for i in range(0, len(keep), model.batch):
                     own = keep[i : i + model.batch]
-                    learner.step(features([x[own] for x in b.back], model.bits), labels[own], None if (weight[own] == 1).all() else weight[own])
+                    learner.step(features([x[own] for x in back], model.bits), labels[own], None if (weight[own] == 1).all() else weight[own])
         blob = learner.weights.tobytes() + learner.bias.tobytes() + mass.tobytes() + of_tokens.tobytes() + seen.tobytes()
         return pa.table({"id": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": [learner.tokens], "blob": pa.array([blob], pa.binary())})
 
@@ -555,20 +578,21 @@ def _add_blobs(blobs: list[bytes], ns: list[int], model: MaxEnt) -> bytes:
 def _scored(sent, model: MaxEnt):
     def each(table: pa.Table, answers: pa.Table) -> pa.Table:
         t = SimpleNamespace(**sent.value)
-        known, out = Known(answers), []
-        for batch, trains, times in _rows(table):
+        known, out = Known(table, answers, model), []
+        for batch, trains, times, own_blocks in known.read:
             n = batch.num_rows
             sums = np.zeros((4, n))
-            for b in blocks(batch.column(2)):
+            for b in own_blocks:
                 count = known.of_tokens(b.known_h)
                 of = class_of(b.known, b.known_h, t.frequent, model)
                 base = np.log10((count + 1) / (t.tokens + t.types + 1))
                 share = np.log10(shares(count, of, t, model))
-                cell = cells(b.back[0], model)
-                kind = excess(known.pair_counts[known.places(pair_keys(b.h, cell))], count[b.code], cell, t, model)
+                back = b.back()
+                cell = cells(back[0], model)
+                kind = excess(long(known.pair_counts[known.places(pair_keys(b.h, cell))]), count[b.code], cell, t, model)
                 labels = of[b.code]
                 inside = share[b.code] + (t.theta[kind] - t.log_z[(labels << model.cell_bits) | cell]) / math.log(10)
-                outside = class_log10(t.weights, t.bias, features(b.back, model.bits), labels, model)
+                outside = class_log10(t.weights, t.bias, features(back, model.bits), labels, model)
                 starts = np.cumsum(b.sizes) - b.sizes
                 for k, x in enumerate((np.ones(len(labels)), (count > 0)[b.code], base[b.code], inside + outside)):
                     np.add.at(sums[k], b.rows, np.add.reduceat(x.astype(np.float64), starts))
@@ -607,7 +631,7 @@ def scores(docs: DataFrame, model: MaxEnt = MaxEnt(), folds: int = 7, held: int
     statistics = answers.where("part = -1").select(F.col("bucket").alias("id"), F.lit(1).cast("long").alias("n"), F.col("stats").alias("blob"))
     found = _tree(statistics, buckets, lambda blobs, ns: _add_statistics(blobs, model)).first()
     totals = _totals(found["blob"] if found else _statistics(*(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64)), model), model)
-    replies = answers.where("part >= 0").select("part", "bucket", "hashes", "counts", "pairs", "pair_counts")
+    replies = answers.where("part >= 0").select("part", "bucket", "counts", "pair_counts")
     sent = spark.sparkContext.broadcast(vars(totals))  # plain values: broadcasts are read without this package
     learnt = written(own.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_learnt(sent, model), "id int, n long, blob binary"), "weights")
     found = _tree(learnt, parts, lambda blobs, ns: _add_blobs(blobs, ns, model)).first()
