@@ -36,6 +36,9 @@ def parser() -> argparse.ArgumentParser:
     command("calibrate", table, ("--kind", {"choices": ["persistence", "mean", "predictions"], "default": "persistence"}), ("--predictions", {}), ("--split", {"default": "test"}), ("--block", {"type": int, "default": 48}))
     command("correlations", logs)
     command("spans", logs, ("--variable", {"default": TARGET}), ("--year", {"type": int}))
+    model = ("--kind", {"choices": ["gru", "mlp", "teacher", "student", "student_residual"], "default": "gru"})
+    command("train", ("--windows", {"required": True, "help": "what the command windows wrote"}), model, ("--scaler", {"help": "scaler of the command split"}), ("--epochs", {"type": int, "default": 10}), ("--batch", {"type": int, "default": 64}), ("--rate", {"type": float, "default": 1e-3}), ("--decay", {"type": float, "default": 1e-4}), ("--clip", {"type": float, "default": 1.0}), ("--schedule", {"choices": ["plateau", "cosine", "none"], "default": "plateau"}), ("--patience", {"type": int, "default": 0}), ("--objective", {"choices": ["mse", "residual", "tdalign"], "default": "mse"}), ("--hidden", {"type": int, "default": 64}), ("--patch", {"type": int, "default": 16}), ("--teacher", {"help": "predictions of a teacher"}), ("--alpha", {"type": float, "default": 1.0}), ("--beta", {"type": float, "default": 0.0}), ("--seed", {"type": int, "default": 42}), ("--shards", {"type": int, "default": 1}))
+    command("predict", ("--windows", {"required": True}), ("--model", {"required": True, "help": "what the command train wrote"}))
     command("predictions", table)
     command("snapshot", ("--root", {"required": True}))
     command("leaderboard", ("--root", {"required": True}))
@@ -52,14 +55,15 @@ def main(argv: list[str] | None = None) -> None:
         pipelines.store({k: found[k] for k in (("audit", "series") if a.command == "month-audit" else found)}, a.out)
     elif a.command == "resample":
         s = pipelines.TrainingSet(freq=a.freq, agg=a.agg, p=a.p)
-        write(pipelines.panel(spark, a.logs, s, weights=a.weights), f"{a.out}/resampled_{slug_of(resolve_freq(a.freq))}")
+        freq = resolve_freq(a.freq)
+        pipelines.store_panel(pipelines.panel(spark, a.logs, s, weights=a.weights), f"{a.out}/resampled_{slug_of(freq)}", "DateTime", freq, a.agg, {"logs": a.logs})
     elif a.command == "split":
         found = pipelines.training_set(read(a.table), pipelines.TrainingSet(train_end=a.train_end, val_end=a.val_end))
         pipelines.store({k: found[k] for k in ("split", "scaler", "manifest")}, a.out, {"split": ["split"]})
     elif a.command == "windows":
         s = windows.WindowSettings(a.context, a.shift, a.future, a.stride, not a.keep_null_targets, a.max_gap)
         found = windows.require_windows(windows.sliding(read(a.table), "DateTime", [f"{c}_z" for c in FEATURES], f"{TARGET}_z", s))
-        write(found, f"{a.out}/windowed_L{s.context}_H{s.shift}_P{s.future}_S{s.stride}", ["split"])
+        windows.store(found, f"{a.out}/windowed_L{s.context}_H{s.shift}_P{s.future}_S{s.stride}", {"upstream": a.table})
     elif a.command == "explore":
         pipelines.store(pipelines.exploration(read(a.table), [*FEATURES, TARGET], read(a.windows) if a.windows else None), a.out)
     elif a.command == "baselines":
@@ -83,8 +87,14 @@ def main(argv: list[str] | None = None) -> None:
 
         rows = all_years(spark, a.logs)
         write(flag_spans(rows.where(F.col("Year") == a.year) if a.year else rows, "DateTime", f"{a.variable}_Flag"), a.out)
+    elif a.command == "train":
+        from weirflow.operators import training
+
+        pipelines.train(spark, a.windows, a.kind, a.out, training.Training(epochs=a.epochs, batch=a.batch, rate=a.rate, decay=a.decay, clip=a.clip, schedule=a.schedule, patience=a.patience, objective=a.objective, alpha=a.alpha, beta=a.beta, seed=a.seed, shards=a.shards), a.hidden, a.patch, a.scaler, a.teacher)
+    elif a.command == "predict":
+        write(pipelines.predictions(spark, a.windows, a.model), a.out)
     elif a.command == "predictions":
-        rows = metrics.residuals(read(a.table))
+        rows = metrics.by_target_time(metrics.residuals(read(a.table)))
         pipelines.store({"residuals": rows, "errors": metrics.errors(rows), "per_step": metrics.per_step(rows)}, a.out)
     elif a.command == "snapshot":
         artifacts.snapshot(spark, a.root, a.out)

@@ -73,9 +73,9 @@ def weighted_mse(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by: Sequence
 
 
 def tdalign(df: DataFrame, window: Sequence[str] = ("window_id",), loss: str = "mse", weighted: bool = True, need_previous: bool = True) -> DataFrame:
-    """One row: level, difference, rho, total = rho * level + (1 - rho) * difference.
+    """One row: level, difference, rho, total = rho * level + (1 - rho) * difference; NULL where no row counts.
 
-    Differences are between steps, of the first step to end_value.  rho is the
+    Rows count that are valid, have both values and, if weighted, a positive weight.  Differences are between steps, of the first step to end_value.  rho is the
     part of rows whose differences have not the same sign.  need_previous: only
     differences with both ends present count; otherwise one that lacks its
     previous value makes the difference term NULL.
@@ -85,9 +85,9 @@ def tdalign(df: DataFrame, window: Sequence[str] = ("window_id",), loss: str = "
     w = Window.partitionBy(*window).orderBy("step")
     before = lambda c: F.when(F.col("step") == 0, F.col("end_value")).otherwise(F.lag(c).over(w))
     rows = df.withColumn("_dy", F.col("y") - before("y")).withColumn("_dh", F.col("y_hat") - before("y_hat"))
-    rows = rows.where("valid and y is not null and y_hat is not null")
+    rows = usable(rows, weighted)
     size = (lambda e: e * e) if loss == "mse" else F.abs
-    weight = F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)) if weighted else F.lit(1.0)
+    weight = F.col("w") if weighted else F.lit(1.0)
     there = F.col("_dy").isNotNull() & F.col("_dh").isNotNull()
     share = lambda e, keep: F.sum(F.when(keep, size(e) * weight)) / F.greatest(F.sum(F.when(keep, weight)), F.lit(1e-12))
     differing = (F.signum("_dy") != F.signum("_dh")).cast("double")
@@ -120,6 +120,11 @@ def distillation(student: DataFrame, teacher: DataFrame, alpha: float, beta: flo
     return found.withColumn("loss", alpha * F.col("supervised") + (1 - alpha) * F.col("distilled") + beta * F.col("end"))
 
 
-def top_windows(df: DataFrame, k: int = 3) -> DataFrame:
-    """The k windows with most usable steps: (window_id, n_valid)."""
-    return usable(df).groupBy("window_id").agg(F.count("*").alias("n_valid")).orderBy(F.desc("n_valid"), "window_id").limit(k)
+def top_windows(df: DataFrame, k: int = 3, window: Sequence[str] = ("window_id",)) -> DataFrame:
+    """The k windows with most usable steps: (window, n_valid); window is what tells windows apart."""
+    return usable(df).groupBy(*window).agg(F.count("*").alias("n_valid")).orderBy(F.desc("n_valid"), *window).limit(k)
+
+
+def by_target_time(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Predictions ordered by the time they are for, as they are stored for plots."""
+    return df.orderBy(ts, "window_id", "step")

@@ -1,9 +1,9 @@
 """Forecast models by numpy, run over windows in Arrow batches.
 
 A model is a dict of arrays and a config; weights go to the executors once, as a
-broadcast of a few hundred kilobytes.  Training is by ridge regression in
-closed form (its sums are one aggregation); the recurrent and attention models
-run forward from given weights.
+broadcast of a few hundred kilobytes.  Forward passes are plain array code, which
+``training`` runs with gradients as well; ``fit_ridge`` fits a linear model in closed
+form (its sums are one aggregation).
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _norm(x: np.ndarray, gain: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * gain + bias
+    x = x - x.mean(-1, keepdims=True)
+    return x / np.sqrt((x * x).mean(-1, keepdims=True) + 1e-5) * gain + bias
 
 
 def _dense(p: dict, name: str, x: np.ndarray) -> np.ndarray:
@@ -70,15 +71,15 @@ def gru(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig) -> np.ndar
     seq = np.where(valid, x, 0.0)
     h = None
     for k in range(c.layers):
-        h, out = np.zeros((len(x), c.hidden)), np.empty((*seq.shape[:2], c.hidden))
+        h, out = np.zeros((len(x), c.hidden)), []
         given = _dense(p, f"in{k}", seq)
         for t in range(seq.shape[1]):
             ir, iz, i_n = np.split(given[:, t], 3, axis=1)
             hr, hz, hn = np.split(_dense(p, f"re{k}", h), 3, axis=1)
             z, n = _sigmoid(iz + hz), np.tanh(i_n + _sigmoid(ir + hr) * hn)
             h = (1 - z) * n + z * h
-            out[:, t] = h
-        seq = out
+            out.append(h)
+        seq = np.stack(out, axis=1)
     return _dense(p, "head2", np.maximum(_dense(p, "head1", h), 0))
 
 
@@ -192,6 +193,13 @@ def _pooled(p: dict, x: np.ndarray, valid: np.ndarray, c: ForecastConfig, target
     return _norm(q + _attend(p, "cross", q, kv, pad, c.heads), p["norm.g"], p["norm.b"]).mean(axis=1)
 
 
+def cells(column: pa.ListArray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, steps, names) of a column of arrays of structs, and whether each cell is a finite number."""
+    flat = column.flatten()
+    x = np.stack([np.asarray(flat.field(n).to_numpy(zero_copy_only=False), float) for n in names], axis=1).reshape(len(column), -1, len(names))
+    return x, np.isfinite(x)
+
+
 def predict(windows: DataFrame, kind: str, weights: dict[str, np.ndarray], c: ForecastConfig, residual: bool = False, keys: tuple[str, ...] = ("split",)) -> DataFrame:
     """(keys, window_id, step, y_hat) of each window.  kind: gru, mlp, teacher, student or student_residual.
 
@@ -216,10 +224,7 @@ def predict(windows: DataFrame, kind: str, weights: dict[str, np.ndarray], c: Fo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            context = batch.column(len(keys) + 2)
-            cells = context.flatten()
-            x = np.stack([np.asarray(cells.field(n).to_numpy(zero_copy_only=False), float) for n in names], axis=1).reshape(batch.num_rows, -1, len(names))
-            ok = np.isfinite(x)
+            x, ok = cells(batch.column(len(keys) + 2), names)
             more = {"target": x[..., -1], "target_valid": ok[..., -1]} if kind == "teacher" else {}
             y = runs[kind](p, x[..., :-1], ok[..., :-1], c, **more)
             if residual:
@@ -242,17 +247,19 @@ def fit_ridge(windows: DataFrame, c: ForecastConfig, penalty: float = 1.0) -> di
 
     What comes to the driver is one matrix for each partition group: (channels + 2) squared numbers.
     """
-    size = c.channels + 2
+    size, names = c.channels + 2, [*(f"f{i}" for i in range(c.channels)), "y"]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xx, xy = np.zeros((size, size)), np.zeros((size, c.horizon))
         for batch in batches:
-            for context, future in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.array([*(v if v is not None else 0.0 for v in context[-1].values()), 1.0])
-                y = np.array([f["y"] if f["y"] is not None else np.nan for f in future])
-                if np.isfinite(y).all():
-                    xx += np.outer(row, row)
-                    xy += np.outer(row, y)
+            if not batch.num_rows:
+                continue
+            x, ok = cells(batch.column(0), names)
+            y = cells(batch.column(1), ["y"])[0][..., 0]
+            rows = np.concatenate([np.where(ok[:, -1], x[:, -1], 0.0), np.ones((len(x), 1))], axis=1)
+            kept = np.isfinite(y).all(axis=1)
+            xx += rows[kept].T @ rows[kept]
+            xy += rows[kept].T @ y[kept]
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(size * (size + c.horizon)), pa.int32()), "v": np.concatenate([xx.ravel(), xy.ravel()])})
 
     sums = windows.select("context", "future").mapInArrow(each, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()

@@ -10,13 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import finite, micros, quoted, weight
 from weirflow.operators.ordering import CHUNK_ROWS, numbered, over_chunks
 
 
+# The data set's weights, and the name of a single one.
+WEIGHTS = ("weight_chl_gt", "weight")
+
+
 @dataclass(frozen=True)
 class WindowSettings:
     context: int = 96
@@ -33,18 +37,24 @@ class WindowSettings:
 
 
 def weight_column(columns: Sequence[str]) -> str | None:
-    """The weight that windows take: on the grid if there, else of the samples, else none (all ones)."""
-    return next((c for c in ("weight_resampled", "weight") if c in columns), None)
+    """The weight that windows take: on the grid if there, else of the samples, else none (all ones).
+
+    A table whose weights have other names needs the name given: they are not passed over.
+    """
+    found = next((c for c in (*(f"{w}_resampled" for w in WEIGHTS), *WEIGHTS) if c in columns), None)
+    if found is None and (others := [c for c in columns if c.startswith("weight")]):
+        raise ValueError(f"which of {others} is the weight of windows? name it by weight_col")
+    return found
 
 
 def median_step(df: DataFrame, ts: str, tie: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
-    """One row: step, the median positive time between rows in microseconds, truncated."""
+    """(keys, step): the median positive time between the rows of a series in microseconds, truncated."""
     return _median_step(numbered(df.select(*keys, ts, *tie), ts, tie, keys), ts, keys)
 
 
 def _median_step(rows: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
     gaps = over_chunks(rows.select(*keys, ts, "_r"), "_r", 1, 0, lambda d, w: d.withColumn("_gap", micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w)), keys)
-    return gaps.where("_gap > 0").agg(F.floor(F.percentile("_gap", F.lit(0.5))).cast("long").alias("step"))
+    return gaps.where("_gap > 0").groupBy(*keys).agg(F.floor(F.percentile("_gap", F.lit(0.5))).cast("long").alias("step"))
 
 
 def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: WindowSettings = WindowSettings(), keys: Sequence[str] = ("split",), weight_col: str | None = None, tie: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -53,7 +63,8 @@ def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: Win
     window_id is the start row within the series.  context is an array of
     (features..., target), future of (ts, y, w).  NULL is missing; the weight of
     a missing weight is 0, without a weight column all weights are 1.  Series
-    are the rows of equal keys, ordered by ts and tie.
+    are the rows of equal keys, ordered by ts and tie; gaps are judged by the
+    series' own median step.
     """
     used = weight_col or weight_column(df.columns)
     w = weight(quoted(used).cast("double")) if used else F.lit(1.0)
@@ -61,7 +72,7 @@ def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: Win
     slim = df.select(*keys, ts, *tie, F.struct(*(value(c).alias(f"f{i}") for i, c in enumerate(features)), value(target).alias("y")).alias("_x"), value(target).alias("_y"), w.alias("_w"))
     rows = numbered(slim, ts, tie, keys)
     back, ahead = s.context - 1, s.shift + s.future
-    gap_limit = F.broadcast(_median_step(rows, ts, keys)) if s.max_gap is not None else None
+    gap_limit = _median_step(rows, ts, keys) if s.max_gap is not None else None
 
     def frames(d: DataFrame, win: WindowSpec) -> DataFrame:
         d = d.withColumn("_context", F.collect_list("_x").over(win.rowsBetween(-back, 0)))
@@ -77,7 +88,9 @@ def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: Win
     if s.skip_null_target:
         found = found.where(F.col("_future")[0]["y"].isNotNull())
     if gap_limit is not None:
-        found = found.crossJoin(gap_limit).where(F.coalesce(F.col("_gap") <= F.col("step") * s.max_gap, F.lit(True)))
+        # One row a series; series of one row have none.
+        limited = found.join(gap_limit, list(keys), "left") if keys else found.crossJoin(F.broadcast(gap_limit))
+        found = limited.where(F.coalesce(F.col("_gap") <= F.col("step") * s.max_gap, F.lit(True)))
     return found.select(*keys, start.alias("window_id"), F.col(ts).alias("context_end"), F.col("_y").alias("end_value"), F.col("_context").alias("context"), F.col("_future").alias("future"))
 
 
@@ -88,6 +101,20 @@ def require_windows(windows: DataFrame) -> DataFrame:
     return windows
 
 
+def store(windows: DataFrame, out: str, lineage: dict[str, str] | None = None, keys: Sequence[str] = ("split",)) -> None:
+    """out/windows (Parquet by keys) and out/manifest (JSON): shapes of each series' windows, and what they were made from."""
+    windows.write.mode("overwrite").partitionBy(*keys).parquet(f"{out}/windows")
+    kept = windows.sparkSession.read.parquet(f"{out}/windows")
+    channels = len(windows.schema["context"].dataType.elementType.fields)
+    shapes = kept.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.max(F.size("context")).alias("context"), F.max(F.size("future")).alias("future"), F.lit(channels).alias("channels"))
+    shapes.select("*", *(F.lit(v).alias(k) for k, v in (lineage or {}).items())).coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+
+
+def load(spark: SparkSession, out: str) -> DataFrame:
+    """The windows that store() wrote."""
+    return spark.read.parquet(f"{out}/windows")
+
+
 def long_form(windows: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
     """(keys, window_id, step, ts, y, valid, w, end_value): a row for each future step."""
     opened = windows.select(*keys, "window_id", "end_value", F.posexplode("future").alias("step", "_f"))

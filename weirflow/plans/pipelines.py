@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions.scalars import hampel_rows, resolve_freq
-from weirflow.operators import calendar, calibration, metrics, outliers, resample, splits, stats, windows
+from weirflow.functions.scalars import freq_micros, hampel_rows, resolve_freq
+from weirflow.operators import calendar, calibration, metrics, outliers, resample, splits, stats, training, windows
+from weirflow.operators.models import ForecastConfig, predict
 from weirflow.sources.sensor_logs import FEATURES, TARGET, TIME, masked_series, trimmed_target, weight_table, write
 
 
@@ -90,3 +91,37 @@ def exploration(split: DataFrame, columns: Sequence[str], found: DataFrame | Non
 def store(frames: dict[str, DataFrame], out: str, partitioned: dict[str, Sequence[str]] | None = None) -> None:
     for name, df in frames.items():
         write(df, f"{out}/{name}", (partitioned or {}).get(name, ()))
+
+
+def store_panel(panel: DataFrame, out: str, ts: str, freq: str, agg: str, more: dict[str, str] | None = None) -> None:
+    """The panel with a row of what it was made with and what it holds: out/panel and out/meta (JSON)."""
+    write(panel, f"{out}/panel")
+    kept = panel.sparkSession.read.parquet(f"{out}/panel")
+    counts = [c for c in kept.columns if c.startswith("n_obs_")]
+    found = kept.agg(F.count("*").alias("n_rows"), F.min(ts).cast("string").alias("first"), F.max(ts).cast("string").alias("last"), *(F.sum(F.col(f"`{c}`")).alias(c) for c in counts))
+    settings = {"freq": freq, "agg": agg, "step_micros": freq_micros(freq), **(more or {})}
+    write(found.select(*(F.lit(v).alias(k) for k, v in settings.items()), *(F.col(f"`{c}`") for c in found.columns)), f"{out}/meta", fmt="json")
+
+
+def train(spark: SparkSession, stored: str, kind: str, out: str, t: training.Training = training.Training(), hidden: int = 64, patch: int = 16, scaler: str | None = None, teacher: str | None = None, target: str = TARGET) -> training.Fitted:
+    """Trains on stored windows (splits train, val and, if there, test) and leaves checkpoint, log, settings and summary in out."""
+    rows = windows.load(spark, stored)
+    first = windows.require_windows(rows).select(F.size("future").alias("future"), "context").first()
+    channels = len(rows.schema["context"].dataType.elementType.fields) - 1
+    c = ForecastConfig(channels=channels, horizon=first["future"], hidden=hidden, patch=patch)
+    stat = spark.read.parquet(scaler).first()["scaler"][target] if scaler else None
+    mean, std = (stat["mean"], stat["std"]) if stat else (0.0, 1.0)
+    part = {name: rows.where(F.col("split") == name) for name in ("train", "val", "test")}
+    fitted = training.fit(part["train"], part["val"], kind, c, t, spark.read.parquet(teacher) if teacher else None, mean, std)
+    residual = t.objective == "residual" and kind != "student_residual"
+    test = training.evaluate(part["test"], kind, fitted.weights, c, residual, mean, std)
+    training.save(spark, fitted, out, {"test_rmse_chl": test["rmse"], "test_mae_chl": test["mae"], "test_n_valid": test["n"], "checkpoint": f"{out}/checkpoint"})
+    return fitted
+
+
+def predictions(spark: SparkSession, stored: str, model: str) -> DataFrame:
+    """Long form of stored windows with the model's y_hat, by target time."""
+    kind, weights, c, t = training.load(spark, model)
+    rows = windows.load(spark, stored)
+    found = predict(rows, kind, weights, c, t.objective == "residual" and kind != "student_residual")
+    return metrics.by_target_time(windows.long_form(rows).join(found, ["split", "window_id", "step"]))

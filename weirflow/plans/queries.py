@@ -335,6 +335,7 @@ def patches(spark, sf_dir):
 
 _FORECAST = f"{_WINDOWS}, fc AS (SELECT split, window_id, step, y, end_value AS y_hat, end_value, (CAST(floor(window_id / 3) AS bigint) % 3) / 2.0 AS w FROM win)"
 _OK = "y IS NOT NULL AND y_hat IS NOT NULL"
+_MODEL = "y * 0.8 + 0.05 * (step % 5) - 0.1"
 
 
 def forecast(spark, sf_dir):
@@ -367,9 +368,35 @@ def errors_per_block(spark, sf_dir):
     return six(metrics.per_block(forecast(spark, sf_dir), 4), "rmse", "mae")
 
 
-@query(f"WITH {_FORECAST} SELECT window_id, count(*) AS n_valid FROM fc WHERE split = 'test' AND {_OK} GROUP BY 1 ORDER BY n_valid DESC, window_id LIMIT 3")
+@query(f"WITH {_FORECAST} SELECT split, window_id, count(*) AS n_valid FROM fc WHERE {_OK} GROUP BY 1, 2 ORDER BY n_valid DESC, split, window_id LIMIT 3")
 def top_windows(spark, sf_dir):
-    return metrics.top_windows(forecast(spark, sf_dir).where("split = 'test'"))
+    return metrics.top_windows(forecast(spark, sf_dir), window=["split", "window_id"])
+
+
+@query("""WITH r AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS g
+FROM (SELECT * FROM events UNION ALL SELECT event_id, timestamp '2020-01-01' + to_hours(CAST(event_id AS int)), user_id, 'hourly', value, props FROM events WHERE event_id < 500)),
+m AS (SELECT event_type, CAST(floor(quantile_cont(g, 0.5)) AS bigint) AS step FROM r WHERE g > 0 GROUP BY 1),
+w AS (SELECT event_type, r AS e, max(g) OVER (PARTITION BY event_type ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS g, count(*) OVER (PARTITION BY event_type) AS n FROM r)
+SELECT event_type, any_value(step) AS step, count(*) FILTER (e >= 3 AND e - 3 <= n - 4 - 2 AND g <= step * 4.0) AS n_windows FROM w JOIN m USING (event_type) GROUP BY 1""")
+def window_gaps_by_series(spark, sf_dir):
+    """Series of different cadences side by side, each judged by its own step."""
+    rows = events(spark, sf_dir).select("event_id", "ts", "event_type", "value")
+    hourly = rows.where("event_id < 500").select("event_id", (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("event_id").cast("int"))).alias("ts"), F.lit("hourly").alias("event_type"), "value")
+    both = rows.unionByName(hourly)
+    s = windows.WindowSettings(context=4, shift=0, future=2, stride=1, max_gap=4.0, skip_null_target=False)
+    found = windows.sliding(both, "ts", ["value"], "value", s, keys=("event_type",), tie=("event_id",))
+    counts = found.groupBy("event_type").agg(F.count("*").alias("n_windows"))
+    steps = windows.median_step(both, "ts", ["event_id"], ["event_type"])
+    return steps.join(counts, "event_type", "left").select("event_type", "step", F.coalesce("n_windows", F.lit(0)).alias("n_windows"))
+
+
+@query(f"WITH {_FORECAST}, m AS (SELECT *, {_MODEL} AS p FROM fc), d AS (SELECT *, y - CASE WHEN step = 0 THEN end_value ELSE lag(y) OVER v END AS dy, p - CASE WHEN step = 0 THEN end_value ELSE lag(p) OVER v END AS dh FROM m WINDOW v AS (PARTITION BY split, window_id ORDER BY step)), s AS (SELECT 'none' AS kind, NULL::double AS level, NULL::double AS difference, NULL::double AS rho UNION ALL SELECT 'mae' AS kind, avg(abs(p - y)) AS level, avg(abs(dh - dy)) FILTER (dy IS NOT NULL AND dh IS NOT NULL) AS difference, avg(CASE WHEN sign(dy) <> sign(dh) THEN 1.0 ELSE 0.0 END) FILTER (dy IS NOT NULL AND dh IS NOT NULL) AS rho FROM d WHERE y IS NOT NULL AND p IS NOT NULL) SELECT kind, round(level, 6) AS level, round(difference, 6) AS difference, round(rho, 6) AS rho, round(rho * level + (1 - rho) * difference, 6) AS total FROM s")
+def difference_alignment_edges(spark, sf_dir):
+    """Absolute errors without weights; no row of positive weight at all."""
+    rows = forecast(spark, sf_dir).withColumn("y_hat", F.expr(_MODEL))
+    none = metrics.tdalign(rows.withColumn("w", F.lit(0.0)), ["split", "window_id"]).withColumn("kind", F.lit("none"))
+    plain = metrics.tdalign(rows, ["split", "window_id"], loss="mae", weighted=False).withColumn("kind", F.lit("mae"))
+    return six(none.unionByName(plain).select("kind", "level", "difference", "rho", "total"), "level", "difference", "rho", "total")
 
 
 _BLOCKS = f"""{_FORECAST}, e AS (SELECT split, window_id, CAST(floor(step / 4) AS int) AS block, CASE WHEN coalesce(sum(w) FILTER ({_OK} AND w > 0), 0) > 1e-12 THEN sum(w * (y - y_hat)) FILTER ({_OK} AND w > 0) / sum(w) FILTER ({_OK} AND w > 0) END AS own FROM fc GROUP BY 1, 2, 3),
@@ -393,11 +420,8 @@ def first_blocks(spark, sf_dir):
     return six(calibration.first_blocks(forecast(spark, sf_dir), 4, 70, ["split", "window_id"]).select("split", "window_id", "block", "bias"), "bias")
 
 
-_MODEL = "y * 0.8 + 0.05 * (step % 5) - 0.1"
-
-
 @query(f"""WITH {_FORECAST}, m AS (SELECT *, {_MODEL} AS p FROM fc), d AS (SELECT *, y - CASE WHEN step = 0 THEN end_value ELSE lag(y) OVER v END AS dy, p - CASE WHEN step = 0 THEN end_value ELSE lag(p) OVER v END AS dh FROM m WINDOW v AS (PARTITION BY split, window_id ORDER BY step)),
-s AS (SELECT sum(w * (p - y) * (p - y)) / sum(w) AS level, sum(w * (dh - dy) * (dh - dy)) FILTER (dy IS NOT NULL AND dh IS NOT NULL) / sum(w) FILTER (dy IS NOT NULL AND dh IS NOT NULL) AS difference, avg(CASE WHEN sign(dy) <> sign(dh) THEN 1.0 ELSE 0.0 END) FILTER (dy IS NOT NULL AND dh IS NOT NULL) AS rho FROM d WHERE y IS NOT NULL AND p IS NOT NULL)
+s AS (SELECT sum(w * (p - y) * (p - y)) / sum(w) AS level, sum(w * (dh - dy) * (dh - dy)) FILTER (dy IS NOT NULL AND dh IS NOT NULL) / sum(w) FILTER (dy IS NOT NULL AND dh IS NOT NULL) AS difference, avg(CASE WHEN sign(dy) <> sign(dh) THEN 1.0 ELSE 0.0 END) FILTER (dy IS NOT NULL AND dh IS NOT NULL) AS rho FROM d WHERE y IS NOT NULL AND p IS NOT NULL AND w > 0)
 SELECT round(level, 6) AS level, round(difference, 6) AS difference, round(rho, 6) AS rho, round(rho * level + (1 - rho) * difference, 6) AS total FROM s""")
 def difference_alignment(spark, sf_dir):
     rows = forecast(spark, sf_dir).withColumn("y_hat", F.expr(_MODEL))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Files up to this size are hashed whole, larger ones by their first mebibyte.
@@ -58,10 +59,23 @@ def pick_window_dir(dirs: DataFrame, name: str = "name") -> DataFrame:
     return dirs.where(F.col(name).rlike(r"^windowed_L.*_H.*_P.*_S")).withColumn("stride", stride).orderBy("stride", name).limit(1)
 
 
+def relative(root: str) -> Column:
+    """A file's path below root."""
+    return F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^[a-z]+:/*", "", root).strip("/")) + "/", "")
+
+
+def by_path(files: DataFrame, root: str, patterns: Sequence[str]) -> DataFrame:
+    """Those whose path below root matches one of the patterns; * and ? stand within one folder's name, ** for any folders."""
+    if list(patterns) == ["*"]:
+        return files
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    rule = "|".join("".join(parts.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", p)) for p in patterns)
+    return files.where(relative(root).rlike(f"^(?:{rule})$"))
+
+
 def fingerprints(spark: SparkSession, root: str, patterns: Sequence[str] = ("*",)) -> DataFrame:
-    """(path, size, modified, sha256, whole) of files below root; large files by the hash of their first part."""
-    glob = "{" + ",".join(patterns) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    """(path, size, modified, sha256, whole) of files below root that match; large files by the hash of their first part."""
+    files = by_path(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, patterns)
     whole = F.col("length") <= WHOLE
     content = F.when(whole, F.col("content")).otherwise(F.substring("content", 1, PREFIX))
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2(content, 256).alias("sha256"), whole.alias("whole")).orderBy("path")
@@ -85,9 +99,11 @@ def git_state(root: str) -> dict:
 
 
 def snapshot(spark: SparkSession, root: str, out: str, patterns: Sequence[str] = ("*",)) -> DataFrame:
-    """Writes out/files and out/run (JSON) and returns the files' fingerprints."""
+    """Writes out/files, out/run and out/latest (JSON: where the last snapshot is) and returns the files' fingerprints."""
     files = fingerprints(spark, root, patterns)
     files.write.mode("overwrite").json(f"{out}/files")
     state = git_state(root)
-    spark.createDataFrame([(json.dumps(state), spark.version)], "git string, spark string").write.mode("overwrite").json(f"{out}/run")
+    run = spark.createDataFrame([(json.dumps(state), spark.version, f"{out}/files")], "git string, spark string, files string")
+    run.drop("files").write.mode("overwrite").json(f"{out}/run")
+    run.select("files", "git").write.mode("overwrite").json(f"{out}/latest")
     return spark.read.schema(files.schema).json(f"{out}/files")
