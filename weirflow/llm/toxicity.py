@@ -32,8 +32,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from weirflow.llm.common import chunks, held_apart, long_pieces, small_batches, text_bytes, written
+from weirflow.llm.common import chunks, column, held_apart, long_pieces, small_batches, text_bytes, written
 
 #: What separates words: all of ASCII but letters and digits.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -162,18 +163,18 @@ def _learn(rows: list[tuple[np.ndarray, int]], model: Ftrl) -> tuple[np.ndarray,
     return weights(z, n), float(-zb / ((model.beta + np.sqrt(nb)) / model.alpha))
 
 
-def train(labelled: DataFrame, model: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero weights (ids, values) and bias from labelled: doc_id, text, toxic.
+def train(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero weights (ids, values) and bias from docs (doc_id, text) and labels (doc_id, toxic).
 
     What comes to the driver at once is one shard's weights, 2**bits at most.
     """
-    rows = small_batches(labelled).where(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text", "toxic"))
-    hashed = rows.select("draw", F.octet_length("text").alias("size")).groupBy("draw").agg(F.first("size").alias("size"))
-    # What is ordered here is max_rows numbers.
-    limit = hashed.orderBy("draw").limit(model.max_rows).agg(F.max("draw"), F.sum("size")).first()
-    shards = max(model.shards, -(-(limit[1] or 0) // model.shard_bytes))
-    drawn = rows.where(F.col("draw") <= F.lit(limit[0])).dropDuplicates(["draw"])
+    own = small_batches(docs).select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"), "text")
+    given = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    keys = own.select("doc_id", "hash", "size").join(given, "doc_id").withColumn("draw", F.xxhash64("doc_id", "hash", "toxic"))
+    # max_rows of a few numbers each, whatever the input: they may be ordered in one task and broadcast.
+    drawn = written(keys.groupBy("draw").agg(F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash"), F.first("toxic").alias("toxic"), F.first("size").alias("size")).orderBy("draw").limit(model.max_rows), "drawn")
+    shards = max(model.shards, -(-(drawn.agg(F.sum("size")).first()[0] or 0) // model.shard_bytes))
+    rows = own.join(F.broadcast(drawn.drop("size")), ["doc_id", "hash"]).select("text", "toxic", "draw").dropDuplicates(["draw"])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, at = [], []
@@ -189,7 +190,7 @@ def train(labelled: DataFrame, model: Ftrl = Ftrl()) -> tuple[np.ndarray, np.nda
             ids = np.flatnonzero(weights)
             yield pa.RecordBatch.from_pydict({"n": [len(rows)], "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), "weights": pa.array([weights[ids]], pa.list_(pa.float64())), "bias": [bias]}, pa.schema([("n", pa.int64()), ("ids", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
-    dealt = drawn.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").select("text", "toxic", "draw")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").select("text", "toxic", "draw")
     total, dense, bias = 0, np.zeros(1 << model.bits), 0.0
     found = dealt.mapInArrow(each, "n long, ids array<int>, weights array<double>, bias double")
     for f in written(found, "ftrl").orderBy("n", "bias").toLocalIterator():
@@ -206,7 +207,8 @@ def score(docs: DataFrame, trained: tuple[np.ndarray, np.ndarray, float], model:
     spark = docs.sparkSession
     names = list(keep) or ["doc_id"]
     sent = spark.sparkContext.broadcast((trained[0].astype(np.int32), trained[1].astype(np.float32), trained[2]))
-    schema = docs.select(*names).schema.add(out, "double")
+    own = small_batches(docs).select(*(column(c).alias(f"_{i}") for i, c in enumerate(names)))  # any name may come
+    inner, schema = [*own.columns, "score"], StructType([*own.schema.fields, StructField("score", DoubleType())])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, values, bias = sent.value
@@ -216,15 +218,15 @@ def score(docs: DataFrame, trained: tuple[np.ndarray, np.ndarray, float], model:
         for batch in chunks(batches, last, 2 << 20):
             ids, row = _features(batch.column(last), model, dense)
             total = np.bincount(row, dense[ids].astype(np.float64), batch.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], inner)
 
-    return small_batches(docs).select(*names, F.col("text").alias("__text")).mapInArrow(each, schema)
+    rows = docs.select(*(column(c).alias(f"_{i}") for i, c in enumerate(names)), F.col("text").alias("text"))
+    return rows.mapInArrow(each, schema).toDF(*names, out)
 
 
 def train_on(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), folds: int = 5, held: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """Train on the documents whose crc32(doc_id as text) mod folds is not held."""
-    given = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (held_apart("doc_id", folds) != held))
-    return train(docs.select("doc_id", "text").join(given, "doc_id"), model)
+    return train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(held_apart("doc_id", folds) != held), model)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), folds: int = 5, held: int = 0, threshold: float = 0.5) -> DataFrame:
@@ -239,4 +241,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), thresho
     while mark in docs.columns:
         mark += "_"
     scored = score(docs, train_on(docs, labels, model), model, *docs.columns, out=mark)
-    return scored.where(F.col(mark) < threshold).select(*docs.columns)
+    return scored.where(F.col(mark) < threshold).select(*map(column, docs.columns))
