@@ -29,10 +29,17 @@ def block_bias(df: DataFrame, block: int, window: Sequence[str] = ("window_id",)
 
 
 def calibrated(df: DataFrame, block: int, window: Sequence[str] = ("window_id",)) -> DataFrame:
-    """df with block and y_cal."""
-    biases = block_bias(df, block, window).drop("own")
-    rows = df.withColumn("block", F.floor(F.col("step") / block).cast("int"))
-    return rows.join(biases, [*window, "block"]).withColumn("y_cal", F.col("y_hat") + F.col("bias")).drop("bias")
+    """df with block and y_cal; one pass over the rows of a window, which holds a forecast's steps."""
+    if block < 1:
+        raise ValueError("block must be at least 1")
+    ok = F.col("valid") & F.col("y").isNotNull() & F.col("y_hat").isNotNull() & (F.col("w") > 0)
+    w = F.when(ok, F.col("w")).otherwise(0.0)
+    rows = df.withColumns({"block": F.floor(F.col("step") / block).cast("int"), "_w": w, "_e": F.coalesce(F.col("y") - F.col("y_hat"), F.lit(0.0)) * w})
+    order = Window.partitionBy(*window).orderBy("block")
+    same, past = order.rangeBetween(0, 0), order.rangeBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.sum("_w").over(same) > 1e-12, F.sum("_e").over(same) / F.sum("_w").over(same))
+    bias = F.coalesce(F.last("_own", ignorenulls=True).over(past), F.lit(0.0))
+    return rows.withColumn("_own", own).withColumn("y_cal", F.col("y_hat") + bias).drop("_w", "_e", "_own")
 
 
 def calibration_report(df: DataFrame, block: int, window: Sequence[str] = ("window_id",)) -> DataFrame:

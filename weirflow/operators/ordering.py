@@ -36,6 +36,34 @@ def numbered(df: DataFrame, ts: str, tie: Sequence[str] = (), keys: Sequence[str
     return rows.withColumn("_i", within).join(bases, [*keys, "_slice"]).withColumn(name, F.col("_base") + F.col("_i")).drop("_slice", "_i", "_base")
 
 
+def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """(by, n, q, low, high): the exact percentiles ps of the values that are there, interpolated, as an array; least and largest value.
+
+    Distinct values are counted and placed in buckets by approximate quantiles;
+    the buckets' totals tell which of them hold the wanted ranks, and only these
+    are ordered.  So no task holds all values of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    at = F.percentile_approx("_v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("_bounds")
+    whole = counts.groupBy(*by).agg(at, F.sum("_k").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    with_ = lambda left, right: left.join(right, list(by)) if by else left.crossJoin(F.broadcast(right))
+    placed = with_(counts, whole.select(*by, "_bounds")).select(*by, "_v", "_k", F.size(F.filter("_bounds", lambda q: q < F.col("_v"))).alias("_b"))
+    totals = placed.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))
+    before = totals.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n"))
+    ranks = [F.lit(float(p)) * (F.col("n") - 1) for p in ps]
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | inside(F.floor(r)) | inside(F.ceil(r))
+    held = with_(before, whole.select(*by, "n")).where(wanted).select(*by, "_b", "_before", "n")
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy("_v"))
+    few = placed.join(held, [*by, "_b"]).withColumn("_upto", F.col("_before") + upto)
+    ends = [F.min(F.when(F.col("_upto") > f(r), F.col("_v"))) for r in ranks for f in (F.floor, F.ceil)]
+    picked = few.groupBy(*by, "n").agg(*(e.alias(f"_e{i}") for i, e in enumerate(ends)))
+    between = [F.col(f"_e{2 * i}") + (r - F.floor(r)) * (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) for i, r in enumerate(ranks)]
+    return with_(picked.select(*by, "n", F.array(*between).alias("q")), whole.select(*by, "low", "high"))
+
+
 def over_chunks(df: DataFrame, row: str, before: int, after: int, compute: Callable[[DataFrame, WindowSpec], DataFrame], keys: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """compute(df, window) for frames that reach at most before rows back and after rows ahead.
 

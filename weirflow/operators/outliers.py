@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import clip, weight_of
-from weirflow.operators.ordering import CHUNK_ROWS, numbered, over_chunks
+from weirflow.operators.ordering import CHUNK_ROWS, numbered, over_chunks, percentiles
 
 #: Standard deviations in one median absolute deviation of a normal distribution.
 MAD_SCALE = 1.4826
@@ -34,9 +34,7 @@ def hampel(df: DataFrame, ts: str, tie: list[str], value: str, width: int = 49,
 
 def fences(df: DataFrame, value: str, by: list[str] | None = None, inner: float = 1.5, outer: float = 3.0) -> DataFrame:
     """n, inner_low, inner_high, outer_low, outer_high of each group.  Without a spread (IQR <= 0) the fences are min and max."""
-    v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    stats = df.groupBy(*(by or [])).agg(F.count(v).alias("n"), q.alias("_q"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    stats = percentiles(df, value, (0.25, 0.75), by or []).withColumnsRenamed({"q": "_q", "low": "_lo", "high": "_hi"})
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
 
     def fence(low: bool, k: float) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from weirflow.functions.scalars import DAY_MICROS, freq_micros, from_micros, micros, quoted, weight
 
 
+#: Grid points that are made at once.
+GRID_BLOCK = 4096
+
+
 def _aggregate(agg: str):
     if agg == "median":
         return lambda c: F.percentile(c, F.lit(0.5))
@@ -37,11 +41,15 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], freq: str, agg: str
         placed = rows.withColumn("_bin", bin_end(F.col(ts), step, F.lit(0).cast("long")))
     else:
         first = rows.groupBy(*keys).agg(micros(F.min(F.date_trunc("day", F.col(ts)).cast("timestamp_ntz"))).alias("_origin"))
-        joined = rows.join(F.broadcast(first), list(keys)) if keys else rows.crossJoin(F.broadcast(first))
+        joined = rows.join(first, list(keys)) if keys else rows.crossJoin(F.broadcast(first))
         placed = joined.withColumn("_bin", bin_end(F.col(ts), step, F.col("_origin"))).drop("_origin")
     columns = [how(quoted(v)).alias(v) for v in values] + [F.count(quoted(v)).alias(f"n_obs_{v}") for v in values if counts]
     binned = placed.groupBy(*keys, "_bin").agg(*columns)
-    spine = binned.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi")).where("_lo is not null").select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(step).cast("long"))).alias("_bin"))
+    # The grid comes in blocks, so that no row holds all of it.
+    span = F.lit(step * GRID_BLOCK).cast("long")
+    ends = binned.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi")).where("_lo is not null")
+    blocks = ends.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", span)).alias("_at"))
+    spine = blocks.select(*keys, F.explode(F.sequence("_at", F.least(F.col("_at") + span - F.lit(step), F.col("_hi")), F.lit(step).cast("long"))).alias("_bin"))
     full = spine.join(binned, [*keys, "_bin"], "left")
     if counts:
         full = full.fillna(0, [f"n_obs_{v}" for v in values])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import finite, quoted
+from weirflow.operators.ordering import percentiles
 
 
 def _long(df: DataFrame, by: Sequence[str], columns: Sequence[str], name: str = "column") -> DataFrame:
@@ -24,9 +25,16 @@ def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, column, n, mean, std, min, q25, q50, q75, max); std is the sample's, quartiles are exact."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = _long(df, by, columns).groupBy(*by, "column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max"))
-    return found.select(*by, "column", "n", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    long = _long(df, by, columns)
+    keys = [*by, "column"]
+    # Over one group or over all rows, a group's key may be NULL: keys are compared as such.
+    found = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    q = percentiles(long, "value", (0.25, 0.5, 0.75), keys).select(*(F.col(k).alias(f"_{k}") for k in keys), "q", "low", "high")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return found.join(q, on, "left").select(*keys, "n", "mean", "std", F.col("low").alias("min"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), F.col("high").alias("max"))
 
 
 def _pairs_long(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

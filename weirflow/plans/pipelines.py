@@ -73,9 +73,10 @@ def training_set(rows: DataFrame, s: TrainingSet = TrainingSet(), features: Sequ
 
 def baseline_report(long: DataFrame) -> DataFrame:
     """(split, method, rmse, mae, n) of mean and persistence on the later splits."""
-    later = long.where("split <> 'train'")
-    mean = metrics.mean_baseline(long.where("split = 'train'"), later).withColumn("method", F.lit("mean"))
-    return metrics.errors(mean.unionByName(metrics.persistence_baseline(later).withColumn("method", F.lit("persistence"))), ["split", "method"])
+    later = metrics.mean_baseline(long.where("split = 'train'"), long.where("split <> 'train'"))
+    both = F.array(*(F.struct(F.lit(m).alias("method"), F.col(c).alias("y_hat")) for m, c in (("mean", "y_hat"), ("persistence", "end_value"))))
+    rows = later.withColumn("_m", F.explode(both)).drop("y_hat").select("*", "_m.method", "_m.y_hat")
+    return metrics.errors(rows, ["split", "method"])
 
 
 def calibration_reports(long: DataFrame, block: int) -> dict[str, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import scalars as S
 from weirflow.operators import calendar, calibration, metrics, models, outliers, quality_flags, resample, spans, splits, stats, windows
 from weirflow.operators.ordering import keep_first
+from weirflow.plans import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -347,10 +348,7 @@ def forecast(spark, sf_dir):
 SELECT split, 'mean' AS method, round(sqrt(avg((y - m) * (y - m))), 6) AS rmse, round(avg(abs(y - m)), 6) AS mae, count(*) AS n FROM win, b WHERE y IS NOT NULL AND split <> 'train' GROUP BY 1
 UNION ALL SELECT split, 'persistence' AS method, round(sqrt(avg((y - end_value) * (y - end_value))), 6) AS rmse, round(avg(abs(y - end_value)), 6) AS mae, count(*) AS n FROM win WHERE y IS NOT NULL AND end_value IS NOT NULL AND split <> 'train' GROUP BY 1""")
 def baselines(spark, sf_dir):
-    rows = long_rows(spark, sf_dir)
-    later = rows.where("split <> 'train'")
-    both = metrics.mean_baseline(rows.where("split = 'train'"), later).withColumn("method", F.lit("mean")).unionByName(metrics.persistence_baseline(later).withColumn("method", F.lit("persistence")))
-    return six(metrics.errors(both, ["split", "method"]), "rmse", "mae")
+    return six(pipelines.baseline_report(long_rows(spark, sf_dir)), "rmse", "mae")
 
 
 @query(f"WITH {_FORECAST} SELECT split, round(sqrt(sum(w * (y - y_hat) * (y - y_hat)) / sum(w)), 6) AS rmse, round(sum(w * abs(y - y_hat)) / sum(w), 6) AS mae, round(sum(w * (y - y_hat)) / sum(w), 6) AS bias, count(*) AS n FROM fc WHERE {_OK} AND w > 0 GROUP BY 1")
