@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import scalars as S
 from weirflow.operators import metrics, ordering, splits, windows
 from weirflow.plans import pipelines
-from weirflow.plans.queries import _FORECAST, _OK, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
+from weirflow.plans.queries import _FORECAST, _LAST, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
 from weirflow.sources import artifacts, sensor_logs
 from weirflow.sources.scratch import fresh_folder, one_file
 
@@ -138,7 +138,7 @@ def stored_windows(spark, sf_dir):
     return six(windows.long_form(rows).select("split", "window_id", "step", S.micros(F.col("ts")).alias("ts_micros"), "y", "end_value"), "y", "end_value")
 
 
-@query(f"WITH {_WINDOWS}, kept AS (SELECT DISTINCT split, window_id FROM win) SELECT split, count(*) AS n_windows, 24::bigint AS context, 12::bigint AS future, 6::bigint AS channels, 'panel' AS upstream FROM kept GROUP BY 1")
+@query(f"WITH {_WINDOWS}, kept AS (SELECT DISTINCT split, window_id FROM win) SELECT split, count(*) AS n_windows, {_LAST + 1}::bigint AS context, {_P}::bigint AS future, 6::bigint AS channels, 'panel' AS upstream FROM kept GROUP BY 1")
 def windows_manifest(spark, sf_dir):
     """The sidecar of stored windows: shapes, and what they were made from."""
     folder = fresh_folder(spark, "windows")

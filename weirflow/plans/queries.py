@@ -272,12 +272,13 @@ def histogram(spark, sf_dir):
 
 # -- windows ------------------------------------------------------------------------------------------------------
 
-SETTINGS = windows.WindowSettings(context=24, shift=1, future=12, stride=3, max_gap=2.0)
+SETTINGS = windows.WindowSettings()
+_LAST, _H, _P = SETTINGS.context - 1, SETTINGS.shift, SETTINGS.future
 _Z = f"{_WIDE}, {_SCALER}, z AS (SELECT wide.bin, wide.split, {', '.join(f'({c} - s_{c}.mean) / s_{c}.std AS {c}' for c in (*CHANNELS, 'k'))} FROM wide, {', '.join(f'''(SELECT mean, std FROM sc WHERE name = '{c}') AS s_{c}''' for c in (*CHANNELS, 'k'))})"
 _WINDOWS = f"""{_Z}, i AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY bin) - 1 AS r FROM z),
 n AS (SELECT split, count(*) AS n FROM i GROUP BY 1),
-long_ AS (SELECT a.split, a.r - 23 AS window_id, f.r - a.r - 2 AS step, f.bin AS ts, f.k AS y, a.k AS end_value, a.bin AS context_end FROM i a JOIN n ON a.split = n.split
-JOIN i f ON f.split = a.split AND f.r BETWEEN a.r + 2 AND a.r + 13 WHERE a.r >= 23 AND (a.r - 23) % 3 = 0 AND a.r - 23 <= n.n - 24 - 1 - 12),
+long_ AS (SELECT a.split, a.r - {_LAST} AS window_id, f.r - a.r - {_H + 1} AS step, f.bin AS ts, f.k AS y, a.k AS end_value, a.bin AS context_end FROM i a JOIN n ON a.split = n.split
+JOIN i f ON f.split = a.split AND f.r BETWEEN a.r + {_H + 1} AND a.r + {_H + _P} WHERE a.r >= {_LAST} AND (a.r - {_LAST}) % {SETTINGS.stride} = 0 AND a.r - {_LAST} <= n.n - {_LAST + 1 + _H + _P}),
 win AS (SELECT * FROM long_ WHERE (split, window_id) IN (SELECT (split, window_id) FROM long_ WHERE step = 0 AND y IS NOT NULL))"""
 
 
@@ -301,7 +302,7 @@ def windows_long(spark, sf_dir):
     return six(long_rows(spark, sf_dir).select("split", "window_id", "step", "ts", "y", "end_value"), "y", "end_value")
 
 
-@query(f"""WITH {_WINDOWS}, c AS (SELECT w.split, w.window_id, sum(coalesce(x.click, 0)) AS click, sum(coalesce(x.view, 0)) AS view, count(x.k) AS k_valid, min(x.bin) AS first FROM (SELECT DISTINCT split, window_id FROM win) w JOIN i x ON x.split = w.split AND x.r BETWEEN w.window_id AND w.window_id + 23 GROUP BY 1, 2)
+@query(f"""WITH {_WINDOWS}, c AS (SELECT w.split, w.window_id, sum(coalesce(x.click, 0)) AS click, sum(coalesce(x.view, 0)) AS view, count(x.k) AS k_valid, min(x.bin) AS first FROM (SELECT DISTINCT split, window_id FROM win) w JOIN i x ON x.split = w.split AND x.r BETWEEN w.window_id AND w.window_id + {_LAST} GROUP BY 1, 2)
 SELECT split, window_id, round(click, 5) AS click, round(view, 5) AS view, k_valid FROM c""")
 def windows_context(spark, sf_dir):
     total = lambda i: F.round(F.aggregate(F.transform("context", lambda x: F.coalesce(x[f"f{i}"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x), 5) + F.lit(0.0)
@@ -319,7 +320,7 @@ def window_gaps(spark, sf_dir):
     return found.agg(F.count("*").alias("n_windows"))
 
 
-@query(f"""WITH {_WINDOWS}, c AS (SELECT w.split, w.window_id, avg(({' + '.join(f'CASE WHEN x.{c} IS NULL THEN 0.0 ELSE 1.0 END' for c in CHANNELS)}) / 5) AS v FROM (SELECT DISTINCT split, window_id FROM win) w JOIN i x ON x.split = w.split AND x.r BETWEEN w.window_id AND w.window_id + 23 GROUP BY 1, 2)
+@query(f"""WITH {_WINDOWS}, c AS (SELECT w.split, w.window_id, avg(({' + '.join(f'CASE WHEN x.{c} IS NULL THEN 0.0 ELSE 1.0 END' for c in CHANNELS)}) / 5) AS v FROM (SELECT DISTINCT split, window_id FROM win) w JOIN i x ON x.split = w.split AND x.r BETWEEN w.window_id AND w.window_id + {_LAST} GROUP BY 1, 2)
 SELECT split, count(*) AS n_windows, round(avg(v), 6) AS context_valid, CAST(1.0 AS double) AS target_valid FROM c GROUP BY 1""")
 def window_summary(spark, sf_dir):
     return six(windows.window_summary(window_rows(spark, sf_dir), len(CHANNELS)), "context_valid", "target_valid")
@@ -484,12 +485,12 @@ def fingerprints(spark, sf_dir):
 
 # -- models: no SQL, rows only ------------------------------------------------------------------------------------
 
-MODEL_SETTINGS = windows.WindowSettings(context=48, shift=0, future=6, stride=6, max_gap=None)
+MODEL_SETTINGS = windows.WindowSettings(max_gap=None)
 
 
 def _predicted(spark, sf_dir, kind: str) -> DataFrame:
     """The model's forward pass from seeded weights over all windows, as changes from the end value; the student's from its own estimate."""
-    c = models.ForecastConfig(channels=len(CHANNELS), horizon=MODEL_SETTINGS.future, hidden=16, patch=8, heads=2)
+    c = models.ForecastConfig(channels=len(CHANNELS), horizon=MODEL_SETTINGS.future)
     weights = {"gru": models.gru_weights(c), "mlp": models.mlp_weights(c, MODEL_SETTINGS.context), "teacher": models.attention_weights(c), "student_residual": models.attention_weights(c, student=True, residual=True)}[kind]
     found = windows.sliding(scaled(spark, sf_dir), "bin", CHANNELS, "k", MODEL_SETTINGS)
     own_end = kind == "student_residual"
