@@ -141,8 +141,9 @@ FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid) LEFT JOIN m USING (rid)
 #: Bytes as two hexadecimal digits each.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT rid, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS j FROM d WHERE doc_id IS NOT NULL),
-s AS (SELECT rid, doc_id, j, substr(h, 2 * j + 1, 100) AS g FROM p),
+q AS (SELECT rid, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 500)) AS c FROM d WHERE doc_id IS NOT NULL),
+p AS (SELECT rid, doc_id, c, substr(h, 2 * c + 1, 1098) AS h FROM q),
+s AS (SELECT rid, doc_id, c + i AS j, substr(h, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM p)),
 m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
 k AS (SELECT rid, j, CASE WHEN j <= lag(j) OVER (PARTITION BY rid ORDER BY j) + 50 THEN 0 ELSE 1 END AS new FROM s JOIN m USING (g) WHERE least < doc_id),
 r AS (SELECT rid, min(j) AS b, max(j) + 50 AS e FROM (SELECT rid, j, sum(new) OVER (PARTITION BY rid ORDER BY j ROWS UNBOUNDED PRECEDING) AS run FROM k) GROUP BY rid, run),
