@@ -116,6 +116,8 @@ def test_artifacts(spark, tmp_path):
     assert got["big.npz"].sha256 == hashlib.sha256(b"x" * artifacts.PREFIX).hexdigest() and not got["big.npz"].whole
     assert [r.size for r in artifacts.large_artifacts(spark, str(tmp_path)).collect()] == [artifacts.WHOLE + 1]
     snap = artifacts.snapshot(spark, str(tmp_path), str(tmp_path / "snap"), ("*.json",))
+    assert artifacts.fingerprints(spark, str(tmp_path), ("res/*/*/bad/*.json", "res/**/gru_eval*")).count() == 2
+    assert spark.read.json(str(tmp_path / "snap" / "latest")).first().files == str(tmp_path / "snap") + "/files"
     assert snap.count() == 3 and "revision_error" in artifacts.git_state(str(tmp_path))
     old, new = spark.createDataFrame([(1.0,)], "target double"), spark.createDataFrame([([1.0, None],)], "targets array<double>")
     assert artifacts.any_target(old).first().y == [1.0] and artifacts.any_target(new).first().y_valid == [True, False]
@@ -129,6 +131,10 @@ def test_command_line(spark, logs, tmp_path):
     main(["split", "--table", panel, "--out", f"{tmp_path}/set", "--train-end", "2015-06-15", "--val-end", "2015-06-22"])
     main(["windows", "--table", f"{tmp_path}/set/split", "--out", str(tmp_path), "--context", "12", "--future", "6", "--stride", "6"])
     made = f"{tmp_path}/windowed_L12_H0_P6_S6"
+    assert spark.read.json(f"{made}_manifest").first().upstream == f"{tmp_path}/set/split" and spark.read.json(f"{panel}_meta").first().freq == "1h"
+    main(["train", "--windows", made, "--kind", "gru", "--out", f"{tmp_path}/model", "--epochs", "1", "--hidden", "4", "--scaler", f"{tmp_path}/set/scaler"])
+    main(["predict", "--windows", made, "--model", f"{tmp_path}/model", "--out", f"{tmp_path}/pred"])
+    assert spark.read.parquet(f"{tmp_path}/pred").count() == spark.read.parquet(made).count() * 6
     main(["baselines", "--table", made, "--out", f"{tmp_path}/base"])
     main(["calibrate", "--table", made, "--out", f"{tmp_path}/cal", "--block", "3"])
     main(["spans", "--logs", logs, "--out", f"{tmp_path}/spans", "--year", "2014"])

@@ -102,17 +102,17 @@ def require_windows(windows: DataFrame) -> DataFrame:
 
 
 def store(windows: DataFrame, out: str, lineage: dict[str, str] | None = None, keys: Sequence[str] = ("split",)) -> None:
-    """out/windows (Parquet by keys) and out/manifest (JSON): shapes of each series' windows, and what they were made from."""
-    windows.write.mode("overwrite").partitionBy(*keys).parquet(f"{out}/windows")
-    kept = windows.sparkSession.read.parquet(f"{out}/windows")
+    """out (Parquet by keys) and, beside it, <out>_manifest (JSON): shapes of each series' windows, and what they were made from."""
+    windows.write.mode("overwrite").partitionBy(*keys).parquet(out)
+    kept = windows.sparkSession.read.parquet(out)
     channels = len(windows.schema["context"].dataType.elementType.fields)
     shapes = kept.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.max(F.size("context")).alias("context"), F.max(F.size("future")).alias("future"), F.lit(channels).alias("channels"))
-    shapes.select("*", *(F.lit(v).alias(k) for k, v in (lineage or {}).items())).coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    shapes.select("*", *(F.lit(v).alias(k) for k, v in (lineage or {}).items())).coalesce(1).write.mode("overwrite").json(f"{out}_manifest")
 
 
 def load(spark: SparkSession, out: str) -> DataFrame:
     """The windows that store() wrote."""
-    return spark.read.parquet(f"{out}/windows")
+    return spark.read.parquet(out)
 
 
 def long_form(windows: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:

@@ -124,15 +124,15 @@ def stored_panel(spark, sf_dir):
 @query(f"WITH {_PANEL} SELECT '30min' AS freq, 'median' AS agg, 1800000000::bigint AS step_micros, count(*) AS n_rows, min(bin) AS first, max(bin) AS last, sum(n_obs_value)::bigint AS n_obs_value FROM panel")
 def panel_meta(spark, sf_dir):
     """What a panel was made with and what it holds, as stored beside it."""
-    folder = fresh_folder(spark, "panel")
+    folder = f"{fresh_folder(spark, 'panel')}/p"
     pipelines.store_panel(panel(spark, sf_dir), folder, "bin", "30min", "median")
-    return spark.read.json(f"{folder}/meta").select("freq", "agg", F.col("step_micros").cast("long").alias("step_micros"), "n_rows", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n_obs_value")
+    return spark.read.json(f"{folder}_meta").select("freq", "agg", F.col("step_micros").cast("long").alias("step_micros"), "n_rows", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n_obs_value")
 
 
 @query(f"WITH {_WINDOWS} SELECT split, window_id, CAST(step AS int) AS step, epoch_us(ts) AS ts_micros, round(y, 6) AS y, round(end_value, 6) AS end_value FROM win")
 def stored_windows(spark, sf_dir):
     """Windows written by split and read again: times as microseconds, the target by whichever form is there."""
-    folder = fresh_folder(spark, "windows")
+    folder = f"{fresh_folder(spark, 'windows')}/w"
     windows.store(windows.require_windows(window_rows(spark, sf_dir)), folder, {"upstream": "panel"})
     rows = windows.load(spark, folder)
     return six(windows.long_form(rows).select("split", "window_id", "step", S.micros(F.col("ts")).alias("ts_micros"), "y", "end_value"), "y", "end_value")
@@ -141,9 +141,9 @@ def stored_windows(spark, sf_dir):
 @query(f"WITH {_WINDOWS}, kept AS (SELECT DISTINCT split, window_id FROM win) SELECT split, count(*) AS n_windows, {_LAST + 1}::bigint AS context, {_P}::bigint AS future, 6::bigint AS channels, 'panel' AS upstream FROM kept GROUP BY 1")
 def windows_manifest(spark, sf_dir):
     """The sidecar of stored windows: shapes, and what they were made from."""
-    folder = fresh_folder(spark, "windows")
+    folder = f"{fresh_folder(spark, 'windows')}/w"
     windows.store(window_rows(spark, sf_dir), folder, {"upstream": "panel"})
-    return spark.read.json(f"{folder}/manifest").select("split", "n_windows", "context", "future", "channels", "upstream")
+    return spark.read.json(f"{folder}_manifest").select("split", "n_windows", "context", "future", "channels", "upstream")
 
 
 @query(f"WITH {_WINDOWS}, ta AS (SELECT split, window_id, sum(y) AS total, count(y) AS n FROM win GROUP BY 1, 2), tb AS (SELECT split, window_id, y AS total, 1 AS n FROM win WHERE step = 0) SELECT 'targets' AS form, split, count(*) AS windows, round(sum(total), 4) AS total, sum(n)::bigint AS n FROM ta GROUP BY 2 UNION ALL SELECT 'target' AS form, split, count(*) AS windows, round(sum(total), 4) AS total, sum(n)::bigint AS n FROM tb GROUP BY 2")

@@ -95,13 +95,13 @@ def store(frames: dict[str, DataFrame], out: str, partitioned: dict[str, Sequenc
 
 
 def store_panel(panel: DataFrame, out: str, ts: str, freq: str, agg: str, more: dict[str, str] | None = None) -> None:
-    """The panel with a row of what it was made with and what it holds: out/panel and out/meta (JSON)."""
-    write(panel, f"{out}/panel")
-    kept = panel.sparkSession.read.parquet(f"{out}/panel")
+    """The panel with a row of what it was made with and what it holds: out (Parquet) and, beside it, <out>_meta (JSON)."""
+    write(panel, out)
+    kept = panel.sparkSession.read.parquet(out)
     counts = [c for c in kept.columns if c.startswith("n_obs_")]
     found = kept.agg(F.count("*").alias("n_rows"), F.min(ts).cast("string").alias("first"), F.max(ts).cast("string").alias("last"), *(F.sum(F.col(f"`{c}`")).alias(c) for c in counts))
     settings = {"freq": freq, "agg": agg, "step_micros": freq_micros(freq), **(more or {})}
-    write(found.select(*(F.lit(v).alias(k) for k, v in settings.items()), *(F.col(f"`{c}`") for c in found.columns)), f"{out}/meta", fmt="json")
+    write(found.select(*(F.lit(v).alias(k) for k, v in settings.items()), *(F.col(f"`{c}`") for c in found.columns)), f"{out}_meta", fmt="json")
 
 
 def train(spark: SparkSession, stored: str, kind: str, out: str, t: training.Training = training.Training(), hidden: int = 64, patch: int = 16, scaler: str | None = None, teacher: str | None = None, target: str = TARGET) -> training.Fitted:

@@ -65,9 +65,11 @@ def relative(root: str) -> Column:
 
 
 def by_path(files: DataFrame, root: str, patterns: Sequence[str]) -> DataFrame:
-    """Those whose path below root matches one of the patterns; * and ? stand within one folder's name, ** for any folders."""
-    if list(patterns) == ["*"]:
-        return files
+    """Those that match one of the patterns: by name in any folder, or, if it holds a slash, by the path below root.
+
+    * and ? stand within one name, ** for any folders.
+    """
+    patterns = [p if "/" in p else f"**/{p}" for p in patterns]
     parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     rule = "|".join("".join(parts.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", p)) for p in patterns)
     return files.where(relative(root).rlike(f"^(?:{rule})$"))
