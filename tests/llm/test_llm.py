@@ -861,3 +861,22 @@ def test_pipeline(spark, rows, tmp_path):
     assert {r.doc_id for r in cut} - {r.doc_id for r in clean} == {2299}
     assert {r.doc_id for r in pieces} == {r.doc_id for r in clean} and sum(r.doc_tokens for r in pieces if r.start == 0) == sum(r.length for r in pieces)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """No document at all; no label and no item; documents without ids, texts and words."""
+    import corpus_pipeline
+
+    rng = random.Random(81)
+    some = [(None, prose(rng, 80), "en", None, 1), (None, prose(rng, 90), None, "s", None), (1, None, None, None, None), (2, "", "en", "s", 0), (None, None, None, None, None), (3, prose(rng, 70), "en", "s", 5), (3, prose(rng, 75), "en", "s", 5)]
+    tables = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, rows in (("none", []), ("some", some)):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, DOC).write.parquet(f"{at}/documents.parquet")
+        for t, ddl in tables.items():
+            spark.createDataFrame([], ddl).write.parquet(f"{at}/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    # The three rows without words are one group, of which the least doc_id stays.
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter([None, None, 1, 3, 3])
+    assert [r.doc_tokens for r in pieces if r.doc_id == 1] == [1]
