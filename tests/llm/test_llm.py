@@ -855,7 +855,7 @@ def test_pipeline(spark, rows, tmp_path):
     toxic, single, cut, clean, pieces = kept
     gone = {r[0] for r in table} - {r.doc_id for r in toxic}
     assert len(gone & {2000 + i for i in range(0, 300, 4)}) > 60 and not gone - {2000 + i for i in range(0, 300, 4)}
-    assert len({r.doc_id for r in single}) == len(single) < len(toxic)
+    assert len({(r.doc_id, r.text) for r in single}) == len(single) < len(toxic)
     want = Counter((d, k.decode("utf-8", "ignore")) for d, n, r, s, k in plain_repeats([(r.doc_id, r.text) for r in single], 50) if not r or k)
     assert Counter((r.doc_id, r.text or "") for r in cut) == want
     assert {r.doc_id for r in cut} - {r.doc_id for r in clean} == {2299}
