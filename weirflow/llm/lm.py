@@ -506,7 +506,10 @@ class Known:
         return np.where(self.hashes[at] == h, self.counts[at], 0).astype(np.int64)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.pairs, keys)
+        # In order, as neighbours are found faster than places by chance.
+        order, found = np.argsort(keys), np.empty(len(keys), np.int64)
+        found[order] = np.searchsorted(self.pairs, keys[order])
+        return found
 
 
 def _learnt(sent, model: MaxEnt):
