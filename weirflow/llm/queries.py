@@ -80,8 +80,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings, op11_collocations)}
 
 
 _BOILERPLATE = "|".join(BOILERPLATE)
@@ -154,6 +160,22 @@ FROM d LEFT JOIN t USING (rid)
 """
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::bigint AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k))) GROUP BY ALL),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+v AS (SELECT *, g[1 : cut] AS g1, g[cut + 1 : k] AS g2 FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT v.lang, v.k, v.g, v.a, cut, x.f AS l, y.f AS r, ((1000000::hugeint * v.a * v.a) // (x.f::hugeint * y.f))::bigint AS score
+FROM v JOIN f x ON x.lang = v.lang AND x.g = v.g1 JOIN f y ON y.lang = v.lang AND y.g = v.g2),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, k, g ORDER BY score, cut) AS o FROM s) WHERE o = 1),
+d AS (SELECT DISTINCT x.lang, x.g FROM c x JOIN (SELECT lang, a, g[1 : 2] AS g FROM c WHERE k = 3 UNION ALL SELECT lang, a, g[2 : 3] FROM c WHERE k = 3) y ON x.k = 2 AND x.lang = y.lang AND x.g = y.g AND 100 * y.a >= 50 * x.a),
+r AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.g, ' ')) AS rank, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b ANTI JOIN d ON b.k = 2 AND b.lang = d.lang AND b.g = d.g)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against plain versions and held-out rows."""
-    return {"op1_quality": OP1_SQL, "op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_substrings": OP10_SQL}
+    return {"op1_quality": OP1_SQL, "op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_substrings": OP10_SQL, "op11_collocations": OP11_SQL}
