@@ -47,15 +47,18 @@ def split_at_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row of each piece, whether it is its row's last): the batch's texts, long ones cut before white space."""
+    """(bytes, offsets, rows, whether a row ends here): the batch's texts, long ones cut before white space; all but the last row end."""
     texts, counts = long_pieces(batch.column(column), most)
     row = np.arange(batch.num_rows) if counts is None else np.repeat(np.arange(batch.num_rows), counts)
     last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
     at = 0
     for part in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], 0, most):
         data, offsets = text_bytes(part.column(0))
-        yield data, offsets, row[at : at + part.num_rows], last[at : at + part.num_rows]
+        own = slice(at, at + part.num_rows)
         at += part.num_rows
+        ends = last[own].copy()
+        ends[-1] = True  # pieces of one row side by side are one piece
+        yield data, np.concatenate([offsets[:1], offsets[1:][ends]]), row[own][ends], last[own][ends]
 
 
 def with_ids(table: DataFrame, tag: str, name: str = "id") -> DataFrame:
@@ -68,7 +71,7 @@ def with_ids(table: DataFrame, tag: str, name: str = "id") -> DataFrame:
 
 
 #: Columns of rows that meet by block: kind orders a block's rows, those of kind LAST come after the others.
-MEETING = "block long, kind int, a long, b long, s string, codes binary, row long, doc_id long"
+MEETING = "block long, kind int, a long, b long, s string, codes binary, row long, doc_id long, v array<long>"
 LAST = 9
 
 

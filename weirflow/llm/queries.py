@@ -86,8 +86,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.jaccard import near_sets
+
+    return near_sets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings, op11_collocations)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings, op11_collocations, op13_jaccard)}
 
 
 _BOILERPLATE = "|".join(BOILERPLATE)
@@ -176,6 +182,19 @@ SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) WHERE
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid, rid AS q FROM d UNION SELECT r.rid, e.y FROM r JOIN e ON r.q = e.x),
+c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.q GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against plain versions and held-out rows."""
-    return {"op1_quality": OP1_SQL, "op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_substrings": OP10_SQL, "op11_collocations": OP11_SQL}
+    return {"op1_quality": OP1_SQL, "op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_substrings": OP10_SQL, "op11_collocations": OP11_SQL, "op13_jaccard": OP13_SQL}
