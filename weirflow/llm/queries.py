@@ -86,6 +86,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.alignment import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"))
+
+
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.jaccard import near_sets
 
@@ -93,7 +99,7 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings, op11_collocations, op13_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_decontamination, op5_token_ids, op6_lm, op7_license, op8_packing, op9_toxicity, op10_substrings, op11_collocations, op12_alignment, op13_jaccard)}
 
 
 _BOILERPLATE = "|".join(BOILERPLATE)
