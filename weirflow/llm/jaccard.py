@@ -4,7 +4,8 @@ Two sets of Jaccard similarity t or more share a token among the first
 n - ceil(t n) + 1 tokens of each, whatever the order of all tokens is.  Three orders
 serve: by the token's hash; by how many of the sets hold it, rare first, ties by the
 hash; the same with ties by another hash.  The first needs no counts, so it is
-taken for all sets and leaves those that share a token with another at all.
+taken for all sets, with a tenth of n tokens more: a set goes on only if others have
+a tenth or more (of the least size that may be alike) of these too.
 Only for these are tokens counted.  Under the second order sets meet on equal
 tokens; pairs that share no token under the third and first go before any two
 sets are compared.
@@ -73,7 +74,9 @@ def _tokens(words: np.ndarray, edges: np.ndarray, size: int) -> tuple[np.ndarray
         sums = [np.uint64(sum(int(w) * int(f) for w, f in zip(words[edges[r] : edges[r + 1]], factors, strict=False)) + int(lengths[r]) & (2**64 - 1)) for r in short]
         found, owner = np.concatenate([found, np.array(sums, np.uint64)]), np.concatenate([owner, short])
     found = mixed(found) >> np.uint64(1)
-    order = np.lexsort((found, owner))
+    order = np.argsort(found)
+    few = len(lengths) <= 1 << 16  # then the stable order of owners is a radix sort
+    order = order[np.argsort(owner[order].astype(np.uint16) if few else owner[order], kind="stable")]
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
@@ -110,9 +113,14 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (before[ends] - before[ends - counts]).view(np.int64)
 
 
-def _prefix(n, percent: int):
-    """How many first tokens two sets of this size and more must share one of."""
-    return n - (n * percent + 99) // 100 + 1
+def _prefix(n, percent: int, shared=1):
+    """Of how many first tokens of a set of n another one must share so many to be alike."""
+    return np.minimum(n - (n * percent + 99) // 100 + shared, n)
+
+
+def _shared(n):
+    """How many of its first tokens by hash a set must share: a tenth of its size, so that a common passage alone does not do."""
+    return (n + 9) // 10
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -131,7 +139,7 @@ def _sets(docs: DataFrame, size: int, percent: int, whole: bool) -> DataFrame:
             for row, flat, counts in token_sets(batch, 2, size):
                 prints = [_sums(mixed(flat, seed), counts) for seed in (3, 5)]
                 if not whole:
-                    keep = np.where(counts > 0, _prefix(counts, percent), 0)
+                    keep = _prefix(counts, percent, _shared(counts))
                     flat, given = flat[_within(counts) < np.repeat(keep, counts)], keep
                 else:
                     given = counts
@@ -189,11 +197,13 @@ def near_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     rows = docs.select(number.alias("number"), F.xxhash64("text").alias("key"), "text")
     own = written(_sets(rows, size, percent, False), "sets")
 
-    # Sets that share one of their first tokens by hash with another set, and one row of each.
-    first = own.select("f1", "f2", F.explode("tokens").alias("token"))
-    shared = first.groupBy("token").agg(F.min("f1").alias("a"), F.max("f1").alias("b"), F.min("f2").alias("c"), F.max("f2").alias("d")).where("a != b OR c != d").select("token")
-    some = written(first.join(shared, "token").select("f1", "f2").distinct(), "sets")
-    least = own.groupBy("f1", "f2").agg(F.min(F.struct("number", "key")).alias("m"), F.min(F.expr(f"nullif(number, {-(1 << 63)})")).alias("least_id"))
+    # Sets that share enough of their first tokens by hash with others, and one row of each.
+    first = own.select("f1", "f2", "n", F.explode("tokens").alias("token"))
+    shared = written(first.groupBy("token").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).where("a != b").select("token"), "sets")
+    least = own.groupBy("f1", "f2").agg(F.min(F.struct("number", "key")).alias("m"), F.min(F.expr(f"nullif(number, {-(1 << 63)})")).alias("least_id"), F.count("*").alias("copies"))
+    found = first.join(shared, "token").groupBy("f1", "f2", "n").agg(F.count("*").alias("found"))
+    enough = F.expr(f"(((n * {percent} + 99) div 100) + 9) div 10")
+    some = written(found.join(least.select("f1", "f2", "copies"), ["f1", "f2"]).where(F.col("found") >= enough * F.col("copies")).select("f1", "f2"), "sets")
     picked = least.join(some, ["f1", "f2"]).select("m.number", "m.key").distinct()
     texts = rows.join(picked, ["number", "key"]).groupBy("number", "key").agg(F.first("text").alias("text"))
     classes = written(with_ids(_sets(texts, size, percent, True).select("f1", "f2", "n", "tokens").dropDuplicates(["f1", "f2"]), "sets", "c"), "sets")
@@ -226,7 +236,7 @@ def near_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     full = least.join(named, ["f1", "f2"], "left")
     tops = full.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("top"))
     names = written(full.join(tops, "root", "left").select("f1", "f2", F.expr("CASE WHEN root IS NULL THEN least_id ELSE top END").alias("component_id")), "sets")
-    drop_written(some, star, grouped)
+    drop_written(some, shared, star, grouped)
 
     own_id = F.expr(f"nullif(number, {-(1 << 63)})")
     linked = own.where("n > 0").join(names, ["f1", "f2"]).select(own_id.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
