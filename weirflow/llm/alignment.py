@@ -5,8 +5,8 @@ character: so a text is a row of units, a space and what follows, and its alignm
 that of its units one after the other.  Units repeat, so the relational steps run
 over the corpus's distinct units, each tokenized once: tokens are exploded with their
 positions, windowed sums of their bytes give their ends, an equi-join on unit and end
-finds the common ends, a running count of these numbers the groups, and a join of the
-two sides by unit and group links tokens whose ranges overlap.  Documents, as
+finds the common ends, a running count of these numbers the groups, and within a group the tokens of one side
+meet those of the other whose ranges overlap theirs.  Documents, as
 numbers of a block's units, meet the results block by block.
 
 Where a tokenizer might look across such a space (``separable``), the units are whole
@@ -30,15 +30,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, numbers, pieces, with_ids
-from weirflow.llm.common import drop_written, small_batches, written
+from weirflow.llm.common import drop_written, small_batches, text_bytes, written
 
 #: UTF-8 bytes of text of a block: larger ones repeat fewer units.
 BLOCK_BYTES = 32 << 20
+#: Units that are tokenized as one text.
+TOGETHER = 256
 #: Rows of an Arrow batch that a worker sends.
 SEND = 1 << 14
 
@@ -181,58 +184,110 @@ def _coded(docs: DataFrame, block_bytes: int, cut: bool) -> DataFrame:
 
     names = [c.split()[0] for c in _UNITS.split(", ")]
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(each, _UNITS), "units")
-
-
-def _tokenized(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    return written(rows.mapInArrow(each, _UNITS), "units", "zstd")
+
+
+def _ends_safely(units: pa.Array) -> np.ndarray:
+    """Units after which another one, which begins with a space, is a unit of its own (as in unit_starts)."""
+    data, offsets = text_bytes(units)
+    ends = offsets[1:]
+    last, lead = data[ends - 1], data[np.maximum(ends - 2, 0)]
+    return (last > 32) & (last < 127) | (last >= 128) & (ends - offsets[:-1] > 2) & (lead >= 0xC3) & (lead <= 0xDF)
+
+
+class _Speller:
+    """One tokenizer over many units: (ids, sizes in bytes, tokens of each unit, whether they spell it)."""
+
+    def __init__(self, encode, spelled: list[bytes]):
+        self.encode, self.spelled = encode, spelled
+        self.sizes = np.fromiter(map(len, spelled), np.int32, len(spelled))
+
+    def together(self, units: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Units side by side as one text, None unless its tokens spell it and end where each unit does."""
+        text = "".join(units)
+        ids = np.array(self.encode(text), np.int32)
+        upto = np.cumsum(self.sizes[ids], dtype=np.int64)
+        place = np.minimum(np.searchsorted(upto, ends), max(len(upto) - 1, 0))
+        if not len(ids) or not (upto[place] == ends).all() or b"".join(map(self.spelled.__getitem__, ids.tolist())) != text.encode():
+            return None
+        return ids, np.diff(np.append(0, place + 1)), np.ones(len(units), bool)
+
+    def alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = [self.encode(u) for u in units]
+        fits = [b"".join(map(self.spelled.__getitem__, x)) == u.encode() for x, u in zip(ids, units, strict=True)]
+        return np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)), np.array(fits, bool)
+
+    def __call__(self, units: list[str], sizes: np.ndarray, n_together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for k in range(0, n_together, TOGETHER):
+            own = units[k : min(k + TOGETHER, n_together)]
+            found.append(self.together(own, np.cumsum(sizes[k : k + len(own)])) or self.alone(own))
+        found.append(self.alone(units[n_together:]))
+        ids, counts, fits = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return ids, self.sizes[ids], counts, fits
+
+
+def _tokenized(units: DataFrame, a_path: str, b_path: str, cut: bool) -> DataFrame:
     """(uid, fits, a, b): the tokens of each unit as (id, size in bytes); fits where both sides spell the unit."""
-    token = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
 
-    def tokens(ids: list[list[int]], spelled: list[bytes]) -> pa.Array:
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        sizes = np.fromiter(map(len, spelled), np.int32, len(spelled))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], ["id", "size"])).cast(token)
+    def tokens(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes)], ["id", "size"]))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _kept(f"bytes:{a_path}:{b_path}")
-        if not hasattr(kept, "spelled"):
-            kept.spelled = token_bytes(a_path, b_path)
-        (a_bytes, b_bytes), a, b = kept.spelled, _a(a_path), _b(b_path)
-        space = b.piece_to_id("▁")
+        kept = _kept(f"spellers:{a_path}:{b_path}")
+        if not hasattr(kept, "spellers"):
+            a, b = _a(a_path), _b(b_path)
+            space = [b.piece_to_id("▁")]
+            a_bytes, b_bytes = token_bytes(a_path, b_path)
+            kept.spellers = _Speller(lambda u: a.encode(u, add_special_tokens=False).ids, a_bytes), _Speller(lambda u: space if u == " " else b.encode(u[1:]), b_bytes)
         for batch in batches:
-            units = batch.column(1).to_pylist()
-            a_ids = [e.ids for e in a.encode_batch_fast(units, add_special_tokens=False)]
-            b_ids = b.encode([u[1:] for u in units], num_threads=1)
-            b_ids = [[space] if u == " " else x for u, x in zip(units, b_ids, strict=True)]
-            fits = [b"".join(map(a_bytes.__getitem__, x)) == (w := u.encode()) and b"".join(map(b_bytes.__getitem__, y)) == w for u, x, y in zip(units, a_ids, b_ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fits, pa.bool_()), tokens(a_ids, a_bytes), tokens(b_ids, b_bytes)], ["uid", "fits", "a", "b"])
+            if not batch.num_rows:
+                continue
+            safe = _ends_safely(batch.column(1)) if cut else np.zeros(batch.num_rows, bool)
+            batch = batch.take(pa.array(np.argsort(~safe, kind="stable")))
+            units, sizes = batch.column(1).to_pylist(), np.asarray(pc.binary_length(batch.column(1))).astype(np.int64)
+            sides = [speller(units, sizes, int(safe.sum())) for speller in kept.spellers]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sides[0][3] & sides[1][3]), *(tokens(*side[:3]) for side in sides)], ["uid", "fits", "a", "b"])
 
     kind = "array<struct<id:int,size:int>>"
     return units.select("uid", "unit").mapInArrow(each, f"uid long, fits boolean, a {kind}, b {kind}")
 
 
+#: Joins on more keys than the data is dealt by need no other exchange while this is off.
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 def aligned(tokenized: DataFrame) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, groups, links) of token lists (uid, a, b): the relational steps; links are a * 2**32 + b."""
+    """(uid, n_a, n_b, n_groups, groups, links) of token lists (uid, a, b), written; links are a * 2**32 + b.
+
+    The relational steps: tokens are dealt by uid once and stay there.
+    """
+    spark = tokenized.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda c: tokenized.select("uid", F.posexplode(c).alias("pos", "t")).select("uid", F.col("t.id").alias(c), F.col("t.size").alias(f"size_{c}"), F.sum("t.size").over(run).alias("end"))
+    dealt = lambda c: tokenized.select("uid", c).repartition(ranges, "uid")
+    side = lambda c: dealt(c).select("uid", F.posexplode(c).alias("pos", "t")).select("uid", F.col("t.id").alias(c), F.col("t.size").alias(f"size_{c}"), F.sum("t.size").over(run).alias("end"))
     both = side("a").join(side("b"), ["uid", "end"], "full")
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     ends = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = written(both.select("uid", "end", "a", "b", "size_a", "size_b", (F.sum(cut).over(ends) - cut).cast("int").alias("gid")), "groups")
-
-    ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    groups = grouped.groupBy("uid", "gid").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.count("a").alias("n_a"), F.count("b").alias("n_b"))
-    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gid", "ids"))), lambda x: x["ids"]), ";")
-    groups = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), spelled.alias("groups"))
-
-    left = grouped.where("a IS NOT NULL").select("uid", "gid", "a", (F.col("end") - F.col("size_a")).alias("a_start"), F.col("end").alias("a_end"))
-    right = grouped.where("b IS NOT NULL").select("uid", "gid", "b", (F.col("end") - F.col("size_b")).alias("b_start"), F.col("end").alias("b_end"))
-    pairs = left.join(right, ["uid", "gid"]).where("a_start < b_end AND b_start < a_end")
-    links = pairs.groupBy("uid").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))).alias("links"))
-    found = groups.join(links, "uid")
-    found._grouped = grouped
-    return found
+    numbered = both.withColumn("gid", F.sum(cut).over(ends) - cut)
+
+    # A group's tokens of both sides; those of A meet those of B whose ranges overlap theirs.
+    held = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", (F.col("end") - F.col(f"size_{c}")).alias("start"), F.col(c).alias("id")))))
+    groups = numbered.groupBy("uid", "gid").agg(held("a").alias("a"), held("b").alias("b"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
+    over = lambda x: F.transform(F.filter("b", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), lambda y: F.shiftleft(x["id"].cast("long"), 32).bitwiseOR(y["id"].cast("long")))
+    groups = groups.select("uid", "gid", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.flatten(F.transform("a", over)).alias("links"))
+    order = F.array_sort(F.collect_list(F.struct("gid", "ids", "links")))
+    whole = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("g"))
+    found = whole.select("uid", "n_a", "n_b", "n_groups", F.array_join(F.transform("g", lambda x: x["ids"]), ";").alias("groups"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
+    before = spark.conf.get(_ALL_KEYS)
+    spark.conf.set(_ALL_KEYS, "false")
+    try:
+        return written(found, "aligned", "zstd")
+    finally:
+        spark.conf.set(_ALL_KEYS, before)
 
 
 class _Block:
@@ -334,17 +389,16 @@ def _documents(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> DataF
 def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of docs (doc_id, text)."""
     a_path, b_path = a_path or _vocabulary("byte_bpe_50k.json"), b_path or _vocabulary("piece_bpe_32k.model")
-    coded = _coded(docs, block_bytes, separable(a_path, b_path))
+    cut = separable(a_path, b_path)
+    coded = _coded(docs, block_bytes, cut)
     own = coded.where("kind = 0").select("block", F.posexplode("units").alias("a", "unit"))
     units = with_ids(own.select("unit").distinct(), "units", "uid")
-    units = written(units, "units")
-    tokens = written(_tokenized(units.repartition("uid"), a_path, b_path), "tokens")
-    found = aligned(tokens.where("fits").select("uid", "a", "b"))
-    facts = written(found.select("uid", F.col("groups").alias("s"), F.concat(F.array("n_a", "n_b", "n_groups"), "links").alias("v")), "facts")
-    drop_written(found._grouped, tokens)
-    named = units.join(facts, "uid", "left").select("unit", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
-    entries = written(own.join(named, "unit").select("block", "a", "s", "v"), "entries")
-    drop_written(units, facts)
+    tokens = written(_tokenized(units, a_path, b_path, cut), "tokens", "zstd")
+    facts = aligned(tokens.where("fits").select("uid", "a", "b"))
+    drop_written(tokens)
+    named = units.join(facts, "uid", "left").select("unit", F.col("groups").alias("s"), F.coalesce(F.concat(F.array("n_a", "n_b", "n_groups"), "links"), F.array().cast("array<long>")).alias("v"))
+    entries = written(own.join(named, "unit").select("block", "a", "s", "v"), "entries", "zstd")
+    drop_written(facts, units)
 
     here = _document_pairs(coded, entries)
     counts = here.groupBy("pair").agg(F.sum("n").alias("count"))

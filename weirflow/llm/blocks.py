@@ -67,7 +67,9 @@ def with_ids(table: DataFrame, tag: str, name: str = "id") -> DataFrame:
     part, place = F.shiftright("_mono", 33), F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
     parts = own.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return own.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + place + 1).drop("_mono", "_part", "_before")
+    found = own.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + place + 1).drop("_mono", "_part", "_before")
+    found._written = own._written
+    return found
 
 
 #: Columns of rows that meet by block: kind orders a block's rows, those of kind LAST come after the others.
