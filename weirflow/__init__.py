@@ -1 +1,11 @@
-"""weirflow: analytics over time series and documents, on Spark's DataFrames."""
+"""weirflow: analytics over time series and documents, on Spark's DataFrames.
+
+Functions that run in Python workers are pickled by value, so a cluster needs no
+copy of the package on its executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

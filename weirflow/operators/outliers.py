@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from weirflow.functions.scalars import clip, weight_of
-from weirflow.operators.ordering import CHUNK_ROWS, numbered, over_chunks, percentiles
+from weirflow.operators.ordering import CHUNK_ROWS, in_chunks, numbered, percentiles
+from weirflow.operators.rolling import moving_median
 
 #: Standard deviations in one median absolute deviation of a normal distribution.
 MAD_SCALE = 1.4826
 
 
-def rolling_median(c: Column, window: WindowSpec, width: int) -> Column:
-    """Centred; NULL where the frame has under max(3, width // 4) values."""
-    after = (width - 1) // 2
-    frame = window.rowsBetween(-(width - 1 - after), after)
-    return F.when(F.count(c).over(frame) >= max(3, width // 4), F.percentile(c, F.lit(0.5)).over(frame))
-
-
 def hampel(df: DataFrame, ts: str, tie: list[str], value: str, width: int = 49, n_sigma: float = 3.0, out: str = "spike", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """df with rolling_median, rolling_mad and the flag out; ts and tie must order the rows uniquely."""
+    """df with rolling_median, rolling_mad and the flag out; ts and tie must order the rows uniquely.
 
-    def label(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = d.withColumn("rolling_median", rolling_median(F.col(value), w, width))
-        d = d.withColumn("rolling_mad", rolling_median(F.abs(F.col(value) - F.col("rolling_median")), w, width))
-        far = F.abs(F.col(value) - F.col("rolling_median")) > n_sigma * MAD_SCALE * F.col("rolling_mad")
-        return d.withColumn(out, F.coalesce((F.col("rolling_mad") > 1e-12) & far, F.lit(False)))
-
-    halo = 2 * width
-    return over_chunks(numbered(df, ts, tie), "_r", halo, halo, label, chunk_rows=chunk_rows).drop("_r")
+    Frames are centred and counted in rows; a frame of under max(3, width // 4)
+    values has neither median nor deviation.  Chunks carry `width` rows of their
+    neighbours, so a task holds chunk_rows + 2 * width rows, 4 * width at least.
+    """
+    after = (width - 1) // 2
+    before, least = width - 1 - after, max(3, width // 4)
+    rows = numbered(df, ts, tie)
+    copied = in_chunks(rows.withColumn("_x", F.col(value).cast("double")), "_r", width, width, max(chunk_rows, 2 * width))
+    schema = StructType([*(f for f in copied.schema.fields if f.name not in ("_x", "_home", "_chunk", "_r")), StructField("rolling_median", DoubleType()), StructField("rolling_mad", DoubleType()), StructField(out, BooleanType())])
+
+    def label(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("_r").to_numpy(), kind="stable")))
+        there = np.asarray(table.column("_x").is_valid())
+        x = np.asarray(table.column("_x").fill_null(0.0))
+        median, known = moving_median(x, there, before, after, least)
+        mad, sure = moving_median(np.abs(x - median), there & known, before, after, least)
+        spike = there & known & sure & (mad > 1e-12) & (np.abs(x - median) > n_sigma * MAD_SCALE * mad)
+        kept = table.drop_columns(["_x", "_home", "_chunk", "_r"])
+        for name, c in (("rolling_median", pa.array(median, mask=~known)), ("rolling_mad", pa.array(mad, mask=~sure)), (out, pa.array(spike))):
+            kept = kept.append_column(name, c)
+        return kept.filter(pc.equal(table.column("_home"), table.column("_chunk")))
+
+    return copied.groupBy("_chunk").applyInArrow(label, schema)
 
 
 def fences(df: DataFrame, value: str, by: list[str] | None = None, inner: float = 1.5, outer: float = 3.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import finite, quoted
-from weirflow.operators.ordering import percentiles
+from weirflow.operators.ordering import join_on, percentiles
 
 
 def _long(df: DataFrame, by: Sequence[str], columns: Sequence[str], name: str = "column") -> DataFrame:
@@ -27,14 +27,10 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     """(by, column, n, mean, std, min, q25, q50, q75, max); std is the sample's, quartiles are exact."""
     long = _long(df, by, columns)
     keys = [*by, "column"]
-    # Over one group or over all rows, a group's key may be NULL: keys are compared as such.
     found = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    q = percentiles(long, "value", (0.25, 0.5, 0.75), keys).select(*(F.col(k).alias(f"_{k}") for k in keys), "q", "low", "high")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return found.join(q, on, "left").select(*keys, "n", "mean", "std", F.col("low").alias("min"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), F.col("high").alias("max"))
+    q = percentiles(long, "value", (0.25, 0.5, 0.75), keys).select(*keys, "q", "low", "high")
+    both = join_on(found, q, keys, "left")
+    return both.select(*keys, "n", "mean", "std", F.col("low").alias("min"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), F.col("high").alias("max"))
 
 
 def _pairs_long(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -58,12 +54,12 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, bucket
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
     at = F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("_bounds")
     bounds = F.broadcast(counts.groupBy(*by).agg(at))  # one row for each group of columns
-    both = counts.join(bounds, list(by)) if by else counts.crossJoin(bounds)
+    both = join_on(counts, bounds, by)
     placed = both.withColumn("_b", F.size(F.filter("_bounds", lambda q: q < F.col(value)))).drop("_bounds")
     totals = placed.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))
     before = totals.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
     upto = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy(value))
-    return placed.withColumn("_upto", upto).join(F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
+    return join_on(placed.withColumn("_upto", upto), F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:

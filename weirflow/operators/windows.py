@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import finite, micros, quoted, weight
-from weirflow.operators.ordering import CHUNK_ROWS, numbered, over_chunks, percentiles
+from weirflow.operators.ordering import in_chunks, join_on, numbered, over_chunks, percentiles
 
+#: Rows of a chunk from which windows are cut, about; longer windows take longer chunks.
+WINDOW_CHUNK = 2048
+#: Rows that the windows made at once hold, about.
+CUT_ROWS = 1 << 17
 
 # The data set's weights, and the name of a single one.
 WEIGHTS = ("weight_chl_gt", "weight")
@@ -57,41 +61,58 @@ def _median_step(rows: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
     return percentiles(gaps.where("_gap > 0"), "_gap", (0.5,), keys).select(*keys, F.floor(F.col("q")[0]).cast("long").alias("step"))
 
 
-def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: WindowSettings = WindowSettings(), keys: Sequence[str] = ("split",), weight_col: str | None = None, tie: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: WindowSettings = WindowSettings(), keys: Sequence[str] = ("split",), weight_col: str | None = None, tie: Sequence[str] = (), chunk_rows: int = WINDOW_CHUNK) -> DataFrame:
     """A row for each window: keys, window_id, context_end, end_value, context, future.
 
     window_id is the start row within the series.  context is an array of
     (features..., target), future of (ts, y, w).  NULL is missing; the weight of
     a missing weight is 0, without a weight column all weights are 1.  Series
-    are the rows of equal keys, ordered by ts and tie; gaps are judged by the
-    series' own median step.
+    are the rows of equal keys (NULL is a key), ordered by ts and tie; gaps are
+    judged by the series' own median step.
+
+    Rows are gathered in sorted chunks, each with the rows that its last window
+    reaches; windows are slices of these, made for every stride-th start alone, and
+    rows that no window holds are not gathered.
     """
     used = weight_col or weight_column(df.columns)
     w = weight(quoted(used).cast("double")) if used else F.lit(1.0)
     value = lambda c: finite(quoted(c).cast("double"))
-    slim = df.select(*keys, ts, *tie, F.struct(*(value(c).alias(f"f{i}") for i, c in enumerate(features)), value(target).alias("y")).alias("_x"), value(target).alias("_y"), w.alias("_w"))
+    slim = df.select(*keys, ts, *tie, F.struct(*(value(c).alias(f"f{i}") for i, c in enumerate(features)), value(target).alias("y")).alias("_x"), w.alias("_w"))
     rows = numbered(slim, ts, tie, keys)
-    back, ahead = s.context - 1, s.shift + s.future
     gap_limit = _median_step(rows, ts, keys) if s.max_gap is not None else None
-
-    def frames(d: DataFrame, win: WindowSpec) -> DataFrame:
-        d = d.withColumn("_context", F.collect_list("_x").over(win.rowsBetween(-back, 0)))
-        d = d.withColumn("_future", F.collect_list(F.struct(F.col(ts).alias("ts"), F.col("_y").alias("y"), F.col("_w").alias("w"))).over(win.rowsBetween(s.shift + 1, ahead)))
-        if s.max_gap is not None:
-            d = d.withColumn("_step", micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(win))
-            d = d.withColumn("_gap", F.max("_step").over(win.rowsBetween(-(back - 1), ahead)) if back else F.max("_step").over(win.rowsBetween(1, ahead)))
-        return d
-
-    found = over_chunks(rows, "_r", back + 1, ahead + 1, frames, keys, chunk_rows)
-    start = F.col("_r") - back
-    found = found.where((F.size("_context") == s.context) & (F.size("_future") == s.future) & (start % s.stride == 0))
+    span = s.context + s.shift + s.future
+    if s.stride > span:
+        rows = rows.where(F.col("_r") % s.stride < span)
+    apart = min(s.stride, span)  # rows that are kept from one window's start to the next one's
+    per_chunk = max(chunk_rows, span) // s.stride + 1
+    chunks = in_chunks(rows, "_r", 0, max(span - s.stride, 0), per_chunk * s.stride)
+    step = F.lit(None).cast("long")
+    if s.max_gap is not None:
+        step = micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(Window.partitionBy(*keys, "_chunk").orderBy("_r"))
+    cells = F.struct("_r", F.col(ts).alias("ts"), "_x", F.col("_w").alias("w"), step.alias("gap"))
+    held = chunks.select(*keys, "_chunk", cells.alias("_cell")).groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list("_cell")).alias("_rows"))
+
+    # Windows of a chunk by number, in runs whose rows are bounded; the last ones may lack rows.
+    run = max(CUT_ROWS // span, 1)
+    whole = F.floor((F.size("_rows") - span) / apart).cast("int")
+    runs = held.where(F.size("_rows") >= span).withColumn("_last", F.least(F.lit(per_chunk - 1), whole)).select("*", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(run))).alias("_first"))
+
+    def window(i: Column) -> Column:
+        part = lambda skip, n: F.slice("_rows", i * apart + skip + 1, F.lit(n))
+        start, end = F.element_at("_rows", i * apart + 1), F.element_at("_rows", i * apart + s.context)
+        gap = F.array_max(F.transform(part(1, span - 1), lambda c: c["gap"])) if s.max_gap is not None and span > 1 else F.lit(None).cast("long")
+        future = F.transform(part(s.context + s.shift, s.future), lambda c: F.struct(c["ts"].alias("ts"), c["_x"]["y"].alias("y"), c["w"].alias("w")))
+        return F.struct(start["_r"].alias("window_id"), end["ts"].alias("context_end"), end["_x"]["y"].alias("end_value"), F.transform(part(0, s.context), lambda c: c["_x"]).alias("context"), future.alias("future"), gap.alias("_gap"))
+
+    starts = F.sequence("_first", F.least(F.col("_first") + run - 1, F.col("_last")))
     if s.skip_null_target:
-        found = found.where(F.col("_future")[0]["y"].isNotNull())
+        starts = F.filter(starts, lambda i: F.element_at("_rows", i * apart + s.context + s.shift + 1)["_x"]["y"].isNotNull())
+    found = runs.select(*keys, F.explode(F.transform(starts, window)).alias("_window")).select(*keys, "_window.*")
     if gap_limit is not None:
         # One row a series; series of one row have none.
-        limited = found.join(gap_limit, list(keys), "left") if keys else found.crossJoin(F.broadcast(gap_limit))
+        limited = join_on(found, gap_limit, keys, "left")
         found = limited.where(F.coalesce(F.col("_gap") <= F.col("step") * s.max_gap, F.lit(True)))
-    return found.select(*keys, start.alias("window_id"), F.col(ts).alias("context_end"), F.col("_y").alias("end_value"), F.col("_context").alias("context"), F.col("_future").alias("future"))
+    return found.select(*keys, "window_id", "context_end", "end_value", "context", "future")
 
 
 def require_windows(windows: DataFrame) -> DataFrame:

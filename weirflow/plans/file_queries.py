@@ -251,22 +251,29 @@ def from_delta(spark, sf_dir):
     return six(metrics.errors(metrics.from_delta(rows), ["split"]).select("split", "rmse", "n"), "rmse")
 
 
-@query("""SELECT * FROM (VALUES ('30min', 1800000000::bigint, 49::bigint, '30min'), ('1h', 3600000000, 25, '1h'), ('7h', 25200000000, 7, '7h'), ('10 s', 10000000, 8641, '10_s'), ('2D', 172800000000, 7, '2D')) v(freq, micros, hampel_rows, slug)
-UNION ALL SELECT * FROM (VALUES ('1M', -1::bigint, -1::bigint, '1M'), ('0min', -1, -1, '0min'), ('', -1, -1, 'custom')) v(freq, micros, hampel_rows, slug)""")
+@query("""WITH f AS (SELECT CAST(l_quantity AS bigint) AS q, l_returnflag AS u, count(*) AS n FROM lineitem GROUP BY 1, 2),
+m AS (SELECT q, u, n, CASE u WHEN 'A' THEN ' min' WHEN 'N' THEN 'h' ELSE 'M' END AS unit, CASE u WHEN 'A' THEN 60000000 WHEN 'N' THEN 3600000000 END * q AS us FROM f)
+SELECT CAST(q AS varchar) || unit AS freq, n, coalesce(us, -1)::bigint AS micros, CASE WHEN us IS NULL THEN -1 ELSE greatest(7, CAST(round_even(86400000000.0 / us, 0) AS bigint) | 1) END::bigint AS hampel_rows, CAST(q AS varchar) || replace(unit, ' ', '_') AS slug FROM m""")
 def frequencies(spark, sf_dir):
-    """Lengths of time, the Hampel window of a day in rows, and slugs; lengths that vary are refused."""
+    """Lengths of time, the Hampel window of a day in rows, and slugs, of all quantities and return flags; lengths that vary are refused."""
+    unit = F.when(F.col("l_returnflag") == "A", " min").when(F.col("l_returnflag") == "N", "h").otherwise("M")
+    found = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.col("l_quantity").cast("long").cast("string"), unit).alias("freq")).agg(F.count("*").alias("n"))
 
-    def row(freq: str) -> tuple:
-        try:
-            return freq, S.freq_micros(freq), S.hampel_rows(24, freq), S.slug_of(freq)
-        except ValueError:
-            return freq, -1, -1, S.slug_of(freq)
+    def each(batches):
+        for rows in batches:
+            for freq in rows.freq:
+                try:
+                    rows.loc[rows.freq == freq, ["micros", "hampel_rows"]] = S.freq_micros(freq), S.hampel_rows(24, freq)
+                except ValueError:
+                    rows.loc[rows.freq == freq, ["micros", "hampel_rows"]] = -1, -1
+                rows.loc[rows.freq == freq, "slug"] = S.slug_of(freq)
+            yield rows.astype({"micros": "int64", "hampel_rows": "int64"}) if len(rows) else rows
 
-    return spark.createDataFrame([row(f) for f in ("30min", "1h", "7h", "10 s", "2D", "1M", "0min", "")], "freq string, micros long, hampel_rows long, slug string")
+    return found.mapInPandas(each, "freq string, n long, micros long, hampel_rows long, slug string")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 OR value IS NULL THEN '{}' ELSE '{\"v\":' || CAST(event_id AS varchar) || '.0}' END AS json FROM events WHERE event_id < 10000")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 OR value IS NULL THEN '{}' ELSE '{\"v\":' || CAST(event_id AS varchar) || '.0}' END AS json FROM events")
 def json_safe_floats(spark, sf_dir):
     """NaN and infinities are left out of JSON."""
     v = F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 0, F.lit(float("inf"))).when(F.col("value").isNotNull(), F.col("event_id").cast("double"))
-    return events(spark, sf_dir).where("event_id < 10000").select("event_id", F.to_json(F.struct(S.json_safe(v).alias("v"))).alias("json"))
+    return events(spark, sf_dir).select("event_id", F.to_json(F.struct(S.json_safe(v).alias("v"))).alias("json"))

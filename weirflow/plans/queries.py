@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import scalars as S
 from weirflow.operators import calendar, calibration, metrics, models, outliers, quality_flags, resample, spans, splits, stats, windows
-from weirflow.operators.ordering import keep_first
+from weirflow.operators.ordering import join_on, keep_first
 from weirflow.plans import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,8 @@ CAST(coalesce(f.n, 0) AS int) AS n_days_with_data, CAST(0.7 AS double) AS p, coa
 
 
 def _urgent(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    """All orders, the other priorities taken for quality flags that exclude a row."""
+    return quality_flags.drop_flagged(table(spark, sf_dir, "orders"), "o_orderpriority", ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
 @query(f"WITH {_AUDIT} SELECT year, month, year_month, n_days_required, n_days_with_data, p, round(coverage, 6) AS coverage, coverage >= p AS passes FROM audit")
@@ -184,6 +185,21 @@ def hampel(spark, sf_dir):
     return six(rows.select("event_id", "rolling_median", "rolling_mad", "spike"), "rolling_median", "rolling_mad")
 
 
+def _wide_hampel(width: int) -> str:
+    before, after = width - 1 - (width - 1) // 2, (width - 1) // 2
+    f = f"WINDOW f AS (ORDER BY ts, event_id ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+    return f"""h1 AS (SELECT *, CASE WHEN count(value) OVER f >= {max(3, width // 4)} THEN quantile_cont(value, 0.5) OVER f END AS med FROM events {f}),
+h2 AS (SELECT *, CASE WHEN count(abs(value - med)) OVER f >= {max(3, width // 4)} THEN quantile_cont(abs(value - med), 0.5) OVER f END AS mad FROM h1 {f})
+SELECT event_id, round(med, 6) AS rolling_median, round(mad, 6) AS rolling_mad, coalesce(mad > 1e-12 AND abs(value - med) > 3.0 * 1.4826 * mad, false) AS spike FROM h2"""
+
+
+@query(f"WITH {_wide_hampel(8641)}")
+def hampel_wide(spark, sf_dir):
+    """Frames of a day at ten seconds."""
+    rows = outliers.hampel(events(spark, sf_dir).select("event_id", "ts", "value"), "ts", ["event_id"], "value", 8641)
+    return six(rows.select("event_id", "rolling_median", "rolling_mad", "spike"), "rolling_median", "rolling_mad")
+
+
 _LABELS = f"""{_HAMPEL}, {_FENCES},
 daily AS (SELECT CAST(ts AS date) AS day, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1), {_MONTHS},
 labels_ AS (SELECT h.event_id, h.ts, h.value, h.spike, t.potential AS monthly_potential, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS tp, value < q1 - 3.0 * (q3 - q1) OR value > q3 + 3.0 * (q3 - q1) AS tq
@@ -320,10 +336,58 @@ def window_gaps(spark, sf_dir):
     return found.agg(F.count("*").alias("n_windows"))
 
 
-@query(f"""WITH {_WINDOWS}, c AS (SELECT w.split, w.window_id, avg(({' + '.join(f'CASE WHEN x.{c} IS NULL THEN 0.0 ELSE 1.0 END' for c in CHANNELS)}) / 5) AS v FROM (SELECT DISTINCT split, window_id FROM win) w JOIN i x ON x.split = w.split AND x.r BETWEEN w.window_id AND w.window_id + {_LAST} GROUP BY 1, 2)
-SELECT split, count(*) AS n_windows, round(avg(v), 6) AS context_valid, CAST(1.0 AS double) AS target_valid FROM c GROUP BY 1""")
+@query(f"""WITH {_Z}, i AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY bin) - 1 AS r, count(*) OVER (PARTITION BY split) AS n FROM z),
+c AS (SELECT s.split, s.r, avg(({' + '.join(f'CASE WHEN x.{c} IS NULL THEN 0.0 ELSE 1.0 END' for c in CHANNELS)}) / 5) FILTER (x.r <= s.r + {_LAST}) AS v, max(CASE WHEN x.k IS NULL THEN 0.0 ELSE 1.0 END) FILTER (x.r = s.r + {_LAST + _H + 1}) AS t
+FROM i s JOIN i x ON x.split = s.split AND x.r BETWEEN s.r AND s.r + {_LAST + _H + 1} WHERE s.r + {_LAST + 1 + _H + _P} <= s.n GROUP BY 1, 2)
+SELECT split, count(*) AS n_windows, round(avg(v), 6) AS context_valid, round(avg(t), 6) AS target_valid FROM c GROUP BY 1""")
 def window_summary(spark, sf_dir):
-    return six(windows.window_summary(window_rows(spark, sf_dir), len(CHANNELS)), "context_valid", "target_valid")
+    """Of windows that keep missing targets."""
+    found = windows.sliding(scaled(spark, sf_dir), "bin", CHANNELS, "k", windows.WindowSettings(skip_null_target=False))
+    return six(windows.window_summary(found, len(CHANNELS)), "context_valid", "target_valid")
+
+
+_DAILY_WINDOWS = windows.WindowSettings(context=24, shift=2, future=12, stride=48, max_gap=None, skip_null_target=False)
+
+
+@query(f"""WITH {_Z}, i AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY bin) - 1 AS r FROM z), n AS (SELECT split, count(*) AS n FROM i GROUP BY 1),
+s AS (SELECT split, unnest(range(0, n - 24 - 2 - 12 + 1, 48)) AS window_id FROM n)
+SELECT s.split, s.window_id, max(x.bin) FILTER (x.r = s.window_id + 23) AS context_end, round(sum(coalesce(x.view, 0)) FILTER (x.r < s.window_id + 24), 5) AS view, round(sum(coalesce(x.k, 0)) FILTER (x.r >= s.window_id + 26), 5) AS k, count(x.k) FILTER (x.r >= s.window_id + 26) AS k_valid
+FROM s JOIN i x ON x.split = s.split AND x.r BETWEEN s.window_id AND s.window_id + 37 GROUP BY 1, 2""")
+def windows_strided(spark, sf_dir):
+    """A window a day: work in proportion to the windows, not to the rows."""
+    found = windows.sliding(scaled(spark, sf_dir), "bin", CHANNELS, "k", _DAILY_WINDOWS)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 5) + F.lit(0.0)
+    view, k = F.transform("context", lambda x: x[f"f{CHANNELS.index('view')}"]), F.transform("future", lambda x: x["y"])
+    return found.select("split", "window_id", "context_end", total(view).alias("view"), total(k).alias("k"), F.size(F.array_compact(k)).cast("long").alias("k_valid"))
+
+
+_NULL_KEYS = "g AS (SELECT event_id, ts, value, CASE WHEN event_type NOT IN ('error', 'view') THEN event_type END AS kind FROM events)"
+
+
+def null_keys(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", "ts", "value", F.when(~F.col("event_type").isin("error", "view"), F.col("event_type")).alias("kind"))
+
+
+@query(f"""WITH {_NULL_KEYS}, q AS (SELECT kind, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS low, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, max(value) AS high FROM g GROUP BY 1)
+SELECT kind, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(high, 6) AS high,
+round(CASE WHEN q75 > q25 THEN q25 - 1.5 * (q75 - q25) ELSE low END, 6) AS inner_low, round(CASE WHEN q75 > q25 THEN q75 + 3.0 * (q75 - q25) ELSE high END, 6) AS outer_high FROM q""")
+def describe_null_group(spark, sf_dir):
+    """Descriptions and fences by a key that is NULL for some rows: these are a group like others."""
+    rows = null_keys(spark, sf_dir)
+    found = stats.describe(rows, ["value"], ["kind"]).select("kind", "n", "mean", "std", F.col("min").alias("low"), "q25", "q50", "q75", F.col("max").alias("high"))
+    fences = outliers.fences(rows, "value", ["kind"]).select("kind", "inner_low", "outer_high")
+    return six(join_on(found, fences, ["kind"]), "mean", "std", "low", "q25", "q50", "q75", "high", "inner_low", "outer_high")
+
+
+@query(f"""WITH {_NULL_KEYS}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY kind) AS n FROM g)
+SELECT s.kind, s.r AS window_id, max(x.ts) FILTER (x.r = s.r + 9) AS context_end, round(sum(x.value) FILTER (x.r < s.r + 10), 5) AS total, max(x.value) FILTER (x.r = s.r + 10) AS y
+FROM r s JOIN r x ON x.kind IS NOT DISTINCT FROM s.kind AND x.r BETWEEN s.r AND s.r + 10 WHERE s.r % 5 = 0 AND s.r + 11 <= s.n GROUP BY 1, 2""")
+def windows_null_series(spark, sf_dir):
+    """Windows of series, one of which has NULL as its key."""
+    s = windows.WindowSettings(context=10, future=1, stride=5, max_gap=None, skip_null_target=False)
+    found = windows.sliding(null_keys(spark, sf_dir), "ts", ["value"], "value", s, keys=("kind",), tie=("event_id",))
+    total = F.aggregate(F.transform("context", lambda x: F.coalesce(x["y"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return found.select("kind", "window_id", "context_end", F.round(total, 5).alias("total"), F.col("future")[0]["y"].alias("y"))
 
 
 @query("SELECT vec_id, CAST(p AS int) AS patch, round(list_sum(list_transform(embedding[p * 16 + 1 : p * 16 + 16], lambda x: CAST(x AS double))), 6) AS total FROM embeddings, range(0, 4) t(p)")
