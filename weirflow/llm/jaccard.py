@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, size: int, percent: int, whole: bool) -> DataFrame:
 
 
 def _prefixes(held: DataFrame, percent: int) -> DataFrame:
-    """(c, n, q1, q2, q3) of classes (c, n, last, shared): their first tokens under the three orders, as far as other classes have them.
+    """(c, n, s, q1, q2, q3) of classes (c, n, last, shared): s of their tokens other classes have too; of these the first under the three orders.
 
     last is the last of the first tokens by hash; shared has the (count, token) that others hold too.
     """
@@ -166,23 +166,28 @@ def _prefixes(held: DataFrame, percent: int) -> DataFrame:
             times, tokens = np.asarray(flat.field(0)), np.asarray(flat.field(1))
             owner = np.repeat(np.arange(len(n)), counts)
             quota = np.maximum(_prefix(n, percent) - (n - counts), 0)  # tokens of their own come first
-            out = [batch.column(0), batch.column(1)]
+            out = [batch.column(0), batch.column(1), pa.array(counts)]
             mine = tokens <= last[owner]
             out.append(_lists(tokens[mine], np.bincount(owner[mine], minlength=len(n))))
             for seed in (1, 2):
                 order = np.lexsort((mixed(tokens.astype(np.uint64), seed), times, owner))
                 first = order[_within(counts) < quota[owner]]
                 out.append(_lists(tokens[first], np.minimum(quota, counts)))
-            yield pa.RecordBatch.from_arrays(out, ["c", "n", "q1", "q2", "q3"]).filter(pa.array(quota > 0))
+            yield pa.RecordBatch.from_arrays(out, ["c", "n", "s", "q1", "q2", "q3"]).filter(pa.array(quota > 0))
 
-    return held.select("c", "n", "last", "shared").mapInArrow(each, "c long, n long, q1 array<long>, q2 array<long>, q3 array<long>")
+    return held.select("c", "n", "last", "shared").mapInArrow(each, "c long, n long, s long, q1 array<long>, q2 array<long>, q3 array<long>")
+
+
+def _alike(percent: int, nx: str, sx: str, ny: str, sy: str) -> str:
+    """Whether two sets of n tokens, s of which others have too, can be alike at all: they have least(s) tokens in common at most."""
+    return f"100 * least({sx}, {sy}) >= {percent} * ({nx} + {ny} - least({sx}, {sy}))"
 
 
 def _links(pairs: DataFrame, prefixes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that are alike: first by size and by the orders under which they did not meet, then by their sets."""
-    p = lambda k: prefixes.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("q1").alias(f"q1{k}"), F.col("q3").alias(f"q3{k}"))
+    p = lambda k: prefixes.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"), F.col("q1").alias(f"q1{k}"), F.col("q3").alias(f"q3{k}"))
     s = lambda k: classes.select(F.col("c").alias(k), F.col("tokens").alias(f"t{k}"))
-    near = pairs.join(p("x"), "x").join(p("y"), "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").where(F.arrays_overlap("q1x", "q1y") & F.arrays_overlap("q3x", "q3y")).select("x", "y", "nx", "ny")
+    near = pairs.join(p("x"), "x").join(p("y"), "y").where(_alike(percent, "nx", "sx", "ny", "sy")).where(F.arrays_overlap("q1x", "q1y") & F.arrays_overlap("q3x", "q3y")).select("x", "y", "nx", "ny")
     both = near.join(s("x"), "x").join(s("y"), "y").withColumn("o", F.size(F.array_intersect("tx", "ty")))
     return both.where(f"100 * o >= {percent} * (nx + ny - o)").select("x", "y")
 
@@ -215,9 +220,11 @@ def near_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     last = classes.select("c", "n", F.expr(f"element_at(tokens, cast(n - ((n * {percent} + 99) div 100) + 1 AS int))").alias("last"))
     prefixes = written(_prefixes(lists.join(last, "c"), percent), "sets")
 
-    # Each class against two of those that it meets.
-    meets = prefixes.select("c", "n", F.explode("q2").alias("token"))
-    leaders = meets.groupBy("token").agg(F.min_by("c", F.xxhash64("c")).alias("l1"), F.max_by("c", F.xxhash64("c")).alias("l2")).where("l1 != l2")
+    # Each class against two of those that it meets: the one that shares most of its tokens, as the middle of a crowd does, and any.
+    meets = prefixes.select("c", "n", "s", F.explode("q2").alias("token"))
+    spread = F.pmod(F.xxhash64("c"), F.lit(1 << 20))
+    middle = F.floor(F.col("s") * (1 << 20) / F.col("n")) * (1 << 20) + spread
+    leaders = meets.groupBy("token").agg(F.max_by("c", middle).alias("l1"), F.min_by("c", spread).alias("l2"), F.count("*").alias("crowd")).where("crowd > 1")
     star = meets.join(leaders, "token").select("c", F.explode(F.array("l1", "l2")).alias("l")).where("c != l").select(*_ordered("c", "l")).distinct()
     star = written(star, "sets")
     links = written(_links(star, prefixes, classes, percent), "sets")
@@ -227,8 +234,8 @@ def near_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     grouped = written(meets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "sets")
     mixed_tokens = grouped.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token")
     among = grouped.join(mixed_tokens, "token")
-    other = among.select("token", F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("s"))
-    cross = among.join(other, "token").where(f"root < s AND 100 * least(n, m) >= {percent} * greatest(n, m)").select(*_ordered("c", "d")).distinct()
+    other = among.select("token", F.col("c").alias("d"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("root").alias("other"))
+    cross = among.join(other, "token").where(f"root < other AND {_alike(percent, 'n', 's', 'm', 't')}").select(*_ordered("c", "d")).distinct()
     more = written(_links(cross.join(star, ["x", "y"], "left_anti"), prefixes, classes, percent), "sets")
     roots = connected(links.unionAll(more), "x", "y")
 
