@@ -39,7 +39,7 @@ from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, number
 from weirflow.llm.common import drop_written, small_batches, text_bytes, written
 
 #: UTF-8 bytes of text of a block: larger ones repeat fewer units.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Units that are tokenized as one text.
 TOGETHER = 256
 #: Rows of an Arrow batch that a worker sends.
@@ -136,9 +136,11 @@ def document_units(batch: pa.RecordBatch, column: int, known: Numbers, cut: bool
         if carried is not None:
             data, offsets = np.concatenate([carried, data]), np.concatenate([[0], offsets[1:] + len(carried)])
             carried = None
-        at = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins = np.zeros(len(data), bool)
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         if cut:
-            at = np.union1d(at, unit_starts(data))
+            begins[unit_starts(data)] = True
+        at = np.flatnonzero(begins)
         if not last[-1]:  # its last unit may go on
             to = int(at[-1])
             carried, data, offsets, at = data[to:], data[:to], np.append(offsets[:-1], to), at[:-1]
@@ -274,12 +276,12 @@ def aligned(tokenized: DataFrame) -> DataFrame:
     numbered = both.withColumn("gid", F.sum(cut).over(ends) - cut)
 
     # A group's tokens of both sides; those of A meet those of B whose ranges overlap theirs.
-    held = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", (F.col("end") - F.col(f"size_{c}")).alias("start"), F.col(c).alias("id")))))
+    held = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", (F.col("end") - F.col(f"size_{c}")).alias("start"), F.col(c).alias("id")))))
     groups = numbered.groupBy("uid", "gid").agg(held("a").alias("a"), held("b").alias("b"))
     ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
     over = lambda x: F.transform(F.filter("b", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), lambda y: F.shiftleft(x["id"].cast("long"), 32).bitwiseOR(y["id"].cast("long")))
     groups = groups.select("uid", "gid", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.flatten(F.transform("a", over)).alias("links"))
-    order = F.array_sort(F.collect_list(F.struct("gid", "ids", "links")))
+    order = F.sort_array(F.collect_list(F.struct("gid", "ids", "links")))
     whole = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("g"))
     found = whole.select("uid", "n_a", "n_b", "n_groups", F.array_join(F.transform("g", lambda x: x["ids"]), ";").alias("groups"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
     before = spark.conf.get(_ALL_KEYS)
@@ -291,35 +293,58 @@ def aligned(tokenized: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """What a block's units hold: v is (n_a, n_b, n_groups, links ...), empty where the unit does not fit."""
+    """What a block's units hold: v is (n_a, n_b, n_groups, links ...), empty where the unit does not fit.
 
-    def __init__(self, table: pa.Table | None):
-        local = numbers(table, 2)
+    Links become places among the block's distinct pairs, at once for each batch, so that the rows can go.
+    """
+
+    def __init__(self, parts: list[pa.RecordBatch] | None, pairs: np.ndarray | None = None):
+        local = numbers(parts, 2)
         n = int(local.max(initial=-1)) + 1
-        lists = table.column("v").combine_chunks() if table is not None else pa.array([], pa.list_(pa.int64()))
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = np.asarray(lists.flatten())
-        sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        self.fits = np.zeros(n, bool)
-        self.counts, self.n_links, self.link_start = np.zeros((3, n), np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        full = np.flatnonzero(sizes >= 3)
-        at = local[full]
-        self.fits[at] = True
-        for k in range(3):
-            self.counts[k, at] = flat[starts[full] + k]
-        self.n_links[at], self.link_start[at] = sizes[full] - 3, starts[full] + 3
-        self.flat = flat
-        self.groups: list[str] = []
-        if table is not None and table.column("s").null_count < table.num_rows:
-            self.groups = [""] * n
-            for k, s in zip(local.tolist(), table.column("s").to_pylist(), strict=True):
-                self.groups[k] = s
+        self.fits, self.counts = np.zeros(n, bool), np.zeros((3, n), np.int32)
+        self.n_links, self.link_start = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        self.groups: list[str | None] = [None] * n
+        self.pairs = np.zeros(0, np.int64) if pairs is None else pairs
+        places, total = [], 0
+        while parts:
+            part = parts.pop(0)
+            at, lists = part.column(2).to_numpy(), part.column(8)
+            flat, offsets = lists.flatten().to_numpy(), np.asarray(lists.offsets).astype(np.int64)
+            offsets -= offsets[0]
+            sizes = np.diff(offsets)
+            full = np.flatnonzero(sizes >= 3)
+            starts, own = offsets[:-1][full], at[full]
+            self.fits[own] = True
+            for k in range(3):
+                self.counts[k, own] = flat[starts + k]
+            links = np.ones(len(flat), bool)
+            links[(starts[:, None] + np.arange(3)).ravel()] = False
+            flat = flat[links]
+            self.n_links[own] = sizes[full] - 3
+            self.link_start[own] = total + np.cumsum(sizes[full] - 3) - (sizes[full] - 3)
+            total += len(flat)
+            if pairs is None:  # these are numbered as they come
+                new = np.setdiff1d(flat, self.pairs)
+                if len(new):
+                    merged = np.union1d(self.pairs, new)
+                    moved = np.searchsorted(merged, self.pairs).astype(np.int32)
+                    places = [moved[p] for p in places] if len(self.pairs) else places
+                    self.pairs = merged
+            places.append(np.searchsorted(self.pairs, flat).astype(np.int32))
+            if part.column(4).null_count < part.num_rows:
+                for k, s in zip(at.tolist(), part.column(4).to_pylist(), strict=True):
+                    self.groups[k] = s
+        self.places = np.concatenate([np.zeros(0, np.int32), *places])
 
     def links_of(self, units: np.ndarray) -> np.ndarray:
-        """Places in flat of all links of these units."""
-        sizes = self.n_links[units]
-        return np.repeat(self.link_start[units] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        """The places of all links of these units."""
+        sizes = self.n_links[units].astype(np.int64)
+        return self.places[np.repeat(self.link_start[units] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+    def sums(self, worth: np.ndarray) -> np.ndarray:
+        """For each unit the sum over its links of their pairs' worth."""
+        running = np.concatenate([[0], np.cumsum(worth[self.places])])
+        return running[self.link_start + self.n_links] - running[self.link_start]
 
 
 def _codes(rows: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -332,22 +357,22 @@ def _document_pairs(coded: DataFrame, entries: DataFrame) -> DataFrame:
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(pairs), SEND):
+            for k in range(0, len(times), SEND):
                 s = slice(k, k + SEND)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs[s]), at)), pa.array(pairs[s]), pa.array(times[s])], ["block", "pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(times[s]), at)), pa.array(own.pairs[s]), pa.array(times[s])], ["block", "pair", "n"])
 
-        at, own = None, None
-        pairs = times = np.zeros(0, np.int64)
-        for block, tables, rows in met(batches):
-            if block != at:
+        at, own = None, _Block(None)
+        times = np.zeros(0, np.int64)
+        for block, parts, rows in met(batches):
+            if parts is not None:
                 yield from done()
-                at, own = block, _Block(tables.get(0))
-                pairs, place = np.unique(own.flat, return_inverse=True) if len(own.flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                times = np.zeros(len(pairs), np.int64)
+                at, own = block, None  # the block before goes first
+                own = _Block(parts.pop(0, None))
+                times = np.zeros(len(own.pairs), np.int64)
             for codes in _codes(rows):
                 units = np.unique(codes)
                 if own.fits[units].all():
-                    times[np.unique(place[own.links_of(units)])] += 1
+                    times[np.unique(own.links_of(units))] += 1
         yield from done()
 
     found = meeting(coded.where(F.col("kind") == LAST), entries.select("block", F.lit(0).alias("kind"), "a", "v")).mapInArrow(each, "block long, pair long, n long")
@@ -361,16 +386,15 @@ def _documents(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> DataF
     """The documents' rows, from their units' results and the counts (block, pair, count * 2 + best)."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for block, tables, rows in met(batches):
-            if block != at:
-                at, own = block, _Block(tables.get(0))
-                pairs, value = numbers(tables.get(1), 2), numbers(tables.get(1), 3)
+        own = None
+        for _, parts, rows in met(batches):
+            if parts is not None:
+                own = best = total = None  # the block before goes first
+                sums = parts.pop(1, None)
+                pairs, value = numbers(sums, 2), numbers(sums, 3)
                 order = np.argsort(pairs)
-                pairs, value = pairs[order], value[order]
-                worth = value[np.minimum(np.searchsorted(pairs, own.flat), len(pairs) - 1)] if len(pairs) else np.zeros(len(own.flat), np.int64)
-                running = [np.concatenate([[0], np.cumsum(x)]) for x in (worth & 1, worth >> 1)]
-                best, total = (x[own.link_start + own.n_links] - x[own.link_start] for x in running)
+                own, value = _Block(parts.pop(0, None), pairs[order]), value[order]
+                best, total = own.sums(value & 1), own.sums(value >> 1)
             out: list[list] = [[], [], [], [], [], [], []]
             for codes in _codes(rows):
                 if not own.fits[codes].all() or not len(codes):

@@ -87,10 +87,12 @@ def meeting(*tables: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "kind", "row")
 
 
-def met(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, pa.Table], pa.RecordBatch]]:
-    """(block, its rows by kind, a batch of its rows of kind LAST) of what meeting() has brought together."""
-    held: list[pa.RecordBatch] = []
-    tables: dict[int, pa.Table] | None = None
+def met(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[pa.RecordBatch]] | None, pa.RecordBatch]]:
+    """(block, its rows by kind, a batch of its rows of kind LAST) of what meeting() has brought together.
+
+    The rows by kind come with a block's first batch alone, for the caller to take over; then None.
+    """
+    held: dict[int, list[pa.RecordBatch]] = {}
     now = None
     for batch in batches:
         if not batch.num_rows:
@@ -99,20 +101,16 @@ def met(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, pa.T
         cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
             if block[a] != now:
-                now, held, tables = block[a], [], None
+                now, held, given = block[a], {}, False
             part = batch.slice(a, b - a)
             if kind[a] != LAST:
-                held.append(part)
+                held.setdefault(int(kind[a]), []).append(part)
                 continue
-            if tables is None:
-                tables = {}
-                for p in held:
-                    tables.setdefault(int(p.column(1)[0].as_py()), []).append(p)
-                tables = {k: pa.Table.from_batches(v).combine_chunks() for k, v in tables.items()}
-                held = []
-            yield int(now), tables, part
-
-
-def numbers(table: pa.Table | None, column: int) -> np.ndarray:
-    """A long column of a meeting table as an array; none where there is no table."""
-    return np.zeros(0, np.int64) if table is None else np.asarray(table.column(column).to_numpy()).astype(np.int64)
+            handed, held = (None if given else held), {}
+            given = True
+            yield int(now), handed, part
+
+
+def numbers(parts: list[pa.RecordBatch] | None, column: int) -> np.ndarray:
+    """A long column of meeting rows as an array."""
+    return np.concatenate([np.zeros(0, np.int64), *(p.column(column).to_numpy().astype(np.int64) for p in parts or ())])

@@ -170,11 +170,11 @@ def _ngrams(coded: DataFrame, entries: DataFrame, pairs: DataFrame | None, range
     triples = pairs is not None
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, tables, rows in met(batches):
-            local, value = numbers(tables.get(0), 2), numbers(tables.get(0), 3)
+        for block, parts, rows in met(batches):  # a block has one row of codes
+            local, value = numbers(parts.get(0), 2), numbers(parts.get(0), 3)
             two = None
             if triples:
-                two = numbers(tables.get(1), 2), numbers(tables.get(1), 3)
+                two = numbers(parts.get(1), 2), numbers(parts.get(1), 3)
                 if not len(two[0]):
                     continue
             for codes in rows.column(5).to_pylist():
