@@ -136,6 +136,54 @@ def load(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def arrays_of(windows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """windows as the arrays of window files: features alone (X_z) and with the target (X6_z), the first target (y_z_scalar) and all (Y_z), masks, weights and times.
+
+    Names ignore case, so the single ones end in _scalar; files have them as y_z, y_mask and y_w.  Numbers are 32 bits wide, as those files have them.
+    """
+    names = windows.schema["context"].dataType.elementType.names
+    number = lambda c: c.cast("float")
+    cells = lambda cols, f: F.transform("context", lambda x: F.array(*(f(x[n]) for n in cols)))
+    valid = lambda c: c.isNotNull()
+    future = lambda f: F.transform("future", f)
+    first = F.col("future")[0]
+    return windows.select(
+        *keys,
+        cells(names[:-1], number).alias("X_z"), cells(names[:-1], valid).alias("X_mask"),
+        cells(names, number).alias("X6_z"), cells(names, valid).alias("X6_mask"),
+        number(first["y"]).alias("y_z_scalar"), valid(first["y"]).alias("y_mask_scalar"), number(first["w"]).alias("y_w_scalar"),
+        future(lambda x: number(x["y"])).alias("Y_z"), future(lambda x: valid(x["y"])).alias("Y_mask"), future(lambda x: number(x["w"])).alias("Y_w"),
+        number(F.col("end_value")).alias("chl_z_at_window_end"), F.col("context_end").alias("context_end_time"),
+        first["ts"].alias("target_time"), future(lambda x: x["ts"]).alias("target_times"),
+    )
+
+
+def from_arrays(arrays: DataFrame, keys: Sequence[str] = ("npz_file",), window_id: str = "npz_row") -> DataFrame:
+    """Windows from the arrays of window files; a value is there where its mask says so and it is finite.
+
+    Files of one target each (y_z) give futures of one step, those without masks or weights take finiteness and 1.
+    """
+    have = set(arrays.columns)
+    many = any(c in have for c in ("Y_z", "y_z_scalar"))
+    column = lambda one, more, other: F.col(more if many else one) if (more if many else one) in have else other
+    y = F.col("Y_z") if many else F.array("y_z")
+    listed = lambda c: c if many else F.array(c)
+    mask = listed(column("y_mask", "Y_mask", None)) if ("Y_mask" if many else "y_mask") in have else F.transform(y, lambda _: F.lit(True))
+    weights = listed(column("y_w", "Y_w", None)) if ("Y_w" if many else "y_w") in have else F.transform(y, lambda _: F.lit(1.0).cast("float"))
+    times = F.col("target_times") if many and "target_times" in have else F.transform(y, lambda _: F.col("target_time") if "target_time" in have else F.lit(None).cast("timestamp_ntz"))
+    wide, wide_mask = ("X6_z", "X6_mask") if "X6_z" in have else ("X_z", "X_mask")
+    seen = F.arrays_zip(F.col(wide).alias("x"), (F.col(wide_mask) if wide_mask in have else F.transform(wide, lambda r: F.transform(r, lambda _: F.lit(True)))).alias("m"))
+    cell = lambda r, i: finite(F.when(F.get(r["m"], F.lit(i)), F.get(r["x"], F.lit(i)).cast("double")))
+    channels = arrays.select(F.max(F.size(F.get(wide, F.lit(0))))).first()[0] or 0
+    last = channels - 1 if wide == "X6_z" else channels
+    target = lambda r: cell(r, last).alias("y") if wide == "X6_z" else F.lit(None).cast("double").alias("y")
+    context = F.transform(seen, lambda r: F.struct(*(cell(r, i).alias(f"f{i}") for i in range(last)), target(r)))
+    future = F.transform(F.arrays_zip(times.alias("ts"), y.alias("y"), mask.alias("m"), weights.alias("w")), lambda x: F.struct(x["ts"].alias("ts"), finite(F.when(x["m"], x["y"].cast("double"))).alias("y"), weight(x["w"].cast("double")).alias("w")))
+    end = finite(F.col("chl_z_at_window_end").cast("double")) if "chl_z_at_window_end" in have else F.lit(None).cast("double")
+    at = F.col("context_end_time") if "context_end_time" in have else F.lit(None).cast("timestamp_ntz")
+    return arrays.select(*keys, F.col(window_id).alias("window_id"), at.alias("context_end"), end.alias("end_value"), context.alias("context"), future.alias("future"))
+
+
 def long_form(windows: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
     """(keys, window_id, step, ts, y, valid, w, end_value): a row for each future step."""
     opened = windows.select(*keys, "window_id", "end_value", F.posexplode("future").alias("step", "_f"))

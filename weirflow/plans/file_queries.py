@@ -14,7 +14,7 @@ from weirflow.functions import scalars as S
 from weirflow.operators import metrics, ordering, splits, windows
 from weirflow.plans import pipelines
 from weirflow.plans.queries import _FORECAST, _LAST, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
-from weirflow.sources import artifacts, sensor_logs
+from weirflow.sources import artifacts, npz, sensor_logs
 from weirflow.sources.scratch import fresh_folder, one_file
 
 _FILES = ("log_2014.csv", "log_2015.csv", "log_2016.csv")
@@ -225,6 +225,40 @@ def pick_window_dir(spark, sf_dir):
     return artifacts.pick_window_dir(names).select("name", "stride")
 
 
+_ARRAYS = f"""WITH {_WINDOWS}, c AS (SELECT w.split, w.window_id, avg((coalesce(x.click, 0)::float)::double) AS click, count(x.k) AS k_valid FROM (SELECT DISTINCT split, window_id FROM win) w JOIN i x ON x.split = w.split AND x.r BETWEEN w.window_id AND w.window_id + {_LAST} GROUP BY 1, 2),
+f AS (SELECT split, window_id, context_end, sum((y::float)::double) AS y, count(y) AS n, max(ts) AS last, max((end_value::float)::double) AS end_value FROM win GROUP BY 1, 2, 3)"""
+
+
+@query(f"{_ARRAYS} SELECT split, context_end, last, round(click, 4) + 0.0 AS click, k_valid, round(y, 4) + 0.0 AS y, n, round(end_value, 4) + 0.0 AS end_value FROM c JOIN f USING (split, window_id)")
+def npz_windows(spark, sf_dir):
+    """All windows written as NPZ files for each split and read back by ranges of rows."""
+    folder = fresh_folder(spark, "npz")
+    found = window_rows(spark, sf_dir).persist()
+    back = None
+    for split in ("train", "val", "test"):
+        npz.write(windows.arrays_of(found.where(F.col("split") == split)), f"{folder}/{split}", lineage={"upstream": "panel"}, file_bytes=8 << 20)
+        own = windows.from_arrays(npz.read(spark, f"{folder}/{split}", place=True, range_bytes=2 << 20)).withColumn("split", F.lit(split))
+        back = own if back is None else back.unionByName(own)
+    found.unpersist()
+    click = F.transform("context", lambda x: F.coalesce(x[f"f{CHANNELS.index('click')}"], F.lit(0.0)))
+    y = F.array_compact(F.transform("future", lambda x: x["y"]))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    four = lambda c: F.round(c, 4) + F.lit(0.0)
+    return back.select("split", "context_end", F.element_at("future", -1)["ts"].alias("last"), four(total(click) / F.size("context")).alias("click"), F.size(F.filter("context", lambda x: x["y"].isNotNull())).cast("long").alias("k_valid"), four(total(y)).alias("y"), F.size(y).cast("long").alias("n"), four("end_value").alias("end_value"))
+
+
+@query(f"WITH {_WINDOWS} SELECT split, count(*) AS n_windows, sum(CASE WHEN y IS NULL THEN 0 ELSE 1 END)::bigint AS n_valid FROM (SELECT *, window_id % 2 = 1 AND y < 0 AS masked FROM win) WHERE step = 0 AND NOT masked GROUP BY 1")
+def npz_targets(spark, sf_dir):
+    """Targets of files of one target each: what the mask leaves out or is no finite number does not count."""
+    folder = f"{fresh_folder(spark, 'npz')}/w"
+    first = F.col("future")[0]["y"]
+    hidden = (F.col("window_id") % 2 == 1) & (first < 0)
+    shown = F.when(hidden & (F.col("window_id") % 4 == 1), F.lit(float("inf"))).otherwise(first)
+    npz.write(window_rows(spark, sf_dir).select("split", F.transform("context", lambda x: F.array(x["f0"].cast("float"))).alias("X_z"), shown.alias("y_z"), (first.isNotNull() & ~(hidden & (F.col("window_id") % 4 != 1))).alias("y_mask")), folder, compressed=True)
+    rows = artifacts.any_target(npz.read(spark, folder, ["split", "y_z", "y_mask"]))
+    return rows.where(F.col("y_valid")[0]).groupBy("split").agg(F.count("*").alias("n_windows"), F.count(F.col("y")[0]).alias("n_valid"))
+
+
 # -- reports of forecasts -----------------------------------------------------------------------------------------
 
 

@@ -31,9 +31,18 @@ def scaler_json(fitted: DataFrame, target: str, method: str = "zscore") -> str:
 
 
 def any_target(df: DataFrame) -> DataFrame:
-    """Window rows with y, y_valid, whichever form they have: targets (array) or target."""
-    column = F.col("targets") if "targets" in df.columns else F.array("target")
-    return df.withColumn("y", column).withColumn("y_valid", F.transform(column, lambda x: x.isNotNull() & ~F.isnan(x)))
+    """Window rows with y and y_valid, whichever form they have: many targets (targets, Y_z) or one (target, y_z).
+
+    Valid is what its mask (<name>_mask; Y_mask, y_mask), if there, says and what is finite.
+    """
+    name = next(c for c in ("targets", "Y_z", "target", "y_z") if c in df.columns)
+    many, mask = name in ("targets", "Y_z"), name.removesuffix("_z") + "_mask"
+    listed = lambda c: F.col(c) if many else F.array(c)
+    is_finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    valid = F.transform(listed(name), is_finite)
+    if mask in df.columns:
+        valid = F.zip_with(valid, listed(mask), lambda v, m: v & F.coalesce(m, F.lit(False)))
+    return df.withColumn("y", listed(name)).withColumn("y_valid", valid)
 
 
 def leaderboard(spark: SparkSession, root: str, pattern: str = "*_eval_summary.json") -> DataFrame:
