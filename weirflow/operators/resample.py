@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import DAY_MICROS, freq_micros, from_micros, micros, quoted, weight
+from weirflow.operators.ordering import join_on
 
 
 #: Grid points that are made at once.
@@ -33,7 +34,7 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], freq: str, agg: str
 
     Values are aggregated without NULLs (NULL in empty bins); with counts,
     n_obs_<value> is the number of values.  All of it is one aggregation; the
-    grid is generated from the bins' range and joined to it.
+    grid is generated from the bins' range and joined to it.  A NULL key is a key.
     """
     step, how = freq_micros(freq), _aggregate(agg)
     rows = df.where(F.col(ts).isNotNull())
@@ -41,8 +42,7 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], freq: str, agg: str
         placed = rows.withColumn("_bin", bin_end(F.col(ts), step, F.lit(0).cast("long")))
     else:
         first = rows.groupBy(*keys).agg(micros(F.min(F.date_trunc("day", F.col(ts)).cast("timestamp_ntz"))).alias("_origin"))
-        joined = rows.join(first, list(keys)) if keys else rows.crossJoin(F.broadcast(first))
-        placed = joined.withColumn("_bin", bin_end(F.col(ts), step, F.col("_origin"))).drop("_origin")
+        placed = join_on(rows, first, keys).withColumn("_bin", bin_end(F.col(ts), step, F.col("_origin"))).drop("_origin")
     columns = [how(quoted(v)).alias(v) for v in values] + [F.count(quoted(v)).alias(f"n_obs_{v}") for v in values if counts]
     binned = placed.groupBy(*keys, "_bin").agg(*columns)
     # The grid comes in blocks, so that no row holds all of it.
@@ -50,7 +50,7 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], freq: str, agg: str
     ends = binned.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi")).where("_lo is not null")
     blocks = ends.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", span)).alias("_at"))
     spine = blocks.select(*keys, F.explode(F.sequence("_at", F.least(F.col("_at") + span - F.lit(step), F.col("_hi")), F.lit(step).cast("long"))).alias("_bin"))
-    full = spine.join(binned, [*keys, "_bin"], "left")
+    full = join_on(spine, binned, [*keys, "_bin"], "left")
     if counts:
         full = full.fillna(0, [f"n_obs_{v}" for v in values])
     return full.withColumn(out, from_micros(F.col("_bin"))).select(*keys, out, *(F.col(f"`{c}`") for c in binned.columns if c not in (*keys, "_bin")))
