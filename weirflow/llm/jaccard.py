@@ -221,7 +221,8 @@ def near_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     prefixes = written(_prefixes(lists.join(last, "c"), percent), "sets")
 
     # Each class against two of those that it meets: the one that shares most of its tokens, as the middle of a crowd does, and any.
-    meets = prefixes.select("c", "n", "s", F.explode("q2").alias("token"))
+    # left: its tokens from this one on that others have too; what two sets have in common begins with the first token where they meet.
+    meets = prefixes.select("c", "n", "s", F.posexplode("q2").alias("place", "token")).withColumn("left", F.col("s") - F.col("place")).drop("place")
     spread = F.pmod(F.xxhash64("c"), F.lit(1 << 20))
     middle = F.floor(F.col("s") * (1 << 20) / F.col("n")) * (1 << 20) + spread
     leaders = meets.groupBy("token").agg(F.max_by("c", middle).alias("l1"), F.min_by("c", spread).alias("l2"), F.count("*").alias("crowd")).where("crowd > 1")
@@ -234,8 +235,8 @@ def near_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> D
     grouped = written(meets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "sets")
     mixed_tokens = grouped.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token")
     among = grouped.join(mixed_tokens, "token")
-    other = among.select("token", F.col("c").alias("d"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("root").alias("other"))
-    cross = among.join(other, "token").where(f"root < other AND {_alike(percent, 'n', 's', 'm', 't')}").select(*_ordered("c", "d")).distinct()
+    other = among.select("token", F.col("c").alias("d"), F.col("n").alias("m"), F.col("left").alias("right"), F.col("root").alias("other"))
+    cross = among.join(other, "token").where(f"root < other AND {_alike(percent, 'n', '`left`', 'm', '`right`')}").select(*_ordered("c", "d")).distinct()
     more = written(_links(cross.join(star, ["x", "y"], "left_anti"), prefixes, classes, percent), "sets")
     roots = connected(links.unionAll(more), "x", "y")
 
