@@ -26,6 +26,7 @@ import hashlib
 import json
 import sys
 import types
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, numbers, pieces, with_ids
+from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, numbers, pieces
 from weirflow.llm.common import drop_written, small_batches, text_bytes, written
 
 #: UTF-8 bytes of text of a block: larger ones repeat fewer units.
@@ -162,7 +163,7 @@ _UNITS = "block long, kind int, row long, doc_id long, codes binary, units array
 
 
 def _coded(docs: DataFrame, block_bytes: int, cut: bool) -> DataFrame:
-    """Documents as numbers (int32) of their block's units, and for each block its distinct units."""
+    """Documents as numbers (int32, compressed) of their block's units, and for each block its distinct units."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -175,7 +176,7 @@ def _coded(docs: DataFrame, block_bytes: int, cut: bool) -> DataFrame:
         for batch in batches:
             for row, own, read in document_units(batch, 1, known, cut):
                 n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, LAST, np.int32)), pa.array(np.arange(row_id, row_id + n)), batch.column(0).take(pa.array(row)), pa.array([c.tobytes() for c in own], pa.binary()), pa.nulls(n, empty.type)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, LAST, np.int32)), pa.array(np.arange(row_id, row_id + n)), batch.column(0).take(pa.array(row)), pa.array([zlib.compress(c.tobytes(), 1) for c in own], pa.binary()), pa.nulls(n, empty.type)], names)
                 row_id += n
                 size += read
             if size >= block_bytes:
@@ -230,7 +231,7 @@ class _Speller:
 
 
 def _tokenized(units: DataFrame, a_path: str, b_path: str, cut: bool) -> DataFrame:
-    """(uid, fits, a, b): the tokens of each unit as (id, size in bytes); fits where both sides spell the unit."""
+    """(h1, h2, fits, a, b): the tokens of each unit as (id, size in bytes); fits where both sides spell the unit."""
 
     def tokens(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -246,44 +247,46 @@ def _tokenized(units: DataFrame, a_path: str, b_path: str, cut: bool) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            safe = _ends_safely(batch.column(1)) if cut else np.zeros(batch.num_rows, bool)
+            safe = _ends_safely(batch.column(2)) if cut else np.zeros(batch.num_rows, bool)
             batch = batch.take(pa.array(np.argsort(~safe, kind="stable")))
-            units, sizes = batch.column(1).to_pylist(), np.asarray(pc.binary_length(batch.column(1))).astype(np.int64)
+            units, sizes = batch.column(2).to_pylist(), np.asarray(pc.binary_length(batch.column(2))).astype(np.int64)
             sides = [speller(units, sizes, int(safe.sum())) for speller in kept.spellers]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sides[0][3] & sides[1][3]), *(tokens(*side[:3]) for side in sides)], ["uid", "fits", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sides[0][3] & sides[1][3]), *(tokens(*side[:3]) for side in sides)], ["h1", "h2", "fits", "a", "b"])
 
     kind = "array<struct<id:int,size:int>>"
-    return units.select("uid", "unit").mapInArrow(each, f"uid long, fits boolean, a {kind}, b {kind}")
+    return units.select("h1", "h2", "unit").mapInArrow(each, f"h1 long, h2 long, fits boolean, a {kind}, b {kind}")
 
 
+#: What names a unit: 128 bits of hashes.
+UNIT = ("h1", "h2")
 #: Joins on more keys than the data is dealt by need no other exchange while this is off.
 _ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def aligned(tokenized: DataFrame) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, groups, links) of token lists (uid, a, b), written; links are a * 2**32 + b.
+    """(h1, h2, n_a, n_b, n_groups, groups, links) of token lists (h1, h2, a, b), written; h1 and h2 name a unit, links are a * 2**32 + b.
 
-    The relational steps: tokens are dealt by uid once and stay there.
+    The relational steps: tokens are dealt by unit once and stay there.
     """
     spark = tokenized.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = lambda c: tokenized.select("uid", c).repartition(ranges, "uid")
-    side = lambda c: dealt(c).select("uid", F.posexplode(c).alias("pos", "t")).select("uid", F.col("t.id").alias(c), F.col("t.size").alias(f"size_{c}"), F.sum("t.size").over(run).alias("end"))
-    both = side("a").join(side("b"), ["uid", "end"], "full")
+    run = Window.partitionBy(*UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = lambda c: tokenized.select(*UNIT, c).repartition(ranges, *UNIT)
+    side = lambda c: dealt(c).select(*UNIT, F.posexplode(c).alias("pos", "t")).select(*UNIT, F.col("t.id").alias(c), F.col("t.size").alias(f"size_{c}"), F.sum("t.size").over(run).alias("end"))
+    both = side("a").join(side("b"), [*UNIT, "end"], "full")
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    ends = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
+    ends = Window.partitionBy(*UNIT).orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
     numbered = both.withColumn("gid", F.sum(cut).over(ends) - cut)
 
     # A group's tokens of both sides; those of A meet those of B whose ranges overlap theirs.
     held = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", (F.col("end") - F.col(f"size_{c}")).alias("start"), F.col(c).alias("id")))))
-    groups = numbered.groupBy("uid", "gid").agg(held("a").alias("a"), held("b").alias("b"))
+    groups = numbered.groupBy(*UNIT, "gid").agg(held("a").alias("a"), held("b").alias("b"))
     ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
     over = lambda x: F.transform(F.filter("b", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), lambda y: F.shiftleft(x["id"].cast("long"), 32).bitwiseOR(y["id"].cast("long")))
-    groups = groups.select("uid", "gid", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.flatten(F.transform("a", over)).alias("links"))
+    groups = groups.select(*UNIT, "gid", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.flatten(F.transform("a", over)).alias("links"))
     order = F.sort_array(F.collect_list(F.struct("gid", "ids", "links")))
-    whole = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("g"))
-    found = whole.select("uid", "n_a", "n_b", "n_groups", F.array_join(F.transform("g", lambda x: x["ids"]), ";").alias("groups"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
+    whole = groups.groupBy(*UNIT).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("g"))
+    found = whole.select(*UNIT, "n_a", "n_b", "n_groups", F.array_join(F.transform("g", lambda x: x["ids"]), ";").alias("groups"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
     before = spark.conf.get(_ALL_KEYS)
     spark.conf.set(_ALL_KEYS, "false")
     try:
@@ -298,14 +301,15 @@ class _Block:
     Links become places among the block's distinct pairs, at once for each batch, so that the rows can go.
     """
 
-    def __init__(self, parts: list[pa.RecordBatch] | None, pairs: np.ndarray | None = None):
+    def __init__(self, parts: list[pa.RecordBatch] | None):
         local = numbers(parts, 2)
         n = int(local.max(initial=-1)) + 1
         self.fits, self.counts = np.zeros(n, bool), np.zeros((3, n), np.int32)
         self.n_links, self.link_start = np.zeros(n, np.int32), np.zeros(n, np.int64)
         self.groups: list[str | None] = [None] * n
-        self.pairs = np.zeros(0, np.int64) if pairs is None else pairs
-        places, total = [], 0
+        self.pairs = np.zeros(0, np.int64)
+        spans: list[tuple[np.ndarray, np.ndarray]] = []
+        total = 0
         while parts:
             part = parts.pop(0)
             at, lists = part.column(2).to_numpy(), part.column(8)
@@ -323,18 +327,13 @@ class _Block:
             self.n_links[own] = sizes[full] - 3
             self.link_start[own] = total + np.cumsum(sizes[full] - 3) - (sizes[full] - 3)
             total += len(flat)
-            if pairs is None:  # these are numbered as they come
-                new = np.setdiff1d(flat, self.pairs)
-                if len(new):
-                    merged = np.union1d(self.pairs, new)
-                    moved = np.searchsorted(merged, self.pairs).astype(np.int32)
-                    places = [moved[p] for p in places] if len(self.pairs) else places
-                    self.pairs = merged
-            places.append(np.searchsorted(self.pairs, flat).astype(np.int32))
+            found, inverse = np.unique(flat, return_inverse=True)
+            spans.append((found, inverse.astype(np.int32)))
             if part.column(4).null_count < part.num_rows:
                 for k, s in zip(at.tolist(), part.column(4).to_pylist(), strict=True):
                     self.groups[k] = s
-        self.places = np.concatenate([np.zeros(0, np.int32), *places])
+        self.pairs = np.unique(np.concatenate([self.pairs, *(f for f, _ in spans)]))
+        self.places = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(self.pairs, f).astype(np.int32)[i] for f, i in spans)])
 
     def links_of(self, units: np.ndarray) -> np.ndarray:
         """The places of all links of these units."""
@@ -349,17 +348,26 @@ class _Block:
 
 def _codes(rows: pa.RecordBatch) -> Iterator[np.ndarray]:
     for c in rows.column(5).to_pylist():
-        yield np.frombuffer(c, "<i4")
+        yield np.frombuffer(zlib.decompress(c), "<i4")
 
 
-def _document_pairs(coded: DataFrame, entries: DataFrame) -> DataFrame:
-    """(block, pair, n): how many of a block's documents hold an id pair linked."""
+_FOUND = "block long, pair long, n long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+
+
+def _first_pass(coded: DataFrame, entries: DataFrame) -> DataFrame:
+    """Two kinds of rows: (block, pair, n), how many of a block's documents hold an id pair linked; (block, row, doc_id, n_a ... groups_sha256) of each document."""
+    schema = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (c.split() for c in _FOUND.split(", "))])
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(times), SEND):
-                s = slice(k, k + SEND)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(times[s]), at)), pa.array(own.pairs[s]), pa.array(times[s])], ["block", "pair", "n"])
+            held = np.flatnonzero(times)
+            for k in range(0, len(held), SEND):
+                s = held[k : k + SEND]
+                yield rows_of(block=np.full(len(s), at), pair=own.pairs[s], n=times[s])
 
         at, own = None, _Block(None)
         times = np.zeros(0, np.int64)
@@ -369,45 +377,45 @@ def _document_pairs(coded: DataFrame, entries: DataFrame) -> DataFrame:
                 at, own = block, None  # the block before goes first
                 own = _Block(parts.pop(0, None))
                 times = np.zeros(len(own.pairs), np.int64)
+            out: list[list] = [[], [], [], [], []]
             for codes in _codes(rows):
                 units = np.unique(codes)
-                if own.fits[units].all():
+                if len(codes) and own.fits[units].all():
                     times[np.unique(own.links_of(units))] += 1
+                    sha = hashlib.sha256(";".join(map(own.groups.__getitem__, codes.tolist())).encode()).hexdigest()
+                    found = [*(int(own.counts[k][codes].sum()) for k in range(3)), int(own.n_links[codes].sum()), sha]
+                else:
+                    found = [0, 0, 0, 0, ""]
+                for o, f in zip(out, found, strict=True):
+                    o.append(f)
+            yield rows_of(block=np.full(rows.num_rows, at), row=rows.column(6), doc_id=rows.column(7), **dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), out, strict=True)))
         yield from done()
 
-    found = meeting(coded.where(F.col("kind") == LAST), entries.select("block", F.lit(0).alias("kind"), "a", "v")).mapInArrow(each, "block long, pair long, n long")
-    return written(found.where("n > 0"), "pairs")
-
+    documents = coded.where(F.col("kind") == LAST)
+    return written(meeting(documents, entries.select("block", F.lit(0).alias("kind"), "a", "s", "v")).mapInArrow(each, _FOUND), "found", "zstd")
 
-_RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
-
-def _documents(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> DataFrame:
-    """The documents' rows, from their units' results and the counts (block, pair, count * 2 + best)."""
+def _second_pass(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(block, row, n_best, count_sum) of each document, from the counts (block, a: pair, b: count * 2 + best)."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for _, parts, rows in met(batches):
+        for block, parts, rows in met(batches):
             if parts is not None:
                 own = best = total = None  # the block before goes first
                 sums = parts.pop(1, None)
                 pairs, value = numbers(sums, 2), numbers(sums, 3)
                 order = np.argsort(pairs)
-                own, value = _Block(parts.pop(0, None), pairs[order]), value[order]
-                best, total = own.sums(value & 1), own.sums(value >> 1)
-            out: list[list] = [[], [], [], [], [], [], []]
-            for codes in _codes(rows):
-                if not own.fits[codes].all() or not len(codes):
-                    found = [0, 0, 0, 0, 0, 0, ""]
-                else:
-                    sha = hashlib.sha256(";".join(map(own.groups.__getitem__, codes.tolist())).encode()).hexdigest()
-                    found = [*(int(own.counts[k][codes].sum()) for k in range(3)), int(own.n_links[codes].sum()), int(best[codes].sum()), int(total[codes].sum()), sha]
-                for o, f in zip(out, found, strict=True):
-                    o.append(f)
-            yield pa.RecordBatch.from_arrays([rows.column(7), *(pa.array(o, pa.int64()) for o in out[:6]), pa.array(out[6], pa.string())], names)
+                pairs, value = pairs[order], value[order]
+                own = _Block(parts.pop(0, None))
+                held = np.minimum(np.searchsorted(pairs, own.pairs), max(len(pairs) - 1, 0))
+                worth = np.where(pairs[held] == own.pairs, value[held], 0) if len(pairs) else np.zeros(len(own.pairs), np.int64)
+                best, total = own.sums(worth & 1), own.sums(worth >> 1)
+            sums_of = [(int(best[c].sum()), int(total[c].sum())) if own.fits[c].all() else (0, 0) for c in _codes(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block)), rows.column(6), *(pa.array([x[k] for x in sums_of], pa.int64()) for k in (0, 1))], ["block", "row", "n_best", "count_sum"])
 
-    names = [c.split()[0] for c in _RESULT.split(", ")]
-    return meeting(coded.where(F.col("kind") == LAST), entries.select("block", F.lit(0).alias("kind"), "a", "s", "v"), counts.select("block", F.lit(1).alias("kind"), "a", "b")).mapInArrow(each, _RESULT)
+    documents = coded.where(F.col("kind") == LAST).drop("doc_id")
+    return meeting(documents, entries.select("block", F.lit(0).alias("kind"), "a", "v"), counts.select("block", F.lit(1).alias("kind"), "a", "b")).mapInArrow(each, "block long, row long, n_best long, count_sum long")
 
 
 def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -415,18 +423,21 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     a_path, b_path = a_path or _vocabulary("byte_bpe_50k.json"), b_path or _vocabulary("piece_bpe_32k.model")
     cut = separable(a_path, b_path)
     coded = _coded(docs, block_bytes, cut)
-    own = coded.where("kind = 0").select("block", F.posexplode("units").alias("a", "unit"))
-    units = with_ids(own.select("unit").distinct(), "units", "uid")
-    tokens = written(_tokenized(units, a_path, b_path, cut), "tokens", "zstd")
-    facts = aligned(tokens.where("fits").select("uid", "a", "b"))
+    own = coded.where("kind = 0").select("block", F.posexplode("units").alias("a", "unit")).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")})
+    tokens = written(_tokenized(own.select(*UNIT, "unit").distinct(), a_path, b_path, cut), "tokens", "zstd")
+    facts = aligned(tokens.where("fits").select(*UNIT, "a", "b"))
     drop_written(tokens)
-    named = units.join(facts, "uid", "left").select("unit", F.col("groups").alias("s"), F.coalesce(F.concat(F.array("n_a", "n_b", "n_groups"), "links"), F.array().cast("array<long>")).alias("v"))
-    entries = written(own.join(named, "unit").select("block", "a", "s", "v"), "entries", "zstd")
-    drop_written(facts, units)
+    known = facts.select(*UNIT, F.col("groups").alias("s"), F.concat(F.array("n_a", "n_b", "n_groups"), "links").alias("v"))
+    named = own.drop("unit").join(known, [*UNIT], "left").select("block", "a", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
+    entries = written(named, "entries", "zstd")
+    drop_written(facts)
 
-    here = _document_pairs(coded, entries)
+    found = _first_pass(coded, entries)
+    here = found.where("pair IS NOT NULL").select("block", "pair", "n")
     counts = here.groupBy("pair").agg(F.sum("n").alias("count"))
     most = counts.groupBy(F.shiftright("pair", 32).alias("id")).agg(F.max("count").alias("most"))
     worth = written(counts.join(most, F.shiftright("pair", 32) == F.col("id")).select("pair", (F.col("count") * 2 + (F.col("count") == F.col("most")).cast("long")).alias("b")), "worth")
     sums = here.select("block", "pair").join(worth, "pair").select("block", F.col("pair").alias("a"), "b")
-    return _documents(coded, entries, sums)
+    ends = _second_pass(coded, entries, sums)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return found.where("row IS NOT NULL").drop("pair", "n").join(ends, ["block", "row"]).select(*names)
