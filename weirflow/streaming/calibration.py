@@ -9,6 +9,7 @@ are not yet closed, its waiting rows and its bias.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -16,14 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType, TimestampNTZType
 
 from weirflow.functions.scalars import finite
 from weirflow.streaming.panel import stateful
 
 _D, _L, _I = DoubleType(), LongType(), IntegerType()
-_ROW = StructType([StructField("step", _I), StructField("us", _L), StructField("y", _D), StructField("y_hat", _D), StructField("valid", BooleanType()), StructField("w", _D)])
-_FIELDS = _ROW.names
+_FIELDS = ["step", "us", "y", "y_hat", "valid", "w"]
 
 
 class Calibration(StatefulProcessor):
@@ -36,7 +36,8 @@ class Calibration(StatefulProcessor):
         self.handle = handle
         place = StructType([StructField("block", _I)])
         self.sums = handle.getMapState("sums", place, StructType([StructField("e", _D), StructField("w", _D), StructField("us", _L)]))
-        self.waiting = handle.getMapState("waiting", StructType([StructField("block", _I), StructField("n", _L)]), _ROW)
+        # An entry holds the rows of one block that came together.
+        self.waiting = handle.getMapState("waiting", StructType([StructField("block", _I), StructField("n", _L)]), StructType([StructField("rows", BinaryType())]))
         self.open = handle.getValueState("open", StructType([StructField("block", _I), StructField("bias", _D), StructField("n", _L)]))
 
     def _out(self, key: Any, rows: list[tuple], block: int, bias: float) -> pd.DataFrame:
@@ -66,9 +67,8 @@ class Calibration(StatefulProcessor):
                 if block == opened:
                     yield self._out(key, found, block, bias)
                 elif block > opened:
-                    for r in found:
-                        self.waiting.updateValue((block, n), (int(r[0]), int(r[1]), r[2], r[3], None if r[4] is None else bool(r[4]), r[5]))
-                        n += 1
+                    self.waiting.updateValue((block, n), (pickle.dumps(found),))
+                    n += 1
                     self.handle.registerTimer(-(-int(us) // 1000))
         self.open.update((int(opened), float(bias), int(n)))
 
@@ -88,7 +88,7 @@ class Calibration(StatefulProcessor):
                         self.sums.removeKey((old,))
             opened = block
             ready = sorted(k for k in self.waiting.keys() if k[0] == block)  # noqa: SIM118 - a state, not a dict
-            rows = [tuple(self.waiting.getValue(k)) for k in ready]
+            rows = [r for k in ready for r in pickle.loads(self.waiting.getValue(k)[0])]
             for k in ready:
                 self.waiting.removeKey(k)
             self.open.update((int(opened), float(bias), int(n)))
@@ -110,7 +110,7 @@ def calibrated_stream(stream: DataFrame, block: int, window: Sequence[str] = ("w
         raise ValueError("block must be at least 1")
     at = F.col(ts).cast("timestamp_ntz")
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
-    rows = stateful(stream).withWatermark(ts, late).select(*window, F.col("step").cast("int").alias("step"), F.col(ts).alias("_time"), us.alias("us"), finite(F.col("y").cast("double")).alias("y"), finite(F.col("y_hat").cast("double")).alias("y_hat"), "valid", F.col("w").cast("double").alias("w"))
+    rows = stateful(stream).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(*window, F.col("step").cast("int").alias("step"), F.col(ts).alias("row_time"), us.alias("us"), finite(F.col("y").cast("double")).alias("y"), finite(F.col("y_hat").cast("double")).alias("y_hat"), "valid", F.col("w").cast("double").alias("w"))
     own = [StructField(f.name, f.dataType) for f in stream.select(*window).schema.fields]
     kinds = {"step": _I, "ts": TimestampNTZType(), "y": _D, "y_hat": _D, "valid": BooleanType(), "w": _D, "block": _I, "y_cal": _D}
     schema = StructType([*own, *(StructField(name, kind) for name, kind in kinds.items())])

@@ -1,5 +1,7 @@
 """The resampling panel over a stream: an extension, batch and stream give the same bins.
 
+Watermarks stand on instants; times without a zone are taken as those of the session's.
+
 Two stages, both kept in checkpointed state.  The first is an aggregation by bin: its
 state are sums, or for medians the counts of a bin's distinct values, so it is
 spread over bins and holds what is not yet closed.  The second sees one row for each closed
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
 
 from weirflow.functions.scalars import DAY_MICROS, freq_micros, quoted
 from weirflow.operators.resample import _aggregate
@@ -39,7 +41,7 @@ def _interval(freq: str) -> str:
 
 def _binned(stream: DataFrame, ts: str, values: Sequence[str], freq: str, late: str, agg: str, keys: Sequence[str]) -> DataFrame:
     how = _aggregate(agg)
-    shifted = stream.withColumn("_at", F.col(ts) - F.expr("INTERVAL 1 MICROSECOND")).withWatermark("_at", late)
+    shifted = stream.withColumn("_at", F.col(ts).cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND")).withWatermark("_at", late)
     return shifted.groupBy(*keys, F.window("_at", freq).alias("_w")).agg(*(how(quoted(v)).alias(v) for v in values), *(F.count(quoted(v)).alias(f"n_obs_{v}") for v in values))
 
 
@@ -128,7 +130,7 @@ def dense_panel(stream: DataFrame, ts: str, values: Sequence[str], freq: str = "
     found = _binned(stateful(stream), ts, values, _interval(freq), late, agg, keys)
     columns = [c for c in found.columns if c not in (*keys, "_w")]
     one = list(keys) or ["all_rows"]
-    end = F.col("_w.end").cast("timestamp_ntz") if isinstance(stream.schema[ts].dataType, TimestampType) else F.col("_w.end")
+    end = F.col("_w.end").cast("timestamp_ntz")
     rows = found.select(*(keys or [F.lit(0).alias("all_rows")]), F.window_time("_w").alias("bin_time"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), end).alias("bin_micros"), *(quoted(c) for c in columns))
     counts = [c for c in columns if c.startswith("n_obs_")]
     schema = StructType([*(f for f in stream.select(*keys).schema.fields), StructField("bin", TimestampNTZType()), *(rows.schema[c] for c in columns)])
