@@ -142,3 +142,27 @@ def test_null_is_a_key(spark):
     for g, rs in own.items():
         v = pd.Series([r[2] for r in rs if r[2] is not None])
         assert all(ranks[g, x] == k for x, k in zip(v, v.rank(), strict=True))
+
+
+@pytest.mark.parametrize("holes", [0.0, 0.3])
+def test_spearman_equals_pandas(spark, holes):
+    """Pairs with different missing rows, ties, repeated rows, a column that does not vary, and names with dots."""
+    rng = np.random.default_rng(11)
+    n = 400
+    v = rng.normal(0, 1, (n, 6))
+    v[:, 1] = v[:, 0] * 0.7 + v[:, 1]
+    v[:, 2] = v[:, 2].round(0)
+    v[:, 5] = 3.0
+    v[rng.random((n, 6)) < holes] = np.nan
+    v[100:150] = v[50:100]
+    pdf = pd.DataFrame(v, columns=["a", "b.c", "d/e", "f", "g", "same"])
+    df = spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in v], "a double, `b.c` double, `d/e` double, f double, g double, same double").repartition(3)
+    want = pdf.corr("spearman")
+    got = {(r.a, r.b): r.r for r in stats.spearman(df, list(pdf.columns), buckets=5).collect()}
+    assert len(got) == 15
+    for (a, b), r in got.items():
+        if "same" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-12)
+    assert all(r.r is None for r in stats.spearman(df.where("false"), ["a", "f"]).collect())

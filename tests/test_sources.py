@@ -162,3 +162,20 @@ def test_entry():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert json.dumps(sorted(e.queries()))
+
+
+def test_many_files_of_few_headers(spark, tmp_path):
+    """Three headers give three scans, however many files there are; quoted commas and byte-order marks stay apart."""
+    heads = ["DateTime,A,A_Flag", 'DateTime,"B,x",A', "﻿DateTime,A"]
+    for i in range(300):
+        body = "".join(f"2020-01-01 {i % 24:02d}:{m:02d}:00,{i},{m}\n" if i % 3 < 2 else f"2020-01-01 {i % 24:02d}:{m:02d}:00,{i}\n" for m in range(3))
+        (tmp_path / f"log{i:04d}.csv").write_text(heads[i % 3] + "\n" + body, encoding="utf-8")
+    glob = f"{tmp_path}/log*.csv"
+    files = sensor_logs.paths(spark, glob)
+    found = sensor_logs.headers(spark, files)
+    assert list(found) == [("DateTime", "A", "A_Flag"), ("DateTime", "B,x", "A"), ("DateTime", "A")] and [len(v) for v in found.values()] == [100, 100, 100]
+    rows = sensor_logs.scan(spark, glob)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
+    assert rows.count() == 900 and rows.select("source_file").distinct().count() == 300
+    assert rows.agg(F.sum("A"), F.sum("`B,x`")).first()[:] == (sum(3 * i for i in range(300) if i % 3 != 1) + 300, sum(3 * i for i in range(300) if i % 3 == 1))

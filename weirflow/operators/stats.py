@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,26 +64,58 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, bucket
     return join_on(placed.withColumn("_upto", upto), F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
 
 
-def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r): Pearson of average ranks among the rows that have both.
+def spearman(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> DataFrame:
+    """(a, b, r): Pearson of average ranks among the rows that have both; NULL where a column does not vary.
 
-    If no value is missing at all, each column is ranked once; else the ranks
-    differ by pair and each pair is ranked for itself.
+    Ranks differ by pair where values miss.  Equal rows are counted first.  Then each
+    column's values are sorted once, in buckets, with running counts for every
+    other column of the rows that have it too: a value's ranks for all its pairs
+    come from that one order.  What is shuffled are a row's columns, not its pairs.
     """
-    names = [f"c{i}" for i in range(len(columns))]
+    k, names = len(columns), [f"c{i}" for i in range(len(columns))]
+    if k < 2:
+        raise ValueError("two columns at least")
     values = df.select(*(finite(quoted(c).cast("double")).alias(n) for c, n in zip(columns, names, strict=True)))
-    seen = complete_cases(values, names).first()
-    if seen.n_rows == seen.n_complete:
-        ranked = values
-        for n in names:
-            ranked = ranked.join(average_ranks(values, n, (), f"r{n}"), n)
-        pairs = list(combinations(range(len(columns)), 2))
-        wide = ranked.agg(*(F.corr(f"rc{i}", f"rc{j}").alias(f"_{k}") for k, (i, j) in enumerate(pairs)))
-        return _pairs_long(wide, [(columns[i], columns[j]) for i, j in pairs])
-    rows = F.array(*(F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y")) for i, j in combinations(range(len(columns)), 2)))
-    pairs = values.select(F.explode(rows).alias("_x")).select("_x.*").where("x is not null and y is not null")
-    ranked = pairs.join(average_ranks(pairs, "x", ["a", "b"], "_rx"), ["a", "b", "x"]).join(average_ranks(pairs, "y", ["a", "b"], "_ry"), ["a", "b", "y"])
-    return ranked.groupBy("a", "b").agg(F.corr("_rx", "_ry").alias("r"))
+    values = values.withColumns({n: F.col(n) + F.lit(0.0) for n in names})  # -0.0 is 0.0
+    rows = values.groupBy(*names).agg(F.count("*").alias("times"))
+    # A row by 128 bits of hashes; which columns it has by a bit each.
+    there = [F.col(n).isNotNull() for n in names]
+    keyed = rows.select(F.xxhash64(*names, *there).alias("h1"), F.xxhash64(F.lit(1), *names, *there).alias("h2"), "times", F.array(*(t.cast("byte") for t in there)).alias("has"), *names)
+    cells = keyed.select("h1", "h2", "times", "has", F.posexplode(F.array(*names)).alias("col", "x")).where("x IS NOT NULL")
+    bounds = cells.groupBy("col").agg(F.percentile_approx("x", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("bounds"))  # a row a column
+    placed = cells.join(F.broadcast(bounds), "col").withColumn("bucket", F.size(F.filter("bounds", lambda q: q < F.col("x")))).drop("bounds")
+    held = placed.groupBy("col", "bucket").agg(*(F.sum(F.col("times") * F.col("has")[j]).alias(f"n{j}") for j in range(k)))
+    upto = Window.partitionBy("col").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("col", "bucket", F.array(*(F.coalesce(F.sum(f"n{j}").over(upto), F.lit(0)) for j in range(k))).alias("before"))
+    ranked = placed.join(F.broadcast(before), ["col", "bucket"])
+
+    def ranks(table: pa.Table) -> pa.Table:
+        x, times = (np.asarray(table.column(c).to_numpy()) for c in ("x", "times"))
+        order = np.argsort(x, kind="stable")
+        has = np.asarray(table.column("has").combine_chunks().flatten()).reshape(-1, k)[order] * times[order, None]
+        sums = np.concatenate([np.zeros((1, k)), np.cumsum(has, axis=0, dtype=np.float64)])
+        starts = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
+        ends = np.append(starts[1:], len(x))
+        own = np.asarray(table.column("before")[0].as_py(), np.float64) + (sums[starts] + sums[ends] + 1) / 2
+        out = np.empty((len(x), k))
+        out[order] = np.repeat(own, ends - starts, axis=0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(out.ravel()))
+        return pa.table({"h1": table.column("h1"), "h2": table.column("h2"), "times": table.column("times"), "col": table.column("col"), "ranks": lists})
+
+    of_rows = ranked.groupBy("col", "bucket").applyInArrow(ranks, "h1 long, h2 long, times long, col int, ranks array<double>")
+    whole = of_rows.groupBy("h1", "h2").agg(F.max("times").alias("times"), F.map_from_entries(F.collect_list(F.struct("col", "ranks"))).alias("ranks"))
+    totals = cells.groupBy("col").agg(*(F.sum(F.col("times") * F.col("has")[j]).alias(f"n{j}") for j in range(k)))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(k), 2)))
+    counts = totals.select(F.col("col").alias("i"), F.posexplode(F.array(*(f"n{j}" for j in range(k)))).alias("j", "n")).where("i < j").groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "n"))).alias("n"))
+    sides = F.transform(pairs, lambda p: F.struct(F.get(F.element_at("ranks", p["i"]), p["j"]).alias("u"), F.get(F.element_at("ranks", p["j"]), p["i"]).alias("v"), ((F.element_at("n", p) + 1) / 2).alias("m")))
+    wide = whole.crossJoin(F.broadcast(counts)).select("times", sides.alias("s"))  # one row of the pairs' counts
+    sums = []
+    for q in range(k * (k - 1) // 2):
+        s = F.col("s")[q]
+        u, v = s["u"] - s["m"], s["v"] - s["m"]  # ranks of n rows are around (n + 1) / 2
+        sums += [F.sum(F.when(s["u"].isNotNull() & s["v"].isNotNull(), F.col("times") * e)).alias(f"{name}{q}") for name, e in (("xy", u * v), ("xx", u * u), ("yy", v * v))]
+    one = wide.agg(*sums)
+    return _pairs_long(one.select(*(F.when((F.col(f"xx{q}") > 0) & (F.col(f"yy{q}") > 0), F.col(f"xy{q}") / F.sqrt(F.col(f"xx{q}") * F.col(f"yy{q}"))).alias(f"_{q}") for q in range(k * (k - 1) // 2))), list(combinations(columns, 2)))
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -50,11 +51,36 @@ def paths(spark: SparkSession, glob: str) -> list[str]:
     return files
 
 
-def _one(spark: SparkSession, path: str, wanted: Sequence[str] | None) -> DataFrame:
-    """One file by its own header, all columns text; those of wanted that it has."""
-    header = spark.read.option("header", True).csv(path).columns  # reads the first line only
-    schema = StructType([StructField(c.lstrip("﻿"), StringType()) for c in header])
-    rows = spark.read.option("header", True).option("nullValue", MISSING).option("enforceSchema", True).schema(schema).csv(path)
+def headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, headers in the order of their first file.
+
+    One distributed pass, a task a split, which ends after a file's first line.
+    """
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    cost, most = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, spark.conf.get(most))  # so that no split shares a task with another
+    try:
+        lines = spark.read.text(list(files)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        found = lines.mapInArrow(first, "value string, path string, at long").where("at = 0").groupBy("value").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    finally:
+        spark.conf.set(cost, before)
+    by: dict[tuple[str, ...], list[str]] = {}
+    for r in found:  # a row a header
+        by.setdefault(tuple(next(csv.reader([r["value"].lstrip("\ufeff")]))), []).extend(r["paths"])
+    return dict(sorted(((h, sorted(p)) for h, p in by.items()), key=lambda x: x[1][0]))
+
+
+def _alike(spark: SparkSession, header: tuple[str, ...], files: list[str], wanted: Sequence[str] | None) -> DataFrame:
+    """Files of one header in one scan, all columns text; those of wanted that they have."""
+    schema = StructType([StructField(c, StringType()) for c in header])
+    rows = spark.read.option("header", True).option("nullValue", MISSING).option("enforceSchema", True).schema(schema).csv(files)
     names = [c for c in schema.names if wanted is None or c in wanted]
     return rows.select(*(quoted(c) for c in names), F.col("_metadata.file_name").alias("source_file"))
 
@@ -65,9 +91,10 @@ def scan(spark: SparkSession, glob: str, values: Sequence[str] | None = None, re
     values None takes every column.  Columns that a file lacks are NULL there; a
     value column that no file has is an error, and with require one that any
     file lacks.  Rows without a valid time go; nothing is sorted or deduplicated.
+    Files of equal headers are one scan, however many they are.
     """
     wanted = None if values is None else {TIME, *values, *(f"{v}_Flag" for v in values)}
-    frames = [_one(spark, p, wanted) for p in paths(spark, glob)]
+    frames = [_alike(spark, header, files, wanted) for header, files in headers(spark, paths(spark, glob)).items()]
     if values is not None:
         have = [set(f.columns) for f in frames]
         lacking = [v for v in values if not (all if require else any)(v in h for h in have)]
