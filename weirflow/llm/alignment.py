@@ -40,7 +40,7 @@ from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, number
 from weirflow.llm.common import drop_written, small_batches, text_bytes, written
 
 #: UTF-8 bytes of text of a block: larger ones repeat fewer units.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 #: Units that are tokenized as one text.
 TOGETHER = 256
 #: Rows of an Arrow batch that a worker sends.
@@ -423,12 +423,13 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     a_path, b_path = a_path or _vocabulary("byte_bpe_50k.json"), b_path or _vocabulary("piece_bpe_32k.model")
     cut = separable(a_path, b_path)
     coded = _coded(docs, block_bytes, cut)
-    own = coded.where("kind = 0").select("block", F.posexplode("units").alias("a", "unit")).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")})
-    tokens = written(_tokenized(own.select(*UNIT, "unit").distinct(), a_path, b_path, cut), "tokens", "zstd")
+    own = coded.where("kind = 0").select("block", F.posexplode("units").alias("a", "unit"))
+    hashes = {"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")}
+    tokens = written(_tokenized(own.select("unit").distinct().withColumns(hashes), a_path, b_path, cut), "tokens", "zstd")
     facts = aligned(tokens.where("fits").select(*UNIT, "a", "b"))
     drop_written(tokens)
     known = facts.select(*UNIT, F.col("groups").alias("s"), F.concat(F.array("n_a", "n_b", "n_groups"), "links").alias("v"))
-    named = own.drop("unit").join(known, [*UNIT], "left").select("block", "a", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
+    named = own.withColumns(hashes).drop("unit").join(known, [*UNIT], "left").select("block", "a", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
     entries = written(named, "entries", "zstd")
     drop_written(facts)
 
