@@ -117,7 +117,8 @@ def test_artifacts(spark, tmp_path):
     assert [r.size for r in artifacts.large_artifacts(spark, str(tmp_path)).collect()] == [artifacts.WHOLE + 1]
     snap = artifacts.snapshot(spark, str(tmp_path), str(tmp_path / "snap"), ("*.json",))
     assert artifacts.fingerprints(spark, str(tmp_path), ("res/*/*/bad/*.json", "res/**/gru_eval*")).count() == 2
-    assert spark.read.json(str(tmp_path / "snap" / "latest")).first().files == str(tmp_path / "snap") + "/files"
+    last = spark.read.json(str(tmp_path / "snap" / "latest")).first()
+    assert last.number == 1 and spark.read.json(last.files).count() == 3
     assert snap.count() == 3 and "revision_error" in artifacts.git_state(str(tmp_path))
     old, new = spark.createDataFrame([(1.0,)], "target double"), spark.createDataFrame([([1.0, None],)], "targets array<double>")
     assert artifacts.any_target(old).first().y == [1.0] and artifacts.any_target(new).first().y_valid == [True, False]
@@ -179,3 +180,47 @@ def test_many_files_of_few_headers(spark, tmp_path):
     assert plan.count("Relation [") == 3
     assert rows.count() == 900 and rows.select("source_file").distinct().count() == 300
     assert rows.agg(F.sum("A"), F.sum("`B,x`")).first()[:] == (sum(3 * i for i in range(300) if i % 3 != 1) + 300, sum(3 * i for i in range(300) if i % 3 == 1))
+
+
+def test_versions(spark, tmp_path):
+    """A write that fails leaves the version before readable; readers keep what they opened; writers of one moment take two numbers."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from weirflow.sources import versions
+
+    root = str(tmp_path / "out")
+    frame = lambda n: spark.range(n)
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root, "a")
+    versions.publish({"a": frame(3), "b": frame(1)}, root, {"why": "first"})
+    opened = versions.read(spark, root, "a")
+    broken = frame(5).select(F.when(F.col("id") < 4, F.col("id")).otherwise(F.raise_error(F.lit("stopped half way")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="stopped half way"):
+        versions.publish({"a": frame(9), "b": broken}, root)
+    assert [v["number"] for v in versions.versions(spark, root)] == [1] and versions.read(spark, root, "a").count() == 3
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: versions.publish({"a": frame(n)}, root), (10, 20, 30, 40)))
+    found = versions.versions(spark, root)
+    assert [v["number"] for v in found] == [1, 2, 3, 4, 5] and found[0]["about"] == {"why": "first"}
+    assert sorted(versions.read(spark, root, "a", n).count() for n in (2, 3, 4, 5)) == [10, 20, 30, 40]
+    assert opened.count() == 3
+    assert versions.prune(spark, root, 2) == [1, 2, 3] and [v["number"] for v in versions.versions(spark, root)] == [4, 5]
+    assert len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("data-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root, "a", 1)
+
+
+def test_files_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file of 3 GB: its prefix alone is read, or all of it in blocks."""
+    big, small = tmp_path / "big.pt", tmp_path / "sub" / "small one.pt"
+    small.parent.mkdir()
+    small.write_bytes(b"abc")
+    with open(big, "wb") as f:
+        f.write(b"head")
+        f.truncate(3 << 30)
+    first = hashlib.sha256(b"head" + bytes((1 << 20) - 4)).hexdigest()
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in artifacts.fingerprints(spark, str(tmp_path), ("*.pt",)).collect()}
+    assert (rows["big.pt"].sha256, rows["big.pt"].whole, rows["big.pt"].read, rows["big.pt"].size) == (first, False, 1 << 20, 3 << 30)
+    assert [r.read for k, r in rows.items() if k != "big.pt"] == [3] and hashlib.sha256(b"abc").hexdigest() in {r.sha256 for r in rows.values()}
+    whole = artifacts.fingerprints(spark, str(tmp_path), ("big.pt",), limit=1 << 40).first()
+    assert whole.whole and whole.read == 3 << 30 and whole.sha256 != first

@@ -14,7 +14,7 @@ from weirflow.functions import scalars as S
 from weirflow.operators import metrics, ordering, splits, windows
 from weirflow.plans import pipelines
 from weirflow.plans.queries import _FORECAST, _LAST, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
-from weirflow.sources import artifacts, npz, sensor_logs
+from weirflow.sources import artifacts, npz, sensor_logs, versions
 from weirflow.sources.scratch import fresh_folder, one_file
 
 _FILES = ("log_2014.csv", "log_2015.csv", "log_2016.csv")
@@ -206,16 +206,33 @@ def large_artifacts(spark, sf_dir):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
 
 
-@query("SELECT r_name || '.csv' AS name, octet_length(encode(r_name)) + 1 AS size, true AS latest FROM region")
+@query("SELECT r_name || '.csv' AS name, octet_length(encode(r_name)) + 1 + v.v AS size, v.v + 1 AS number, v.v = 1 AS latest, true AS git FROM region, (VALUES (0), (1)) v(v)")
 def snapshot(spark, sf_dir):
-    """Fingerprints and the state of the run, stored, with the record of the last one."""
+    """Fingerprints and the state of the run, stored twice: the first snapshot stays as it was, the last one is named."""
     root, out = fresh_folder(spark, "artifacts"), fresh_folder(spark, "snapshot")
-    for name in [r.r_name for r in table(spark, sf_dir, "region").collect()]:
-        one_file(spark.createDataFrame([(name,)], "value string"), f"{root}/{name}.csv", "text")
-    artifacts.snapshot(spark, root, out)
-    latest = spark.read.json(f"{out}/latest")
-    files = spark.read.json(f"{out}/files")
-    return files.crossJoin(F.broadcast(latest.select((F.col("files") == f"{out}/files").alias("latest")))).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "latest")
+    names = [r.r_name for r in table(spark, sf_dir, "region").collect()]
+    found = None
+    for more in ("", "x"):
+        for name in names:
+            one_file(spark.createDataFrame([(name + more,)], "value string"), f"{root}/{name}.csv", "text")
+        artifacts.snapshot(spark, root, out)
+    latest = spark.read.json(f"{out}/latest").select(F.col("number").alias("last"))
+    for v in versions.versions(spark, out):
+        own = versions.read(spark, out, "files", v["number"]).withColumn("number", F.lit(v["number"])).crossJoin(F.broadcast(versions.read(spark, out, "run", v["number"])))
+        found = own if found is None else found.unionByName(own)
+    git = F.get_json_object("git", "$.revision_error").isNotNull()  # the folder is no repository, and that is recorded
+    return found.crossJoin(F.broadcast(latest)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", F.col("number").cast("int").alias("number"), (F.col("number") == F.col("last")).alias("latest"), git.alias("git"))
+
+
+@query(f"WITH {_PANEL} SELECT bin, round(value, 6) AS value, n_obs_value, 1 AS number FROM panel UNION ALL SELECT bin, round(value * 2, 6), n_obs_value, 2 FROM panel")
+def published_panel(spark, sf_dir):
+    """Two versions of a panel, the second published while the first is open; both are read."""
+    root, rows = fresh_folder(spark, "published"), panel(spark, sf_dir)
+    versions.publish({"panel": rows}, root)
+    first = versions.read(spark, root, "panel")
+    versions.publish({"panel": rows.withColumn("value", F.col("value") * 2)}, root)
+    both = first.withColumn("number", F.lit(1)).unionByName(versions.read(spark, root, "panel").withColumn("number", F.lit(2)))
+    return six(both.select("bin", "value", "n_obs_value", "number"), "value")
 
 
 @query("SELECT 'windowed_L96_H0_P48_S' || CAST(n_regionkey + 1 AS varchar) AS name, CAST(n_regionkey + 1 AS bigint) AS stride FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 1")

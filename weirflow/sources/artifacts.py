@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import subprocess
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.sources import npz, versions
+
 #: Files up to this size are hashed whole, larger ones by their first mebibyte.
 WHOLE = 5 << 20
 PREFIX = 1 << 20
+#: Bytes that are read at once.
+BLOCK = 1 << 20
 
 
 def scaler(spark: SparkSession, path: str) -> DataFrame:
@@ -84,12 +90,30 @@ def by_path(files: DataFrame, root: str, patterns: Sequence[str]) -> DataFrame:
     return files.where(relative(root).rlike(f"^(?:{rule})$"))
 
 
-def fingerprints(spark: SparkSession, root: str, patterns: Sequence[str] = ("*",)) -> DataFrame:
-    """(path, size, modified, sha256, whole) of files below root that match; large files by the hash of their first part."""
-    files = by_path(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, patterns)
-    whole = F.col("length") <= WHOLE
-    content = F.when(whole, F.col("content")).otherwise(F.substring("content", 1, PREFIX))
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2(content, 256).alias("sha256"), whole.alias("whole")).orderBy("path")
+def fingerprints(spark: SparkSession, root: str, patterns: Sequence[str] = ("*",), limit: int = WHOLE, prefix: int = PREFIX) -> DataFrame:
+    """(path, size, modified, sha256, whole, read) of files below root that match; those beyond limit by the hash of their first prefix bytes.
+
+    Tasks read block by block, and of large files no more than the prefix; read has
+    the bytes.  So files of any size can be hashed, whole ones too.
+    """
+    listed = by_path(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, patterns).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+    def each(batches):
+        for batch in batches:
+            found, read = [], []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, at = npz.file_system(path if "://" in path else re.sub("^file:/*", "/", path))
+                digest, left, n = hashlib.sha256(), size if size <= limit else prefix, 0
+                with system.open_input_file(at) as f:
+                    while left and (block := f.read(min(left, BLOCK))):
+                        digest.update(block)
+                        left, n = left - len(block), n + len(block)
+                found.append(digest.hexdigest())
+                read.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array([s <= limit for s in batch.column(1).to_pylist()], pa.bool_()), pa.array(read, pa.int64())], names)
+
+    names = ["path", "size", "modified", "sha256", "whole", "read"]
+    return listed.mapInArrow(each, "path string, size long, modified timestamp, sha256 string, whole boolean, read long").orderBy("path")
 
 
 def large_artifacts(spark: SparkSession, root: str, suffixes: Sequence[str] = ("npz", "pt")) -> DataFrame:
@@ -110,11 +134,14 @@ def git_state(root: str) -> dict:
 
 
 def snapshot(spark: SparkSession, root: str, out: str, patterns: Sequence[str] = ("*",)) -> DataFrame:
-    """Writes out/files, out/run and out/latest (JSON: where the last snapshot is) and returns the files' fingerprints."""
+    """Publishes the files' fingerprints and the state of the run as the next version in out; returns the fingerprints.
+
+    Earlier snapshots stay (``versions.versions`` lists them); out/latest (JSON) says where the last one is.
+    """
     files = fingerprints(spark, root, patterns)
-    files.write.mode("overwrite").json(f"{out}/files")
     state = git_state(root)
-    run = spark.createDataFrame([(json.dumps(state), spark.version, f"{out}/files")], "git string, spark string, files string")
-    run.drop("files").write.mode("overwrite").json(f"{out}/run")
-    run.select("files", "git").write.mode("overwrite").json(f"{out}/latest")
-    return spark.read.schema(files.schema).json(f"{out}/files")
+    run = spark.createDataFrame([(json.dumps(state), spark.version)], "git string, spark string")
+    entry = versions.publish({"files": files, "run": run}, out, {"root": root, "git": state}, "json")
+    pointer = spark.createDataFrame([(entry["number"], f"{entry['folder']}/files", json.dumps(state))], "number long, files string, git string")
+    pointer.coalesce(1).write.mode("overwrite").json(f"{out}/latest")
+    return versions.read(spark, out, "files", entry["number"])
