@@ -39,7 +39,10 @@ _LOW = (1 << 21) - 1
 #: Words of a block that are made n-grams of at once: their ranks fit in 21 bits.
 STRETCH = 1 << 20
 #: n-grams for a range of keys, about.
-RANGE_ROWS = 2_000_000
+RANGE_ROWS = 1_000_000
+#: Rows of an Arrow batch of n-grams.
+SEND = 1 << 15
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # A-Z fold, the tab is a space, these characters end a piece.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
@@ -214,7 +217,13 @@ def _frequent(grams: DataFrame, ranges: int, least: int) -> DataFrame:
 
     schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("times", pa.int64()), ("block", pa.int64())])
     dealt = grams.repartitionById(ranges, F.col("part")).select("hi", "lo", "times", "block")
-    return written(dealt.mapInArrow(each, "hi long, lo long, block long, a long, first boolean"), "grams")
+    conf = grams.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(SEND))  # these rows are narrow, and written now; rows of codes stay few by their bytes
+    try:
+        return written(dealt.mapInArrow(each, "hi long, lo long, block long, a long, first boolean"), "grams")
+    finally:
+        conf.set(_BATCH, before)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
