@@ -222,6 +222,9 @@ def test_metrics(spark):
     assert metrics.weighted_mse(df).first().loss == pytest.approx((1 * 1 + 2 * 4) / 3)
     with pytest.raises(Exception, match="no valid training target"):
         metrics.mean_baseline(df.where("false"), df).collect()
+    with pytest.raises(Exception, match="no valid target with an end value"):
+        metrics.persistence_baseline(df.withColumn("end_value", F.lit(None).cast("double")), require=True).collect()
+    assert metrics.persistence_baseline(df, require=True).count() == 5
     two = long(spark, [(0, 0, 1.0, 2.0, True, 1.0, 0.0), (0, 1, 3.0, 1.0, True, 1.0, 0.0)])
     # level ((1)^2 + (-2)^2) / 2; differences 1, 2 against 2, -1
     assert metrics.tdalign(two).first()[:] == pytest.approx((2.5, (1 + 9) / 2, 0.5, 0.5 * 2.5 + 0.5 * 5))

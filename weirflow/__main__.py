@@ -74,12 +74,12 @@ def main(argv: list[str] | None = None) -> None:
         if a.kind == "predictions":
             rows = own.join(read(a.predictions), ["split", "window_id", "step"])
         else:
-            rows = metrics.persistence_baseline(own) if a.kind == "persistence" else metrics.mean_baseline(long.where("split = 'train'"), own)
+            rows = metrics.persistence_baseline(own, require=True) if a.kind == "persistence" else metrics.mean_baseline(long.where("split = 'train'"), own)
         pipelines.store(pipelines.calibration_reports(rows, a.block), a.out)
     elif a.command == "correlations":
         from weirflow.operators import stats
 
-        columns = [*WEATHER, *FEATURES, TARGET]
+        columns = list(dict.fromkeys([*WEATHER, *FEATURES, TARGET]))
         rows = masked_series(spark, a.logs, columns, require=True)
         pipelines.store({"pearson": stats.pearson(rows, columns), "spearman": stats.spearman(rows, columns), "complete": stats.complete_cases(rows, columns)}, a.out)
     elif a.command == "spans":

@@ -47,9 +47,17 @@ def mean_baseline(train: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(known))
 
 
-def persistence_baseline(rows: DataFrame) -> DataFrame:
-    """rows (long form) with y_hat, the value at the end of the context, for all steps."""
-    return rows.withColumn("y_hat", F.col("end_value"))
+def persistence_baseline(rows: DataFrame, require: bool = False) -> DataFrame:
+    """rows (long form) with y_hat, the value at the end of the context, for all steps.
+
+    With require it is an error if no row has both a valid target and an end value (a pass that counts them).
+    """
+    found = rows.withColumn("y_hat", F.col("end_value"))
+    if not require:
+        return found
+    n = found.agg(F.count_if(F.col("valid") & finite(F.col("y")).isNotNull() & finite(F.col("y_hat")).isNotNull()).alias("_n"))
+    checked = n.select(F.when(F.col("_n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no valid target with an end value")).cast("boolean")).alias("_some"))
+    return found.crossJoin(F.broadcast(checked)).where("_some").drop("_some")
 
 
 def residuals(df: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ there are many rows of one time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import scalars as S
 from weirflow.operators import metrics, ordering, splits, windows
 from weirflow.plans import pipelines
-from weirflow.plans.queries import _FORECAST, _LAST, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
+from weirflow.plans.queries import SQL, _FORECAST, _LAST, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
 from weirflow.sources import artifacts, npz, sensor_logs, versions
 from weirflow.sources.scratch import fresh_folder, one_file
 
@@ -286,13 +286,36 @@ def numbered_rows(spark, sf_dir):
     return six(ordering.numbered(rows, "at", ["step"], ["split"]).select("split", "window_id", "step", F.col("_r").alias("place"), "y_hat"), "y_hat")
 
 
-@query(f"WITH {_FORECAST}, p AS (SELECT split, ts, window_id, step, end_value AS y_hat FROM win WHERE split = 'test') SELECT window_id, CAST(step AS int) AS step, ts, round(y_hat, 6) AS y_hat FROM p")
+@query(f"WITH {_FORECAST} SELECT window_id, CAST(step AS int) AS step, ts, round(end_value, 6) AS y_hat, row_number() OVER (ORDER BY ts, window_id, step) - 1 AS place FROM win WHERE split = 'test'")
 def sorted_predictions(spark, sf_dir):
-    """Predictions as stored for plots: ordered by target time."""
+    """Predictions as stored for plots: ordered by target time; each with its place in the stored files."""
     folder = fresh_folder(spark, "predictions")
-    rows = metrics.persistence_baseline(long_rows(spark, sf_dir).where("split = 'test'"))
+    rows = metrics.persistence_baseline(long_rows(spark, sf_dir).where("split = 'test'"), require=True)
     pipelines.store({"predictions": metrics.by_target_time(rows)}, folder)
-    return six(spark.read.parquet(f"{folder}/predictions").select("window_id", "step", "ts", "y_hat"), "y_hat")
+    kept = spark.read.parquet(f"{folder}/predictions").select("window_id", "step", "ts", "y_hat", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = kept.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
+    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return six(kept.join(F.broadcast(before), "file").select("window_id", "step", "ts", "y_hat", (F.col("before") + F.col("row")).alias("place")), "y_hat")
+
+
+@query(SQL["baselines"])
+def stored_metrics(spark, sf_dir):
+    """The baselines' errors as the JSON that a run leaves, read back."""
+    folder = fresh_folder(spark, "metrics")
+    sensor_logs.write(pipelines.baseline_report(long_rows(spark, sf_dir)), f"{folder}/metrics", fmt="json")
+    rows = spark.read.schema("split string, method string, rmse double, mae double, n long").json(f"{folder}/metrics")
+    return six(rows, "rmse", "mae")
+
+
+@query(f"""SELECT 'missing' AS report, split, "column", missing AS value FROM ({SQL['missing_rates']}) UNION ALL SELECT 'q75', split, "column", q75 FROM ({SQL['describe']}) UNION ALL SELECT 'n', split, "column", n FROM ({SQL['describe']})""")
+def stored_exploration(spark, sf_dir):
+    """The exploration's bundle as stored: rates of missing values and descriptions of each split."""
+    folder = fresh_folder(spark, "exploration")
+    found = pipelines.exploration(wide(spark, sf_dir), [*CHANNELS, "k"])
+    pipelines.store({k: found[k] for k in ("missing", "describe")}, folder)
+    missing, described = (spark.read.parquet(f"{folder}/{k}") for k in ("missing", "describe"))
+    part = lambda df, name, c: df.select(F.lit(name).alias("report"), "split", "column", F.col(c).cast("double").alias("value"))
+    return six(part(missing, "missing", "missing").unionByName(part(described, "q75", "q75")).unionByName(part(described, "n", "n")), "value")
 
 
 @query(f"WITH {_FORECAST} SELECT split, round(sqrt(avg((y - (0.9 * (y - end_value) + end_value)) * (y - (0.9 * (y - end_value) + end_value)))), 6) AS rmse, count(*) AS n FROM fc WHERE {_OK} GROUP BY 1")
