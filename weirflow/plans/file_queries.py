@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import scalars as S
 from weirflow.operators import metrics, ordering, splits, windows
 from weirflow.plans import pipelines
-from weirflow.plans.queries import SQL, _FORECAST, _LAST, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
+from weirflow.plans.queries import SQL, _FORECAST, _LAST, _MONTHS, _OK, _P, _PANEL, _SCALER, _WIDE, _WINDOWS, CHANNELS, events, forecast, long_rows, panel, query, six, table, wide, window_rows
 from weirflow.sources import artifacts, npz, sensor_logs, versions
 from weirflow.sources.scratch import fresh_folder, one_file
 
@@ -110,6 +110,27 @@ def weight_table(spark, sf_dir):
     return six(found.select(F.col("DateTime").alias("t"), "weight_chl_gt", "weight_chl_gt_conservative"), "weight_chl_gt", "weight_chl_gt_conservative")
 
 
+_KEPT = f"""{_LOG}, s AS (SELECT t, a FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY file, a NULLS FIRST) AS r FROM log_ WHERE a_flag IS NULL OR a_flag NOT IN ('B7', 'C', 'M')) WHERE r = 1),
+c AS (SELECT date_trunc('month', t) AS m, count(DISTINCT CAST(t AS date)) AS n FROM s GROUP BY 1), ok AS (SELECT m FROM c WHERE n / CAST(day(last_day(m)) AS double) >= 0.8),
+kept AS (SELECT t AS ts, a AS value FROM s WHERE date_trunc('month', t) IN (SELECT m FROM ok)),
+h1 AS (SELECT *, CASE WHEN count(value) OVER f >= 6 THEN quantile_cont(value, 0.5) OVER f END AS med FROM kept WINDOW f AS (ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+h2 AS (SELECT *, CASE WHEN count(abs(value - med)) OVER f >= 6 THEN quantile_cont(abs(value - med), 0.5) OVER f END AS mad FROM h1 WINDOW f AS (ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+h AS (SELECT *, coalesce(mad > 1e-12 AND abs(value - med) > 3.0 * 1.4826 * mad, false) AS spike FROM h2),
+q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM kept), daily AS (SELECT CAST(ts AS date) AS day, quantile_cont(value, 0.5) AS m FROM kept WHERE value IS NOT NULL GROUP BY 1), {_MONTHS}"""
+
+
+@query(f"""WITH {_KEPT} SELECT CAST(ts AS date) AS day, count(*) AS n, count(*) FILTER (spike) AS n_spike, count(*) FILTER (coalesce(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1), false)) AS n_potential,
+count(*) FILTER (coalesce(potential, false)) AS n_monthly, CAST(count(*) FILTER (NOT (spike AND coalesce(potential, false))) AS double) AS weight_conservative, round(any_value(tukey.m), 6) AS daily_median FROM h CROSS JOIN q LEFT JOIN tukey ON tukey.day = CAST(ts AS date) GROUP BY 1""")
+def stored_ground_truth(spark, sf_dir):
+    """Audit, series, labels, daily medians and summary of the logs as stored; the labels and medians read back by day."""
+    folder = fresh_folder(spark, "truth")
+    pipelines.store(pipelines.ground_truth(spark, logs(spark, sf_dir), pipelines.GroundTruth(p=0.8, freq="1h"), "A"), folder)
+    labels, daily = (spark.read.parquet(f"{folder}/{k}") for k in ("labels", "daily"))
+    flags = [F.count_if(c).alias(n) for c, n in (("spike", "n_spike"), ("tukey_potential", "n_potential"), ("monthly_potential", "n_monthly"))]
+    by_day = labels.groupBy(F.to_date("DateTime").alias("day")).agg(F.count("*").alias("n"), *flags, F.sum("weight_conservative").alias("weight_conservative"))
+    return six(by_day.join(daily.select("day", "daily_median"), "day", "left"), "daily_median")
+
+
 # -- sinks and what reads them ------------------------------------------------------------------------------------
 
 
