@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, numbers, pieces
-from weirflow.llm.common import drop_written, small_batches, text_bytes, written
+from weirflow.llm.common import drop_shared, drop_written, small_batches, text_bytes, written
 
 #: UTF-8 bytes of text of a block: larger ones repeat fewer units.
 BLOCK_BYTES = 32 << 20
+#: Lots of blocks that meet their units' results one after the other, so that one lot's shuffle is on disk at a time.
+LOTS = 4
 #: Units that are tokenized as one text.
 TOGETHER = 256
 #: Rows of an Arrow batch that a worker sends.
@@ -187,7 +189,7 @@ def _coded(docs: DataFrame, block_bytes: int, cut: bool) -> DataFrame:
 
     names = [c.split()[0] for c in _UNITS.split(", ")]
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(each, _UNITS), "units", "zstd")
+    return written(rows.mapInArrow(each, _UNITS).withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(LOTS)).cast("int")), "units", "zstd", ["kind", "lot"])
 
 
 def _ends_safely(units: pa.Array) -> np.ndarray:
@@ -257,6 +259,7 @@ def _tokenized(units: DataFrame, a_path: str, b_path: str, cut: bool) -> DataFra
     return units.select("h1", "h2", "unit").mapInArrow(each, f"h1 long, h2 long, fits boolean, a {kind}, b {kind}")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What names a unit: 128 bits of hashes.
 UNIT = ("h1", "h2")
 #: Joins on more keys than the data is dealt by need no other exchange while this is off.
@@ -354,6 +357,22 @@ def _codes(rows: pa.RecordBatch) -> Iterator[np.ndarray]:
 _FOUND = "block long, pair long, n long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
+def _by_lots(one, tag: str) -> DataFrame:
+    """The union of one(lot), each written before the next one; narrow rows go to Python in larger batches meanwhile."""
+    found = None
+    for lot in range(LOTS):
+        df = one(lot)
+        conf = df.sparkSession.conf
+        before = conf.get(_BATCH)
+        conf.set(_BATCH, str(SEND))  # rows of codes stay few by their bytes
+        try:
+            part = written(df, tag, "zstd")
+        finally:
+            conf.set(_BATCH, before)
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
 def _first_pass(coded: DataFrame, entries: DataFrame) -> DataFrame:
     """Two kinds of rows: (block, pair, n), how many of a block's documents hold an id pair linked; (block, row, doc_id, n_a ... groups_sha256) of each document."""
     schema = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (c.split() for c in _FOUND.split(", "))])
@@ -391,8 +410,11 @@ def _first_pass(coded: DataFrame, entries: DataFrame) -> DataFrame:
             yield rows_of(block=np.full(rows.num_rows, at), row=rows.column(6), doc_id=rows.column(7), **dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), out, strict=True)))
         yield from done()
 
-    documents = coded.where(F.col("kind") == LAST)
-    return written(meeting(documents, entries.select("block", F.lit(0).alias("kind"), "a", "s", "v")).mapInArrow(each, _FOUND), "found", "zstd")
+    def one(lot: int) -> DataFrame:
+        documents, own = coded.where((F.col("kind") == LAST) & (F.col("lot") == lot)), entries.where(F.col("lot") == lot)
+        return meeting(documents, own.select("block", F.lit(0).alias("kind"), "a", "s", "v")).mapInArrow(each, _FOUND)
+
+    return _by_lots(one, "found")
 
 
 def _second_pass(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> DataFrame:
@@ -414,8 +436,12 @@ def _second_pass(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> Dat
             sums_of = [(int(best[c].sum()), int(total[c].sum())) if own.fits[c].all() else (0, 0) for c in _codes(rows)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block)), rows.column(6), *(pa.array([x[k] for x in sums_of], pa.int64()) for k in (0, 1))], ["block", "row", "n_best", "count_sum"])
 
-    documents = coded.where(F.col("kind") == LAST).drop("doc_id")
-    return meeting(documents, entries.select("block", F.lit(0).alias("kind"), "a", "v"), counts.select("block", F.lit(1).alias("kind"), "a", "b")).mapInArrow(each, "block long, row long, n_best long, count_sum long")
+    def one(lot: int) -> DataFrame:
+        documents, own = coded.where((F.col("kind") == LAST) & (F.col("lot") == lot)).drop("doc_id"), entries.where(F.col("lot") == lot)
+        sums = counts.where(F.pmod(F.xxhash64("block"), F.lit(LOTS)) == lot)
+        return meeting(documents, own.select("block", F.lit(0).alias("kind"), "a", "v"), sums.select("block", F.lit(1).alias("kind"), "a", "b")).mapInArrow(each, "block long, row long, n_best long, count_sum long")
+
+    return _by_lots(one, "ends")
 
 
 def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -423,22 +449,23 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     a_path, b_path = a_path or _vocabulary("byte_bpe_50k.json"), b_path or _vocabulary("piece_bpe_32k.model")
     cut = separable(a_path, b_path)
     coded = _coded(docs, block_bytes, cut)
-    own = coded.where("kind = 0").select("block", F.posexplode("units").alias("a", "unit"))
+    own = coded.where("kind = 0").select("block", "lot", F.posexplode("units").alias("a", "unit"))
     hashes = {"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")}
     tokens = written(_tokenized(own.select("unit").distinct().withColumns(hashes), a_path, b_path, cut), "tokens", "zstd")
     facts = aligned(tokens.where("fits").select(*UNIT, "a", "b"))
     drop_written(tokens)
     known = facts.select(*UNIT, F.col("groups").alias("s"), F.concat(F.array("n_a", "n_b", "n_groups"), "links").alias("v"))
-    named = own.withColumns(hashes).drop("unit").join(known, [*UNIT], "left").select("block", "a", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
-    entries = written(named, "entries", "zstd")
+    named = own.withColumns(hashes).drop("unit").join(known, [*UNIT], "left").select("block", "lot", "a", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
+    entries = written(named, "entries", "zstd", ["lot"])
     drop_written(facts)
+    drop_shared(docs.sparkSession, f"{coded._written}/kind=0")  # the units' strings have done their work
 
     found = _first_pass(coded, entries)
     here = found.where("pair IS NOT NULL").select("block", "pair", "n")
     counts = here.groupBy("pair").agg(F.sum("n").alias("count"))
     most = counts.groupBy(F.shiftright("pair", 32).alias("id")).agg(F.max("count").alias("most"))
     worth = written(counts.join(most, F.shiftright("pair", 32) == F.col("id")).select("pair", (F.col("count") * 2 + (F.col("count") == F.col("most")).cast("long")).alias("b")), "worth")
-    sums = here.select("block", "pair").join(worth, "pair").select("block", F.col("pair").alias("a"), "b")
+    sums = written(here.select("block", "pair").join(worth, "pair").select("block", F.col("pair").alias("a"), "b"), "sums")
     ends = _second_pass(coded, entries, sums)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     return found.where("row IS NOT NULL").drop("pair", "n").join(ends, ["block", "row"]).select(*names)

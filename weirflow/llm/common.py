@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +87,14 @@ def _clean() -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
     """df as a table in the shared folder: read often, computed once, its lineage cut, its shuffle files dropped."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path, compression=codec)
+        df.write.parquet(path, partitionBy=list(by) or None, compression=codec)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
