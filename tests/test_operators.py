@@ -38,6 +38,14 @@ def test_scalars(spark):
     assert S.resolve_freq("10min") == "10min" and S.resolve_freq(None, "NO_SUCH_VARIABLE") == "30min"
 
 
+def test_labels_round_the_binary_value(spark):
+    """2.85e-4 and 0.015 lie below their decimals, 0.125 is one: ties go to even, as C's printf and Python have it."""
+    values = [0.000285, 0.00285, 0.0025, 0.00125, 0.015, 0.125, 0.375, 1.005, 2.675, -0.045, 0.0, -0.0, 5e-324, 1e300, 0.0099999, None, float("inf")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(S.annotation(F.col("v"))).collect()]
+    plain = lambda v: "" if v is None or math.isinf(v) else f"{v:.1e}" if abs(v) < 0.01 and v else f"{v:.2f}"
+    assert got == [plain(v) for v in values] and got[:2] == ["2.8e-04", "2.9e-03"] and got[4:6] == ["0.01", "0.12"]
+
+
 def test_flags(spark):
     df = spark.createDataFrame([(1.0, "B7"), (2.0, " C "), (3.0, None), (4.0, "A6"), (float("nan"), "")], "v double, f string")
     assert sorted(r.v for r in drop_flagged(df.where("not isnan(v)"), "f").collect()) == [3.0, 4.0]
