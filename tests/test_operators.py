@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import scalars as S
 from weirflow.operators import calendar, calibration, metrics, models, outliers, resample, spans, splits, stats, windows
-from weirflow.operators.ordering import keep_first, numbered
+from weirflow.operators.ordering import keep_first, numbered, percentiles
 from weirflow.operators.quality_flags import drop_flagged, mask_flagged
 
 T0 = dt.datetime(2024, 1, 1)
@@ -107,6 +107,16 @@ def test_tukey(spark):
     assert outliers.month_tukey(few).where("potential").count() == 0
 
 
+def test_labels_of_a_series_without_values(spark):
+    """No value is no reason to lose rows: there are no fences then, and nothing is flagged."""
+    df = series(spark, [None] * 5).withColumn("v", F.col("v").cast("double"))
+    rows = outliers.labelled(df, "ts", ["id"], "v", winsor=True).collect()
+    assert sorted(r.id for r in rows) == list(range(5)) and not any(r.tukey_potential or r.tukey_possible or r.spike or r.conservative for r in rows)
+    assert all(r.weight == 1.0 and r.winsorised is None for r in rows)
+    assert tuple(percentiles(df, "v", (0.5,)).first()) == (0, [None], None, None)
+    assert percentiles(df, "v", (0.5,), ["id"]).count() == 0 and windows.median_step(df.limit(1), "ts").count() == 0
+
+
 @pytest.mark.parametrize("freq,agg", [("30min", "median"), ("7h", "mean")])
 def test_resample_equals_pandas(spark, freq, agg):
     random.seed(4)

@@ -52,7 +52,8 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str
 
     Distinct values are counted and placed in buckets by approximate quantiles;
     the buckets' totals tell which of them hold the wanted ranks, and only these
-    are ordered.  So no task holds all values of a group.
+    are ordered.  So no task holds all values of a group.  Without keys there is
+    one row in any case: n is 0 and the rest NULL where no value is there.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
     at = F.percentile_approx("_v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("_bounds")
@@ -70,9 +71,9 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str
     upto = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy("_v"))
     few = join_on(placed, held, [*by, "_b"]).withColumn("_upto", F.col("_before") + upto)
     ends = [F.min(F.when(F.col("_upto") > f(r), F.col("_v"))) for r in ranks for f in (F.floor, F.ceil)]
-    picked = few.groupBy(*by, "n").agg(*(e.alias(f"_e{i}") for i, e in enumerate(ends)))
+    picked = few.groupBy(*by).agg(F.max("n").alias("n"), *(e.alias(f"_e{i}") for i, e in enumerate(ends)))
     between = [F.col(f"_e{2 * i}") + (r - F.floor(r)) * (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) for i, r in enumerate(ranks)]
-    return with_(picked.select(*by, "n", F.array(*between).alias("q")), whole.select(*by, "low", "high"))
+    return with_(picked.select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.array(*between).alias("q")), whole.select(*by, "low", "high"))
 
 
 def in_chunks(df: DataFrame, row: str, before: int, after: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -58,7 +58,7 @@ def median_step(df: DataFrame, ts: str, tie: Sequence[str] = (), keys: Sequence[
 
 def _median_step(rows: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
     gaps = over_chunks(rows.select(*keys, ts, "_r"), "_r", 1, 0, lambda d, w: d.withColumn("_gap", micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w)), keys)
-    return percentiles(gaps.where("_gap > 0"), "_gap", (0.5,), keys).select(*keys, F.floor(F.col("q")[0]).cast("long").alias("step"))
+    return percentiles(gaps.where("_gap > 0"), "_gap", (0.5,), keys).where("n > 0").select(*keys, F.floor(F.col("q")[0]).cast("long").alias("step"))
 
 
 def sliding(df: DataFrame, ts: str, features: Sequence[str], target: str, s: WindowSettings = WindowSettings(), keys: Sequence[str] = ("split",), weight_col: str | None = None, tie: Sequence[str] = (), chunk_rows: int = WINDOW_CHUNK) -> DataFrame:
