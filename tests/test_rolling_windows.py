@@ -166,3 +166,18 @@ def test_spearman_equals_pandas(spark, holes):
         else:
             assert r == pytest.approx(want.loc[a, b], abs=1e-12)
     assert all(r.r is None for r in stats.spearman(df.where("false"), ["a", "f"]).collect())
+
+
+def test_spearman_keeps_ties_out_of_one_task(spark, monkeypatch):
+    """Rows of one value are not brought together, in Python least of all; common and rare values give the same ranks."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"few": rng.integers(0, 3, 2000).astype(float), "some": rng.integers(0, 700, 2000).astype(float), "all": rng.normal(0, 1, 2000)})
+    pdf.loc[rng.random(2000) < 0.2, "some"] = np.nan
+    df = spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in pdf.itertuples(index=False)], "few double, some double, all double").repartition(3)
+    want = pdf.corr("spearman")
+    for common in (2, 100, 10**6):  # no value, some and all of them common
+        monkeypatch.setattr(stats, "COMMON", common)
+        found = stats.spearman(df, list(pdf.columns), buckets=7)
+        assert "InArrow" not in found._jdf.queryExecution().toString()
+        got = {(r.a, r.b): r.r for r in found.collect()}
+        assert len(got) == 3 and all(r == pytest.approx(want.loc[k], abs=1e-12) for k, r in got.items())

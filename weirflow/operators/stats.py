@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +62,19 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str, bucket
     return join_on(placed.withColumn("_upto", upto), F.broadcast(before), [*by, "_b"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
 
 
+#: A value is common if more than this part of its column's rows have it; so there are COMMON at most for a column.
+COMMON = 1000
+
+
 def spearman(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> DataFrame:
     """(a, b, r): Pearson of average ranks among the rows that have both; NULL where a column does not vary.
 
-    Ranks differ by pair where values miss.  Equal rows are counted first.  Then each
-    column's values are sorted once, in buckets, with running counts for every
-    other column of the rows that have it too: a value's ranks for all its pairs
-    come from that one order.  What is shuffled are a row's columns, not its pairs.
+    Ranks differ by pair where values miss.  Equal rows are counted first, then each
+    column's distinct values, for every other column of the rows that have it too.  Only
+    these counts are ordered, once a column, in buckets, by running sums: a value's ranks
+    for all its pairs come from that one order.  The rows meet the ranks of their
+    values, common values by a broadcast, so that no task gets all rows of one value.
+    What is shuffled are a row's columns, not its pairs.
     """
     k, names = len(columns), [f"c{i}" for i in range(len(columns))]
     if k < 2:
@@ -82,29 +86,26 @@ def spearman(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> DataFr
     there = [F.col(n).isNotNull() for n in names]
     keyed = rows.select(F.xxhash64(*names, *there).alias("h1"), F.xxhash64(F.lit(1), *names, *there).alias("h2"), "times", F.array(*(t.cast("byte") for t in there)).alias("has"), *names)
     cells = keyed.select("h1", "h2", "times", "has", F.posexplode(F.array(*names)).alias("col", "x")).where("x IS NOT NULL")
-    bounds = cells.groupBy("col").agg(F.percentile_approx("x", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("bounds"))  # a row a column
-    placed = cells.join(F.broadcast(bounds), "col").withColumn("bucket", F.size(F.filter("bounds", lambda q: q < F.col("x")))).drop("bounds")
-    held = placed.groupBy("col", "bucket").agg(*(F.sum(F.col("times") * F.col("has")[j]).alias(f"n{j}") for j in range(k)))
+    counts = cells.groupBy("col", "x").agg(F.count("*").alias("n"), *(F.sum(F.col("times") * F.col("has")[j]).alias(f"n{j}") for j in range(k)))
+    # Bounds from the values of least hashes: plans that are computed twice find the same ones, which percentile_approx does not promise.
+    place = F.row_number().over(Window.partitionBy("col").orderBy(F.xxhash64("col", "x"), "x"))
+    some = counts.select("col", "x", place.alias("place")).where(F.col("place") <= 32 * buckets)
+    bounds = some.groupBy("col").agg(F.percentile("x", F.array(*(F.lit(i / buckets) for i in range(1, buckets)))).alias("bounds"))  # a row a column
+    cells_of = counts.groupBy("col").agg(F.sum("n").alias("cells"))
+    placed = counts.join(F.broadcast(bounds), "col").withColumn("bucket", F.size(F.filter("bounds", lambda q: q < F.col("x")))).drop("bounds")
+    placed = placed.join(F.broadcast(cells_of), "col").withColumn("common", F.col("n") * COMMON > F.col("cells")).drop("cells")
+    held = placed.groupBy("col", "bucket").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k)))
     upto = Window.partitionBy("col").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = held.select("col", "bucket", F.array(*(F.coalesce(F.sum(f"n{j}").over(upto), F.lit(0)) for j in range(k))).alias("before"))
-    ranked = placed.join(F.broadcast(before), ["col", "bucket"])
-
-    def ranks(table: pa.Table) -> pa.Table:
-        x, times = (np.asarray(table.column(c).to_numpy()) for c in ("x", "times"))
-        order = np.argsort(x, kind="stable")
-        has = np.asarray(table.column("has").combine_chunks().flatten()).reshape(-1, k)[order] * times[order, None]
-        sums = np.concatenate([np.zeros((1, k)), np.cumsum(has, axis=0, dtype=np.float64)])
-        starts = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
-        ends = np.append(starts[1:], len(x))
-        own = np.asarray(table.column("before")[0].as_py(), np.float64) + (sums[starts] + sums[ends] + 1) / 2
-        out = np.empty((len(x), k))
-        out[order] = np.repeat(own, ends - starts, axis=0)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(out.ravel()))
-        return pa.table({"h1": table.column("h1"), "h2": table.column("h2"), "times": table.column("times"), "col": table.column("col"), "ranks": lists})
-
-    of_rows = ranked.groupBy("col", "bucket").applyInArrow(ranks, "h1 long, h2 long, times long, col int, ranks array<double>")
+    inside = Window.partitionBy("col", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    within = placed.select("col", "bucket", "x", "common", F.array(*(F.sum(f"n{j}").over(inside) - (F.col(f"n{j}") - 1) / 2 for j in range(k))).alias("within"))
+    ranked = within.join(F.broadcast(before), ["col", "bucket"]).select("col", "x", "common", F.zip_with("before", "within", lambda b, w: b + w).alias("ranks"))
+
+    common = F.broadcast(ranked.where("common").select("col", "x", "ranks"))
+    rare = cells.join(common.drop("ranks"), ["col", "x"], "left_anti").join(ranked.where("NOT common").drop("common"), ["col", "x"])
+    of_rows = cells.join(common, ["col", "x"]).unionByName(rare).select("h1", "h2", "times", "col", "ranks")
     whole = of_rows.groupBy("h1", "h2").agg(F.max("times").alias("times"), F.map_from_entries(F.collect_list(F.struct("col", "ranks"))).alias("ranks"))
-    totals = cells.groupBy("col").agg(*(F.sum(F.col("times") * F.col("has")[j]).alias(f"n{j}") for j in range(k)))
+    totals = counts.groupBy("col").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k)))
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(k), 2)))
     counts = totals.select(F.col("col").alias("i"), F.posexplode(F.array(*(f"n{j}" for j in range(k)))).alias("j", "n")).where("i < j").groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "n"))).alias("n"))
     sides = F.transform(pairs, lambda p: F.struct(F.get(F.element_at("ranks", p["i"]), p["j"]).alias("u"), F.get(F.element_at("ranks", p["j"]), p["i"]).alias("v"), ((F.element_at("n", p) + 1) / 2).alias("m")))
