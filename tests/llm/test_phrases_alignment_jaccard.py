@@ -276,3 +276,10 @@ def test_long_texts_have_the_same_tokens():
         jaccard.pieces = original
     join = lambda parts: [sum((p[k] for p in parts), []) for k in range(3)]
     assert join(whole) == join(cut) and len(cut) > 2
+
+
+@pytest.mark.parametrize("parts,blocks", [(32, 1), (8, 4), (1, 40), (50, 2)])
+def test_lots_of_blocks_are_of_a_size(spark, parts, blocks):
+    rows = spark.createDataFrame([((p << 32) + b,) for p in range(parts) for b in range(blocks)], "block long").select(alignment._lot().alias("lot")).collect()
+    sizes = [sum(r.lot == k for r in rows) for k in range(alignment.LOTS)]
+    assert max(sizes) - min(sizes) <= max(blocks % alignment.LOTS, 1)

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, numbers, pieces
@@ -189,7 +189,12 @@ def _coded(docs: DataFrame, block_bytes: int, cut: bool) -> DataFrame:
 
     names = [c.split()[0] for c in _UNITS.split(", ")]
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(each, _UNITS).withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(LOTS)).cast("int")), "units", "zstd", ["kind", "lot"])
+    return written(rows.mapInArrow(each, _UNITS).withColumn("lot", _lot()), "units", "zstd", ["kind", "lot"])
+
+
+def _lot() -> Column:
+    """The lot of a block: those of a partition, and the first ones of all partitions, are dealt round, so that lots are of a size."""
+    return F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(LOTS)).cast("int")
 
 
 def _ends_safely(units: pa.Array) -> np.ndarray:
@@ -357,8 +362,11 @@ def _codes(rows: pa.RecordBatch) -> Iterator[np.ndarray]:
 _FOUND = "block long, pair long, n long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-def _by_lots(one, tag: str) -> DataFrame:
-    """The union of one(lot), each written before the next one; narrow rows go to Python in larger batches meanwhile."""
+def _by_lots(one, tag: str, used: Iterable[str] = ()) -> DataFrame:
+    """The union of one(lot), each written before the next one; narrow rows go to Python in larger batches meanwhile.
+
+    Of the folders used, a lot's part goes as soon as the lot is written.
+    """
     found = None
     for lot in range(LOTS):
         df = one(lot)
@@ -370,6 +378,8 @@ def _by_lots(one, tag: str) -> DataFrame:
         finally:
             conf.set(_BATCH, before)
         found = part if found is None else found.unionAll(part)
+        for folder in used:
+            drop_shared(df.sparkSession, f"{folder}/lot={lot}")
     return found
 
 
@@ -438,10 +448,10 @@ def _second_pass(coded: DataFrame, entries: DataFrame, counts: DataFrame) -> Dat
 
     def one(lot: int) -> DataFrame:
         documents, own = coded.where((F.col("kind") == LAST) & (F.col("lot") == lot)).drop("doc_id"), entries.where(F.col("lot") == lot)
-        sums = counts.where(F.pmod(F.xxhash64("block"), F.lit(LOTS)) == lot)
+        sums = counts.where(_lot() == lot)
         return meeting(documents, own.select("block", F.lit(0).alias("kind"), "a", "v"), sums.select("block", F.lit(1).alias("kind"), "a", "b")).mapInArrow(each, "block long, row long, n_best long, count_sum long")
 
-    return _by_lots(one, "ends")
+    return _by_lots(one, "ends", (entries._written, f"{coded._written}/kind={LAST}"))  # nothing reads them after this
 
 
 def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
