@@ -193,6 +193,34 @@ def test_units_and_whole_texts_align_alike(spark, rows, monkeypatch):
     assert found(alignment.alignment(short)) == units
 
 
+def test_ends_of_both_sides_make_links_and_groups(spark):
+    rows = [(1, 1, 3, [1, 1, 2, 7, 8], [1, 2, 5, 2, 5]), (1, 2, 1, [5, 6, 6, 6], [4, 1, 3, 4]), (2, 1, 4, [9, 9, 4, 3, 8, 1], [2, 3, 4, 6, 1, 6]), (3, 1, 1, [0, 0], [1, 1])]
+    tokens = spark.createDataFrame(rows, "h1 long, h2 long, n_a int, ids array<int>, ends array<int>")
+    got = {(r.h1, r.h2): [(x >> 32, (x & 0xFFFFFFFF) >> 2, x & 3) for x in r.links] for r in alignment.aligned(tokens).collect()}
+    assert got == {(1, 1): [(1, 7, 1), (1, 7, 3), (2, 8, 3)], (1, 2): [(5, 6, 2), (5, 6, 2), (5, 6, 3)], (2, 1): [(9, 8, 2), (9, 1, 1), (9, 1, 1), (4, 1, 1), (3, 1, 3)], (3, 1): [(0, 0, 3)]}
+    links = [got[k] for k in sorted(got)]
+    flat = np.array([(a << 32) + (b << 2) + kind for own in links for a, b, kind in own])
+    assert alignment._spelled(flat, np.array([len(own) for own in links])) == ["1,1|7;2|8", "5|6,6,6", "9,9,4,3|8,1", "0|0"]
+
+
+def test_tokens_are_shuffled_as_their_units_only(spark):
+    """No exchange holds a row for each token or end: none has more rows than there are units and documents (of two letters there are few id pairs)."""
+    sc = spark.sparkContext
+    words = ["".join(random.Random(k).choices("qz", k=24)) for k in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i::4])) for i in range(4)], "doc_id long, text string").coalesce(1)
+
+    def stages():
+        jvm = sc._jvm
+        none = jvm.java.util.ArrayList()
+        found = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    assert alignment.alignment(docs).count() == 4
+    made = [n for k, n in stages().items() if k not in before]
+    assert 4000 <= max(made) < 8000
+
+
 def test_long_texts_have_the_same_units():
     import pyarrow as pa
 

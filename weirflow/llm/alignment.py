@@ -4,10 +4,9 @@ Both tokenizers here end a token before each space that follows a visible
 character: so a text is a row of units, a space and what follows, and its alignment is
 that of its units one after the other.  Units repeat, so the relational steps run
 over the corpus's distinct units, each tokenized once: tokens are exploded with their
-positions, windowed sums of their bytes give their ends, an equi-join on unit and end
-finds the common ends, a running count of these numbers the groups, and within a group the tokens of one side
-meet those of the other whose ranges overlap theirs.  Documents, as
-numbers of a block's units, meet the results block by block.
+positions and ends, those of both sides meet by unit and end, where both have one a group
+ends, and a running window finds the two tokens that cover what lies before each end, which are
+a link.  Documents, as numbers of a block's units, meet the results block by block.
 
 Where a tokenizer might look across such a space (``separable``), the units are whole
 texts, and the same steps hold.
@@ -37,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.blocks import LAST, PIECE_BYTES, Numbers, meeting, met, numbers, pieces
-from weirflow.llm.common import drop_shared, drop_written, small_batches, text_bytes, written
+from weirflow.llm.common import drop_shared, small_batches, text_bytes, written
 
 #: UTF-8 bytes of text of a block: larger ones repeat fewer units.
 BLOCK_BYTES = 32 << 20
@@ -238,11 +237,7 @@ class _Speller:
 
 
 def _tokenized(units: DataFrame, a_path: str, b_path: str, cut: bool) -> DataFrame:
-    """(h1, h2, fits, a, b): the tokens of each unit as (id, size in bytes); fits where both sides spell the unit."""
-
-    def tokens(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes)], ["id", "size"]))
+    """(h1, h2, fits, n_a, ids, ends): each unit's n_a tokens of A, then those of B, and where in the unit they end; fits where both sides spell it."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _kept(f"spellers:{a_path}:{b_path}")
@@ -257,59 +252,83 @@ def _tokenized(units: DataFrame, a_path: str, b_path: str, cut: bool) -> DataFra
             safe = _ends_safely(batch.column(2)) if cut else np.zeros(batch.num_rows, bool)
             batch = batch.take(pa.array(np.argsort(~safe, kind="stable")))
             units, sizes = batch.column(2).to_pylist(), np.asarray(pc.binary_length(batch.column(2))).astype(np.int64)
-            sides = [speller(units, sizes, int(safe.sum())) for speller in kept.spellers]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sides[0][3] & sides[1][3]), *(tokens(*side[:3]) for side in sides)], ["h1", "h2", "fits", "a", "b"])
+            sides = of_a, of_b = [speller(units, sizes, int(safe.sum())) for speller in kept.spellers]
+            # B's tokens go after A's, unit by unit.
+            order = np.argsort(np.concatenate([np.repeat(np.arange(len(units)), side[2]) for side in sides]), kind="stable")
+            offsets = pa.array(np.concatenate([[0], np.cumsum(of_a[2] + of_b[2])]).astype(np.int32))
+            ids, ends = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(both)[order].astype(np.int32))) for both in ([side[0] for side in sides], [_ends(side) for side in sides]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of_a[3] & of_b[3]), pa.array(of_a[2].astype(np.int32)), ids, ends], ["h1", "h2", "fits", "n_a", "ids", "ends"])
+
+    return units.select("h1", "h2", "unit").mapInArrow(each, "h1 long, h2 long, fits boolean, n_a int, ids array<int>, ends array<int>")
+
 
-    kind = "array<struct<id:int,size:int>>"
-    return units.select("h1", "h2", "unit").mapInArrow(each, f"h1 long, h2 long, fits boolean, a {kind}, b {kind}")
+def _ends(side: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Where in its unit each token ends."""
+    _, sizes, counts, _ = side
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return upto[1:] - np.repeat(upto[np.cumsum(counts) - counts], counts)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What names a unit: 128 bits of hashes.
 UNIT = ("h1", "h2")
-#: Joins on more keys than the data is dealt by need no other exchange while this is off.
-_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Rows that stand in the order of their group are aggregated in one step as they come.
+_IN_ORDER = "spark.sql.execution.replaceHashWithSortAgg"
 
 
 def aligned(tokenized: DataFrame) -> DataFrame:
-    """(h1, h2, n_a, n_b, n_groups, groups, links) of token lists (h1, h2, a, b), written; h1 and h2 name a unit, links are a * 2**32 + b.
+    """(h1, h2, links) of tokens (h1, h2, n_a, ids, ends); h1 and h2 name a unit, ids are below 2**30.
 
-    The relational steps: tokens are dealt by unit once and stay there.
+    The relational steps: tokens are dealt by unit once, stay there and are put in order once.
+    The two sides' tokens meet by unit and end.  From a unit's last end to its first one, what lies
+    before an end, down to the next one, is covered by the token of each side that came last: so
+    each end is one link, a * 2**32 + b * 4 + (1 if A's token ends here) + (2 if B's does); 3 ends a group.
     """
-    spark = tokenized.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run = Window.partitionBy(*UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = lambda c: tokenized.select(*UNIT, c).repartition(ranges, *UNIT)
-    side = lambda c: dealt(c).select(*UNIT, F.posexplode(c).alias("pos", "t")).select(*UNIT, F.col("t.id").alias(c), F.col("t.size").alias(f"size_{c}"), F.sum("t.size").over(run).alias("end"))
-    both = side("a").join(side("b"), [*UNIT, "end"], "full")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    ends = Window.partitionBy(*UNIT).orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = both.withColumn("gid", F.sum(cut).over(ends) - cut)
-
-    # A group's tokens of both sides; those of A meet those of B whose ranges overlap theirs.
-    held = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", (F.col("end") - F.col(f"size_{c}")).alias("start"), F.col(c).alias("id")))))
-    groups = numbered.groupBy(*UNIT, "gid").agg(held("a").alias("a"), held("b").alias("b"))
-    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
-    over = lambda x: F.transform(F.filter("b", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), lambda y: F.shiftleft(x["id"].cast("long"), 32).bitwiseOR(y["id"].cast("long")))
-    groups = groups.select(*UNIT, "gid", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.flatten(F.transform("a", over)).alias("links"))
-    order = F.sort_array(F.collect_list(F.struct("gid", "ids", "links")))
-    whole = groups.groupBy(*UNIT).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("g"))
-    found = whole.select(*UNIT, "n_a", "n_b", "n_groups", F.array_join(F.transform("g", lambda x: x["ids"]), ";").alias("groups"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
-    before = spark.conf.get(_ALL_KEYS)
-    spark.conf.set(_ALL_KEYS, "false")
+    ranges = int(tokenized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    token = F.posexplode(F.arrays_zip("ids", "ends")).alias("pos", "t")
+    own = tokenized.repartition(ranges, *UNIT).select(*UNIT, "n_a", token).select(*UNIT, F.col("t.ends").alias("end"), F.col("t.ids").alias("id"), (F.col("pos") < F.col("n_a")).alias("of_a"))
+    ends = own.groupBy(*UNIT, "end").agg(F.max(F.when(F.col("of_a"), F.col("id"))).alias("a"), F.max(F.when(~F.col("of_a"), F.col("id"))).alias("b"))
+    down = Window.partitionBy(*UNIT).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    over = lambda c: F.last(c, ignorenulls=True).over(down).cast("long")
+    here = lambda c, bit: F.when(F.col(c).isNotNull(), F.lit(bit)).otherwise(0)
+    link = F.shiftleft(over("a"), 32) + over("b") * 4 + here("a", 1) + here("b", 2)
+    whole = ends.select(*UNIT, "end", link.alias("link")).groupBy(*UNIT).agg(F.collect_list("end").alias("ends"), F.collect_list("link").alias("links"))
+    return whole.select(*UNIT, F.sort_array(F.arrays_zip("ends", "links"))["links"].alias("links"))
+
+
+def _written_in_order(df: DataFrame, tag: str, by: list[str]) -> DataFrame:
+    """df written, aggregates of rows in order in one step."""
+    conf = df.sparkSession.conf
+    before = conf.get(_IN_ORDER)
+    conf.set(_IN_ORDER, "true")
     try:
-        return written(found, "aligned", "zstd")
+        return written(df, tag, "zstd", by)
     finally:
-        spark.conf.set(_ALL_KEYS, before)
+        conf.set(_IN_ORDER, before)
+
+
+def _spelled(links: np.ndarray, per_unit: np.ndarray) -> list[str]:
+    """Groups as `a1,a2|b1;a3|b2,b3` of units with so many links each, in order."""
+    kind = links & 3
+    ends = np.flatnonzero(kind == 3)
+
+    def side(ids: np.ndarray, here: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(here)[ends]]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[here]).cast(pa.string())), ",")
+
+    groups = pc.binary_join_element_wise(side(links >> 32, kind & 1 > 0), side((links & 0xFFFFFFFF) >> 2, kind & 2 > 0), "|")
+    of_units = np.searchsorted(ends, np.concatenate([[0], np.cumsum(per_unit)])).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(of_units), groups), ";").to_pylist()
 
 
 class _Block:
-    """What a block's units hold: v is (n_a, n_b, n_groups, links ...), empty where the unit does not fit.
+    """What a block's units hold: v are their links (see aligned), none where the unit does not fit.
 
     Links become places among the block's distinct pairs, at once for each batch, so that the rows can go.
+    Units are counted and their groups spelled where asked for.
     """
 
-    def __init__(self, parts: list[pa.RecordBatch] | None):
+    def __init__(self, parts: list[pa.RecordBatch] | None, spell: bool = False):
         local = numbers(parts, 2)
         n = int(local.max(initial=-1)) + 1
         self.fits, self.counts = np.zeros(n, bool), np.zeros((3, n), np.int32)
@@ -321,25 +340,19 @@ class _Block:
         while parts:
             part = parts.pop(0)
             at, lists = part.column(2).to_numpy(), part.column(8)
-            flat, offsets = lists.flatten().to_numpy(), np.asarray(lists.offsets).astype(np.int64)
-            offsets -= offsets[0]
-            sizes = np.diff(offsets)
-            full = np.flatnonzero(sizes >= 3)
-            starts, own = offsets[:-1][full], at[full]
-            self.fits[own] = True
-            for k in range(3):
-                self.counts[k, own] = flat[starts + k]
-            links = np.ones(len(flat), bool)
-            links[(starts[:, None] + np.arange(3)).ravel()] = False
-            flat = flat[links]
-            self.n_links[own] = sizes[full] - 3
-            self.link_start[own] = total + np.cumsum(sizes[full] - 3) - (sizes[full] - 3)
+            flat, sizes = lists.flatten().to_numpy(), np.diff(np.asarray(lists.offsets).astype(np.int64))
+            at, sizes = at[sizes > 0], sizes[sizes > 0]
+            starts = np.cumsum(sizes) - sizes
+            self.fits[at], self.n_links[at], self.link_start[at] = True, sizes, total + starts
             total += len(flat)
-            found, inverse = np.unique(flat, return_inverse=True)
-            spans.append((found, inverse.astype(np.int32)))
-            if part.column(4).null_count < part.num_rows:
-                for k, s in zip(at.tolist(), part.column(4).to_pylist(), strict=True):
+            if spell and len(flat):
+                kind = flat & 3
+                for k, here in enumerate((kind & 1, kind >> 1, kind == 3)):
+                    self.counts[k, at] = np.add.reduceat(here, starts, dtype=np.int32)
+                for k, s in zip(at.tolist(), _spelled(flat, sizes), strict=True):
                     self.groups[k] = s
+            found, inverse = np.unique(flat & ~3, return_inverse=True)
+            spans.append((found, inverse.astype(np.int32)))
         self.pairs = np.unique(np.concatenate([self.pairs, *(f for f, _ in spans)]))
         self.places = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(self.pairs, f).astype(np.int32)[i] for f, i in spans)])
 
@@ -354,6 +367,13 @@ class _Block:
         return running[self.link_start + self.n_links] - running[self.link_start]
 
 
+def _distinct(values: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The distinct ones of small numbers, in any order; mark has room for each of them and any content."""
+    places = np.arange(len(values), dtype=np.int32)
+    mark[values] = places
+    return values[mark[values] == places]
+
+
 def _codes(rows: pa.RecordBatch) -> Iterator[np.ndarray]:
     for c in rows.column(5).to_pylist():
         yield np.frombuffer(zlib.decompress(c), "<i4")
@@ -398,19 +418,18 @@ def _first_pass(coded: DataFrame, entries: DataFrame) -> DataFrame:
                 s = held[k : k + SEND]
                 yield rows_of(block=np.full(len(s), at), pair=own.pairs[s], n=times[s])
 
-        at, own = None, _Block(None)
+        at, own, mark = None, _Block(None), None
         times = np.zeros(0, np.int64)
         for block, parts, rows in met(batches):
             if parts is not None:
                 yield from done()
                 at, own = block, None  # the block before goes first
-                own = _Block(parts.pop(0, None))
-                times = np.zeros(len(own.pairs), np.int64)
+                own = _Block(parts.pop(0, None), True)
+                times, mark = np.zeros(len(own.pairs), np.int64), (np.zeros(len(own.fits), np.int32), np.zeros(len(own.pairs), np.int32))
             out: list[list] = [[], [], [], [], []]
             for codes in _codes(rows):
-                units = np.unique(codes)
-                if len(codes) and own.fits[units].all():
-                    times[np.unique(own.links_of(units))] += 1
+                if len(codes) and own.fits[codes].all():
+                    times[_distinct(own.links_of(_distinct(codes, mark[0])), mark[1])] += 1
                     sha = hashlib.sha256(";".join(map(own.groups.__getitem__, codes.tolist())).encode()).hexdigest()
                     found = [*(int(own.counts[k][codes].sum()) for k in range(3)), int(own.n_links[codes].sum()), sha]
                 else:
@@ -422,7 +441,7 @@ def _first_pass(coded: DataFrame, entries: DataFrame) -> DataFrame:
 
     def one(lot: int) -> DataFrame:
         documents, own = coded.where((F.col("kind") == LAST) & (F.col("lot") == lot)), entries.where(F.col("lot") == lot)
-        return meeting(documents, own.select("block", F.lit(0).alias("kind"), "a", "s", "v")).mapInArrow(each, _FOUND)
+        return meeting(documents, own.select("block", F.lit(0).alias("kind"), "a", "v")).mapInArrow(each, _FOUND)
 
     return _by_lots(one, "found")
 
@@ -461,13 +480,10 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     coded = _coded(docs, block_bytes, cut)
     own = coded.where("kind = 0").select("block", "lot", F.posexplode("units").alias("a", "unit"))
     hashes = {"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")}
-    tokens = written(_tokenized(own.select("unit").distinct().withColumns(hashes), a_path, b_path, cut), "tokens", "zstd")
-    facts = aligned(tokens.where("fits").select(*UNIT, "a", "b"))
-    drop_written(tokens)
-    known = facts.select(*UNIT, F.col("groups").alias("s"), F.concat(F.array("n_a", "n_b", "n_groups"), "links").alias("v"))
-    named = own.withColumns(hashes).drop("unit").join(known, [*UNIT], "left").select("block", "lot", "a", "s", F.coalesce("v", F.array().cast("array<long>")).alias("v"))
-    entries = written(named, "entries", "zstd", ["lot"])
-    drop_written(facts)
+    tokens = _tokenized(own.select("unit").distinct().withColumns(hashes), a_path, b_path, cut)
+    facts = aligned(tokens.where("fits").drop("fits"))
+    named = own.withColumns(hashes).select("block", "a", *UNIT).join(facts, [*UNIT], "left").select("block", _lot().alias("lot"), "a", F.coalesce("links", F.array().cast("array<long>")).alias("v"))
+    entries = _written_in_order(named, "entries", ["lot"])
     drop_shared(docs.sparkSession, f"{coded._written}/kind=0")  # the units' strings have done their work
 
     found = _first_pass(coded, entries)
