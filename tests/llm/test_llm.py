@@ -880,3 +880,59 @@ def test_pipeline_of_awkward_tables(spark, tmp_path):
     # The three rows without words are one group, of which the least doc_id stays.
     assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter([None, None, 1, 3, 3])
     assert [r.doc_tokens for r in pieces if r.doc_id == 1] == [1]
+
+
+def test_substrings_hold_few_times_a_range_of_documents():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(3, 12, 5000)]
+    shared = [b" ".join(words[k] for k in rng.integers(0, len(words), 40)) for _ in range(300)]
+    texts = []
+    while sum(map(len, texts)) < substrings.RANGE_BYTES:
+        own = b" ".join(words[k] for k in rng.integers(0, len(words), 300))
+        texts.append(own + b" " + shared[rng.integers(len(shared))] + b" " + own[:900])
+    n, size = len(texts), sum(map(len, texts))
+    docs = pa.table([pa.array([0] * n, pa.int32()), pa.array(range(n)), pa.array(range(n)), pa.array(texts, pa.binary())], ["part", "doc_id", "rank", "text"])
+    known = substrings._anchors_of(docs, 50, 20)[2]
+    known = np.unique(known)
+    candidates = pa.table({"part": pa.array([0], pa.int32()), "hash": [known[::3].astype("<u8").tobytes()], "hot": [np.zeros(len(known[::3]), np.uint8).tobytes()]})
+    binary = {k: pa.nulls(1, pa.binary()) for k in ("ord", "pos", "first", "last")}
+    found = candidates
+    for name, column in binary.items():
+        found = found.append_column(name, column)
+    for step, given, most in ((substrings._around(128, 50, 20), (docs, candidates), 10), (substrings._applied(50, 20, False), (docs, found), 12)):
+        tracemalloc.start()
+        try:
+            step(*given)
+            assert tracemalloc.get_traced_memory()[1] < most * size
+        finally:
+            tracemalloc.stop()
+
+
+def test_substrings_left_over_and_covered_are_those_of_plain_loops():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 400):
+        starts = rng.integers(0, max(n, 1), n // 3)
+        ends = np.minimum(starts + rng.integers(1, 9, len(starts)), n)
+        gone = np.zeros(n, bool)
+        for a, b in zip(starts, ends, strict=True):
+            gone[a:b] = True
+        assert substrings._covered(n, starts, ends).tolist() == gone.tolist()
+        data = rng.integers(97, 123, n).astype(np.uint8)
+        offsets = np.sort(np.concatenate([[0, 0], rng.integers(0, n + 1, 6), [n, n]]))
+        got = [x.to_pylist() for x in substrings._left_over(data, offsets, gone, False)]
+        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            own = gone[a:b].tolist()
+            spans = sum(x and not (k and own[k - 1]) for k, x in enumerate(own))
+            assert [c[i] for c in got] == [b - a, sum(own), spans, bytes(data[a:b][~gone[a:b]]).decode()]
+
+
+def test_substrings_lots_keep_groups_whole():
+    group = np.repeat(np.arange(9), [1, 5, 2, 2, 40, 1, 1, 7, 3])
+    for most in (1, 4, 10, 100):
+        lots = substrings._lots(group, most)
+        assert [k for lot in lots for k in range(lot.start, lot.stop)] == list(range(len(group)))
+        assert all(lot.stop - lot.start <= most or len(set(group[lot])) == 1 for lot in lots)
+        assert all(a.stop == b.start and group[a.stop - 1] != group[b.start] for a, b in zip(lots, lots[1:], strict=False))
+    assert substrings._lots(group[:0], 4) == []

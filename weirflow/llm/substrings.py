@@ -71,6 +71,8 @@ CROWD_BYTES = 2 << 20
 BROADCAST_ROWS = 100_000
 #: Occurrences of one anchor from which on the strings around it are compared one by one, with the same result.
 HOT = 1 << 17
+#: Bytes of text, and rows of surroundings, that a worker's arrays are made for at once: they are many times as large.
+STEP_BYTES, STEP_ROWS = 1 << 18, 1 << 14
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -85,8 +87,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """p with (p[j] - p[i]) / base**i the polynomial hash, modulo 2**64, of data[i:j]; along the last axis."""
-    values = _values()[data] * _powers(_ODD, data.shape[-1])[:-1]
-    return np.concatenate([np.zeros((*data.shape[:-1], 1), np.uint64), np.cumsum(values, axis=-1, dtype=np.uint64)], axis=-1)
+    found = np.zeros((*data.shape[:-1], data.shape[-1] + 1), np.uint64)
+    values = _values()[data]
+    values *= _powers(_ODD, data.shape[-1])[:-1]
+    np.cumsum(values, axis=-1, out=found[..., 1:])
+    return found
 
 
 def _slide(f, a: np.ndarray, width: int) -> np.ndarray:
@@ -201,11 +206,14 @@ def _blobs(key: str, of: np.ndarray, part: int | None, columns: dict[str, np.nda
     """Entries as a row for each value of `of` (named key), with part if given."""
     order = np.argsort(of, kind="stable")
     found, starts = np.unique(of[order], return_index=True)
-    ends = np.append(starts, len(order))[1:]
+    edges = np.append(starts, len(order))
     rows = {key: pa.array(found, pa.int32())} | ({} if part is None else {"part": pa.array([part] * len(found), pa.int32())})
     for name, column in columns.items():
         column = np.ascontiguousarray(column[order])
-        rows[name] = pa.array([column[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+        at = edges * (column.itemsize * (column.shape[1] if column.ndim > 1 else 1))
+        if at[-1] >= 1 << 31:
+            raise ValueError(f"{at[-1]} bytes of {name} in one task")
+        rows[name] = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(column)])
     return pa.table(rows)
 
 
@@ -232,7 +240,7 @@ def _anchors_of(docs: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.
     """(row, position, hash) of all anchors of a range of documents."""
     texts = pa.RecordBatch.from_arrays([_flat(docs.column(3))], ["text"])
     found, before = [], 0
-    for batch in chunks([texts], 0, 1 << 20):
+    for batch in chunks([texts], 0, STEP_BYTES):
         row, pos, h = anchors(*text_bytes(batch.column(0)), length, gram)
         found.append(((row + before).astype(np.int32), pos.astype(np.int32), h))
         before += batch.num_rows
@@ -327,9 +335,7 @@ def _classes(data: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndar
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    powers = _powers(_ODD, data.shape[1])[:-1]
-    values = _values()
-    h = np.concatenate([(values[data[i : i + 8192]] * powers).sum(axis=1, dtype=np.uint64) for i in range(0, n, 8192)])
+    h = _hash_of(data)
     h = (h * np.uint64(128) + left.astype(np.uint64)) * np.uint64(128) + right.astype(np.uint64)
     order = np.lexsort((np.arange(n), ids, h))
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
@@ -357,14 +363,30 @@ def _around(parts: int, length: int, gram: int):
         h = _hash_of(s.bytes[sent, side:length])
         h[whole] = _hash_of(s.bytes[sent[whole], side:])
         bucket = (h * _MIX >> np.uint64(40)).astype(np.int64) % parts
-        columns = {"ord": s.ord[sent], "id": s.ids[sent].astype("<i8"), "pos": s.pos[sent].astype(_POS), "left": s.left[sent].astype(_BYTE), "right": s.right[sent].astype(_BYTE), "bytes": s.bytes[sent], "whole": whole.astype(_BYTE)}
+        s.bytes = s.bytes[sent]
+        columns = {"ord": s.ord[sent], "id": s.ids[sent].astype("<i8"), "pos": s.pos[sent].astype(_POS), "left": s.left[sent].astype(_BYTE), "right": s.right[sent].astype(_BYTE), "bytes": s.bytes, "whole": whole.astype(_BYTE)}
         return _blobs("bucket", bucket, docs.column(0)[0].as_py(), columns)
 
     return each
 
 
 def _hash_of(data: np.ndarray) -> np.ndarray:
-    return (_values()[data] * _powers(_ODD, data.shape[1])[:-1]).sum(axis=1, dtype=np.uint64)
+    values, powers, found = _values(), _powers(_ODD, data.shape[1])[:-1], np.zeros(len(data), np.uint64)
+    for i in range(0, len(data), STEP_ROWS):
+        found[i : i + STEP_ROWS] = (values[data[i : i + STEP_ROWS]] * powers).sum(axis=1, dtype=np.uint64)
+    return found
+
+
+def _lots(group: np.ndarray, most: int) -> list[slice]:
+    """Consecutive rows of about most at most, groups (equal neighbours) whole."""
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else np.zeros(0, np.int64)
+    found, at = [], 0
+    while at < len(group):
+        k = np.searchsorted(ends, at + most, side="right") - 1
+        to = int(ends[k]) if k >= 0 and ends[k] > at else int(ends[k + 1])
+        found.append(slice(at, to))
+        at = to
+    return found
 
 
 def _judged(length: int, gram: int):
@@ -396,7 +418,10 @@ def _judged(length: int, gram: int):
         several = count[group] > 1
         reps, group = open_[order[several]], group[several]
         if len(reps):
-            lo, hi = _ranges_of_heads(data[reps], ids[reps], left[reps], right[reps], group, length, gram)
+            lo, hi = np.empty(len(reps), np.int64), np.empty(len(reps), np.int64)
+            for lot in _lots(group, STEP_ROWS):
+                own = reps[lot]
+                lo[lot], hi[lot] = _ranges_of_heads(data[own], ids[own], left[own], right[own], group[lot], length, gram)
             # What holds for a class's head holds for all of its document's candidates in the class.
             of_class_lo, of_class_hi = np.full(len(heads), length, np.int64), np.full(len(heads), -length, np.int64)
             of_class_lo[same[reps]], of_class_hi[same[reps]] = lo, hi
@@ -409,17 +434,19 @@ def _judged(length: int, gram: int):
 
 def _later_strings(data: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Rows whose string a smaller id has too: the strings of one hash are sorted, equal ones are neighbours."""
-    n, length = data.shape
-    if not n:
-        return np.zeros(0, np.int64)
+    length = data.shape[1]
     h = _hash_of(data)
-    by = np.argsort(h, kind="stable")
-    group = np.cumsum(np.concatenate([[True], h[by][1:] != h[by][:-1]])) - 1
-    order, extension = suffix_sort(data[by], np.full(n, length, np.int64), group)
-    head = np.concatenate([[True], (group[1:] != group[:-1]) | (extension[1:] < length)])
-    row = by[order]
-    least = np.minimum.reduceat(ids[row], np.flatnonzero(head))[np.cumsum(head) - 1]
-    return row[ids[row] > least]
+    all_by = np.argsort(h, kind="stable")
+    found = [np.zeros(0, np.int64)]
+    for lot in _lots(h[all_by], STEP_ROWS):
+        by = all_by[lot]
+        group = np.cumsum(np.concatenate([[True], h[by][1:] != h[by][:-1]])) - 1
+        order, extension = suffix_sort(data[by], np.full(len(by), length, np.int64), group)
+        head = np.concatenate([[True], (group[1:] != group[:-1]) | (extension[1:] < length)])
+        row = by[order]
+        least = np.minimum.reduceat(ids[row], np.flatnonzero(head))[np.cumsum(head) - 1]
+        found.append(row[ids[row] > least])
+    return np.concatenate(found)
 
 
 def _ranges_of_heads(data: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -454,31 +481,61 @@ def _removed(docs: pa.Table, found: pa.Table, length: int, gram: int) -> tuple[n
     s = _Surroundings(docs, found.filter(pa.compute.invert(verdict)), length, gram)
     ord_, pos, first, last = _entries(found.filter(verdict), ord=_ORD, pos=_POS, first=_SMALL, last=_SMALL)
     data, offsets = text_bytes(_flat(docs.column(3)))
-    change = np.zeros(len(data) + 1, np.int32)
-
-    def remove(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        np.add.at(change, offsets[doc] + start, 1)
-        np.add.at(change, offsets[doc] + end, -1)
-
-    at = pos.astype(np.int64)
-    remove(_ordered(docs)[ord_], at + first, at + last)
+    at = offsets[_ordered(docs)[ord_]] + pos
+    starts, ends = [at + first], [at + last]
     if len(s.doc):
         later = np.flatnonzero((s.ids > s.ids[s.first[s.same]]) & (s.left + s.right >= length))
-        remove(s.doc[later], s.pos[later] - s.left[later], s.pos[later] + s.right[later])
-    return data, offsets, np.cumsum(change[:-1]) > 0
+        at = offsets[s.doc[later]] + s.pos[later]
+        starts.append(at - s.left[later])
+        ends.append(at + s.right[later])
+    return data, offsets, _covered(len(data), np.concatenate(starts), np.concatenate(ends))
+
+
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in any of these intervals, none of them empty."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    apart = starts[1:] > ends[:-1]
+    change = np.zeros(n + 1, np.int8)
+    if len(starts):  # joined, they neither overlap nor touch
+        change[starts[np.append(True, apart)]] = 1
+        change[ends[np.append(apart, True)]] = -1
+    return np.cumsum(change[:-1], dtype=np.int8).view(bool)
 
 
 def _left_over(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, digest: bool) -> list[pa.Array]:
     """n_bytes, n_removed, n_spans and kept of each text."""
-    runs = np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1
-    runs[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
-    sums = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(runs)])
-    removed, spans = (np.diff(x[offsets]) for x in sums)
+    found = [_left_over_at_once(data, offsets[lot.start : lot.stop + 1], gone, digest) for lot in _steps(offsets)]
+    return [pa.concat_arrays(x) for x in zip(*found, strict=True)] if found else [pa.array([], k) for k in (*[pa.int64()] * 3, pa.string())]
+
+
+def _steps(offsets: np.ndarray) -> list[slice]:
+    """Texts of about STEP_BYTES together at most, or one longer text."""
+    found, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
+        found.append(slice(at, to))
+        at = to
+    return found
+
+
+def _left_over_at_once(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, digest: bool) -> list[pa.Array]:
+    data, gone, offsets = data[offsets[0] : offsets[-1]], gone[offsets[0] : offsets[-1]], offsets - offsets[0]
+    filled = offsets[1:] > offsets[:-1]
+    begins, ends = offsets[:-1][filled], offsets[1:][filled] - 1
+    first, last = gone.copy(), gone.copy()
+    first[1:] &= ~gone[:-1]
+    first[begins] = gone[begins]
+    last[:-1] &= ~gone[1:]
+    last[ends] = gone[ends]
+    first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+    runs = np.searchsorted(first, offsets)
+    sums = np.concatenate([[0], np.cumsum(last - first)])[runs]
     left = data[~gone].tobytes()
-    ends = (offsets - sums[0][offsets]).tolist()
+    ends = (offsets - sums).tolist()
     kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     kept = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "ignore") for k in kept]
-    return [pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.string())]
+    return [pa.array(np.diff(offsets)), pa.array(np.diff(sums)), pa.array(np.diff(runs)), pa.array(kept, pa.string())]
 
 
 _RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
